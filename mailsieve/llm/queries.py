@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontaminate, quality_fm, rule_list, sharding, simhash_gph, token_hist
+from . import chat_windows, decontaminate, hmm_lm, quality_fm, rule_list, sharding, simhash_gph, suffix_dedup, token_hist
 from .common import crc_mod, fold_flag, table
 
 
@@ -25,6 +25,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_list.apply_rules(docs, rule_list.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc_id = F.col("doc_id")
+    held = fold_flag(doc_id, 7, 2)
+    return hmm_lm.score(table(spark, sf_dir, "documents"), ~held, held)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +42,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.windows(turns))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gph.classes(table(spark, sf_dir, "documents")).select("doc_id", simhash_gph.hex16("fp").alias("fingerprint"), "component_id")
 
@@ -44,5 +54,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.suffix_sums(token_hist.histogram(token_hist.lengths(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_quality_rules, op5_decontamination, op7_chat_formatting, op9_simhash_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_quality_rules, op4_hmm_language_model, op5_decontamination, op7_chat_formatting, op8_suffix_dedup, op9_simhash_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
