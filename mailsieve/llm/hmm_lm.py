@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import _arrow_schema, map_batches, saved, words
 
 TOP, BUCKETS, COMMON = 4096, 256, 262_144
-STATES, STEPS, SEGMENT = 6, 4, 512
+STATES, STEPS, SEGMENT = 4, 3, 512
 END = b""  # no word is empty
 FLUSH = 400_000
 CLASSES = 1 + TOP + BUCKETS  # the end token is class 0
@@ -147,35 +147,36 @@ class _Laid:
 
 
 def forward(m: Model, laid: _Laid, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward probabilities and their scales, laid out by time."""
-    alpha, scale = np.empty_like(emit), np.empty(len(emit))
-    a = None
-    for t in range(len(laid.n)):
-        lo, hi = laid.off[t], laid.off[t + 1]
-        a = (np.broadcast_to(m.start, (hi - lo, len(m.start))) if t == 0 else a[: hi - lo] @ m.move) * emit[lo:hi]
-        c = a.sum(1)
-        a = a / c[:, None]
-        alpha[lo:hi], scale[lo:hi] = a, c
+    """Scaled forward probabilities (states x time) and their scales, laid out by time."""
+    alpha, scale = np.empty_like(emit), np.empty(emit.shape[1], emit.dtype)
+    move, a = np.ascontiguousarray(m.move.T.astype(emit.dtype)), None
+    for lo, hi in zip(laid.off[:-1].tolist(), laid.off[1:].tolist(), strict=True):
+        a = (np.repeat(m.start.astype(emit.dtype)[:, None], hi - lo, 1) if a is None else move @ a[:, : hi - lo]) * emit[:, lo:hi]
+        c = np.add.reduce(a, 0, out=scale[lo:hi])
+        a = np.divide(a, c, out=alpha[:, lo:hi])
     return alpha, scale
 
 
 def expected(m: Model, seqs: list[np.ndarray], first: np.ndarray) -> np.ndarray:
     """Expected starts, moves and emissions of the sequences, as one flat array; ``first``: begins a document."""
     laid = _Laid(seqs)
-    emit = m.emit[laid.obs]
+    emit = m.emit.T.astype(np.float32)[:, laid.obs]
     alpha, scale = forward(m, laid, emit)
+    emit /= scale
     back = np.ones_like(alpha)
+    move, off = m.move.astype(np.float32), laid.off.tolist()
     for t in range(len(laid.n) - 2, -1, -1):
-        lo, mid, hi = laid.off[t], laid.off[t + 1], laid.off[t + 2]
-        back[lo : lo + hi - mid] = (emit[mid:hi] * back[mid:hi] / scale[mid:hi, None]) @ m.move.T
-    gamma = alpha * back
-    gamma /= gamma.sum(1, keepdims=True)
-    later = np.arange(laid.off[1], len(emit)) if len(laid.n) > 1 else np.zeros(0, np.int64)
-    t = np.repeat(np.arange(len(laid.n)), laid.n)[later]
-    prev = laid.off[t - 1] + later - laid.off[t] if len(later) else later
-    moves = m.move * (alpha[prev].T @ (emit[later] * back[later] / scale[later, None]))
-    counts = np.stack([np.bincount(laid.obs, gamma[:, s], CLASSES) for s in range(gamma.shape[1])], axis=1)
-    return np.concatenate([gamma[: laid.n[0]][first[laid.order]].sum(0), moves.ravel(), counts.ravel()])
+        lo, mid, hi = off[t], off[t + 1], off[t + 2]
+        e = emit[:, mid:hi]
+        e *= back[:, mid:hi]  # from here on emit holds emission times back over scale
+        np.matmul(move, e, out=back[:, lo : lo + hi - mid])
+    alpha_, begins = alpha, laid.n[0]
+    t = np.repeat(np.arange(1, len(laid.n)), laid.n[1:])
+    prev = np.arange(begins, emit.shape[1]) - (laid.off[t] - laid.off[t - 1]) if len(t) else t
+    moves = m.move * (alpha_[:, prev] @ emit[:, begins:].T)
+    gamma = alpha_ * back
+    counts = np.stack([np.bincount(laid.obs, g, CLASSES) for g in gamma], axis=1)
+    return np.concatenate([gamma[:, :begins][:, first[laid.order]].sum(1), moves.ravel(), counts.ravel()])
 
 
 def _summed(parts: DataFrame, fan: int = 64) -> np.ndarray | None:
@@ -253,7 +254,7 @@ def score(docs: DataFrame, train_flag: Column, held_out: Column, text_col: str =
     def run(rid, seq):
         seqs = [np.frombuffer(s, np.uint16) for s in seq]
         laid = _Laid(seqs)
-        _, scale = forward(model.value, laid, model.value.emit[laid.obs])
+        _, scale = forward(model.value, laid, model.value.emit.T[:, laid.obs])
         local = np.concatenate([np.arange(k) for k in laid.n])
         sums = np.bincount(local, np.log10(scale))
         out = np.empty(len(seqs))
