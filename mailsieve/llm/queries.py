@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontaminate, hmm_lm, quality_fm, rule_list, sharding, simhash_gph, suffix_dedup, token_hist
+from . import chat_windows, decontaminate, hmm_lm, piece_lattice, quality_fm, rule_list, sharding, simhash_gph, suffix_dedup, token_hist
 from .common import crc_mod, fold_flag, table
 
 
@@ -35,6 +35,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.encode(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "</s>[INST] ok [/INST]"
@@ -54,5 +58,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.suffix_sums(token_hist.histogram(token_hist.lengths(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_quality_rules, op4_hmm_language_model, op5_decontamination, op7_chat_formatting, op8_suffix_dedup, op9_simhash_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_quality_rules, op4_hmm_language_model, op5_decontamination, op6_sentencepiece, op7_chat_formatting, op8_suffix_dedup, op9_simhash_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
