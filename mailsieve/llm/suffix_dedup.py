@@ -50,7 +50,7 @@ CODES = np.random.default_rng(11).integers(1, 1 << 63, 256).astype(np.uint64) |
 @lru_cache(maxsize=4)
 def _tables(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """2^bits powers of an odd base, and of its inverse, modulo 2^64."""
-    return tuple(np.multiply.accumulate(np.concatenate([[1], np.full((1 << bits) - 1, b, np.uint64)]).astype(np.uint64)) for b in (BASE, pow(BASE, -1, 1 << 64)))
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full((1 << bits) - 1, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 1 << 64)))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
