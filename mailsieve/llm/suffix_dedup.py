@@ -306,11 +306,12 @@ def spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", split
     given = keyed(docs, text_col, id_col).select("did", "th", F.col(text_col).alias("t"))
     found = saved(scan(given))
     twice = found.groupBy("ha").agg(F.count("*").alias("m"), F.min("hi").alias("x"), F.max("hi").alias("y")).where("m > 1")
-    rows = saved(found.join(twice.select("ha", "m", (F.col("x") != F.col("y")).alias("mixed")), "ha"))
+    # written first, so that both sides of the join are plain shuffles, which Spark splits where an anchor is hot
+    rows = saved(found.join(saved(twice.select("ha", (F.col("x") != F.col("y")).alias("mixed"))), "ha"))
     mixed = rows.where("mixed").groupBy("ha", "hi").agg(F.count("*").alias("n"))
     kinds = saved(mixed)
     full = rows.where("not mixed").select("did", "th", "s1", "s2").unionAll(rows.where("mixed").join(kinds.where("n > 1").select("ha", "hi"), ["ha", "hi"], "left_semi").select("did", "th", "s1", "s2"))
-    buckets = kinds.groupBy("ha").agg(F.count("*").alias("k"))
+    buckets = saved(kinds.groupBy("ha").agg(F.count("*").alias("k")))
     known = kinds.join(buckets, "ha").select("ha", "hi", "k", (F.col("n") == 1).alias("alone"))
     bodies = scan_bytes(given, _filter_of(buckets)).groupBy("ha", "hi").agg(F.min(F.struct("did", "th", "s1", "d", "body")).alias("r"))
     ctx = bodies.join(known, ["ha", "hi"]).select("ha", "k", "alone", "r.*")
