@@ -25,8 +25,11 @@ def _digits(c: Column) -> Column:
 
 def _windows(digits: Column, width: int, test) -> Column:
     """Whether any window of ``width`` digits passes; ``test`` gets a function from place (0-based) to digit."""
-    starts = F.when(F.length(digits) >= width, F.sequence(F.lit(1), F.length(digits) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.exists(starts, lambda i: test(lambda k: F.substr(digits, i + k, F.lit(1)).cast("int")))
+    def within(d: Column) -> Column:
+        starts = F.when(F.length(d) >= width, F.sequence(F.lit(1), F.length(d) - width + 1)).otherwise(F.array().cast("array<int>"))
+        return F.exists(starts, lambda i: test(lambda k: F.substr(d, i + k, F.lit(1)).cast("int")))
+
+    return F.exists(F.array(digits), within)  # the array of one binds the digits, so they are taken once a row
 
 
 def personal_number(c: Column) -> Column:
@@ -51,7 +54,7 @@ def corporate_number(c: Column) -> Column:
 
 def payment_card(c: Column) -> Column:
     found = F.transform(F.regexp_extract_all(T.fold_digits(c), F.lit(CARD), 1), lambda m: F.regexp_replace(m, "[^0-9]", ""))
-    return F.exists(found, lambda m: F.length(m).between(15, 16) & F.luhn_check(m))
+    return F.exists(found, lambda m: F.length(m).between(15, 16) & F.call_function("luhn_check", m))
 
 
 def iban(c: Column) -> Column:
@@ -163,20 +166,51 @@ def verdicts(findings: DataFrame, key: str) -> DataFrame:
     )
 
 
-_C = lambda name: {"match": "classifier", "name": name}
+def _rule(id_: str, direction: str, priority: int, action: str, condition: dict | str) -> dict:
+    return {"id": id_, "direction": direction, "priority": priority, "action": action, "condition": {"match": "classifier", "name": condition} if isinstance(condition, str) else condition}
+
+
+# The default rules.
 DEFAULT_RULES = [
-    {"id": "out-01", "direction": "outbound", "action": "block", "priority": 10, "condition": _C("jp_personal_number")},
-    {"id": "out-02", "direction": "outbound", "action": "block", "priority": 20, "condition": _C("payment_card")},
-    {"id": "out-03", "direction": "outbound", "action": "warn", "priority": 30, "condition": {"or": [_C("iban"), _C("bank_code")]}},
-    {"id": "out-04", "direction": "outbound", "action": "warn", "priority": 40, "condition": _C("confidential")},
-    {"id": "out-05", "direction": "outbound", "action": "block", "priority": 50, "condition": {"and": [_C("source_code"), {"match": "sender", "domains": ["gmail.com"]}]}},
-    {"id": "out-06", "direction": "outbound", "action": "warn", "priority": 60, "condition": {"match": "size", "at_least": 52428800}},
-    {"id": "out-07", "direction": "outbound", "action": "warn", "priority": 70, "condition": _C("medical")},
-    {"id": "in-01", "direction": "inbound", "action": "warn", "priority": 10, "condition": {"match": "keywords", "words": ["urgent", "wire", "invoice"], "min": 2}},
-    {"id": "in-02", "direction": "inbound", "action": "block", "priority": 20, "condition": _C("us_ssn")},
+    _rule("default-001", "outbound", 10, "block", "jp_personal_number"),
+    _rule("default-002", "outbound", 10, "block", "payment_card"),
+    _rule("default-003", "outbound", 20, "warn", "confidential"),
+    _rule("default-004", "outbound", 30, "warn", {"match": "size", "at_least": 50 * 1024 * 1024}),
+    _rule("default-005", "outbound", 15, "block", {"and": [{"match": "classifier", "name": "source_code"}, {"match": "recipient_domain", "domains": ["gmail.com", "yahoo.co.jp", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com"]}]}),
+    _rule("default-006", "outbound", 10, "block", "us_ssn"),
+    _rule("default-007", "outbound", 10, "block", "medical"),
+    _rule("default-008", "outbound", 20, "warn", "privilege"),
+    _rule("default-009", "outbound", 20, "warn", "codename"),
+    _rule("default-010", "outbound", 20, "warn", "iban"),
+    _rule("default-011", "outbound", 20, "warn", "bank_code"),
+    _rule("default-in-001", "inbound", 20, "warn", "jp_personal_number"),
+    _rule("default-in-002", "inbound", 20, "warn", "payment_card"),
+    _rule("default-in-003", "inbound", 20, "warn", "confidential"),
+    _rule("default-in-004", "inbound", 20, "warn", "us_ssn"),
+    _rule("default-in-005", "inbound", 20, "warn", "medical"),
+    _rule("default-in-006", "inbound", 20, "warn", "privilege"),
+    _rule("default-in-007", "inbound", 20, "warn", "codename"),
+    _rule("default-in-008", "inbound", 20, "warn", "iban"),
+    _rule("default-in-009", "inbound", 20, "warn", "bank_code"),
 ]
 
 
+def excerpt(c: Column, word: str) -> Column:
+    """Text around the first hit of a keyword: 30 characters before to 50 after; else the first 80; ellipses where cut."""
+    at = F.locate(word, F.lower(c))
+    start = F.when(at > 0, F.greatest(F.lit(1), at - 30)).otherwise(F.lit(1))
+    end = F.when(at > 0, F.least(F.length(c), at - 1 + 50)).otherwise(F.least(F.length(c), F.lit(80)))
+    cut = F.substr(c, start, end - start + 1)
+    return F.when(F.length(c) <= 80, c).when(start == 1, F.concat(cut, F.lit("…"))).otherwise(F.concat(F.lit("…"), cut, F.lit("…")))
+
+
+def escalate(verdicts_: DataFrame, suspicious: DataFrame, key: str = "msg_id") -> DataFrame:
+    """Outbound verdicts of warn or more become block where a recipient looks misdirected; adds n_recipients."""
+    per = suspicious.groupBy(key).agg(F.count("*").alias("n_recipients"))
+    out = verdicts_.join(per, key, "left").withColumn("n_recipients", F.coalesce("n_recipients", F.lit(0)))
+    return out.withColumn("verdict", F.when((F.col("n_recipients") > 0) & F.col("verdict").isin("warn", "block"), "block").otherwise(F.col("verdict")))
+
+
 def data_matches(rows: DataFrame, tokens: DataFrame, key: str, text: str, salt: str, min_matches: int = 1) -> DataFrame:
     """Exact data match: distinct registered tokens in a text, by salted SHA-256; texts under the minimum drop out.
 
