@@ -37,8 +37,8 @@ from .common import _arrow_schema, map_batches, saved
 
 SPACE = "▁"
 COMMON = 4_000_000
-FLUSH = 400_000
-CACHE = 200_000
+FLUSH = 250_000
+CACHE = 120_000
 HOLE = 0xFFFF
 
 
@@ -206,8 +206,8 @@ def count_units(docs: DataFrame, model) -> DataFrame:
 
 
 def _transitions(edges: DataFrame, model) -> DataFrame:
-    """unit, size, n, edges: to every edge (e, s, pid), the pieces that may stand before it."""
-    schema = "unit string, n long, edges array<struct<e:int,s:int,pid:int,ok:array<int>>>"
+    """uid, edges: to every edge (e, s, pid), the pieces that may stand before it."""
+    schema = "uid long, edges array<struct<e:int,s:int,pid:int,ok:array<int>>>"
     arrow = _arrow_schema(edges.sparkSession, schema)
     inner = arrow.field("edges").type.value_type
 
@@ -216,8 +216,8 @@ def _transitions(edges: DataFrame, model) -> DataFrame:
         for batch in batches:
             col = batch.column("edges")
             offsets = np.asarray(col.offsets)
-            flat = col.values.slice(offsets[0], offsets[-1] - offsets[0])
-            e, s, pid = (np.asarray(flat.field(k)).astype(np.int64) for k in ("e", "s", "pid"))
+            flat = np.asarray(col.values)[offsets[0] : offsets[-1]].astype(np.int64)
+            e, s, pid = flat >> 40, flat >> 20 & 0xFFFFF, flat & 0xFFFFF
             size = np.diff(offsets)
             whose = np.repeat(np.arange(len(size)), size)
             stride = int(e.max()) + 2 if len(e) else 1
@@ -232,9 +232,9 @@ def _transitions(edges: DataFrame, model) -> DataFrame:
             ok = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(pid[before][good], pa.int32()))
             rows = pa.StructArray.from_arrays([pa.array(e, pa.int32()), pa.array(s, pa.int32()), pa.array(pid, pa.int32()), ok], fields=list(inner))
             out = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), rows)
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("n"), out.cast(arrow.field("edges").type)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), out.cast(arrow.field("edges").type)], schema=arrow)
 
-    return edges.select("unit", "n", "edges").mapInArrow(run, schema)
+    return edges.select("uid", "edges").mapInArrow(run, schema)
 
 
 FOLD = """
@@ -250,34 +250,50 @@ aggregate(sequence(1, size(best) - 1), named_struct('at', size(best) - 1, 'ids',
 
 
 def encode_units(distinct: DataFrame, model) -> DataFrame:
-    """unit, n, ids of distinct units (unit, n): substrings, equi-join, grouping and the fold."""
+    """unit, n, ids of distinct units (unit, n): substrings, equi-join, grouping and the fold.
+
+    Units are dealt out by number before they are exploded, so that the edges are grouped where they arise.
+    An edge is packed as end, start and piece in one long, which sorts by end, then start.
+    """
     spark, p = distinct.sparkSession, _loaded(model.value)
-    table = F.broadcast(spark.createDataFrame(list(p.ids.items()), "piece string, pid int"))  # the model's fixed size
-    spans = F.expr(f"""
-      flatten(transform(sequence(0, char_length(unit) - 1), s ->
-        transform(sequence(1, least({p.longest}, char_length(unit) - s)), l -> named_struct('s', s, 'e', s + l, 'piece', substring(unit, s + 1, l)))))""")
-    edges = distinct.select("unit", "n", F.explode(spans).alias("x")).select("unit", "n", "x.*").join(table, "piece")
-    grouped = edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("e", "s", "pid"))).alias("edges"))
-    folded = _transitions(grouped, model).withColumn("best", F.expr(FOLD)).select("unit", "n", F.expr(WALK).alias("ids"))
-    return folded
+    table = F.broadcast(spark.createDataFrame(list(p.ids.items()), "piece string, pid long"))  # the model's fixed size
+    numbered = saved(distinct.withColumn("uid", F.monotonically_increasing_id()))  # written, so numbers are fixed
+    starts = numbered.repartition("uid").select("uid", "unit", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("s"))
+    cuts = starts.select("uid", "unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(p.longest), F.char_length("unit") - F.col("s")))).alias("l"))
+    edges = cuts.select("uid", F.substr("unit", F.col("s") + 1, F.col("l")).alias("piece"), (F.shiftleft((F.col("s") + F.col("l")).cast("long"), 40) + F.shiftleft(F.col("s").cast("long"), 20)).alias("at"))
+    grouped = edges.join(table, "piece").select("uid", (F.col("at") + F.col("pid")).alias("edge")).groupBy("uid").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    folded = _transitions(grouped, model).withColumn("best", F.expr(FOLD)).select("uid", F.expr(WALK).alias("ids"))
+    return numbered.join(folded, "uid").select("unit", "n", "ids")
 
 
 @dataclass
 class Known:
-    """Frequent units: sorted hashes with checks, and their ids laid end to end."""
+    """Frequent units: sorted hashes with checks, and where their ids lie in one long array."""
 
     hashes: np.ndarray
     checks: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
     flat: np.ndarray
 
     @staticmethod
-    def of(names: list[str], ends: np.ndarray, flat: np.ndarray) -> Known:
-        h = np.array([xxhash.xxh3_64_intdigest(u) for u in names], np.uint64)
-        c = np.array([xxhash.xxh32_intdigest(u) for u in names], np.uint32)
-        order, n = np.argsort(h), np.diff(ends)
-        at = np.repeat(ends[:-1][order] - np.cumsum(n[order]) + n[order], n[order]) + np.arange(len(flat))
-        return Known(h[order], c[order], n[order].astype(np.uint16), flat[at].astype(np.uint16))
+    def of(coded: DataFrame) -> Known:
+        """Hashed by the tasks; the driver receives some 20 bytes a unit, block by block."""
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names, ids = batch.column("unit").to_pylist(), batch.column("ids")
+                ends = np.asarray(ids.offsets)
+                arrays = (np.array([xxhash.xxh3_64_intdigest(u) for u in names], np.uint64), np.array([xxhash.xxh32_intdigest(u) for u in names], np.uint32), np.diff(ends).astype(np.uint16), np.asarray(ids.values)[ends[0] : ends[-1]].astype(np.uint16))
+                yield pa.RecordBatch.from_pydict({k: pa.array([a.tobytes()], pa.binary()) for k, a in zip("hcnf", arrays, strict=True)})
+
+        blocks = [(r["h"], r["c"], r["n"], r["f"]) for r in coded.select("unit", "ids").mapInArrow(pack, "h binary, c binary, n binary, f binary").toLocalIterator()]
+        h, c, n, f = (np.frombuffer(b"".join(b[k] for b in blocks), t) for k, t in enumerate((np.uint64, np.uint32, np.uint16, np.uint16)))
+        del blocks
+        starts = np.zeros(len(n), np.uint32)
+        np.cumsum(n[:-1], dtype=np.uint32, out=starts[1:])
+        order = np.argsort(h)
+        return Known(h[order], c[order], starts[order], n[order], f)
 
     def find(self, names: list[str]) -> list[bytes | None]:
         if not len(self.hashes) or not names:
@@ -285,19 +301,8 @@ class Known:
         h = np.array([xxhash.xxh3_64_intdigest(u) for u in names], np.uint64)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         hit = (self.hashes[at] == h) & (self.checks[at] == np.array([xxhash.xxh32_intdigest(u) for u in names], np.uint32))
-        ends = _ends(self)
-        return [self.flat[a:b].tobytes() if y else None for a, b, y in zip(ends[at].tolist(), ends[at + 1].tolist(), hit.tolist(), strict=True)]
-
-
-_offsets: dict[int, np.ndarray] = {}
-
-
-def _ends(k: Known) -> np.ndarray:
-    got = _offsets.get(id(k))
-    if got is None:
-        _offsets.clear()
-        got = _offsets[id(k)] = np.concatenate([[0], np.cumsum(k.lengths, dtype=np.int64)])
-    return got
+        first = self.starts[at].astype(np.int64)
+        return [self.flat[a:b].tobytes() if y else None for a, b, y in zip(first.tolist(), (first + self.lengths[at]).tolist(), hit.tolist(), strict=True)]
 
 
 class Coder:
@@ -305,30 +310,43 @@ class Coder:
 
     def __init__(self, p: Pieces, known: Known):
         self.p, self.known = p, known
-        self.words: dict[str, tuple[bytes, tuple[str, ...]]] = {}
+        self.words: dict[str, bytes] = {}
+        self.rare: dict[str, tuple[str, ...]] = {}
+        self.wrong: set[str] = set()
 
-    def code(self, groups: list[list[str]]) -> list[tuple[bytes, tuple[str, ...]]]:
+    def code(self, groups: list[list[str]]) -> Iterator[tuple[bytes, tuple[str, ...], bool]]:
+        """Stream, holes, and whether decoding gives the group back, of every group of units."""
         names = list({u for g in groups for u in g})
         ids, hole = dict(zip(names, self.known.find(names), strict=True)), np.uint16(HOLE).tobytes()
+        right = {}
         for u, got in ids.items():
             if got is None and len(u) == 1 and u not in self.p.ids:
-                ids[u] = np.array([self.p.bytes_[b] for b in u.encode("utf-8", "surrogatepass")], np.uint16).tobytes()
-        return [(b"".join([hole if ids[u] is None else ids[u] for u in g]), tuple(u for u in g if ids[u] is None)) for g in groups]
+                got = ids[u] = np.array([self.p.bytes_[b] for b in u.encode("utf-8", "surrogatepass")], np.uint16).tobytes()
+            right[u] = got is None or spell(np.frombuffer(got, np.uint16).tolist(), self.p) == u.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        for g in groups:
+            yield b"".join([hole if ids[u] is None else ids[u] for u in g]), tuple(u for u in g if ids[u] is None), all(right[u] for u in g)
 
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[str]]]:
-        """The stream of every text, and its holes in order."""
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[str], bool]]:
+        """The stream of every text, its holes in order, and whether its known units decode to the text."""
         split = [plain_words(t) if t else [] for t in texts]
-        need = {w for s in split if s for w in s}
         if len(self.words) > CACHE:
             self.words.clear()
-        fresh = [w for w in need if w not in self.words]
-        self.words.update(zip(fresh, self.code(units_of_words(fresh, self.p)), strict=True))
-        got = self.words
+            self.rare.clear()
+            self.wrong.clear()
+        fresh = list(set().union(*(s for s in split if s)).difference(self.words))
+        for w, (stream, rare, right) in zip(fresh, self.code(units_of_words(fresh, self.p)), strict=True):
+            self.words[w] = stream
+            if rare:
+                self.rare[w] = rare
+            if not right:
+                self.wrong.add(w)
         for t, s in zip(texts, split, strict=True):
             if s is None:
-                yield self.code([units(t, self.p)])[0]
+                stream, rare, right = next(self.code([units(t, self.p)]))
+                yield stream, list(rare), right and SPACE not in t
             else:
-                yield b"".join([got[w][0] for w in s]), [u for w in s if got[w][1] for u in got[w][1]]
+                rare = [u for w in s if w in self.rare for u in self.rare[w]] if self.rare else []
+                yield b"".join(map(self.words.__getitem__, s)), rare, not (self.wrong and self.wrong.intersection(s)) and not (t and SPACE in t)
 
 
 _coders: dict[int, Coder] = {}
@@ -353,10 +371,32 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
     coded = saved(encode_units(count_units(given, model), model))
-    top = (coded if coded.count() <= common else coded.orderBy(F.desc("n"), "unit").limit(common)).select("unit", "ids").toArrow()
-    lists = top.column("ids").combine_chunks()
-    known = spark.sparkContext.broadcast(Known.of(top.column("unit").to_pylist(), np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values)))
-    everything = len(top) < common or coded.count() == len(top)
+    n_units = coded.count()
+    everything = n_units <= common
+    known = spark.sparkContext.broadcast(Known.of(coded if everything else coded.orderBy(F.desc("n"), "unit").limit(common)))
+    schema = f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean"
+
+    def lists(streams: list[np.ndarray]) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *streams]).astype(np.int32)))
+
+    def whole(doc_id, t):
+        got = list(_coder(model, known).texts(t))
+        streams = [np.frombuffer(s, np.uint16) for s, _, _ in got]
+        return {"doc_id": doc_id, "n_tokens": [len(s) for s in streams], "ids": lists(streams), "round_trip": [r for _, _, r in got]}
+
+    if everything:
+        return map_batches(given.select("doc_id", "t"), whole, schema, at_most=256)
+
+    def streams(doc_id, th, t):
+        return {"doc_id": doc_id, "th": th, "stream": [s for s, _, _ in _coder(model, known).texts(t)]}
+
+    def holes(doc_id, th, t):
+        out = {"doc_id": [], "th": [], "k": [], "unit": []}
+        for i, h, (_, rare, _) in zip(doc_id, th, _coder(model, known).texts(t), strict=True):
+            for name, v in (("doc_id", [i] * len(rare)), ("th", [h] * len(rare)), ("k", range(len(rare))), ("unit", rare)):
+                out[name] += v
+        return out
 
     def finish(doc_id, th, stream, parts):
         p, ids, same = _loaded(model.value), [], []
@@ -368,32 +408,20 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
                 a = np.concatenate([cuts[0], *(z for piece, c in zip(pieces, cuts[1:], strict=True) for z in (piece, c[1:]))])
             ids.append(a)
             same.append(xxhash.xxh64_intdigest(decode(a.tolist(), p).encode("utf-8", "surrogatepass"), 42) == h % (1 << 64))
-        return {"doc_id": doc_id, "n_tokens": [len(a) for a in ids], "ids": ids, "round_trip": same}
+        return {"doc_id": doc_id, "n_tokens": [len(a) for a in ids], "ids": lists(ids), "round_trip": same}
 
-    schema = f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean"
-    streams_of = lambda t: [s for s, _ in _coder(model, known).texts(t)]
-    if everything:
-        return map_batches(given, lambda i, h, t: finish(i, h, streams_of(t), [None] * len(t)), schema, at_most=512)
-
-    def holes(doc_id, th, t):
-        out = {"doc_id": [], "th": [], "k": [], "unit": []}
-        for i, h, (_, rare) in zip(doc_id, th, _coder(model, known).texts(t), strict=True):
-            for name, v in (("doc_id", [i] * len(rare)), ("th", [h] * len(rare)), ("k", range(len(rare))), ("unit", rare)):
-                out[name] += v
-        return out
-
-    main = map_batches(given, lambda i, h, t: {"doc_id": i, "th": h, "stream": streams_of(t)}, f"doc_id {kind}, th long, stream binary", at_most=512)
-    rare = map_batches(given, holes, f"doc_id {kind}, th long, k int, unit string", at_most=512)
+    main = map_batches(given, streams, f"doc_id {kind}, th long, stream binary", at_most=256)
+    rare = map_batches(given, holes, f"doc_id {kind}, th long, k int, unit string", at_most=256)
     filled = rare.join(coded.select("unit", "ids"), "unit").groupBy(F.col("doc_id").alias("i"), F.col("th").alias("h")).agg(F.collect_set(F.struct("k", "ids")).alias("parts"))
     joined = main.join(filled, main["doc_id"].eqNullSafe(filled["i"]) & main["th"].eqNullSafe(filled["h"]), "left").select("doc_id", "th", "stream", "parts")
-    return map_batches(joined, finish, schema, at_most=512)
+    return map_batches(joined, finish, schema, at_most=256)
 
 
 _spelt: dict[int, list[bytes]] = {}
 
 
-def decode(ids: list[int], p: Pieces) -> str:
-    """Text of a sequence of ids: pieces and bytes joined, marks to spaces, the leading mark dropped."""
+def spell(ids: list[int], p: Pieces) -> bytes:
+    """Bytes of a sequence of ids: pieces with marks as spaces, and byte pieces."""
     spelt = _spelt.get(id(p))
     if spelt is None:
         spelt = [b""] * (max(*p.ids.values(), *p.bytes_.values()) + 1)
@@ -403,5 +431,10 @@ def decode(ids: list[int], p: Pieces) -> str:
             spelt[i] = bytes([b])
         _spelt.clear()
         _spelt[id(p)] = spelt
-    text = b"".join([spelt[i] for i in ids]).decode("utf-8", "replace")
+    return b"".join([spelt[i] for i in ids])
+
+
+def decode(ids: list[int], p: Pieces) -> str:
+    """Text of a sequence of ids; the leading mark is dropped."""
+    text = spell(ids, p).decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
