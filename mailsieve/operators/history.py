@@ -1,6 +1,230 @@
-"""stub"""
+"""Operators across messages: history, threads, signatures, campaigns, style and trust."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-STOP = "the a an is are was were be been and or of to in for on at by this that it its with from have has will please your our we you i".split()
-def tokens(c):
+
+from ..functions import lexicons as lx
+from ..functions import text as T
+
+# --- Fixed values -----------------------------------------------------------------------------------------
+STOP_WORDS = "the a an is are was were be been and or of to in for on at by this that it its with from have has will please your our we you i".split()
+THREAD_KEYWORDS = [
+    "wire transfer", "bank transfer", "urgent payment", "send money", "bitcoin", "cryptocurrency", "wallet address", "gift card", "invoice attached", "overdue payment", "immediate action",
+    "至急", "緊急", "送金", "振込", "口座番号", "ビットコイン", "仮想通貨", "暗号資産", "プレゼントカード",
+]
+ACCOUNT_KEYWORDS = [
+    "口座変更", "振込先変更", "振込先が変更", "口座が変わりました", "新しい口座", "新口座", "振込先を変更", "口座番号変更", "支払先変更", "送金先変更",
+    "account change", "new account", "updated account", "wire transfer details have changed", "banking details updated", "remittance information has been updated",
+]
+SPOOF_FREE_MAIL = ["gmail.com", "yahoo.com", "yahoo.co.jp", "hotmail.com", "outlook.com", "live.com", "icloud.com", "protonmail.com", "yandex.com", "aol.com"]
+IDLE_SECONDS = 30 * 86400
+# ----------------------------------------------------------------------------------------------------------
+
+
+def tokens(c: Column) -> Column:
+    """ASCII words of two letters or more, without stop words, and every CJK character."""
     words = F.transform(F.regexp_extract_all(c, F.lit(r"([A-Za-z]+|[\x{3000}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}])"), 1), lambda w: F.lower(w))
-    return F.filter(words, lambda w: ~w.isin(STOP) & ((F.octet_length(w) >= 3) | F.rlike(w, F.lit("^[a-z]{2}$"))))
+    return F.filter(words, lambda w: ~w.isin(STOP_WORDS) & (F.octet_length(w) >= 2))
+
+
+def before(keys: list[str], order: list[str]):
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def sender_profiles(m: DataFrame, keys: list[str], ts: str, topic: str, name: str, tie: str) -> DataFrame:
+    """Per sender: count, first and last seen, newest topic and display name that are not null. Aggregates on the map side."""
+    at = F.struct(ts, tie)
+    return m.groupBy(*keys).agg(
+        F.count("*").alias("message_count"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"),
+        F.max_by(topic, F.when(F.col(topic).isNotNull(), at)).alias("topic"), F.max_by(name, F.when(F.col(name).isNotNull(), at)).alias("display_name"),
+    )
+
+
+def first_contacts(m: DataFrame, key: str, order: list[str], subject: str = "subject") -> DataFrame:
+    """The first message of every sender, and whether its subject is high risk."""
+    first = m.groupBy(key).agg(F.min(F.struct(*order)).alias("f"))
+    forms = T.both_forms(F.col(subject))
+    return m.join(first.select(key, *(F.col(f"f.{o}").alias(o) for o in order)), [key, *order]).withColumn("high_risk", T.any_of(forms, lx.HIGH_RISK_SUBJECTS))
+
+
+def topic_drift(m: DataFrame, id_: str, text: str, typical: str, least: float = 0.15) -> DataFrame:
+    """id, similarity, drift: cosine of term frequencies; no drift where either text has no token."""
+    tf = lambda c, name: m.select(id_, F.explode(tokens(F.col(c))).alias("t")).groupBy(id_, "t").agg(F.count("*").alias(name))
+    a, b = tf(text, "x"), tf(typical, "y")
+    both = a.join(b, [id_, "t"], "full").groupBy(id_).agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    sim = F.coalesce("dot", F.lit(0)) / F.sqrt(F.col("xx") * F.col("yy"))
+    return both.where("xx > 0 AND yy > 0").select(id_, sim.alias("similarity"), (sim < least).alias("drift"))
+
+
+def thread_hijack(m: DataFrame) -> DataFrame:
+    """Adds the thread signals of messages (thread_id, ts, msg_id, in_reply_to, subject, body, domain) and their score."""
+    from .content import language
+
+    prior = before(["thread_id"], ["ts", "msg_id"])
+    reply = F.rlike(F.lower("subject"), F.lit("^re[:：]"))
+    known = m.select(F.lower("message_id").alias("__known")).where("__known IS NOT NULL").distinct()
+    out = m.join(known, F.lower(F.trim("in_reply_to")) == F.col("__known"), "left")
+    out = out.withColumns({"__domains": F.collect_set("domain").over(prior), "__lang": language(F.col("body"))}).withColumns({"__prior_lang": F.lag("__lang").over(Window.partitionBy("thread_id").orderBy("ts", "msg_id")), "__prior_subject": F.lag("subject").over(Window.partitionBy("thread_id").orderBy("ts", "msg_id"))})
+    has_parent = F.trim(F.coalesce("in_reply_to", F.lit(""))) != ""
+    signals = {
+        "unknown_parent": (has_parent & F.col("__known").isNull(), 0.30),
+        "reply_without_parent": (reply & F.col("in_reply_to").isNull(), 0.25),
+        "domain_changed": ((F.size("__domains") > 0) & ~F.array_contains("__domains", F.col("domain")), 0.35),
+        "language_shift": ((F.col("__prior_lang") != F.col("__lang")) & (F.col("__lang") != "other"), 0.20),
+        "high_risk_topic": ((reply | F.col("in_reply_to").isNotNull()) & T.any_of(F.lower("body"), THREAD_KEYWORDS), 0.25),
+        "subject_changed": (reply & F.col("__prior_subject").isNotNull() & (T.word_similarity(T.strip_reply(F.col("subject")), T.strip_reply(F.col("__prior_subject"))) < 0.30), 0.15),
+    }
+    out = out.withColumns({k: F.coalesce(c, F.lit(False)) for k, (c, _) in signals.items()})
+    score = sum((F.when(F.col(k), w).otherwise(0.0) for k, (_, w) in signals.items()), F.lit(0.0))
+    return out.withColumn("hijack_score", F.least(F.lit(1.0), score)).drop("__known", "__domains", "__lang", "__prior_lang", "__prior_subject")
+
+
+def accounts(c: Column) -> Column:
+    """Account numbers of a text: runs of 7 or 8 digits, and 4-3 groups."""
+    c = T.fold_digits(c)
+    runs = F.regexp_extract_all(c, F.lit(r"(?<![0-9])([0-9]{7,8})(?![0-9])"), 1)
+    groups = F.transform(F.regexp_extract_all(c, F.lit(r"(?<![0-9])([0-9]{4}[- 　][0-9]{3})(?![0-9])"), 1), lambda g: F.regexp_replace(g, "[^0-9]", ""))
+    return F.array_distinct(F.concat(runs, groups))
+
+
+def account_changes(m: DataFrame) -> DataFrame:
+    """msg_id, new_accounts, removed_accounts, keyword, risk against the thread's earlier messages.
+
+    Accounts, not bodies, go through the window, so what a thread gathers is its few account numbers.
+    """
+    a = m.select("thread_id", "ts", "msg_id", accounts(F.col("body")).alias("now"), T.any_of(F.lower("body"), ACCOUNT_KEYWORDS).alias("keyword"))
+    w = before(["thread_id"], ["ts", "msg_id"])
+    a = a.withColumn("past", F.array_distinct(F.flatten(F.collect_list("now").over(w))))
+    a = a.withColumn("new_accounts", F.array_sort(F.array_except("now", "past"))).withColumn("removed_accounts", F.array_sort(F.array_except("past", "now")))
+    fresh = F.size("new_accounts") > 0
+    risk = F.when((F.size("past") > 0) & fresh, 0.5).otherwise(0.0) + F.when(F.col("keyword"), 0.3).otherwise(0.0) + F.when((F.size("removed_accounts") > 0) & fresh, 0.2).otherwise(0.0)
+    return a.select("msg_id", "new_accounts", "removed_accounts", "keyword", F.least(F.lit(1.0), risk).alias("risk"))
+
+
+def signature_tags(header: Column) -> dict[str, Column]:
+    """d, s, the first 32 characters of b, and whether a length tag limits the signature; of repeats, the last wins."""
+    tag = lambda k: F.nullif(F.trim(F.regexp_extract(header, rf"(?s)^(?:.*;)?\s*{k}\s*=([^;]*)", 1)), F.lit(""))
+    return {"d": F.lower(tag("d")), "s": tag("s"), "b32": F.substring(F.regexp_replace(tag("b"), r"\s", ""), 1, 32), "has_length": tag("l").isNotNull()}
+
+
+def signature_replays(m: DataFrame) -> DataFrame:
+    """Adds seen: how often this (d, b) came up to and with this row; a missing key counts once."""
+    w = Window.partitionBy("d", "b32").orderBy("ts", "msg_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return m.withColumn("seen", F.when(F.col("d").isNull() | F.col("b32").isNull(), F.lit(1).cast("long")).otherwise(F.count("*").over(w)))
+
+
+def reply_spoof(m: DataFrame, contacts: DataFrame, with_nameless: bool = False) -> DataFrame:
+    """msg_id, mismatch, impersonation, risk: Reply-To at another domain, and a known contact's name at another domain.
+
+    The distinct display names are matched, not the messages: names are few beside them. A name that holds
+    another's whole is found by joining on its words, so names are not paired with all contacts.
+    """
+    from .links import fold_homoglyphs
+
+    m = m.withColumn("__domain", T.address_domain(F.col("from_addr"))).withColumn("__name", F.trim(fold_homoglyphs(T.display_name(F.col("from_addr")))))
+    names = m.select("__name", "__domain").where("__name <> ''").distinct()
+    known = contacts.select(F.trim(fold_homoglyphs(F.col("name"))).alias("k"), F.lower(F.trim("domain")).alias("kd"))
+    nameless = known.where("coalesce(k, '') = ''").select("kd").distinct()
+    known = known.where("k <> ''").distinct()
+    word = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), 1)))
+    pairs = names.withColumn("w", word(F.col("__name"))).join(known.withColumn("w", word(F.col("k"))), "w").where((F.col("kd") != F.col("__domain")) & (F.contains("__name", F.col("k")) | F.contains("k", F.col("__name"))))
+    hit = pairs.select("__name", "__domain").distinct()
+    if with_nameless:
+        hit = hit.union(names.join(nameless, F.col("kd") != F.col("__domain"), "left_semi").select("__name", "__domain")).distinct()
+    out = m.join(hit.withColumn("__hit", F.lit(True)), ["__name", "__domain"], "left")
+    rd = T.address_domain(F.col("reply_to"))
+    mismatch = F.coalesce(rd != F.col("__domain"), F.lit(False))
+    impersonation = F.coalesce("__hit", F.lit(False))
+    risk = F.when(mismatch, F.when(rd.isin(SPOOF_FREE_MAIL), 0.7).otherwise(0.5)).otherwise(0.0) + F.when(impersonation, 0.3).otherwise(0.0)
+    return out.select("msg_id", mismatch.alias("mismatch"), impersonation.alias("impersonation"), F.least(F.lit(1.0), risk).alias("risk"))
+
+
+def platform_familiarity(links: DataFrame) -> DataFrame:
+    """Adds prior (earlier links of this sender to this platform) and familiar (five or more)."""
+    return links.withColumn("prior", F.count("*").over(before(["sender", "platform"], ["ts", "msg_id"]))).withColumn("familiar", F.col("prior") >= 5)
+
+
+def subject_bucket(subject: Column) -> Column:
+    n = F.length(subject)
+    return F.when(n <= 10, "veryshort").when(n <= 30, "short").when(n <= 60, "medium").when(n <= 100, "long").otherwise("verylong")
+
+
+def _sessions(df: DataFrame, key: str) -> DataFrame:
+    w = Window.partitionBy(key).orderBy("ts_s", "msg_id")
+    gap = F.coalesce((F.col("ts_s") - F.lag("ts_s").over(w) > IDLE_SECONDS).cast("int"), F.lit(0))
+    return df.withColumn("__gap", gap).withColumn("session", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
+
+
+def campaigns(m: DataFrame) -> DataFrame:
+    """group_key, session, n, threat_score, alertable over messages (msg_id, ts_s, domain, subject, auth_fail).
+
+    Rows repeat by id once. A message that fails authentication joins the pattern group of its subject length;
+    it joins its domain's group too, unless the pattern group then holds three or more. Groups idle for 30
+    days begin anew.
+    """
+    one = m.groupBy("msg_id").agg(F.min(F.struct("ts_s", "domain", "subject", "auth_fail")).alias("r")).select("msg_id", "r.*")
+    failed = _sessions(one.where("auth_fail").withColumn("group_key", F.concat(F.lit("pattern:auth_fail:subject_"), subject_bucket(F.col("subject")))), "group_key")
+    failed = failed.withColumn("k", F.row_number().over(Window.partitionBy("group_key", "session").orderBy("ts_s", "msg_id")))
+    by_domain = one.where("NOT auth_fail").select("msg_id", "ts_s", "domain").union(failed.where("k <= 2").select("msg_id", "ts_s", "domain"))
+    by_domain = _sessions(by_domain.withColumn("group_key", F.concat(F.lit("unknown:"), F.coalesce("domain", F.lit("")))), "group_key")
+    groups = failed.select("group_key", "session", "ts_s").union(by_domain.select("group_key", "session", "ts_s")).groupBy("group_key", "session").agg(F.count("*").alias("n"), F.min("ts_s").alias("first_ts"), F.max("ts_s").alias("last_ts"))
+    return groups.withColumn("threat_score", F.when(F.col("n") == 1, 0.3).otherwise(F.least(F.lit(1.0), 0.3 + 0.1 * F.col("n")))).withColumn("alertable", F.col("n") >= 3)
+
+
+def style_profiles(samples: DataFrame) -> DataFrame:
+    """Adds the sender's profile before each sample: n, running means, and the weight of the sample's hour.
+
+    An hour's weight is an ordered fold: a hit moves it to 1 by 1/(n+1), a miss towards 0 by a tenth of that.
+    """
+    w = before(["sender"], ["ts_s", "msg_id"])
+    means = {f"avg_{c}": F.avg(c).over(w) for c in ("chars", "chars_per_sentence", "punctuation_density", "formality")}
+    out = samples.withColumns({"n": F.count("*").over(w), "__hours": F.collect_list("hour").over(w)} | means)
+    state = F.struct(F.lit(0.0).alias("p"), F.lit(0).alias("i"))
+
+    def step(a, h):
+        alpha = 1.0 / (a["i"] + 1)
+        return F.struct(F.when(h == F.col("hour"), a["p"] * (1 - alpha) + alpha).otherwise(a["p"] * (1 - alpha * 0.1)).alias("p"), (a["i"] + 1).alias("i"))
+
+    return out.withColumn("hour_weight", F.aggregate("__hours", state, step, lambda a: a["p"])).drop("__hours")
+
+
+def style_warnings(profiled: DataFrame, financial: Column | None = None) -> DataFrame:
+    """Adds distance and warning; a financial request raises the warning one level."""
+    c = F.col
+    ratio = lambda a, b: F.when(c(b) > 0, F.least(F.lit(1.0), F.abs(c(a) / c(b) - 1))).otherwise(0.0)
+    d = 0.25 * (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), c("hour_weight")))) + 0.25 * F.least(F.lit(1.0), F.abs(c("avg_formality") - c("formality"))) + 0.20 * ratio("chars_per_sentence", "avg_chars_per_sentence")
+    d = d + 0.15 * ratio("chars", "avg_chars") + 0.15 * F.least(F.lit(1.0), F.abs(c("avg_punctuation_density") - c("punctuation_density")))
+    out = profiled.withColumn("distance", F.when(c("n") < 10, 0.0).otherwise(d))
+    level = F.when(c("distance") >= 0.75, 3).when(c("distance") >= 0.60, 2).when(c("distance") >= 0.40, 1).otherwise(0)
+    if financial is not None:
+        level = F.least(F.lit(3), level + financial.cast("int"))
+    return out.withColumn("warning", F.when(c("n") < 10, "insufficient_data").otherwise(F.get(F.array(*[F.lit(x) for x in ("none", "low", "medium", "high")]), level)))
+
+
+def trusted_memory(entries: DataFrame, now_s: int, most: int = 1000) -> DataFrame:
+    """Entries whose trust, halved every 30 days, is still 0.5 or more; highest first, a stated number at most."""
+    effective = F.col("trust_score") * F.pow(F.lit(0.5), F.greatest(F.lit(0), F.lit(now_s) - F.col("created_s")) / (30 * 86400.0))
+    return entries.withColumn("effective", effective).where((F.col("effective") >= 0.5) & (F.octet_length("id") <= 1024)).orderBy(F.desc("effective"), "id").limit(most)
+
+
+def chain_hash(columns: list[str]) -> Column:
+    """SHA-256 over text columns with a NUL between them."""
+    parts: list[Column] = []
+    for c in columns:
+        parts += [F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"), F.lit(b"\x00")]
+    return F.sha2(F.concat(*parts[:-1]), 256)
+
+
+def broken_links(log: DataFrame, columns: list[str]) -> DataFrame:
+    """seq of rows of an audit chain whose hash or link to the row before is wrong.
+
+    Every row meets its predecessor by a join on seq - 1 and not by one ordered window, so no task sees the
+    whole chain; a gap in the sequence counts as a broken link.
+    """
+    prev = log.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("__prev"))
+    first = log.agg(F.min("seq").alias("__first"))
+    out = log.join(prev, "seq", "left").join(F.broadcast(first))
+    bad_link = F.when(F.col("seq") == F.col("__first"), F.lit(False)).otherwise(~F.col("prev_hash").eqNullSafe(F.col("__prev")))
+    return out.where(bad_link | (F.col("hash") != chain_hash(columns))).select("seq")

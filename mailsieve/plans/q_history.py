@@ -1 +1,183 @@
-""""""
+"""Queries across messages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import lexicons as lx
+from ..functions import text as T
+from ..operators import content as C
+from ..operators import history as H
+from . import oracle as O
+from .catalog import query
+from .views import messages, read
+
+D = f"{O.M}, d AS (SELECT *, {O.domain('from_addr')} AS domain FROM m)"
+
+
+def _with_domain(spark, sf_dir):
+    return messages(spark, sf_dir).withColumn("domain", T.address_domain(F.col("from_addr")))
+
+
+@query("SELECT user_id AS sender, count(*) AS message_count, min(ts) AS first_seen, max(ts) AS last_seen, arg_max(CASE WHEN event_type <> 'view' THEN event_type END, (ts, event_id)) AS topic FROM events GROUP BY user_id")
+def g1_sender_profiles(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("sender"), "ts", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("topic"), F.lit(None).cast("string").alias("name"))
+    return H.sender_profiles(e, ["sender"], "ts", "topic", "name", "event_id").drop("display_name")
+
+
+@query(f"WITH {O.normed('msg_id, from_addr')}, f AS (SELECT from_addr, min(msg_id) AS msg_id FROM n GROUP BY from_addr) SELECT f.msg_id, {O.any_of(['s1', 's2'], lx.HIGH_RISK_SUBJECTS)} AS high_risk FROM n JOIN f ON n.msg_id = f.msg_id")
+def g2_first_contacts(spark, sf_dir):
+    return H.first_contacts(messages(spark, sf_dir), "from_addr", ["ts_s", "msg_id"]).select("msg_id", "high_risk")
+
+
+_TOK = "list_filter(list_transform(regexp_extract_all({}, '[A-Za-z]+'), lambda w: lower(w)), lambda w: length(w) >= 2 AND NOT list_contains(" + O.array(H.STOP_WORDS) + ", w))"
+
+
+@query(
+    f"""WITH {O.M}, l AS (SELECT msg_id, subject, lag(subject) OVER w AS typical, row_number() OVER w - 1 AS n FROM m WINDOW w AS (PARTITION BY from_addr ORDER BY msg_id)), x AS (SELECT msg_id, t, count(*) AS x FROM (SELECT msg_id, unnest({_TOK.format('subject')}) AS t FROM l WHERE n >= 5) GROUP BY ALL),
+    y AS (SELECT msg_id, t, count(*) AS y FROM (SELECT msg_id, unnest({_TOK.format('typical')}) AS t FROM l WHERE n >= 5) GROUP BY ALL), s AS (SELECT msg_id, sum(x * y) AS dot, sum(x * x) AS xx, sum(y * y) AS yy FROM x FULL JOIN y USING (msg_id, t) GROUP BY msg_id)
+    SELECT msg_id, round(coalesce(dot, 0) / sqrt(CAST(xx AS DOUBLE) * yy), 6) AS similarity, coalesce(dot, 0) / sqrt(CAST(xx AS DOUBLE) * yy) < 0.15 AS drift FROM s WHERE xx > 0 AND yy > 0"""
+)
+def g3_topic_drift(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("from_addr").orderBy("msg_id")
+    m = messages(spark, sf_dir).select("msg_id", "subject", F.lag("subject").over(w).alias("typical"), (F.row_number().over(w) - 1).alias("n")).where("n >= 5")
+    out = H.topic_drift(m, "msg_id", "subject", "typical")
+    return out.select("msg_id", F.round("similarity", 6).alias("similarity"), "drift")
+
+
+_REPLY = "CASE msg_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'm' || (msg_id - 1) ELSE 'unknown' || msg_id END"
+_LANG = "CASE WHEN length(regexp_replace(body, '[^A-Za-z]', '', 'g')) / length(body) > 0.40 THEN 'english' ELSE 'other' END"
+_W = lambda c: f"list_distinct(list_filter(string_split_regex(lower(regexp_replace({c}, '^\\s*([rR][eE])\\s*:\\s*', '')), '\\s+'), lambda w: strlen(w) > 1))"
+
+
+@query(
+    f"""WITH {D}, t AS (SELECT *, {_REPLY} AS parent, {_LANG} AS lang, starts_with(lower(subject), 're:') AS re FROM d), p AS (SELECT *, list(domain) OVER q AS ds, lag(lang) OVER r AS pl, lag(subject) OVER r AS ps FROM t
+      WINDOW q AS (PARTITION BY thread_id ORDER BY ts_s, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (PARTITION BY thread_id ORDER BY ts_s, msg_id)),
+    f AS (SELECT msg_id, starts_with(coalesce(parent, ''), 'unknown') AS a, re AND parent IS NULL AS b, coalesce(len(ds) > 0 AND NOT list_contains(ds, domain), false) AS c, coalesce(pl <> lang AND lang <> 'other', false) AS l, (re OR parent IS NOT NULL) AND {O.any_of('lower(body)', H.THREAD_KEYWORDS)} AS h,
+      re AND ps IS NOT NULL AND CASE WHEN len({_W('subject')}) + len({_W('ps')}) = 0 THEN 1.0 ELSE len(list_intersect({_W('subject')}, {_W('ps')})) / CAST(len(list_distinct(list_concat({_W('subject')}, {_W('ps')}))) AS DOUBLE) END < 0.3 AS s FROM p)
+    SELECT msg_id, round(least(1.0::DOUBLE, a::INT * 0.30::DOUBLE + b::INT * 0.25::DOUBLE + c::INT * 0.35::DOUBLE + l::INT * 0.20::DOUBLE + h::INT * 0.25::DOUBLE + s::INT * 0.15::DOUBLE), 6) AS hijack_score FROM f"""
+)
+def g4_thread_hijack(spark, sf_dir):
+    k = F.col("msg_id") % 4
+    parent = F.when(k == 1, F.concat(F.lit("m"), (F.col("msg_id") - 1).cast("string"))).when(k > 1, F.concat(F.lit("unknown"), F.col("msg_id").cast("string")))
+    m = _with_domain(spark, sf_dir).withColumns({"ts": F.col("ts_s"), "message_id": F.concat(F.lit("m"), F.col("msg_id").cast("string")), "in_reply_to": parent})
+    return H.thread_hijack(m).select("msg_id", F.round("hijack_score", 6).alias("hijack_score"))
+
+
+@query(
+    f"""WITH {O.M}, a AS (SELECT *, list_distinct(list_concat(list_filter(regexp_extract_all(body, '[0-9]+'), lambda r: length(r) BETWEEN 7 AND 8), list_transform(regexp_extract_all(' ' || body || ' ', '[^0-9]([0-9]{{4}}[- ][0-9]{{3}})[^0-9]', 1), lambda g: regexp_replace(g, '[^0-9]', '', 'g')))) AS now, {O.any_of('lower(body)', H.ACCOUNT_KEYWORDS)} AS keyword FROM m),
+    p AS (SELECT msg_id, now, keyword, coalesce(flatten(list(now) OVER (PARTITION BY thread_id ORDER BY ts_s, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []) AS past FROM a),
+    x AS (SELECT *, list_filter(now, lambda z: NOT list_contains(past, z)) AS fresh, list_filter(list_distinct(past), lambda z: NOT list_contains(now, z)) AS gone FROM p)
+    SELECT msg_id, len(fresh) AS n_new, len(gone) AS n_removed, keyword, round(least(1.0::DOUBLE, (len(past) > 0 AND len(fresh) > 0)::INT * 0.5::DOUBLE + keyword::INT * 0.3::DOUBLE + (len(gone) > 0 AND len(fresh) > 0)::INT * 0.2::DOUBLE), 6) AS risk FROM x"""
+)
+def g5_account_changes(spark, sf_dir):
+    out = H.account_changes(messages(spark, sf_dir).withColumn("ts", F.col("ts_s")))
+    return out.select("msg_id", F.size("new_accounts").alias("n_new"), F.size("removed_accounts").alias("n_removed"), "keyword", F.round("risk", 6).alias("risk"))
+
+
+SIG = f"{O.M}, s AS (SELECT msg_id, ts_s, lower(trim(regexp_extract(dkim_header, '^(?:.*;)?\\s*d\\s*=([^;]*)', 1))) AS d, trim(regexp_extract(dkim_header, '^(?:.*;)?\\s*s\\s*=([^;]*)', 1)) AS s, substr(trim(regexp_extract(dkim_header, '^(?:.*;)?\\s*b\\s*=([^;]*)', 1)), 1, 32) AS b32, regexp_matches(dkim_header, ';\\s*l=') AS has_length FROM m)"
+
+
+def _signed(spark, sf_dir):
+    return messages(spark, sf_dir).withColumns(H.signature_tags(F.col("dkim_header")))
+
+
+@query(f"WITH {SIG} SELECT msg_id, d, s, b32, has_length FROM s")
+def g6_signature_tags(spark, sf_dir):
+    return _signed(spark, sf_dir).select("msg_id", "d", "s", "b32", "has_length")
+
+
+@query(f"WITH {SIG} SELECT msg_id, count(*) OVER (PARTITION BY d, b32 ORDER BY ts_s, msg_id) AS seen FROM s")
+def g7_signature_replays(spark, sf_dir):
+    return H.signature_replays(_signed(spark, sf_dir).withColumn("ts", F.col("ts_s"))).select("msg_id", "seen")
+
+
+CONTACTS = [("src1 desk", "company.example"), ("src2", "partner.example"), ("Anna", "other.example")]
+_NAMED = "split_part(from_addr, '@', 1) || CASE WHEN msg_id % 3 = 0 THEN ' desk' ELSE '' END || ' <' || from_addr || '>'"
+
+
+@query(
+    f"""WITH {O.M}, k(name, kd) AS (VALUES {', '.join(f'({O.q(a.lower())}, {O.q(b)})' for a, b in CONTACTS)}), h AS (SELECT msg_id, lower(split_part(from_addr, '@', 1) || CASE WHEN msg_id % 3 = 0 THEN ' desk' ELSE '' END) AS n, split_part(from_addr, '@', 2) AS fd, split_part(reply_to, '@', 2) AS rd FROM m),
+    f AS (SELECT msg_id, coalesce(rd <> fd, false) AS mismatch, rd, EXISTS (SELECT 1 FROM k WHERE (contains(n, name) OR contains(name, n)) AND kd <> fd AND len(list_intersect(string_split(n, ' '), string_split(name, ' '))) > 0) AS impersonation FROM h)
+    SELECT msg_id, mismatch, impersonation, round(CASE WHEN mismatch THEN CASE WHEN rd = 'gmail.com' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END ELSE 0::DOUBLE END + impersonation::INT * 0.3::DOUBLE, 6) AS risk FROM f"""
+)
+def g8_reply_spoof(spark, sf_dir):
+    m = messages(spark, sf_dir).selectExpr("msg_id", _NAMED + " AS from_addr", "reply_to")
+    out = H.reply_spoof(m, spark.createDataFrame(CONTACTS, "name string, domain string"))
+    return out.withColumn("risk", F.round("risk", 6))
+
+
+@query("SELECT event_id AS msg_id, count(*) OVER w - 1 AS prior, count(*) OVER w - 1 >= 5 AS familiar FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
+def g9_platform_familiarity(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("msg_id"), F.col("user_id").alias("sender"), F.col("event_type").alias("platform"), "ts")
+    return H.platform_familiarity(e).select("msg_id", "prior", "familiar")
+
+
+CAMPAIGNS = f"""{D}, one AS (SELECT msg_id, ts_s, domain, subject, spf = 'fail' OR dkim = 'fail' AS auth_fail FROM d), a AS (SELECT *, 'pattern:auth_fail:subject_' || CASE WHEN length(subject) <= 10 THEN 'veryshort' WHEN length(subject) <= 30 THEN 'short' WHEN length(subject) <= 60 THEN 'medium' WHEN length(subject) <= 100 THEN 'long' ELSE 'verylong' END AS group_key FROM one WHERE auth_fail),
+    a1 AS (SELECT *, coalesce(ts_s - lag(ts_s) OVER (PARTITION BY group_key ORDER BY ts_s, msg_id) > 2592000, false)::INT AS gap FROM a), a2 AS (SELECT *, sum(gap) OVER (PARTITION BY group_key ORDER BY ts_s, msg_id) AS session FROM a1), a3 AS (SELECT *, row_number() OVER (PARTITION BY group_key, session ORDER BY ts_s, msg_id) AS k FROM a2),
+    b AS (SELECT msg_id, ts_s, 'unknown:' || domain AS group_key FROM one WHERE NOT auth_fail UNION ALL SELECT msg_id, ts_s, 'unknown:' || domain FROM a3 WHERE k <= 2), b1 AS (SELECT *, coalesce(ts_s - lag(ts_s) OVER (PARTITION BY group_key ORDER BY ts_s, msg_id) > 2592000, false)::INT AS gap FROM b),
+    b2 AS (SELECT *, sum(gap) OVER (PARTITION BY group_key ORDER BY ts_s, msg_id) AS session FROM b1), g AS (SELECT group_key, CAST(session AS BIGINT) AS session, count(*) AS n FROM (SELECT group_key, session FROM a2 UNION ALL SELECT group_key, session FROM b2) GROUP BY ALL)"""
+
+
+def _campaigns(spark, sf_dir):
+    return H.campaigns(_with_domain(spark, sf_dir).withColumn("auth_fail", (F.col("spf") == "fail") | (F.col("dkim") == "fail")))
+
+
+@query(f"WITH {CAMPAIGNS} SELECT group_key, session, n, round(CASE WHEN n = 1 THEN 0.3::DOUBLE ELSE least(1.0::DOUBLE, 0.3::DOUBLE + 0.1::DOUBLE * n) END, 6) AS threat_score FROM g")
+def g10_campaigns(spark, sf_dir):
+    return _campaigns(spark, sf_dir).select("group_key", "session", "n", F.round("threat_score", 6).alias("threat_score"))
+
+
+@query(f"WITH {CAMPAIGNS} SELECT group_key, session, n FROM g WHERE n >= 3")
+def g11_alertable_groups(spark, sf_dir):
+    return _campaigns(spark, sf_dir).where("alertable").select("group_key", "session", "n")
+
+
+def _profiles(spark, sf_dir):
+    s = C.style(messages(spark, sf_dir)).withColumns({"sender": F.col("from_addr"), "hour": (F.floor(F.col("ts_s") / 3600) % 24).cast("int")})
+    return H.style_profiles(s.select("msg_id", "ts_s", "sender", "hour", "chars", "chars_per_sentence", "punctuation_density", "formality"))
+
+
+_SENT = "len(regexp_extract_all(body, '[。．.!?！？]'))"
+_ST = f"""{O.M}, st AS (SELECT msg_id, ts_s, from_addr AS sender, (ts_s // 3600) % 24 AS hour, length(body) AS chars, CASE WHEN {_SENT} > 0 THEN length(body) / {_SENT} ELSE length(body)::DOUBLE END AS cps, len(regexp_extract_all(body, '[、，,]')) * 100.0::DOUBLE / length(body) AS pd FROM m),
+    pr AS (SELECT *, count(*) OVER w AS n, avg(chars) OVER w AS ac, avg(cps) OVER w AS acps, avg(pd) OVER w AS apd, coalesce(list(hour) OVER w, []) AS hs FROM st WINDOW w AS (PARTITION BY sender ORDER BY ts_s, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    hw AS (SELECT * EXCLUDE (hs), list_reduce(list_transform(hs, lambda h, i: {{'h': (h = hour)::INT::DOUBLE, 'i': i::DOUBLE}}), lambda a, b: {{'h': CASE WHEN b.h > 0.5 THEN a.h * (1 - 1 / b.i) + 1 / b.i ELSE a.h * (1 - 0.1::DOUBLE / b.i) END, 'i': b.i}}, {{'h': 0.0::DOUBLE, 'i': 0.0::DOUBLE}}) AS p FROM pr)"""
+
+
+@query(f"WITH {_ST} SELECT msg_id, n, round(ac, 4) AS avg_chars, round(acps, 4) AS avg_chars_per_sentence, round(p.h, 6) AS hour_weight FROM hw")
+def g12_style_profiles(spark, sf_dir):
+    return _profiles(spark, sf_dir).select("msg_id", "n", F.round("avg_chars", 4).alias("avg_chars"), F.round("avg_chars_per_sentence", 4).alias("avg_chars_per_sentence"), F.round("hour_weight", 6).alias("hour_weight"))
+
+
+@query()
+def g13_g14_style_warnings(spark, sf_dir):
+    out = H.style_warnings(_profiles(spark, sf_dir), F.col("msg_id") % 17 == 0)
+    return out.select("msg_id", F.round("distance", 6).alias("distance"), "warning")
+
+
+@query("WITH e AS (SELECT CAST(event_id AS VARCHAR) AS id, round(value - floor(value), 4) AS trust_score, CAST(floor(epoch(ts)) AS BIGINT) AS created_s FROM events), x AS (SELECT id, trust_score * pow(0.5, greatest(0, 1706659200 - created_s) / 2592000.0) AS effective FROM e) SELECT id, round(effective, 6) AS effective FROM x WHERE effective >= 0.5 ORDER BY effective DESC, id LIMIT 1000")
+def g15_trusted_memory(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.round(F.col("value") - F.floor("value"), 4).alias("trust_score"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("created_s"))
+    return H.trusted_memory(e, 1706659200).select("id", F.round("effective", 6).alias("effective"))
+
+
+_CHAIN = """e AS (SELECT event_id AS seq, event_type, CAST(user_id AS VARCHAR) AS account FROM events), h AS (SELECT *, sha256(CAST(seq AS VARCHAR) || chr(0) || account || chr(0) || event_type) AS hash FROM e),
+    c AS (SELECT seq, account, event_type, CASE WHEN seq % 1000 = 77 THEN 'tampered' ELSE hash END AS hash, lag(hash) OVER (ORDER BY seq) AS prev_hash FROM h)"""
+
+
+@query("SELECT event_id AS seq FROM events WHERE event_id % 1000 = 77 UNION SELECT event_id FROM events WHERE event_id % 1000 = 78")
+def g16_audit_chain(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("account"), "event_type")
+    e = e.withColumn("good", H.chain_hash(["seq", "account", "event_type"]))
+    prev = e.select((F.col("seq") + 1).alias("seq"), F.col("good").alias("prev_hash"))
+    log = e.join(prev, "seq", "left").withColumn("hash", F.when(F.col("seq") % 1000 == 77, "tampered").otherwise(F.col("good")))
+    return H.broken_links(log, ["seq", "account", "event_type"])
+
+
+@query(f"WITH {D}, l AS (SELECT DISTINCT domain FROM d) SELECT domain, CASE WHEN levenshtein(domain, 'google.com') = 1 THEN true ELSE false END AS one_edit FROM l")
+def b18_one_edit(spark, sf_dir):
+    return _with_domain(spark, sf_dir).select("domain").distinct().select("domain", T.one_edit_apart(F.col("domain"), F.lit("google.com")).alias("one_edit"))
+
+
