@@ -96,13 +96,14 @@ def verification(c: Column) -> Column:
     return F.when((money > 0) & (haste > 0), "strong").when((money > 0) | (haste > 0), "optional").otherwise("none")
 
 
-def persuasion(c: Column) -> Column:
-    per = [sum((T.any_of(f, terms).cast("int") for terms in lx.PERSUASION.values()), F.lit(0)) for f in T.both_forms(c)]
+def persuasion(c: Column, forms: list[Column] | None = None) -> Column:
+    """Families of persuasion with any phrase, 0 to 6; ``forms`` are the normal forms where they are at hand."""
+    per = [sum((T.any_of(f, terms).cast("int") for terms in lx.PERSUASION.values()), F.lit(0)) for f in forms or T.both_forms(c)]
     return F.greatest(*per)
 
 
-def content_flags(c: Column) -> dict[str, Column]:
-    forms = T.both_forms(c)
+def content_flags(c: Column, forms: list[Column] | None = None) -> dict[str, Column]:
+    forms = forms or T.both_forms(c)
     return {"money_urgency": T.any_of(forms, lx.URGENCY) & T.any_of(forms, lx.MONEY), "route_change": T.any_of(forms, lx.ROUTE_CHANGE), "channel_move": T.any_of(forms, lx.CHANNEL_MIGRATION)}
 
 

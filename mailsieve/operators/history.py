@@ -45,8 +45,9 @@ def sender_profiles(m: DataFrame, keys: list[str], ts: str, topic: str, name: st
 def first_contacts(m: DataFrame, key: str, order: list[str], subject: str = "subject") -> DataFrame:
     """The first message of every sender, and whether its subject is high risk."""
     first = m.groupBy(key).agg(F.min(F.struct(*order)).alias("f"))
-    forms = T.both_forms(F.col(subject))
-    return m.join(first.select(key, *(F.col(f"f.{o}").alias(o) for o in order)), [key, *order]).withColumn("high_risk", T.any_of(forms, lx.HIGH_RISK_SUBJECTS))
+    a, b = T.both_forms(F.col(subject))
+    rows = m.join(first.select(key, *(F.col(f"f.{o}").alias(o) for o in order)), [key, *order]).withColumns({"__s1": a, "__s2": b})
+    return rows.withColumn("high_risk", T.any_of([F.col("__s1"), F.col("__s2")], lx.HIGH_RISK_SUBJECTS)).drop("__s1", "__s2")
 
 
 def topic_drift(m: DataFrame, id_: str, text: str, typical: str, least: float = 0.15) -> DataFrame:

@@ -47,10 +47,14 @@ def urls(df: DataFrame, key: str, text: str = "body") -> DataFrame:
     return words.where(F.rlike("w", F.lit("^https?://"))).select(key, "pos", F.rtrim("w", F.lit(".,)]!?;")).alias("url"))
 
 
-def proxy_score(url: Column) -> Column:
-    """Proxy-phishing score 0 to 100 of a URL."""
-    low = F.lower(F.regexp_replace(url, r"\p{Cntrl}", ""))
-    host = F.regexp_extract(low, r"^(?:https?://)*([^/?#]*)", 1)
+def with_proxy_score(df: DataFrame, url: str = "url") -> DataFrame:
+    """Adds score, the proxy-phishing score 0 to 100; the cleaned URL and its host are taken once a row."""
+    df = df.withColumn("__low", F.lower(F.regexp_replace(url, r"\p{Cntrl}", "")))
+    df = df.withColumn("__host", F.regexp_extract("__low", r"^(?:https?://)*([^/?#]*)", 1))
+    return df.withColumn("score", _proxy_points(F.col("__low"), F.col("__host"))).drop("__low", "__host")
+
+
+def _proxy_points(low: Column, host: Column) -> Column:
     legit = _any([T.host_is(host, d) for d in AUTH_DOMAINS])
     param = lambda p: F.rlike(low, F.lit(rf"[?&#]{p}="))
     points = (
@@ -99,9 +103,14 @@ def _brand_inside(host: Column) -> Column:
     return _any([host.startswith(f"{t}.") | F.contains(host, F.lit(f".{t}.")) for t in TRUSTED])
 
 
-def reputation(url: Column, malicious: list[str] | None = None) -> Column:
+def with_reputation(df: DataFrame, url: str = "url", malicious: list[str] | None = None) -> DataFrame:
+    """Adds reputation; the host is taken once a row."""
+    return df.withColumn("__host", T.url_host(F.col(url))).withColumn("reputation", reputation(F.col(url), malicious, F.col("__host"))).drop("__host")
+
+
+def reputation(url: Column, malicious: list[str] | None = None, host: Column | None = None) -> Column:
     """trusted, neutral, suspicious or malicious, of an unwrapped URL; rules in order."""
-    host = T.url_host(url)
+    host = T.url_host(url) if host is None else host
     folded = F.replace(host, F.lit("-"), F.lit("."))
     number = F.rlike(host, F.lit(r"^(?:[0-9]+|0[xX][0-9A-Fa-f]+)(?:\.(?:[0-9]+|0[xX][0-9A-Fa-f]+))*$"))
     swap = _any([F.contains(host, F.lit(b)) & ~F.contains(host, F.lit(b.replace("0", "o").replace("1", "l"))) for b in DIGIT_SWAPS])
@@ -141,7 +150,10 @@ def _web(c: Column) -> Column:
 
 def unwrap_once(url: Column) -> Column:
     """The link inside one layer of a gateway, redirector or translator; null if there is none."""
-    host = T.url_host(url)
+    return F.transform(F.array(T.url_host(url)), lambda host: _unwrapped(url, host))[0]
+
+
+def _unwrapped(url: Column, host: Column) -> Column:
     p = lambda name: _web(_decoded(T.query_param(url, name)))
     under = lambda d: T.host_is(host, d)
     google = (host == "google.com") | host.endswith(".google.com") | host.startswith("google.") | F.contains(host, F.lit(".google."))
@@ -205,13 +217,13 @@ def shortened(url: Column) -> Column:
     return T.any_of(F.lower(url), [f"://{d}" for d in LINK_SHORTENERS])
 
 
-def platform(url: Column) -> Column:
-    host = F.lower(F.regexp_extract(F.regexp_replace(F.regexp_extract(url, r"^(?:https?://)*([^/?]*)", 1), "^.*@", ""), "^([^:]*)", 1))
+def platform(url: Column, host: Column | None = None) -> Column:
+    host = host if host is not None else F.lower(F.regexp_extract(F.regexp_replace(F.regexp_extract(url, r"^(?:https?://)*([^/?]*)", 1), "^.*@", ""), "^([^:]*)", 1))
     return F.coalesce(*[F.when(T.host_is(host, d), F.lit(p)) for d, p in PLATFORMS.items()])
 
 
-def impersonated(url: Column) -> Column:
-    host = F.lower(F.regexp_extract(F.regexp_replace(F.regexp_extract(url, r"^(?:https?://)*([^/?]*)", 1), "^.*@", ""), "^([^:]*)", 1))
+def impersonated(url: Column, host: Column | None = None) -> Column:
+    host = host if host is not None else F.lower(F.regexp_extract(F.regexp_replace(F.regexp_extract(url, r"^(?:https?://)*([^/?]*)", 1), "^.*@", ""), "^([^:]*)", 1))
     return F.coalesce(*[F.when(F.contains(host, F.lit(d)) & ~T.host_is(host, d), F.lit(p)) for d, p in PLATFORMS.items()])
 
 

@@ -51,7 +51,7 @@ def domain_signals(m: DataFrame, ours: str, contacts: list[str]) -> DataFrame:
 def link_signals(m: DataFrame) -> DataFrame:
     """A signal for every risky link up to the first dangerous one, among the first 200."""
     u = L.urls(m, "msg_id").withColumn("k", F.row_number().over(Window.partitionBy("msg_id").orderBy("pos"))).where(F.col("k") <= MAX_LINKS)
-    u = u.withColumn("verdict", L.proxy_verdict(L.proxy_score(F.col("url")))).where("verdict <> 'safe'")
+    u = L.with_proxy_score(u).withColumn("verdict", L.proxy_verdict(F.col("score"))).where("verdict <> 'safe'")
     before = F.max((F.col("verdict") == "dangerous").cast("int")).over(Window.partitionBy("msg_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     u = u.withColumn("over", F.coalesce(before, F.lit(0))).where("over = 0")
     return u.select("msg_id", F.lit("domain").alias("family"), F.lit("proxy_link").alias("code"), F.when(F.col("verdict") == "dangerous", 0.70).otherwise(0.20).alias("contribution"))
@@ -76,8 +76,9 @@ def thread_signals(t: DataFrame) -> DataFrame:
 
 
 def content_signals(m: DataFrame) -> DataFrame:
-    flags = C.content_flags(F.col("body"))
-    m = m.withColumn("__p", C.persuasion(F.col("body"))).withColumns({f"__{k}": v for k, v in flags.items()})
+    a, b = T.both_forms(F.col("body"))
+    m, forms = m.withColumns({"__b1": a, "__b2": b}), [F.col("__b1"), F.col("__b2")]
+    m = m.withColumn("__p", C.persuasion(F.col("body"), forms)).withColumns({f"__{k}": v for k, v in C.content_flags(F.col("body"), forms).items()})
     return _explode(m, [
         ("content", "money_urgency", F.col("__money_urgency"), 0.25), ("content", "route_change", F.col("__route_change"), 0.30), ("content", "channel_move", F.col("__channel_move"), 0.35),
         ("content", "persuasion", F.col("__p") >= 2, F.least(F.lit(0.40), 0.1 * F.col("__p"))),

@@ -11,8 +11,9 @@ from .views import read
 
 # Words that are never terms.
 STOP_WORDS = (
-    "about after also allows analysis based been before being between both can could does each email emails from have into mail more most other over paper such than that their them then there these they this through "
-    "under using was were what when where which while will with within would your"
+    "about after also allows analysis based been before being between both can could data defines document domain each email emails example from have header here http https into mail message messages more most other over "
+    "only protocol public report results security show some such support than that their them then there these they this those through under using very was were what when where which while will with www your "
+    "github identified system systems メール セキュリティ"
 ).split()
 NOW, DAYS = 1709000000, 50
 KEYWORDS = [("spoof", "the"), ("spoof", "erst"), ("trace", "onn"), ("trace", "an"), ("chain", "eux"), ("chain", "qué"), ("none", "zzzz")]

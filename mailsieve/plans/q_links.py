@@ -32,8 +32,7 @@ def _score() -> str:
 
 @query(f"WITH {U} SELECT msg_id, url, {_score()} AS score, CASE WHEN {_score()} >= 50 THEN 'dangerous' WHEN {_score()} >= 20 THEN 'caution' ELSE 'safe' END AS verdict FROM u")
 def e1_proxy_urls(spark, sf_dir):
-    s = L.proxy_score(F.col("url"))
-    return L.urls(messages(spark, sf_dir), "msg_id").select("msg_id", "url", s.alias("score"), L.proxy_verdict(s).alias("verdict"))
+    return L.with_proxy_score(L.urls(messages(spark, sf_dir), "msg_id")).select("msg_id", "url", "score", L.proxy_verdict(F.col("score")).alias("verdict"))
 
 
 @query(
@@ -89,7 +88,7 @@ def _reputation(url: str) -> str:
 def e4_url_reputation(spark, sf_dir):
     planted = spark.createDataFrame([(u,) for u in PLANTED], "url string")
     every = L.urls(messages(spark, sf_dir), "msg_id").select("url").union(read(spark, sf_dir, "pages").select("url")).union(planted)
-    return every.groupBy("url").agg(F.count("*").alias("n")).withColumn("reputation", L.reputation(F.col("url")))
+    return L.with_reputation(every.groupBy("url").agg(F.count("*").alias("n")))
 
 
 @query(
