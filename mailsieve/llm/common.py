@@ -56,6 +56,7 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, at_most: in
             for at in range(0, batch.num_rows, at_most):
                 out = fn(*(c.to_pylist() for c in batch.slice(at, at_most).columns))
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # workers live on; what this task no longer needs goes back
 
     return df.mapInArrow(run, schema)
 

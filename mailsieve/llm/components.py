@@ -9,7 +9,7 @@ from .common import saved
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest reachable node of every node that has an edge. ``edges`` has columns a, b.
+    """(node, root): the smallest reachable node of every node that reaches a smaller one. ``edges`` has columns a, b.
 
     Each round writes its edges to the shared folder; nothing but a count and a checksum reaches the driver.
     Loops and null ends are ignored; an empty input gives an empty result.

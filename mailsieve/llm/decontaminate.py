@@ -43,7 +43,7 @@ def hashes(w: list[bytes], width: int) -> np.ndarray:
     """A 64-bit hash of every window of ``width`` words, from cached word hashes."""
     if len(w) < width:
         return np.zeros(0, np.uint64)
-    if len(_numbers) > 400_000:
+    if len(_numbers) > 150_000:
         _numbers.clear()
     get, fresh = _numbers.get, xxhash.xxh3_64_intdigest
     at = []

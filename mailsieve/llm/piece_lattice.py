@@ -37,7 +37,7 @@ from .common import _arrow_schema, map_batches, saved
 
 SPACE = "▁"
 COMMON = 4_000_000
-FLUSH = 250_000
+FLUSH = 150_000
 CACHE = 120_000
 HOLE = 0xFFFF
 
@@ -128,36 +128,44 @@ def _loaded(model: bytes) -> Pieces:
     return load(model)
 
 
-def _cut(t: str, p: Pieces) -> list[str]:
+def _edges(t: str, p: Pieces) -> np.ndarray:
+    """0, the places to cut, and the length of a marked text."""
     code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
     at = _classes(p)[np.minimum(code, (1 << 16) - 1)]
     if (code >= 1 << 16).any():
         far = np.searchsorted(p.chars, code)
         hit = p.chars[np.minimum(far, len(p.chars) - 1)] == code
         at = np.where(code >= 1 << 16, np.where(hit, far, len(p.chars)), at).astype(np.int32)
-    edges = [0, *(np.flatnonzero(~p.joins.ravel()[at[:-1] * p.joins.shape[1] + at[1:]]) + 1).tolist(), len(t)]
-    return [t[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+    cut = np.flatnonzero(~p.joins.ravel()[at[:-1] * p.joins.shape[1] + at[1:]]) + 1
+    return np.concatenate([[0], cut, [len(t)]])
 
 
 def units(text: str | None, p: Pieces) -> list[str]:
     """The text with its leading mark, cut wherever no piece spans."""
-    return _cut(SPACE + text.replace(" ", SPACE), p) if text else []
+    if not text:
+        return []
+    t = SPACE + text.replace(" ", SPACE)
+    edges = _edges(t, p).tolist()
+    return [t[x:y] for x, y in zip(edges, edges[1:], strict=False)]
 
 
 def plain_words(text: str) -> list[str] | None:
-    """Words between single spaces, which can be cut apart from each other; None if spaces meet or lead or trail."""
+    """Words between single spaces, which can be cut apart from each other; None if spaces meet or lead or trail,
+    or if the text holds the mark itself."""
     w = text.split(" ")
-    return None if "" in w else w
+    return None if "" in w or SPACE in text else w
 
 
-def units_of_words(w: list[str], p: Pieces) -> list[list[str]]:
-    """Units of every word (without spaces inside), cut in one pass."""
-    out: list[list[str]] = []
-    for u in _cut(SPACE + SPACE.join(x.replace(SPACE, " ") for x in w), p) if w else []:
-        if u[0] == SPACE:
-            out.append([])
-        out[-1].append(u.replace(" ", SPACE))
-    return out
+def units_of_words(w: list[str], p: Pieces) -> tuple[list[str], list[int]]:
+    """Units of all words, cut in one pass, and where each word's units begin; one more place ends the list."""
+    if not w:
+        return [], [0]
+    t = SPACE + SPACE.join(w)
+    edges = _edges(t, p)
+    begins = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    at = np.searchsorted(edges, np.concatenate([[0], begins]))
+    edges = edges.tolist()
+    return [t[x:y] for x, y in zip(edges, edges[1:], strict=False)], at.tolist()
 
 
 _class_tables: dict[int, np.ndarray] = {}
@@ -179,28 +187,32 @@ def count_units(docs: DataFrame, model) -> DataFrame:
     arrow = _arrow_schema(docs.sparkSession, "unit string, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, whole, counts = _loaded(model.value), Counter(), Counter()
+        p, whole, counts = model.value, Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
             w = list(whole)
             for at in range(0, len(w), 50_000):
-                for x, own in zip(part := w[at : at + 50_000], units_of_words(part, p), strict=True):
-                    for u in own:
-                        counts[u] += whole[x]
+                part = w[at : at + 50_000]
+                flat, begin = units_of_words(part, p)
+                times = np.repeat([whole[x] for x in part], np.diff(begin)).tolist()
+                for u, n in zip(flat, times, strict=True):
+                    counts[u] += n
             out = pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], schema=arrow)
             whole.clear()
             counts.clear()
             return out
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    w = plain_words(t)
-                    (counts if w is None else whole).update(units(t, p) if w is None else w)
-                if len(whole) + len(counts) > FLUSH:
-                    yield flush()
+            for at in range(0, batch.num_rows, 256):
+                for t in batch.column(0).slice(at, 256).to_pylist():
+                    if t:
+                        w = plain_words(t)
+                        (counts if w is None else whole).update(units(t, p) if w is None else w)
+                    if len(whole) + len(counts) > FLUSH:
+                        yield flush()
         if whole or counts:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("t").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -212,7 +224,7 @@ def _transitions(edges: DataFrame, model) -> DataFrame:
     inner = arrow.field("edges").type.value_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _loaded(model.value)
+        p = model.value
         for batch in batches:
             col = batch.column("edges")
             offsets = np.asarray(col.offsets)
@@ -255,10 +267,12 @@ def encode_units(distinct: DataFrame, model) -> DataFrame:
     Units are dealt out by number before they are exploded, so that the edges are grouped where they arise.
     An edge is packed as end, start and piece in one long, which sorts by end, then start.
     """
-    spark, p = distinct.sparkSession, _loaded(model.value)
+    spark, p = distinct.sparkSession, model.value
     table = F.broadcast(spark.createDataFrame(list(p.ids.items()), "piece string, pid long"))  # the model's fixed size
     numbered = saved(distinct.withColumn("uid", F.monotonically_increasing_id()))  # written, so numbers are fixed
-    starts = numbered.repartition("uid").select("uid", "unit", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("s"))
+    # a stated number of partitions: the rows are few and small here, and become many once exploded
+    dealt = numbered.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid")
+    starts = dealt.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("s"))
     cuts = starts.select("uid", "unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(p.longest), F.char_length("unit") - F.col("s")))).alias("l"))
     edges = cuts.select("uid", F.substr("unit", F.col("s") + 1, F.col("l")).alias("piece"), (F.shiftleft((F.col("s") + F.col("l")).cast("long"), 40) + F.shiftleft(F.col("s").cast("long"), 20)).alias("at"))
     grouped = edges.join(table, "piece").select("uid", (F.col("at") + F.col("pid")).alias("edge")).groupBy("uid").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
@@ -266,43 +280,58 @@ def encode_units(distinct: DataFrame, model) -> DataFrame:
     return numbered.join(folded, "uid").select("unit", "n", "ids")
 
 
+def _hashes(names: list[str]) -> np.ndarray:
+    """128-bit hashes as two columns."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(u) for u in names]), ">u8").reshape(-1, 2)
+
+
 @dataclass
 class Known:
-    """Frequent units: sorted hashes with checks, and where their ids lie in one long array."""
+    """Frequent units: sorted hashes with checks, where their ids lie in one long string, and units whose ids do not
+    decode to them (none, unless a text holds the model's own mark)."""
 
     hashes: np.ndarray
     checks: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
-    flat: np.ndarray
+    flat: bytes
+    wrong: frozenset[str]
 
     @staticmethod
-    def of(coded: DataFrame) -> Known:
-        """Hashed by the tasks; the driver receives some 20 bytes a unit, block by block."""
+    def of(coded: DataFrame, model) -> Known:
+        """Hashed and decoded by the tasks; the driver receives some 20 bytes a unit, block by block."""
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p = model.value
             for batch in batches:
                 names, ids = batch.column("unit").to_pylist(), batch.column("ids")
-                ends = np.asarray(ids.offsets)
-                arrays = (np.array([xxhash.xxh3_64_intdigest(u) for u in names], np.uint64), np.array([xxhash.xxh32_intdigest(u) for u in names], np.uint32), np.diff(ends).astype(np.uint16), np.asarray(ids.values)[ends[0] : ends[-1]].astype(np.uint16))
-                yield pa.RecordBatch.from_pydict({k: pa.array([a.tobytes()], pa.binary()) for k, a in zip("hcnf", arrays, strict=True)})
-
-        blocks = [(r["h"], r["c"], r["n"], r["f"]) for r in coded.select("unit", "ids").mapInArrow(pack, "h binary, c binary, n binary, f binary").toLocalIterator()]
-        h, c, n, f = (np.frombuffer(b"".join(b[k] for b in blocks), t) for k, t in enumerate((np.uint64, np.uint32, np.uint16, np.uint16)))
+                h, ends = _hashes(names), np.asarray(ids.offsets)
+                wrong = [u for u, own in zip(names, ids.to_pylist(), strict=True) if spell(own, p) != u.replace(SPACE, " ").encode("utf-8", "surrogatepass")]
+                arrays = (h[:, 0].astype(np.uint64), (h[:, 1] >> 32).astype(np.uint32), np.diff(ends).astype(np.uint16), np.asarray(ids.values)[ends[0] : ends[-1]].astype(np.uint16))
+                yield pa.RecordBatch.from_pydict({k: pa.array([a.tobytes()], pa.binary()) for k, a in zip("hcnf", arrays, strict=True)} | {"w": pa.array([wrong], pa.list_(pa.string()))})
+
+        blocks = [tuple(r) for r in coded.select("unit", "ids").mapInArrow(pack, "h binary, c binary, n binary, f binary, w array<string>").toLocalIterator()]
+        h, c, n = (np.frombuffer(b"".join(b[k] for b in blocks), t) for k, t in enumerate((np.uint64, np.uint32, np.uint16)))
+        flat, wrong = b"".join(b[3] for b in blocks), frozenset(u for b in blocks for u in b[4])
         del blocks
         starts = np.zeros(len(n), np.uint32)
         np.cumsum(n[:-1], dtype=np.uint32, out=starts[1:])
         order = np.argsort(h)
-        return Known(h[order], c[order], starts[order], n[order], f)
+        return Known(h[order], c[order], starts[order], n[order], flat, wrong)
 
     def find(self, names: list[str]) -> list[bytes | None]:
         if not len(self.hashes) or not names:
             return [None] * len(names)
-        h = np.array([xxhash.xxh3_64_intdigest(u) for u in names], np.uint64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = (self.hashes[at] == h) & (self.checks[at] == np.array([xxhash.xxh32_intdigest(u) for u in names], np.uint32))
-        first = self.starts[at].astype(np.int64)
-        return [self.flat[a:b].tobytes() if y else None for a, b, y in zip(first.tolist(), (first + self.lengths[at]).tolist(), hit.tolist(), strict=True)]
+        h = _hashes(names)
+        first = h[:, 0].astype(np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, first), len(self.hashes) - 1)
+        hit = (self.hashes[at] == first) & (self.checks[at] == (h[:, 1] >> 32).astype(np.uint32))
+        begin = self.starts[at].astype(np.int64) * 2
+        end, flat = begin + self.lengths[at].astype(np.int64) * 2, self.flat
+        if hit.all():
+            return [flat[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        return [flat[a:b] if y else None for a, b, y in zip(begin.tolist(), end.tolist(), hit.tolist(), strict=True)]
 
 
 class Coder:
@@ -314,17 +343,27 @@ class Coder:
         self.rare: dict[str, tuple[str, ...]] = {}
         self.wrong: set[str] = set()
 
-    def code(self, groups: list[list[str]]) -> Iterator[tuple[bytes, tuple[str, ...], bool]]:
-        """Stream, holes, and whether decoding gives the group back, of every group of units."""
-        names = list({u for g in groups for u in g})
-        ids, hole = dict(zip(names, self.known.find(names), strict=True)), np.uint16(HOLE).tobytes()
-        right = {}
-        for u, got in ids.items():
-            if got is None and len(u) == 1 and u not in self.p.ids:
-                got = ids[u] = np.array([self.p.bytes_[b] for b in u.encode("utf-8", "surrogatepass")], np.uint16).tobytes()
-            right[u] = got is None or spell(np.frombuffer(got, np.uint16).tolist(), self.p) == u.replace(SPACE, " ").encode("utf-8", "surrogatepass")
-        for g in groups:
-            yield b"".join([hole if ids[u] is None else ids[u] for u in g]), tuple(u for u in g if ids[u] is None), all(right[u] for u in g)
+    def ids(self, names: list[str]) -> list[bytes | None]:
+        """Ids of every unit; lone characters without a piece become byte pieces, other unknown units None."""
+        out = self.known.find(names)
+        if None in out:
+            for k, (u, got) in enumerate(zip(names, out, strict=True)):
+                if got is None and len(u) == 1 and u not in self.p.ids:
+                    out[k] = np.array([self.p.bytes_[b] for b in u.encode("utf-8", "surrogatepass")], np.uint16).tobytes()
+        return out
+
+    def learn(self, fresh: list[str]) -> None:
+        """Put words into the cache, with their holes and whether decoding fails to give them back."""
+        flat, begin = units_of_words(fresh, self.p)
+        coded, hole = self.ids(flat), np.uint16(HOLE).tobytes()
+        if None in coded:
+            for w, a, b in zip(fresh, begin, begin[1:], strict=False):
+                if None in coded[a:b]:
+                    self.rare[w] = tuple(u for u, x in zip(flat[a:b], coded[a:b], strict=True) if x is None)
+            coded = [hole if x is None else x for x in coded]
+        self.words.update((w, coded[a] if b - a == 1 else b"".join(coded[a:b])) for w, a, b in zip(fresh, begin, begin[1:], strict=False))
+        if self.known.wrong:
+            self.wrong.update(w for w, a, b in zip(fresh, begin, begin[1:], strict=False) if not self.known.wrong.isdisjoint(flat[a:b]))
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[str], bool]]:
         """The stream of every text, its holes in order, and whether its known units decode to the text."""
@@ -333,20 +372,16 @@ class Coder:
             self.words.clear()
             self.rare.clear()
             self.wrong.clear()
-        fresh = list(set().union(*(s for s in split if s)).difference(self.words))
-        for w, (stream, rare, right) in zip(fresh, self.code(units_of_words(fresh, self.p)), strict=True):
-            self.words[w] = stream
-            if rare:
-                self.rare[w] = rare
-            if not right:
-                self.wrong.add(w)
+        self.learn(list(set().union(*(s for s in split if s)).difference(self.words)))
+        hole = np.uint16(HOLE).tobytes()
         for t, s in zip(texts, split, strict=True):
             if s is None:
-                stream, rare, right = next(self.code([units(t, self.p)]))
-                yield stream, list(rare), right and SPACE not in t
+                g = units(t, self.p)
+                own = self.ids(g)
+                yield b"".join([hole if x is None else x for x in own]), [u for u, x in zip(g, own, strict=True) if x is None], self.known.wrong.isdisjoint(g) and SPACE not in t
             else:
                 rare = [u for w in s if w in self.rare for u in self.rare[w]] if self.rare else []
-                yield b"".join(map(self.words.__getitem__, s)), rare, not (self.wrong and self.wrong.intersection(s)) and not (t and SPACE in t)
+                yield b"".join(map(self.words.__getitem__, s)), rare, not (self.wrong and self.wrong.intersection(s))
 
 
 _coders: dict[int, Coder] = {}
@@ -356,7 +391,7 @@ def _coder(model, known) -> Coder:
     got = _coders.get(id(known.value))
     if got is None:
         _coders.clear()
-        got = _coders[id(known.value)] = Coder(_loaded(model.value), known.value)
+        got = _coders[id(known.value)] = Coder(model.value, known.value)
     return got
 
 
@@ -366,14 +401,14 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
 
     spark = docs.sparkSession
     with open(model_path or public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
-        model = spark.sparkContext.broadcast(f.read())
+        model = spark.sparkContext.broadcast(_loaded(f.read()))  # the model's pieces, of a fixed size
     kind = dict(docs.dtypes)[id_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
     coded = saved(encode_units(count_units(given, model), model))
     n_units = coded.count()
     everything = n_units <= common
-    known = spark.sparkContext.broadcast(Known.of(coded if everything else coded.orderBy(F.desc("n"), "unit").limit(common)))
+    known = spark.sparkContext.broadcast(Known.of(coded if everything else coded.orderBy(F.desc("n"), "unit").limit(common), model))
     schema = f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean"
 
     def lists(streams: list[np.ndarray]) -> pa.ListArray:
@@ -399,7 +434,7 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
         return out
 
     def finish(doc_id, th, stream, parts):
-        p, ids, same = _loaded(model.value), [], []
+        p, ids, same = model.value, [], []
         for h, s, x in zip(th, stream, parts, strict=True):
             a = np.frombuffer(s, np.uint16).astype(np.int32)
             if x:
