@@ -58,7 +58,7 @@ def parse_mail(files: DataFrame) -> DataFrame:
 
 
 def read_mail(spark: SparkSession, folder: str, pattern: str = "*.eml") -> tuple[DataFrame, DataFrame]:
-    """Messages, and failures as (path, error)."""
+    """Messages, and failures as (path, error). Files of no length are left out by the file source itself."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     rows = parse_mail(files)
     return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").select("path", "error")
