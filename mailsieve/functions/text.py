@@ -133,6 +133,20 @@ def decode_entities(c: Column) -> Column:
     return F.replace(done, F.lit("&amp;"), F.lit("&"))
 
 
+def _percent_once(c: Column) -> Column:
+    good = lambda p: F.rlike(p, F.lit("^[2-9A-Fa-f][0-9A-Fa-f]"))  # noqa: E731  bytes under 0x20 stay encoded
+    byte = lambda p: F.decode(F.unhex(F.substring(p, 1, 2)), "ISO-8859-1")
+    step = lambda a, p: F.concat(a, F.when(good(p), F.concat(byte(p), F.substr(p, F.lit(3)))).otherwise(F.concat(F.lit("%"), p)))
+    parts = F.split(c, "%")
+    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), F.get(parts, F.lit(0)), step)
+
+
+def percent_decode(c: Column) -> Column:
+    """Percent escapes decoded three times over, a byte becoming one Latin-1 character."""
+    bound = lambda x, f: F.transform(F.array(x), f)[0]
+    return F.when(F.contains(c, F.lit("%")), bound(bound(_percent_once(c), _percent_once), _percent_once)).otherwise(c)
+
+
 def tag_payload(c: Column) -> Column:
     """ASCII hidden in Unicode tag characters; null if there is none."""
     tags = F.array_join(F.regexp_extract_all(c, F.lit(r"([\x{E0020}-\x{E007E}])"), 1), "")

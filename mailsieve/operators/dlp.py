@@ -114,21 +114,21 @@ RANK = {"allow": 0, "warn": 1, "block": 2}
 MAX_DEPTH = 64
 
 
-def compile_condition(tree: dict, depth: int = 0) -> Column:
+def compile_condition(tree: dict, depth: int = 0, text: Column | None = None) -> Column:
     """A condition tree as one boolean Column over subject, body, from_addr, to_addrs, size_bytes, mimes.
 
     Nodes: {"and": [...]}, {"or": [...]}, {"not": node}, {"match": kind, ...}. Empty lists and trees deeper
-    than 64 are false. Texts are tested raw.
+    than 64 are false. ``text`` replaces subject and body.
     """
     if depth > MAX_DEPTH:
         return F.lit(False)
     if "and" in tree:
-        return reduce(lambda a, b: a & b, [compile_condition(x, depth + 1) for x in tree["and"]]) if tree["and"] else F.lit(False)
+        return reduce(lambda a, b: a & b, [compile_condition(x, depth + 1, text) for x in tree["and"]]) if tree["and"] else F.lit(False)
     if "or" in tree:
-        return reduce(lambda a, b: a | b, [compile_condition(x, depth + 1) for x in tree["or"]]) if tree["or"] else F.lit(False)
+        return reduce(lambda a, b: a | b, [compile_condition(x, depth + 1, text) for x in tree["or"]]) if tree["or"] else F.lit(False)
     if "not" in tree:
-        return ~compile_condition(tree["not"], depth + 1)
-    kind, text = tree["match"], F.concat_ws("\n", F.col("subject"), F.col("body"))
+        return ~compile_condition(tree["not"], depth + 1, text)
+    kind, text = tree["match"], F.concat_ws("\n", F.col("subject"), F.col("body")) if text is None else text
     if kind == "classifier":
         return CLASSIFIERS[tree["name"]](text)
     if kind == "regex":
@@ -148,13 +148,16 @@ def compile_condition(tree: dict, depth: int = 0) -> Column:
 
 
 def evaluate_rules(rows: DataFrame, rules: list[dict], direction: str) -> DataFrame:
-    """Findings (key columns, rule_id, action, priority, rank), one row a rule that holds."""
+    """Findings (key columns, rule_id, action, priority, rank), one row a rule that holds on the text or on its percent-decoded form."""
+    columns = rows.columns
+    rows = rows.withColumn("__raw", F.concat_ws("\n", F.col("subject"), F.col("body"))).withColumn("__dec", T.percent_decode(F.col("__raw")))
+    holds = lambda tree: compile_condition(tree, text=F.col("__raw")) | ((F.col("__dec") != F.col("__raw")) & compile_condition(tree, text=F.col("__dec")))
     live = sorted((r for r in rules if r.get("enabled", True) and r.get("direction", "both") in (direction, "both")), key=lambda r: (r["priority"], r["id"]))
     found = [
-        F.when(compile_condition(json.loads(r["condition"]) if isinstance(r["condition"], str) else r["condition"]), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["action"]).alias("action"), F.lit(r["priority"]).alias("priority"), F.lit(RANK[r["action"]]).alias("rank")))
+        F.when(holds(json.loads(r["condition"]) if isinstance(r["condition"], str) else r["condition"]), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["action"]).alias("action"), F.lit(r["priority"]).alias("priority"), F.lit(RANK[r["action"]]).alias("rank")))
         for r in live
     ]
-    return rows.select("*", F.explode(F.array_compact(F.array(*found))).alias("f")).select(*rows.columns, "f.*")
+    return rows.select("*", F.explode(F.array_compact(F.array(*found))).alias("f")).select(*columns, "f.*")
 
 
 def verdicts(findings: DataFrame, key: str) -> DataFrame:

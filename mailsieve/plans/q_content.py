@@ -231,3 +231,58 @@ def c18_media_advisory(spark, sf_dir):
 @query()
 def c19_redaction(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", C.redact(F.col("body")).alias("redacted"))
+
+
+@query("SELECT doc_id, doc_id || 'aAA%0A%zz' AS decoded FROM documents")
+def b6_percent_decode(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.percent_decode(F.concat(F.col("doc_id").cast("string"), F.lit("a%2541%41%0A%zz"))).alias("decoded"))
+
+
+@query("SELECT page_id, url_decode(url_encode(url || ' +%')) AS decoded FROM pages")
+def b7_url_decode(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.try_url_decode(F.url_encode(F.concat("url", F.lit(" +%")))).alias("decoded"))
+
+
+@query("SELECT doc_id, md5(text || 'i<A&lt;') AS decoded FROM documents")
+def b8_entities(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.decode_entities(F.concat("text", F.lit("&#105;&lt;&#x41;&amp;lt;")))).alias("decoded"))
+
+
+@query("SELECT doc_id, 'number ' || doc_id || ' padding text' AS decoded FROM documents")
+def b9_base64_tokens(spark, sf_dir):
+    planted = F.concat(F.lit("see "), F.base64(F.concat(F.lit("number "), F.col("doc_id").cast("string"), F.lit(" padding text")).cast("binary")), F.lit(" end"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.get(T.decode_base64_tokens(planted), F.lit(0)).alias("decoded"))
+
+
+@query("SELECT doc_id, 'ok' AS payload FROM documents")
+def b10_tag_payload(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.tag_payload(F.concat("text", F.lit("".join(chr(0xE0000 + ord(c)) for c in "ok")))).alias("payload"))
+
+
+@query("SELECT doc_id, md5(text) AS stripped FROM documents")
+def b11_emoji(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_emoji(F.concat("text", F.lit("🎉⭐")))).alias("stripped"))
+
+
+@query("SELECT doc_id, 'see confidential ' || doc_id AS closed FROM documents")
+def b12_letter_spacing(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.collapse_letters(F.concat(F.lit("see c o n f i d e n t i a l "), F.col("doc_id").cast("string"))).alias("closed"))
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, substr(text, 1, 320) AS summary, string_split_regex({O.norm('substr(text, 1, 320)', True)}, '\\s+') AS ws FROM documents)
+    SELECT doc_id AS report_id, CASE WHEN doc_id % 7 = 0 THEN 'email_id_mismatch' WHEN doc_id % 5 = 0 THEN 'score'
+      WHEN len(list_filter(ws, lambda w: contains(w, '@') AND contains(w, '.') AND regexp_matches(regexp_replace(regexp_replace(w, '^[^\\pL\\pN]+', ''), '[^\\pL\\pN]+$', ''), '^.+@[^@]*\\.[^@]*$'))) > 0 THEN 'audit' WHEN length(summary) > 280 THEN 'summary_length' END AS reason FROM s"""
+)
+def c6_report_validation(spark, sf_dir):
+    from ..operators.reports import validate_reports
+
+    d, k = read(spark, sf_dir, "documents"), F.col("doc_id")
+    name = k.cast("string")
+    reports = d.select(k.alias("report_id"), F.when(k % 7 == 0, "other").otherwise(name).alias("email_id"), F.when(k % 5 == 0, 2.0).otherwise(0.5).alias("score"), F.array(F.lit("note")).alias("topics"), F.substring("text", 1, 320).alias("summary"), name.alias("source_id"))
+    return validate_reports(reports, d.select(name.alias("source_id"), name.alias("email_id"))).select("report_id", "reason")
+
+
+@query()
+def c20_sensitive_columns(spark, sf_dir):
+    return C.redact_columns(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), F.col("n_chars").alias("token")))
