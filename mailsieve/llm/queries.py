@@ -59,4 +59,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_quality_rules, op4_hmm_language_model, op5_decontamination, op6_sentencepiece, op7_chat_formatting, op8_suffix_dedup, op9_simhash_dedup, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+_TOKENS = "list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', ' ', 'g'), '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '')"
+
+
+def _shingles(table_: str, key: str) -> str:
+    """Distinct five-word shingles; shorter texts have none here, as the table of items holds no such item."""
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM (SELECT {key}, {_TOKENS} AS w FROM {table_})"
+
+
+ORACLES: dict[str, str] = {
+    "op5_decontamination": f"""WITH d AS ({_shingles('documents', 'doc_id')}), b AS ({_shingles('benchmark', 'item_id')}), q AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
+      c AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY doc_id, item_id)
+      SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment FROM c JOIN q USING (item_id) WHERE shared >= 0.8 * item_shingles""",
+}
