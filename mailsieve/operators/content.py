@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,17 +14,26 @@ MEMORY_BASE = {"user": 0.9, "system": 0.6, "mail": 0.3}
 
 
 def char_entropy(c: Column) -> Column:
-    """Shannon entropy in bits, by one fold over the sorted characters."""
-    chars = F.array_sort(F.split(c, ""))
-    state = F.struct(F.lit("").alias("p"), F.lit(0).cast("long").alias("run"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
-    nlogn = lambda r: F.when(r > 0, r * F.log2(r.cast("double"))).otherwise(0.0)
-
-    def step(a, x):
-        same = x == a["p"]
-        return F.struct(x.alias("p"), F.when(same, a["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"), F.when(same, a["s"]).otherwise(a["s"] + nlogn(a["run"])).alias("s"), (a["n"] + 1).alias("n"))
-
-    done = lambda a: F.log2(a["n"].cast("double")) - (a["s"] + nlogn(a["run"])) / a["n"]
-    return F.when(F.length(c) == 0, F.lit(0.0)).otherwise(F.aggregate(chars, state, step, done))
+    """Shannon entropy of a text's characters, in bits; null stays null.
+
+    An Arrow batch function: a fold over sorted characters inside the JVM takes some fifty times as long, and a
+    grouping by (row, character) would shuffle what belongs to one row.
+    """
+
+    @F.pandas_udf("double")
+    def bits(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            if not t:
+                out.append(None if t is None else 0.0)
+                continue
+            codes = np.sort(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32))
+            edges = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1], [True]]))
+            p = np.diff(edges) / len(codes)
+            out.append(float(-(p * np.log2(p)).sum()) + 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return bits(c)
 
 
 def screen(df: DataFrame, text: str = "body") -> DataFrame:
