@@ -151,7 +151,18 @@ def g12_style_profiles(spark, sf_dir):
     return _profiles(spark, sf_dir).select("msg_id", "n", F.round("avg_chars", 4).alias("avg_chars"), F.round("avg_chars_per_sentence", 4).alias("avg_chars_per_sentence"), F.round("hour_weight", 6).alias("hour_weight"))
 
 
-@query()
+def _times(form: str, terms: list[str]) -> str:
+    return "(" + " + ".join(f"(length({form}) - length(replace({form}, {O.q(t)}, ''))) // {len(t)}" for t in terms) + ")"
+
+
+_FO = f"""{_ST}, fo AS (SELECT msg_id, CASE WHEN po + ca = 0 THEN 0.5::DOUBLE ELSE po / (po + ca) END AS formality FROM (SELECT msg_id, {_times('body', lx.POLITE[0])} + {_times('lower(body)', lx.POLITE[1])} AS po, {_times('body', lx.CASUAL[0])} + {_times('lower(body)', lx.CASUAL[1])} AS ca FROM m)),
+    fa AS (SELECT hw.*, formality, avg(formality) OVER (PARTITION BY sender ORDER BY ts_s, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS af FROM hw JOIN fo USING (msg_id)),
+    ds AS (SELECT msg_id, n, CASE WHEN n < 10 THEN 0.0::DOUBLE ELSE 0.25 * (1 - least(1.0, greatest(0.0, p.h))) + 0.25 * least(1.0, abs(af - formality)) + 0.20 * CASE WHEN acps > 0 THEN least(1.0, abs(cps / acps - 1)) ELSE 0 END
+      + 0.15 * CASE WHEN ac > 0 THEN least(1.0, abs(chars / ac - 1)) ELSE 0 END + 0.15 * least(1.0, abs(apd - pd)) END AS d FROM fa),
+    lv AS (SELECT *, least(3, CASE WHEN d >= 0.75 THEN 3 WHEN d >= 0.60 THEN 2 WHEN d >= 0.40 THEN 1 ELSE 0 END + (msg_id % 17 = 0)::INT) AS l FROM ds)"""
+
+
+@query(f"WITH {_FO} SELECT msg_id, round(d, 6) AS distance, CASE WHEN n < 10 THEN 'insufficient_data' ELSE ['none', 'low', 'medium', 'high'][l + 1] END AS warning FROM lv")
 def g13_g14_style_warnings(spark, sf_dir):
     out = H.style_warnings(_profiles(spark, sf_dir), F.col("msg_id") % 17 == 0)
     return out.select("msg_id", F.round("distance", 6).alias("distance"), "warning")
