@@ -73,8 +73,31 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.translate(ASCII_LOWER) if lower else raw).split()
 
 
+def hash_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """About nine tenths of ``most`` rows, those of the smallest hashes; all rows if there are no more than ``most``.
+
+    The share follows from a count, so no partition's candidates are gathered; ``most`` lies many standard
+    deviations above what is kept.
+    """
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(key, F.lit(1 << 40)) < F.lit(int((1 << 40) * 0.9 * most / n)))
+
+
+def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the highest counts, ``most`` at most. The cut lies between levels of a 64th of an octave, whose
+    histogram is of bounded size; rows of the level that would not fit whole stay out."""
+    level = F.floor(F.log2(F.col(count).cast("double")) * 64)
+    left, cut = most, -1
+    for r in sorted(df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        left -= r["n"]
+        if left < 0:
+            cut = r["level"]
+            break
+    return df.where(level > cut)
+
+
 def bounded_labels(labels: DataFrame, column: str, most: int, salt: int) -> DataFrame:
     """At most ``most`` labelled ids, the smallest by a salted hash: a sample that repeats. One row an id."""
     kept = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
     one = kept.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
-    return one.orderBy(F.xxhash64(F.col("doc_id"), F.lit(salt)), "doc_id").limit(most)
+    return hash_sample(one, F.xxhash64(F.col("doc_id"), F.lit(salt)), most)

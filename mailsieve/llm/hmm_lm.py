@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, map_batches, saved, words
+from .common import _arrow_schema, map_batches, most_frequent, saved, words
 
 TOP, BUCKETS, COMMON = 4096, 256, 262_144
 STATES, STEPS, SEGMENT = 4, 3, 512
@@ -78,7 +78,7 @@ def _ranks(blob: bytes) -> dict[bytes, int]:
 
 def lexicon(counts: DataFrame) -> Lexicon:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where("token <> ''").orderBy(F.desc("c"), "token").limit(COMMON).select("token", "c", "bucket").toPandas()
+    top = most_frequent(counts.where("token <> ''"), "c", COMMON).select("token", "c", "bucket").toPandas().sort_values(["c", "token"], ascending=[False, True], ignore_index=True)
     per = counts.where("token <> ''").groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     n, v = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in per:

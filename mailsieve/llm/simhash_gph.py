@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, saved, words
+from .common import hash_sample, map_batches, saved, words
 from .components import components
 
 SEED = 42
 #: Fingerprints from which costs are estimated, at most.
-ESTIMATE_ROWS = 4096
+ESTIMATE_ROWS = 1024
 BYTE_BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)])
 
 
@@ -107,7 +107,7 @@ def plan(sample: np.ndarray, n: int, distance: int) -> tuple[list[list[int]], li
 def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     """All pairs (a, b), a < b, of distinct fingerprints (column fp) at ``distance`` differing bits or fewer."""
     n = distinct.count()
-    got = [r["fp"] for r in distinct.orderBy(F.xxhash64("fp")).limit(ESTIMATE_ROWS).collect()]
+    got = [r["fp"] for r in hash_sample(distinct, F.xxhash64("fp"), ESTIMATE_ROWS).collect()]
     groups, thresholds = plan(np.array(got, np.int64), n, distance)
     pairs = None
     signed = lambda bits: int(np.array([sum(1 << b for b in bits)], np.uint64).view(np.int64)[0])
