@@ -22,8 +22,8 @@ model's own library.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, map_batches, saved
+from .common import _arrow_schema, map_batches, most_frequent, saved
 
 SPACE = "▁"
 COMMON = 4_000_000
-FLUSH = 150_000
-CACHE = 120_000
+FLUSH = 300_000
+CACHE = 220_000
 HOLE = 0xFFFF
 
 
@@ -183,23 +183,19 @@ def _classes(p: Pieces) -> np.ndarray:
 
 
 def count_units(docs: DataFrame, model) -> DataFrame:
-    """Distinct units of column t with their counts, counted inside each partition first."""
-    arrow = _arrow_schema(docs.sparkSession, "unit string, n long")
+    """Distinct units of column t; n is in how many blocks of text (of FLUSH distinct words or so) a unit occurs."""
+    arrow = _arrow_schema(docs.sparkSession, "unit string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, whole, counts = model.value, Counter(), Counter()
+        p, whole, some = model.value, set(), set()
 
         def flush() -> pa.RecordBatch:
             w = list(whole)
             for at in range(0, len(w), 50_000):
-                part = w[at : at + 50_000]
-                flat, begin = units_of_words(part, p)
-                times = np.repeat([whole[x] for x in part], np.diff(begin)).tolist()
-                for u, n in zip(flat, times, strict=True):
-                    counts[u] += n
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], schema=arrow)
+                some.update(units_of_words(w[at : at + 50_000], p)[0])
+            out = pa.RecordBatch.from_arrays([pa.array(list(some))], schema=arrow)
             whole.clear()
-            counts.clear()
+            some.clear()
             return out
 
         for batch in batches:
@@ -207,14 +203,14 @@ def count_units(docs: DataFrame, model) -> DataFrame:
                 for t in batch.column(0).slice(at, 256).to_pylist():
                     if t:
                         w = plain_words(t)
-                        (counts if w is None else whole).update(units(t, p) if w is None else w)
-                    if len(whole) + len(counts) > FLUSH:
-                        yield flush()
-        if whole or counts:
+                        (some if w is None else whole).update(units(t, p) if w is None else w)
+                if len(whole) + len(some) > FLUSH:
+                    yield flush()
+        if whole or some:
             yield flush()
         pa.default_memory_pool().release_unused()
 
-    return docs.select("t").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select("t").mapInArrow(run, "unit string").groupBy("unit").agg(F.count("*").alias("n"))
 
 
 def _transitions(edges: DataFrame, model) -> DataFrame:
@@ -395,6 +391,18 @@ def _coder(model, known) -> Coder:
     return got
 
 
+@contextmanager
+def _grouped_by_hash(spark) -> Iterator[None]:
+    """Let a task hold 100,000 units' edges (some 70 MB) before it falls back to sorting all edges; Spark's own limit is 128."""
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text", id_col: str = "doc_id", common: int = COMMON) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip (decoding gives the text back): one row an input row."""
     import public_tokenizers
@@ -405,10 +413,11 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
     kind = dict(docs.dtypes)[id_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    coded = saved(encode_units(count_units(given, model), model))
+    with _grouped_by_hash(spark):
+        coded = saved(encode_units(count_units(given, model), model))
     n_units = coded.count()
     everything = n_units <= common
-    known = spark.sparkContext.broadcast(Known.of(coded if everything else coded.orderBy(F.desc("n"), "unit").limit(common), model))
+    known = spark.sparkContext.broadcast(Known.of(coded if everything else most_frequent(coded, "n", common), model))
     schema = f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean"
 
     def lists(streams: list[np.ndarray]) -> pa.ListArray:
@@ -421,7 +430,7 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
         return {"doc_id": doc_id, "n_tokens": [len(s) for s in streams], "ids": lists(streams), "round_trip": [r for _, _, r in got]}
 
     if everything:
-        return map_batches(given.select("doc_id", "t"), whole, schema, at_most=256)
+        return map_batches(given.select("doc_id", "t"), whole, schema, at_most=512)
 
     def streams(doc_id, th, t):
         return {"doc_id": doc_id, "th": th, "stream": [s for s, _, _ in _coder(model, known).texts(t)]}
