@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of bytes other than ASCII white space: ``bytes.split`` cuts at the same six bytes.
@@ -36,6 +36,19 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """Adds __row, a 64-bit hash of all columns: rows are told apart where ids are null or repeat."""
+    return df.withColumn("__row", F.xxhash64(*(x for c in df.columns for x in (F.col(c).isNull(), F.col(c)))))
+
+
+def keep_first(own: DataFrame, of: DataFrame) -> DataFrame:
+    """One row of the keyed ``own`` for each component of ``of`` (__row, doc_id, component): smallest id, null last, then hash."""
+    first = of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x"))
+    kept = own.join(first.select(F.col("x.__row").alias("__row")), "__row", "left_semi")
+    one = Window.partitionBy("__row").orderBy("__row")
+    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__row")
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id has remainder null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
