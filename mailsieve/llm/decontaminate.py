@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import keyed, map_batches
 
 WIDTH = 5
 CONTAINED = 0.8
@@ -136,6 +136,7 @@ def contained(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no item, all columns kept."""
-    hit = contained(docs, items).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+    """The rows that contain no item, all columns kept; rows of a null or repeated id are judged each by its own text."""
+    own = keyed(docs)
+    hit = contained(own, items, id_col="__row").select(F.col("doc_id").alias("__row")).distinct()
+    return own.join(hit, "__row", "left_anti").select(*docs.columns)

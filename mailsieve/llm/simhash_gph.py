@@ -20,10 +20,10 @@ from math import comb
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_batches, saved, words
+from .common import hash_sample, keep_first, keyed, map_batches, saved, words
 from .components import components
 
 SEED = 42
@@ -140,9 +140,7 @@ def hex16(fp: str):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, one of each component: the row of the smallest id, then text."""
-    of = classes(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    keep = of.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    """The documents, one row of each component: the smallest id (null last), then the smallest row hash."""
+    own = keyed(docs)
+    of = classes(own, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component")).distinct()
+    return keep_first(own, own.select("__row", "doc_id").distinct().join(of, "__row"))
