@@ -30,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, map_batches, most_frequent, saved
@@ -40,6 +40,8 @@ COMMON = 4_000_000
 FLUSH = 300_000
 CACHE = 220_000
 HOLE = 0xFFFF
+#: Characters of a piece, at most, that a packed edge has room for.
+LONGEST = 0x7FF
 
 
 @dataclass
@@ -225,7 +227,8 @@ def _transitions(edges: DataFrame, model) -> DataFrame:
             col = batch.column("edges")
             offsets = np.asarray(col.offsets)
             flat = np.asarray(col.values)[offsets[0] : offsets[-1]].astype(np.int64)
-            e, s, pid = flat >> 40, flat >> 20 & 0xFFFFF, flat & 0xFFFFF
+            e, pid = flat >> 31, flat & 0xFFFFF
+            s = e - (LONGEST - (flat >> 20 & LONGEST))
             size = np.diff(offsets)
             whose = np.repeat(np.arange(len(size)), size)
             stride = int(e.max()) + 2 if len(e) else 1
@@ -257,11 +260,16 @@ aggregate(sequence(1, size(best) - 1), named_struct('at', size(best) - 1, 'ids',
 """
 
 
+def packed(s: Column, l: Column) -> Column:  # noqa: E741
+    """The end and length of an edge, with room for its piece."""
+    return F.shiftleft((s + l).cast("long"), 31) + F.shiftleft((LONGEST - l).cast("long"), 20)
+
+
 def encode_units(distinct: DataFrame, model) -> DataFrame:
     """unit, n, ids of distinct units (unit, n): substrings, equi-join, grouping and the fold.
 
     Units are dealt out by number before they are exploded, so that the edges are grouped where they arise.
-    An edge is packed as end, start and piece in one long, which sorts by end, then start.
+    An edge is packed as end (32 bits), LONGEST less its length (11) and piece (20) in one long, which sorts by end, then start.
     """
     spark, p = distinct.sparkSession, model.value
     table = F.broadcast(spark.createDataFrame(list(p.ids.items()), "piece string, pid long"))  # the model's fixed size
@@ -270,7 +278,7 @@ def encode_units(distinct: DataFrame, model) -> DataFrame:
     dealt = numbered.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid")
     starts = dealt.select("uid", "unit", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("s"))
     cuts = starts.select("uid", "unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(p.longest), F.char_length("unit") - F.col("s")))).alias("l"))
-    edges = cuts.select("uid", F.substr("unit", F.col("s") + 1, F.col("l")).alias("piece"), (F.shiftleft((F.col("s") + F.col("l")).cast("long"), 40) + F.shiftleft(F.col("s").cast("long"), 20)).alias("at"))
+    edges = cuts.select("uid", F.substr("unit", F.col("s") + 1, F.col("l")).alias("piece"), packed(F.col("s"), F.col("l")).alias("at"))
     grouped = edges.join(table, "piece").select("uid", (F.col("at") + F.col("pid")).alias("edge")).groupBy("uid").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     folded = _transitions(grouped, model).withColumn("best", F.expr(FOLD)).select("uid", F.expr(WALK).alias("ids"))
     return numbered.join(folded, "uid").select("unit", "n", "ids")
@@ -304,15 +312,17 @@ class Known:
                 names, ids = batch.column("unit").to_pylist(), batch.column("ids")
                 h, ends = _hashes(names), np.asarray(ids.offsets)
                 wrong = [u for u, own in zip(names, ids.to_pylist(), strict=True) if spell(own, p) != u.replace(SPACE, " ").encode("utf-8", "surrogatepass")]
-                arrays = (h[:, 0].astype(np.uint64), (h[:, 1] >> 32).astype(np.uint32), np.diff(ends).astype(np.uint16), np.asarray(ids.values)[ends[0] : ends[-1]].astype(np.uint16))
+                arrays = (h[:, 0].astype(np.uint64), (h[:, 1] >> 32).astype(np.uint32), np.diff(ends).astype(np.uint32), np.asarray(ids.values)[ends[0] : ends[-1]].astype(np.uint16))
                 yield pa.RecordBatch.from_pydict({k: pa.array([a.tobytes()], pa.binary()) for k, a in zip("hcnf", arrays, strict=True)} | {"w": pa.array([wrong], pa.list_(pa.string()))})
 
         blocks = [tuple(r) for r in coded.select("unit", "ids").mapInArrow(pack, "h binary, c binary, n binary, f binary, w array<string>").toLocalIterator()]
-        h, c, n = (np.frombuffer(b"".join(b[k] for b in blocks), t) for k, t in enumerate((np.uint64, np.uint32, np.uint16)))
+        h, c, n = (np.frombuffer(b"".join(b[k] for b in blocks), t) for k, t in enumerate((np.uint64, np.uint32, np.uint32)))
         flat, wrong = b"".join(b[3] for b in blocks), frozenset(u for b in blocks for u in b[4])
         del blocks
-        starts = np.zeros(len(n), np.uint32)
-        np.cumsum(n[:-1], dtype=np.uint32, out=starts[1:])
+        starts = np.zeros(len(n), np.uint32 if len(flat) // 2 < 1 << 32 else np.uint64)
+        np.cumsum(n[:-1], dtype=starts.dtype, out=starts[1:])
+        if not len(n) or n.max() < 1 << 16:  # as nearly always: half the memory
+            n = n.astype(np.uint16)
         order = np.argsort(h)
         return Known(h[order], c[order], starts[order], n[order], flat, wrong)
 
