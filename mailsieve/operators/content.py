@@ -38,7 +38,7 @@ def char_entropy(c: Column) -> Column:
 
 def screen(df: DataFrame, text: str = "body") -> DataFrame:
     """Adds risks (array of kind, detail), entropy and verdict: blocked, suspicious or clean."""
-    c = F.substring(F.col(text), 1, 65536)
+    c = F.col(text)
     # each form is a column of its own, so that it is computed once a row
     made = {"__n": T.normalise(c, True), "__s": T.normalise_spaced(c, True), "__bare": T.strip_emoji(c), "__tags": T.tag_payload(c), "__b64": T.decode_base64_tokens(c), "__ent": T.decode_entities(c)}
     df = df.withColumns(made)
@@ -65,7 +65,7 @@ def screen(df: DataFrame, text: str = "body") -> DataFrame:
 
 def audit(df: DataFrame, text: str = "body") -> DataFrame:
     """Adds the findings of the output audit as flags, and safe."""
-    c = F.substring(F.col(text), 1, 262144)
+    c = F.col(text)
     low = T.normalise(c, screener=True)
     words = F.split(low, r"\s+")
     edge = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -92,7 +92,6 @@ def preflight(df: DataFrame, text: str = "body") -> DataFrame:
 
 def memory_score(source: Column, content: Column) -> Column:
     """Trust of a memory write: base by source, less 0.2 a pattern that is not negated and 0.2 over 500 bytes."""
-    content = F.substring(content, 1, 8192)
     count = lambda form, p: F.regexp_count(form, F.lit(rf"\Q{p}\E(?!{'|'.join(lx.MEMORY_NEGATIONS)})"))
     a, b = T.both_forms(content)
     hits = sum((F.greatest(count(a, p), count(b, p)) for p in lx.MEMORY_PATTERNS[1:]), F.greatest(count(a, lx.MEMORY_PATTERNS[0]), count(b, lx.MEMORY_PATTERNS[0])))
@@ -188,7 +187,7 @@ def wallets(df: DataFrame, key: str, text: str = "body") -> DataFrame:
 
 def redact(c: Column) -> Column:
     """Card numbers, mail local parts, bearer tokens and phone numbers taken out, in this order."""
-    c = F.translate(F.substring(c, 1, 65536), lx.FULL_WIDTH, lx.HALF_WIDTH)
+    c = F.translate(c, lx.FULL_WIDTH, lx.HALF_WIDTH)
     c = F.regexp_replace(c, r"(?:[ -]*[0-9]){16}|(?:[ -]*[0-9]){13,15}[ -]*", "[REDACTED-CC]")
     c = F.regexp_replace(c, r"([A-Za-z0-9][A-Za-z0-9._-]{2})[A-Za-z0-9._-]+@", "$1***@")
     c = F.regexp_replace(c, r"Bearer \S*", "Bearer [REDACTED]")

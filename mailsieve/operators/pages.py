@@ -33,7 +33,7 @@ HIDDEN = [f"{p}{m}" for p, v in (("display", "none"), ("visibility", "hidden"),
 
 def smuggling(df: DataFrame, html: str = "html") -> DataFrame:
     """Adds one flag a signal, n_signals and risk: clean, caution, high or critical."""
-    df = df.withColumn("__low", F.lower(F.substring(F.col(html), 1, 4 * 1024 * 1024)))
+    df = df.withColumn("__low", F.lower(F.col(html)))
     low = F.col("__low")
     made_link = T.any_of(low, ['createelement("a")', "createelement('a')", "createelement(`a`)"])
     comments = F.regexp_extract_all(html, F.lit(r"(?s)(<!--.*?(?:-->|$))"), 1)
@@ -76,7 +76,7 @@ def tracking_pixels(df: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 def svg(df: DataFrame, content: str = "content") -> DataFrame:
     """Adds flags of the SVG risks and safe (nothing that executes or injects)."""
-    df = df.withColumn("__c", F.substring(F.col(content), 1, 524288)).withColumn("__low", F.lower("__c"))
+    df = df.withColumn("__c", F.col(content)).withColumn("__low", F.lower("__c"))
     low = F.col("__low")
     visible = F.array_join(
         F.concat(

@@ -16,7 +16,6 @@ from . import links as L
 HIGH_RISK_CODES = ["first_contact_high_risk", "high_risk_pivot", "high_risk_topic"]
 THREAD_CODES = ["unknown_parent", "domain_changed", "high_risk_topic"]
 SCHEMA = ["msg_id", "family", "code", "contribution"]
-MAX_LINKS = 200
 
 
 def _explode(df: DataFrame, signals: list[tuple[str, str, Column, Column | float]]) -> DataFrame:
@@ -49,9 +48,8 @@ def domain_signals(m: DataFrame, ours: str, contacts: list[str]) -> DataFrame:
 
 
 def link_signals(m: DataFrame) -> DataFrame:
-    """A signal for every risky link up to the first dangerous one, among the first 200."""
-    u = L.urls(m, "msg_id").withColumn("k", F.row_number().over(Window.partitionBy("msg_id").orderBy("pos"))).where(F.col("k") <= MAX_LINKS)
-    u = L.with_proxy_score(u).withColumn("verdict", L.proxy_verdict(F.col("score"))).where("verdict <> 'safe'")
+    """A signal for every risky link up to the first dangerous one."""
+    u = L.with_proxy_score(L.urls(m, "msg_id")).withColumn("verdict", L.proxy_verdict(F.col("score"))).where("verdict <> 'safe'")
     before = F.max((F.col("verdict") == "dangerous").cast("int")).over(Window.partitionBy("msg_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     u = u.withColumn("over", F.coalesce(before, F.lit(0))).where("over = 0")
     return u.select("msg_id", F.lit("domain").alias("family"), F.lit("proxy_link").alias("code"), F.when(F.col("verdict") == "dangerous", 0.70).otherwise(0.20).alias("contribution"))
