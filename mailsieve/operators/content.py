@@ -43,6 +43,7 @@ def screen(df: DataFrame, text: str = "body") -> DataFrame:
     made = {"__n": T.normalise(c, True), "__s": T.normalise_spaced(c, True), "__bare": T.strip_emoji(c), "__tags": T.tag_payload(c), "__b64": T.decode_base64_tokens(c), "__ent": T.decode_entities(c)}
     df = df.withColumns(made)
     df = df.withColumns({"__bn": T.normalise(F.col("__bare"), True), "__bs": T.normalise_spaced(F.col("__bare"), True), "__low": F.lower("__ent")})
+    df = df.withColumn("__eb64", F.when(F.contains(c, F.lit("&")) & (F.col("__ent") != c), T.decode_base64_tokens(F.col("__ent"))))
     forms = [F.col("__n"), F.col("__s")]
     kind = lambda name, hits: F.transform(hits, lambda h: F.struct(F.lit(name).alias("kind"), h.alias("detail")))
     phrases = [p.lower() for p in lx.OVERRIDE_PHRASES]
@@ -50,6 +51,7 @@ def screen(df: DataFrame, text: str = "body") -> DataFrame:
     in_decoded = lambda a: F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.exists(a, lambda d: F.contains(F.lower(d), p)))
     none = F.array().cast("array<string>")
     first = lambda a: F.slice(a, 1, 1)
+    chained = F.coalesce(F.when(F.size(in_decoded(decoded)) == 0, first(in_decoded(F.col("__eb64")))), none)  # entities, then base64
     risks = F.concat(
         kind("override_phrase", T.hits_of(forms, phrases)),
         kind("special_token", T.hits_of(forms[0], [t.lower() for t in lx.SPECIAL_TOKENS])),
@@ -57,10 +59,11 @@ def screen(df: DataFrame, text: str = "body") -> DataFrame:
         kind("base64", F.when(F.size(decoded) > 0, first(in_decoded(decoded))).otherwise(none)),
         kind("tag_payload", F.array_compact(F.array(hidden))),
         kind("entity", F.when(F.contains(c, F.lit("&")) & (entities != c), first(T.hits_of(F.col("__low"), phrases))).otherwise(none)),
+        kind("base64", chained),
     )
     out = df.withColumn("risks", risks).withColumn("entropy", char_entropy(c))
     high = (F.col("entropy") > 4.5) & (F.octet_length(c) > 40)
-    return out.withColumn("verdict", F.when(F.size("risks") > 0, "blocked").when(high, "suspicious").otherwise("clean")).drop(*made, "__bn", "__bs", "__low")
+    return out.withColumn("verdict", F.when(F.size("risks") > 0, "blocked").when(high, "suspicious").otherwise("clean")).drop(*made, "__bn", "__bs", "__low", "__eb64")
 
 
 def audit(df: DataFrame, text: str = "body") -> DataFrame:
