@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the cluster names none."""
+    """The folder all executors share. A folder of our own is taken in local mode only, where one machine does all."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='mailsieve-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -36,8 +42,15 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reserve(df: DataFrame, *names: str) -> None:
+    """Refuse a table that has a column of a name which an operator needs for itself; case does not count."""
+    if taken := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"rename the columns {sorted(taken)}: these names are reserved")
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """Adds __row, a 64-bit hash of all columns: rows are told apart where ids are null or repeat."""
+    reserve(df, "__row", "__n")
     return df.withColumn("__row", F.xxhash64(*(x for c in df.columns for x in (F.col(c).isNull(), F.col(c)))))
 
 
@@ -59,17 +72,81 @@ def fold_flag(doc_id: Column, n: int, remainder: int) -> Column:
     return F.coalesce(crc_mod(doc_id, n) == remainder, F.lit(False))
 
 
-def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, at_most: int = 2048) -> DataFrame:
+#: What workers keep between batches, by name; emptied when a worker turns to another function's tasks.
+caches: dict[str, dict] = {}
+_owner: list[str] = []
+
+
+def cache(name: str) -> dict:
+    return caches.setdefault(name, {})
+
+
+def begin_task(owner: str) -> None:
+    if _owner != [owner]:
+        for kept in caches.values():
+            kept.clear()
+        _owner[:] = [owner]
+
+
+def end_task() -> None:
+    """Workers live on; the memory that this task no longer needs goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, at_most: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of ``at_most`` rows and ``most_bytes`` bytes of text at most; a longer row comes alone."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+        elif pa.types.is_list(column.type):
+            size += 16 * np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right"))
+        end = min(batch.num_rows, at + at_most, max(at + 1, full))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+BATCH_BYTES, SPARK_BATCH_BYTES = "4m", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB, where the session has Spark's own 64 MB: several are in memory at a time on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == SPARK_BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def strings(column: pa.Array) -> list:
+    """The same as ``to_pylist`` for texts, several times as fast."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, at_most: int = 2048, most_bytes: int = 4_000_000) -> DataFrame:
     """Apply ``fn(*column lists) -> dict of column lists`` to bounded slices of each Arrow batch, without a shuffle."""
+    return map_arrays(df, lambda *columns: fn(*(c.to_pylist() for c in columns)), schema, at_most, most_bytes)
+
+
+def map_arrays(df: DataFrame, fn: Callable[..., dict], schema: str, at_most: int = 2048, most_bytes: int = 4_000_000) -> DataFrame:
+    """The same for a function of Arrow arrays."""
     spark = df.sparkSession
+    small_batches(spark)
     arrow = _arrow_schema(spark, schema)
+    owner = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(owner)
         for batch in batches:
-            for at in range(0, batch.num_rows, at_most):
-                out = fn(*(c.to_pylist() for c in batch.slice(at, at_most).columns))
+            for part in slices(batch, at_most, most_bytes):
+                out = fn(*part.columns)
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
-        pa.default_memory_pool().release_unused()  # workers live on; what this task no longer needs goes back
+        end_task()
 
     return df.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, map_batches
+from .common import cache, keyed, map_batches
 
 WIDTH = 5
 CONTAINED = 0.8
@@ -32,7 +32,7 @@ BLOCK_BYTES = 8_000_000
 MARKS = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
 MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(1, WIDTH + 1)], np.uint64)
 FILTER = 1 << 20
-_numbers: dict[bytes, int] = {}
+_numbers: dict[bytes, int] = cache("numbers")
 
 
 def tokens(text: str | None) -> list[bytes]:

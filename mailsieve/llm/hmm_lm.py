@@ -19,14 +19,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, map_batches, most_frequent, saved, words
+from .common import _arrow_schema, begin_task, cache, end_task, map_batches, most_frequent, saved, words
 
 TOP, BUCKETS, COMMON = 4096, 256, 262_144
 STATES, STEPS, SEGMENT = 4, 3, 512
@@ -71,9 +70,13 @@ class Lexicon:
     bucket_log: np.ndarray  # log10 of N_b + V_b + 1
 
 
-@lru_cache(maxsize=1)
+_kept: dict = cache("ranks")
+
+
 def _ranks(blob: bytes) -> dict[bytes, int]:
-    return {w: i for i, w in enumerate(blob.split(b"\n"))} if blob else {}
+    if _kept.get("blob") is not blob:
+        _kept.update(blob=blob, ranks={w: i for i, w in enumerate(blob.split(b"\n"))} if blob else {})
+    return _kept["ranks"]
 
 
 def lexicon(counts: DataFrame) -> Lexicon:

@@ -22,24 +22,27 @@ model's own library.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, map_batches, most_frequent, saved
+from .common import _arrow_schema, begin_task, cache, end_task, map_arrays, map_batches, most_frequent, saved, slices, small_batches, strings
 
 SPACE = "▁"
 COMMON = 4_000_000
 FLUSH = 300_000
 CACHE = 220_000
 HOLE = 0xFFFF
+BPE = 2
 #: Characters of a piece, at most, that a packed edge has room for.
 LONGEST = 0x7FF
 
@@ -72,10 +75,41 @@ def _merge(symbols: list[str], rank: dict[str, int]) -> tuple[list[str], tuple[s
         symbols = [*symbols[:k], symbols[k] + symbols[k + 1], *symbols[k + 2 :]]
 
 
+def _varint(raw: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value, shift, at = value | (raw[at] & 0x7F) << shift, shift + 7, at + 1
+        if raw[at - 1] < 0x80:
+            return value, at
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
+    """Numbers and values of the fields of a serialised model."""
+    at = 0
+    while at < len(raw):
+        tag, at = _varint(raw, at)
+        if tag & 7 == 0:
+            value, at = _varint(raw, at)
+        else:
+            size, at = _varint(raw, at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = raw[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def model_type(model: bytes) -> int:
+    """What the trainer's part of the model (field 2) says of its type (field 3); a model that says nothing is a unigram model."""
+    for number, part in _fields(model):
+        if number == 2:
+            return next((value for k, value in _fields(part) if k == 3), 1)
+    return 1
+
+
 def load(model: bytes) -> Pieces:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    if model_type(model) != BPE or sp.get_piece_size() > HOLE:
+        raise ValueError(f"the model is not of the merging (BPE) type with at most {HOLE} pieces")
     plain = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
     bytes_ = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
     rank = {p: k for k, p in enumerate(sorted((p for p in plain if len(p) > 1), key=lambda p: (-sp.get_score(plain[p]), plain[p])))}
@@ -151,11 +185,11 @@ def units(text: str | None, p: Pieces) -> list[str]:
     return [t[x:y] for x, y in zip(edges, edges[1:], strict=False)]
 
 
-def plain_words(text: str) -> list[str] | None:
-    """Words between single spaces, which can be cut apart from each other; None if spaces meet or lead or trail,
-    or if the text holds the mark itself."""
-    w = text.split(" ")
-    return None if "" in w or SPACE in text else w
+def _irregular(t: pa.Array) -> pa.Array:
+    """Whether spaces meet, lead or trail in a text, or it holds the mark itself; other texts are words between single
+    spaces, which can be cut apart from each other."""
+    tests = (pc.starts_with(t, " "), pc.ends_with(t, " "), pc.match_substring(t, "  "), pc.match_substring(t, SPACE))
+    return reduce(pc.or_, tests)
 
 
 def units_of_words(w: list[str], p: Pieces) -> tuple[list[str], list[int]]:
@@ -170,7 +204,7 @@ def units_of_words(w: list[str], p: Pieces) -> tuple[list[str], list[int]]:
     return [t[x:y] for x, y in zip(edges, edges[1:], strict=False)], at.tolist()
 
 
-_class_tables: dict[int, np.ndarray] = {}
+_class_tables: dict[int, np.ndarray] = cache("classes")
 
 
 def _classes(p: Pieces) -> np.ndarray:
@@ -189,6 +223,7 @@ def count_units(docs: DataFrame, model) -> DataFrame:
     arrow = _arrow_schema(docs.sparkSession, "unit string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(owner)
         p, whole, some = model.value, set(), set()
 
         def flush() -> pa.RecordBatch:
@@ -201,17 +236,20 @@ def count_units(docs: DataFrame, model) -> DataFrame:
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for t in batch.column(0).slice(at, 256).to_pylist():
-                    if t:
-                        w = plain_words(t)
-                        (some if w is None else whole).update(units(t, p) if w is None else w)
+            for part in slices(batch, 2048, 4_000_000):
+                t = pc.fill_null(part.column(0), "")
+                odd = _irregular(t)
+                for x in t.filter(odd).to_pylist():
+                    some.update(units(x, p))
+                whole.update(strings(pc.unique(pc.split_pattern(t.filter(pc.invert(odd)), " ").flatten())))
+                whole.discard("")
                 if len(whole) + len(some) > FLUSH:
                     yield flush()
         if whole or some:
             yield flush()
-        pa.default_memory_pool().release_unused()
+        end_task()
 
+    owner = uuid.uuid4().hex
     return docs.select("t").mapInArrow(run, "unit string").groupBy("unit").agg(F.count("*").alias("n"))
 
 
@@ -292,39 +330,35 @@ def _hashes(names: list[str]) -> np.ndarray:
 
 @dataclass
 class Known:
-    """Frequent units: sorted hashes with checks, where their ids lie in one long string, and units whose ids do not
-    decode to them (none, unless a text holds the model's own mark)."""
+    """Frequent units: sorted hashes with checks, and where their ids lie in one long string."""
 
     hashes: np.ndarray
     checks: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
     flat: bytes
-    wrong: frozenset[str]
 
     @staticmethod
-    def of(coded: DataFrame, model) -> Known:
-        """Hashed and decoded by the tasks; the driver receives some 20 bytes a unit, block by block."""
+    def of(coded: DataFrame) -> Known:
+        """Hashed by the tasks; the driver receives some 20 bytes a unit, block by block."""
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = model.value
             for batch in batches:
-                names, ids = batch.column("unit").to_pylist(), batch.column("ids")
-                h, ends = _hashes(names), np.asarray(ids.offsets)
-                wrong = [u for u, own in zip(names, ids.to_pylist(), strict=True) if spell(own, p) != u.replace(SPACE, " ").encode("utf-8", "surrogatepass")]
+                h, ids = _hashes(strings(batch.column("unit"))), batch.column("ids")
+                ends = np.asarray(ids.offsets)
                 arrays = (h[:, 0].astype(np.uint64), (h[:, 1] >> 32).astype(np.uint32), np.diff(ends).astype(np.uint32), np.asarray(ids.values)[ends[0] : ends[-1]].astype(np.uint16))
-                yield pa.RecordBatch.from_pydict({k: pa.array([a.tobytes()], pa.binary()) for k, a in zip("hcnf", arrays, strict=True)} | {"w": pa.array([wrong], pa.list_(pa.string()))})
+                yield pa.RecordBatch.from_pydict({k: pa.array([a.tobytes()], pa.binary()) for k, a in zip("hcnf", arrays, strict=True)})
 
-        blocks = [tuple(r) for r in coded.select("unit", "ids").mapInArrow(pack, "h binary, c binary, n binary, f binary, w array<string>").toLocalIterator()]
+        blocks = [tuple(r) for r in coded.select("unit", "ids").mapInArrow(pack, "h binary, c binary, n binary, f binary").toLocalIterator(prefetchPartitions=True)]
         h, c, n = (np.frombuffer(b"".join(b[k] for b in blocks), t) for k, t in enumerate((np.uint64, np.uint32, np.uint32)))
-        flat, wrong = b"".join(b[3] for b in blocks), frozenset(u for b in blocks for u in b[4])
+        flat = b"".join(b[3] for b in blocks)
         del blocks
         starts = np.zeros(len(n), np.uint32 if len(flat) // 2 < 1 << 32 else np.uint64)
         np.cumsum(n[:-1], dtype=starts.dtype, out=starts[1:])
         if not len(n) or n.max() < 1 << 16:  # as nearly always: half the memory
             n = n.astype(np.uint16)
         order = np.argsort(h)
-        return Known(h[order], c[order], starts[order], n[order], flat, wrong)
+        return Known(h[order], c[order], starts[order], n[order], flat)
 
     def find(self, names: list[str]) -> list[bytes | None]:
         if not len(self.hashes) or not names:
@@ -340,14 +374,31 @@ class Known:
         return [flat[a:b] if y else None for a, b, y in zip(begin.tolist(), end.tolist(), hit.tolist(), strict=True)]
 
 
+@dataclass
+class Streams:
+    """Ids of texts end to end, how many each text has, and the units that stand at its holes, in order."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    rare: dict[int, list[str]]
+
+    def ends(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.sizes)])
+
+
 class Coder:
     """Ids of units and words, from the shared table, with a bounded cache; units it lacks become holes."""
 
     def __init__(self, p: Pieces, known: Known):
         self.p, self.known = p, known
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         self.rare: dict[str, tuple[str, ...]] = {}
-        self.wrong: set[str] = set()
+        spelt = [b""] * (max(*p.ids.values(), *p.bytes_.values()) + 1)
+        for piece, i in p.ids.items():
+            spelt[i] = piece.replace(SPACE, " ").encode()
+        for b, i in p.bytes_.items():
+            spelt[i] = bytes([b])
+        self.spelt = pa.array(spelt, pa.binary())
 
     def ids(self, names: list[str]) -> list[bytes | None]:
         """Ids of every unit; lone characters without a piece become byte pieces, other unknown units None."""
@@ -359,7 +410,7 @@ class Coder:
         return out
 
     def learn(self, fresh: list[str]) -> None:
-        """Put words into the cache, with their holes and whether decoding fails to give them back."""
+        """Put words into the cache, with their holes."""
         flat, begin = units_of_words(fresh, self.p)
         coded, hole = self.ids(flat), np.uint16(HOLE).tobytes()
         if None in coded:
@@ -368,29 +419,45 @@ class Coder:
                     self.rare[w] = tuple(u for u, x in zip(flat[a:b], coded[a:b], strict=True) if x is None)
             coded = [hole if x is None else x for x in coded]
         self.words.update((w, coded[a] if b - a == 1 else b"".join(coded[a:b])) for w, a, b in zip(fresh, begin, begin[1:], strict=False))
-        if self.known.wrong:
-            self.wrong.update(w for w, a, b in zip(fresh, begin, begin[1:], strict=False) if not self.known.wrong.isdisjoint(flat[a:b]))
 
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[str], bool]]:
-        """The stream of every text, its holes in order, and whether its known units decode to the text."""
-        split = [plain_words(t) if t else [] for t in texts]
+    def texts(self, t: pa.Array) -> Streams:
+        """Streams of a slice of texts. Its words are numbered by Arrow; only distinct words are looked up one by one."""
+        t = pc.fill_null(t, "")
+        odd = np.asarray(_irregular(t))
+        words = pc.split_pattern(pc.if_else(pa.array(odd), "", t), " ")
+        coded = words.flatten().dictionary_encode()
+        names, at, offsets = strings(coded.dictionary), np.asarray(coded.indices), np.asarray(words.offsets) - words.offsets[0].as_py()
         if len(self.words) > CACHE:
-            self.words.clear()
-            self.rare.clear()
-            self.wrong.clear()
-        self.learn(list(set().union(*(s for s in split if s)).difference(self.words)))
-        hole = np.uint16(HOLE).tobytes()
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                g = units(t, self.p)
-                own = self.ids(g)
-                yield b"".join([hole if x is None else x for x in own]), [u for u, x in zip(g, own, strict=True) if x is None], self.known.wrong.isdisjoint(g) and SPACE not in t
-            else:
-                rare = [u for w in s if w in self.rare for u in self.rare[w]] if self.rare else []
-                yield b"".join(map(self.words.__getitem__, s)), rare, not (self.wrong and self.wrong.intersection(s))
-
-
-_coders: dict[int, Coder] = {}
+            known = self.words
+            self.words = {w: known[w] for w in names if w in known} | {"": b""}  # what this slice needs stays
+            self.rare = {w: u for w, u in self.rare.items() if w in self.words}
+        self.learn([w for w in names if w not in self.words])
+        parts = pa.array(list(map(self.words.__getitem__, names)), pa.binary()).take(coded.indices)
+        ends = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1] // 2
+        ids, sizes = np.frombuffer(parts.buffers()[2] or b"", np.uint16)[: ends[-1]], np.diff(ends[offsets]).astype(np.int64)
+        rare: dict[int, list[str]] = {}
+        if self.rare:
+            for k in np.flatnonzero(np.array([w in self.rare for w in names], bool)[at]).tolist():
+                rare.setdefault(int(np.searchsorted(offsets, k, "right")) - 1, []).extend(self.rare[names[at[k]]])
+        if odd.any():
+            pieces, last, doc_ends = [], 0, np.cumsum(sizes)
+            for d in np.flatnonzero(odd).tolist():
+                own = self.ids(g := units(t[d].as_py(), self.p))
+                if None in own:
+                    rare[d] = [u for u, x in zip(g, own, strict=True) if x is None]
+                coded_ = np.frombuffer(b"".join([np.uint16(HOLE).tobytes() if x is None else x for x in own]), np.uint16)
+                pieces += [ids[last : doc_ends[d]], coded_]
+                last, sizes[d] = doc_ends[d], len(coded_)
+            ids = np.concatenate([*pieces, ids[last:]])
+        return Streams(ids, sizes, rare)
+
+    def decode(self, s: Streams) -> pa.Array:
+        """Bytes of every stream, with the leading mark as a space."""
+        spelt = self.spelt.take(pa.array(s.ids.astype(np.int32)))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(s.ends(), pa.int32()), spelt), b"")
+
+
+_coders: dict[int, Coder] = cache("coders")
 
 
 def _coder(model, known) -> Coder:
@@ -418,6 +485,7 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
     import public_tokenizers
 
     spark = docs.sparkSession
+    small_batches(spark)
     with open(model_path or public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = spark.sparkContext.broadcast(_loaded(f.read()))  # the model's pieces, of a fixed size
     kind = dict(docs.dtypes)[id_col]
@@ -427,28 +495,31 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
         coded = saved(encode_units(count_units(given, model), model))
     n_units = coded.count()
     everything = n_units <= common
-    known = spark.sparkContext.broadcast(Known.of(coded if everything else most_frequent(coded, "n", common), model))
+    known = spark.sparkContext.broadcast(Known.of(coded if everything else most_frequent(coded, "n", common)))
     schema = f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean"
 
-    def lists(streams: list[np.ndarray]) -> pa.ListArray:
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *streams]).astype(np.int32)))
+    def lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
 
     def whole(doc_id, t):
-        got = list(_coder(model, known).texts(t))
-        streams = [np.frombuffer(s, np.uint16) for s, _, _ in got]
-        return {"doc_id": doc_id, "n_tokens": [len(s) for s in streams], "ids": lists(streams), "round_trip": [r for _, _, r in got]}
+        c = _coder(model, known)
+        s = c.texts(t)
+        marked = pc.binary_join_element_wise(pa.array([b" "] * len(t), pa.binary()), t.cast(pa.binary()), pa.array([b""] * len(t), pa.binary()))
+        return {"doc_id": doc_id, "n_tokens": pa.array(s.sizes), "ids": lists(s.ids, s.ends()), "round_trip": pc.equal(c.decode(s), pc.if_else(pc.equal(t, ""), pa.scalar(b"", pa.binary()), marked))}
 
     if everything:
-        return map_batches(given.select("doc_id", "t"), whole, schema, at_most=512)
+        return map_arrays(given.select("doc_id", "t"), whole, schema)
 
     def streams(doc_id, th, t):
-        return {"doc_id": doc_id, "th": th, "stream": [s for s, _, _ in _coder(model, known).texts(t)]}
+        s = _coder(model, known).texts(t)
+        ends = (2 * s.ends()).tolist()
+        raw = s.ids.tobytes()
+        return {"doc_id": doc_id, "th": th, "stream": [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]}
 
     def holes(doc_id, th, t):
         out = {"doc_id": [], "th": [], "k": [], "unit": []}
-        for i, h, (_, rare, _) in zip(doc_id, th, _coder(model, known).texts(t), strict=True):
-            for name, v in (("doc_id", [i] * len(rare)), ("th", [h] * len(rare)), ("k", range(len(rare))), ("unit", rare)):
+        for d, rare in sorted(_coder(model, known).texts(t).rare.items()):
+            for name, v in (("doc_id", [doc_id[d].as_py()] * len(rare)), ("th", [th[d].as_py()] * len(rare)), ("k", range(len(rare))), ("unit", rare)):
                 out[name] += v
         return out
 
@@ -462,16 +533,17 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
                 a = np.concatenate([cuts[0], *(z for piece, c in zip(pieces, cuts[1:], strict=True) for z in (piece, c[1:]))])
             ids.append(a)
             same.append(xxhash.xxh64_intdigest(decode(a.tolist(), p).encode("utf-8", "surrogatepass"), 42) == h % (1 << 64))
-        return {"doc_id": doc_id, "n_tokens": [len(a) for a in ids], "ids": lists(ids), "round_trip": same}
+        sizes = [len(a) for a in ids]
+        return {"doc_id": doc_id, "n_tokens": sizes, "ids": lists(np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([[0], np.cumsum(sizes)])), "round_trip": same}
 
-    main = map_batches(given, streams, f"doc_id {kind}, th long, stream binary", at_most=256)
-    rare = map_batches(given, holes, f"doc_id {kind}, th long, k int, unit string", at_most=256)
+    main = map_arrays(given, streams, f"doc_id {kind}, th long, stream binary")
+    rare = map_arrays(given, holes, f"doc_id {kind}, th long, k int, unit string")
     filled = rare.join(coded.select("unit", "ids"), "unit").groupBy(F.col("doc_id").alias("i"), F.col("th").alias("h")).agg(F.collect_set(F.struct("k", "ids")).alias("parts"))
     joined = main.join(filled, main["doc_id"].eqNullSafe(filled["i"]) & main["th"].eqNullSafe(filled["h"]), "left").select("doc_id", "th", "stream", "parts")
     return map_batches(joined, finish, schema, at_most=256)
 
 
-_spelt: dict[int, list[bytes]] = {}
+_spelt: dict[int, list[bytes]] = cache("spelt")
 
 
 def spell(ids: list[int], p: Pieces) -> bytes:

@@ -7,22 +7,25 @@ the sum-of-squares identity, so scoring is linear in the features. Gradients are
 summed; only parameters of a fixed size pass through the driver.
 
 Defined results: a null text counts as empty; an empty text is scored from its (empty) statistics; null
-metadata falls into a bin of its own; repeated rows get equal scores; an empty table gives an empty result;
+or infinite metadata falls into a bin of its own; repeated rows get equal scores; an empty table gives an empty result;
 without any labelled row, or with one class alone, the bias alone is learnt. Further input columns, whatever
 their names, are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, map_batches, saved
+from .common import begin_task, bounded_labels, end_task, map_batches, saved, slices, small_batches
 
 WORD_BITS = 15
 BIN_SLOTS = 1024  # one-hot bins live behind the word buckets
@@ -71,7 +74,7 @@ def vector(text: str | None, meta: tuple) -> tuple[np.ndarray, np.ndarray]:
     val /= max(1e-9, np.sqrt((val * val).sum()))
     stats = structure(raw, tokens, counts)
     levels = [min(BINS - 2, int(np.sqrt(min(1.0, max(0.0, s))) * (BINS - 2))) for s in stats]
-    levels += [BINS - 1 if m is None else min(BINS - 2, max(0, int(np.log2(abs(float(m)) + 1) * 0.6))) for m in meta]
+    levels += [BINS - 1 if m is None or not np.isfinite(m) else min(BINS - 2, max(0, int(np.log2(abs(float(m)) + 1) * 0.6))) for m in meta]
     bins = [(1 << WORD_BITS) + (k * BINS + v) % BIN_SLOTS for k, v in enumerate(levels)]
     return np.array(idx + bins, np.int32), np.concatenate([val, np.full(len(bins), 0.3)]).astype(np.float32)
 
@@ -102,10 +105,11 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         got = [vector(x, m) for x, m in zip(t, zip(*meta, strict=True) if meta else [()] * len(t), strict=True)]
         return {"label": label, "idx": [i.tobytes() for i, _ in got], "val": [v.tobytes() for _, v in got]}
 
-    feats = saved(map_batches(rows, featurise, "label int, idx binary, val binary").coalesce(8))
+    # a shuffle of the few labelled rows, so that the scan before it keeps all its tasks
+    feats = saved(map_batches(rows, featurise, "label int, idx binary, val binary").repartition(8))
     n_of = {r["label"]: r["n"] for r in feats.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n_of) < 2:
-        model.bias = 0.0 if not n_of else (4.0 if 1 in n_of else -4.0)
+        model.bias, model.factors = 0.0 if not n_of else (4.0 if 1 in n_of else -4.0), np.zeros_like(model.factors)
         return model
     total = sum(n_of.values())
     weight = {k: total / (2 * n) for k, n in n_of.items()}
@@ -116,8 +120,6 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         now = spark.sparkContext.broadcast(Model(float(params[0][0]), params[1].astype(np.float32), params[2].astype(np.float32)))
 
         def gradient(batches, now=now):
-            import pyarrow as pa
-
             m, g0, g1, g2 = now.value, 0.0, np.zeros(SIZE), np.zeros((SIZE, RANK))
             for b in batches:
                 label, idx, val = (c.to_pylist() for c in b.columns)
@@ -146,21 +148,36 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     return Model(float(params[0][0]), params[1].astype(np.float32), params[2].astype(np.float32))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", meta_cols: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: id, the columns in ``keep``, score, predicted. A narrow pass; whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    out = {"doc_id": fields[id_col]} | {c: fields[c] for c in keep if c not in ("doc_id", "score", "predicted")}
-    schema = ", ".join(f"`{c}` {t}" for c, t in out.items()) + ", score double, predicted int"
-    given = docs.select(F.col(text_col).alias("__t"), *(F.col(c).cast("double").alias(f"__m{i}") for i, c in enumerate(meta_cols)), *(F.col(id_col if c == "doc_id" else c) for c in out))
-    n_meta = len(meta_cols)
+def score_column(spark: SparkSession, model: Model, text: Column, *meta: Column) -> Column:
+    """The score of a whole text as a column; only the text and the metadata go to Python, all else stays in the JVM."""
+    shared = spark.sparkContext.broadcast(model)
+    small_batches(spark)
 
-    def run(t, *rest):
-        meta, kept = rest[:n_meta], rest[n_meta:]
-        vectors = [vector(x, m) for x, m in zip(t, zip(*meta, strict=True) if meta else [()] * len(t), strict=True)]
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        t, *m = (c.to_pylist() for c in batch.columns)
+        vectors = [vector(x, y) for x, y in zip(t, zip(*m, strict=True) if m else [()] * len(t), strict=True)]
         starts = np.concatenate([[0], np.cumsum([len(i) for i, _ in vectors])[:-1]]).astype(np.int64)
         z = _raw_scores(shared.value, np.concatenate([i for i, _ in vectors]), np.concatenate([v for _, v in vectors]), starts)[0]
-        p = _sigmoid(z.astype(np.float64))
-        return dict(zip(out, kept, strict=True)) | {"score": p.tolist(), "predicted": (p >= 0.5).astype(int).tolist()}
+        return _sigmoid(z.astype(np.float64))
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        begin_task(owner)
+        for given in batches:
+            columns = [given] if isinstance(given, pa.Array) else given  # one column alone comes without a tuple
+            batch = pa.RecordBatch.from_arrays(list(columns), [str(k) for k in range(len(columns))])
+            yield pa.array(np.concatenate([np.zeros(0), *(of(part) for part in slices(batch, 512, 2_000_000))]))
+        end_task()
+
+    owner = uuid.uuid4().hex
+    return F.arrow_udf(run, "double")(text, *(c.cast("double") for c in meta))
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", meta_cols: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score, predicted: one row an input row, in a narrow pass over whole texts."""
+    p = score_column(docs.sparkSession, model, F.col(text_col), *(F.col(c) for c in meta_cols))
+    return docs.select(F.col(id_col).alias("doc_id"), p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
 
-    return map_batches(given, run, schema, at_most=1024)
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", meta_cols: tuple[str, ...] = ()) -> DataFrame:
+    """The rows that score 0.5 or more, with their own columns alone, whatever these are named."""
+    return docs.where(score_column(docs.sparkSession, model, F.col(text_col), *(F.col(c) for c in meta_cols)) >= 0.5)

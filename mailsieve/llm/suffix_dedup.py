@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, map_batches, saved
+from .common import _arrow_schema, cache, map_batches, reserve, saved, slices
 
 LENGTH = 200
 GRAM = 32
@@ -47,9 +46,17 @@ BASE = 0x9E3779B97F4A7C15
 CODES = np.random.default_rng(11).integers(1, 1 << 63, 256).astype(np.uint64) | np.uint64(1)
 
 
-@lru_cache(maxsize=4)
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = cache("powers")
+
+
 def _tables(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """2^bits powers of an odd base, and of its inverse, modulo 2^64."""
+    if bits not in _kept:
+        _kept[bits] = _powers(bits)
+    return _kept[bits]
+
+
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full((1 << bits) - 1, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 1 << 64)))
 
 
@@ -297,13 +304,14 @@ def _solve(rows: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Documents with a key of id and text, by which spans find them again."""
-    return docs.withColumn("did", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("th", F.xxhash64(F.col(text_col)))
+    """Documents with a key of id and text (__did, __th), by which spans find them again."""
+    reserve(docs, "__did", "__th", "__spans")
+    return docs.withColumns({"__did": F.coalesce(F.expr(f"try_cast(`{id_col}` AS BIGINT)"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.col(text_col))})
 
 
 def spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", split: int = SPLIT) -> DataFrame:
-    """did, th and an array of repeated byte ranges (a, b), for documents that have any."""
-    given = keyed(docs, text_col, id_col).select("did", "th", F.col(text_col).alias("t"))
+    """__did, __th and __spans, an array of repeated byte ranges (a, b), for documents that have any."""
+    given = keyed(docs, text_col, id_col).select(F.col("__did").alias("did"), F.col("__th").alias("th"), F.col(text_col).alias("t"))
     found = saved(scan(given))
     twice = found.groupBy("ha").agg(F.count("*").alias("m"), F.min("hi").alias("x"), F.max("hi").alias("y")).where("m > 1")
     # written first, so that both sides of the join are plain shuffles, which Spark splits where an anchor is hot
@@ -321,7 +329,7 @@ def spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", split
     if most > split:
         partial = partial.unionAll(_count_windows(ctx.where(F.col("k") > split)))
     every = full.select("did", "th", F.col("s1").alias("a"), (F.col("s2") + LENGTH).alias("b")).unionAll(partial)
-    return every.groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return every.groupBy(F.col("did").alias("__did"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -345,7 +353,7 @@ def remove(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
 def digests(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row an input row."""
     kind = dict(docs.dtypes)[id_col]
-    joined = keyed(docs, text_col, id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), "did", "th").join(spans(docs, text_col, id_col, split), ["did", "th"], "left")
+    joined = keyed(docs, text_col, id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), "__did", "__th").join(spans(docs, text_col, id_col, split), ["__did", "__th"], "left")
 
     def run(doc_id, t, ranges):
         out = []
@@ -354,22 +362,20 @@ def digests(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", spl
             out.append((i, len(raw), sum(b - a for a, b in cut), len(cut), hashlib.sha256(remove(raw, cut)).hexdigest()))
         return dict(zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), zip(*out, strict=True) if out else ([],) * 5, strict=True))
 
-    return map_batches(joined.select("doc_id", "t", "spans"), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(joined.select("doc_id", "t", "__spans"), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents without their repeated bytes, all columns kept; a character goes when any of its bytes does."""
     columns = docs.columns
-    joined = keyed(docs, text_col, id_col).join(spans(docs, text_col, id_col), ["did", "th"], "left")
-
-    @F.pandas_udf("string")
-    def cut(text, ranges):
-        out = []
-        for t, r in zip(text, ranges, strict=True):
-            ranges_ = merged(None if r is None else list(r))
-            out.append(t if t is None or not ranges_ else remove(t.encode("utf-8", "surrogatepass"), ranges_).decode("utf-8", "ignore"))
-        import pandas as pd
+    joined = keyed(docs, text_col, id_col).join(spans(docs, text_col, id_col), ["__did", "__th"], "left")
 
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, ranges: pa.Array) -> pa.Array:
+        parts = slices(pa.RecordBatch.from_arrays([text, ranges], ["t", "r"]), 512, 2_000_000)
+        rows = (zip(*(c.to_pylist() for c in p.columns), strict=True) for p in parts)
+        return pa.array([None if t is None else remove(t.encode("utf-8", "surrogatepass"), merged(r)).decode("utf-8", "ignore") for part in rows for t, r in part], pa.string())
 
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("spans"))).select(*columns)
+    # a text that loses nothing stays in the JVM
+    shorter = F.col("__spans").isNotNull() & F.col(text_col).isNotNull()
+    return joined.withColumn(text_col, F.when(shorter, cut(F.when(shorter, F.col(text_col)), F.col("__spans"))).otherwise(F.col(text_col))).select(*(f"`{c}`" for c in columns))

@@ -11,12 +11,11 @@ Defined results: null and empty texts have length 0; repeated rows count each; a
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, saved
+from .common import cache, map_batches, saved
 
 BLOCK = 1024
 
@@ -27,12 +26,16 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=2)
+_encodings: dict = cache("encodings")
+
+
 def encoding(raw: bytes, pattern: str):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
-    return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    if (raw, pattern) not in _encodings:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        _encodings[raw, pattern] = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[raw, pattern]
 
 
 def lengths(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

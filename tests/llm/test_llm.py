@@ -48,7 +48,7 @@ def test_quality_score_separates_and_is_defined(spark):
     df = spark.createDataFrame(good + bad + [r for r in ODD], SCHEMA)
     lab = spark.createDataFrame([(r[0], 1) for r in good[:100]] + [(r[0], 0) for r in bad[:100]], "doc_id long, quality int")
     model = quality_fm.train(df, lab, meta_cols=("n_chars",))
-    got = quality_fm.score(df, model, meta_cols=("n_chars",), keep=("text", "score")).collect()
+    got = quality_fm.score(df, model, meta_cols=("n_chars",)).collect()
     assert len(got) == len(good) + len(bad) + len(ODD) and all(0 <= r.score <= 1 for r in got)
     held = {r.doc_id: r.predicted for r in got if r.doc_id in {x[0] for x in good[100:] + bad[100:]}}
     assert all(p == 1 - i % 2 for i, p in held.items())
@@ -64,8 +64,9 @@ def test_sum_of_squares_identity():
 
 def test_quality_without_labels(docs, empty):
     model = quality_fm.train(docs, empty.select("doc_id", F.lit(1).alias("quality")))
-    assert quality_fm.score(docs, model).count() == docs.count()
-    assert quality_fm.score(empty, model).count() == 0
+    assert [r.predicted for r in quality_fm.score(docs, model).collect()] == [1] * docs.count()
+    assert quality_fm.score(empty, model).collect() == [] and quality_fm.accepted(empty, model).collect() == []
+    assert sorted(map(str, quality_fm.accepted(docs.withColumn("predicted", F.lit(0)), model).collect())) == sorted(map(str, docs.withColumn("predicted", F.lit(0)).collect()))
 
 
 def test_sharding_equals_lpt_and_keeps_groups(docs):
