@@ -104,14 +104,6 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
     return (d > 0) & (d <= k)
 
 
-def entropy(c: Column) -> Column:
-    """Shannon entropy of a string's characters, in bits."""
-    chars = F.split(c, "")
-    n = F.size(chars)
-    counts = F.transform(F.array_distinct(chars), lambda x: F.size(F.array_remove(F.transform(chars, lambda y: y == x), False)) / n)
-    return F.when(F.length(c) == 0, F.lit(0.0)).otherwise(-F.aggregate(counts, F.lit(0.0), lambda s, p: s + p * F.log2(p)))
-
-
 def decode_base64_tokens(c: Column) -> Column:
     """UTF-8 texts of the base64 tokens of 20 characters or more."""
     tokens = F.filter(F.split(c, r"[^A-Za-z0-9+/=]+"), lambda t: F.length(t) >= 20)
@@ -153,8 +145,11 @@ def tag_payload(c: Column) -> Column:
     return F.nullif(F.translate(tags, "".join(chr(0xE0000 + n) for n in range(0x20, 0x7F)), "".join(map(chr, range(0x20, 0x7F)))), F.lit(""))
 
 
+EMOJI = r"\x{1F000}-\x{1FFFF}\x{2600}-\x{27BF}\x{2B50}-\x{2B55}\x{FE00}-\x{FE0F}"
+
+
 def strip_emoji(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\x{1F000}-\x{1FFFF}\x{2600}-\x{27BF}\x{2B50}-\x{2B55}\x{FE00}-\x{FE0F}]", "")
+    return F.regexp_replace(c, f"[{EMOJI}]", "")
 
 
 def collapse_letters(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as T
+from ..functions.matching import Hits, term_hits
 
 MEMORY_BASE = {"user": 0.9, "system": 0.6, "mail": 0.3}
 
@@ -36,34 +37,50 @@ def char_entropy(c: Column) -> Column:
     return bits(c)
 
 
+SCREENED = [p.lower() for p in lx.OVERRIDE_PHRASES + lx.SPECIAL_TOKENS]
+
+
+def screened_forms(c: Column) -> dict[str, Column]:
+    """The forms of a text that the screen reads. A form is null where a cheap test shows that it holds nothing of its own."""
+    token = r"[A-Za-z0-9+/]{20}"
+    bare = F.when(F.rlike(c, F.lit(f"[{T.EMOJI}]")), T.strip_emoji(c))
+    plain = F.when(F.contains(c, F.lit("&")), T.decode_entities(c))
+    entities = F.when(plain != c, plain)
+    decoded = lambda x: F.when(F.rlike(x, F.lit(token)), F.lower(F.array_join(T.decode_base64_tokens(x), "\n")))
+    return {"n": T.normalise(c, True), "s": T.normalise_spaced(c, True), "bn": T.normalise(bare, True), "bs": T.normalise_spaced(bare, True), "b64": decoded(c), "ent": F.lower(entities), "eb64": decoded(entities)}
+
+
+def screen_risks(c: Column, hits: dict[str, Hits]) -> Column:
+    """The risks (kind, detail) of a text from what was found in its forms."""
+    phrases, tokens = [p.lower() for p in lx.OVERRIDE_PHRASES], [t.lower() for t in lx.SPECIAL_TOKENS]
+    kind = lambda name, found: F.transform(found, lambda h: F.struct(F.lit(name).alias("kind"), h.alias("detail")))
+    first = lambda k: F.slice(hits[k].all_of(phrases), 1, 1)
+    tags = F.when(F.rlike(c, F.lit(r"[\x{E0020}-\x{E007E}]")), T.tag_payload(c))
+    return F.concat(
+        kind("override_phrase", hits["n+s"].all_of(phrases)),
+        kind("special_token", hits["n"].all_of(tokens)),
+        kind("emoji_separated", hits["bn+bs"].all_of(phrases)),
+        kind("base64", first("b64")),
+        kind("tag_payload", F.array_compact(F.array(tags))),
+        kind("entity", first("ent")),
+        kind("base64", F.when(hits["b64"].any_of(phrases), F.array().cast("array<string>")).otherwise(first("eb64"))),  # entities, then base64
+    )
+
+
+def with_screen_risks(df: DataFrame, text: str, out: str = "risks") -> DataFrame:
+    """Adds the risks; the forms of a text are read in one pass."""
+    forms = screened_forms(F.col(text))
+    made = df.withColumn("__hits", term_hits(list(forms.values()), SCREENED))
+    at = {k: i for i, k in enumerate(forms)}
+    hits = {k: Hits("__hits", SCREENED, [at[x] for x in k.split("+")]) for k in ("n", "n+s", "bn+bs", "b64", "ent", "eb64")}
+    return made.withColumn(out, screen_risks(F.col(text), hits)).drop("__hits")
+
+
 def screen(df: DataFrame, text: str = "body") -> DataFrame:
     """Adds risks (array of kind, detail), entropy and verdict: blocked, suspicious or clean."""
-    c = F.col(text)
-    # each form is a column of its own, so that it is computed once a row
-    made = {"__n": T.normalise(c, True), "__s": T.normalise_spaced(c, True), "__bare": T.strip_emoji(c), "__tags": T.tag_payload(c), "__b64": T.decode_base64_tokens(c), "__ent": T.decode_entities(c)}
-    df = df.withColumns(made)
-    df = df.withColumns({"__bn": T.normalise(F.col("__bare"), True), "__bs": T.normalise_spaced(F.col("__bare"), True), "__low": F.lower("__ent")})
-    df = df.withColumn("__eb64", F.when(F.contains(c, F.lit("&")) & (F.col("__ent") != c), T.decode_base64_tokens(F.col("__ent"))))
-    forms = [F.col("__n"), F.col("__s")]
-    kind = lambda name, hits: F.transform(hits, lambda h: F.struct(F.lit(name).alias("kind"), h.alias("detail")))
-    phrases = [p.lower() for p in lx.OVERRIDE_PHRASES]
-    bare, hidden, decoded, entities = F.col("__bare"), F.col("__tags"), F.col("__b64"), F.col("__ent")
-    in_decoded = lambda a: F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.exists(a, lambda d: F.contains(F.lower(d), p)))
-    none = F.array().cast("array<string>")
-    first = lambda a: F.slice(a, 1, 1)
-    chained = F.coalesce(F.when(F.size(in_decoded(decoded)) == 0, first(in_decoded(F.col("__eb64")))), none)  # entities, then base64
-    risks = F.concat(
-        kind("override_phrase", T.hits_of(forms, phrases)),
-        kind("special_token", T.hits_of(forms[0], [t.lower() for t in lx.SPECIAL_TOKENS])),
-        kind("emoji_separated", F.when(bare != c, T.hits_of([F.col("__bn"), F.col("__bs")], phrases)).otherwise(none)),
-        kind("base64", F.when(F.size(decoded) > 0, first(in_decoded(decoded))).otherwise(none)),
-        kind("tag_payload", F.array_compact(F.array(hidden))),
-        kind("entity", F.when(F.contains(c, F.lit("&")) & (entities != c), first(T.hits_of(F.col("__low"), phrases))).otherwise(none)),
-        kind("base64", chained),
-    )
-    out = df.withColumn("risks", risks).withColumn("entropy", char_entropy(c))
-    high = (F.col("entropy") > 4.5) & (F.octet_length(c) > 40)
-    return out.withColumn("verdict", F.when(F.size("risks") > 0, "blocked").when(high, "suspicious").otherwise("clean")).drop(*made, "__bn", "__bs", "__low", "__eb64")
+    out = with_screen_risks(df, text).withColumn("entropy", char_entropy(F.col(text)))
+    high = (F.col("entropy") > 4.5) & (F.octet_length(text) > 40)
+    return out.withColumn("verdict", F.when(F.size("risks") > 0, "blocked").when(high, "suspicious").otherwise("clean"))
 
 
 def audit(df: DataFrame, text: str = "body") -> DataFrame:
@@ -168,10 +185,35 @@ def phones(df: DataFrame, key: str, text: str = "body") -> DataFrame:
     lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("i", "line"), F.split(F.col(text), "\n").alias("all"))
     around = F.concat_ws(" ", F.when(F.col("i") > 0, F.get("all", F.col("i") - 1)), F.col("line"), F.get("all", F.col("i") + 1))
     found = lines.select(key, around.alias("context"), F.explode(F.regexp_extract_all("line", F.lit(r"([0-9+() -]+)"), 1)).alias("run"))
-    haste = T.any_of(F.lower("context"), ["至急", "緊急", "今すぐ", "本日中", "急いで", "すぐに", "urgent", "asap", "immediately", "right now", "as soon as"])
+    haste = T.any_of(F.lower("context"), HASTE)
     return found.where(F.length(F.regexp_replace("run", "[^0-9]", "")).between(10, 15)).select(key, F.regexp_replace("run", "[^0-9+]", "").alias("number"), haste.alias("high_risk"))
 
 
+HASTE = ["至急", "緊急", "今すぐ", "本日中", "急いで", "すぐに", "urgent", "asap", "immediately", "right now", "as soon as"]
+
+
+def pressed_phone(c: Column) -> Column:
+    """Whether a text has a phone number of high risk, as :func:`phones` finds them; the text stays one row."""
+    lines, digits = F.split(c, "\n"), lambda run: F.length(F.regexp_replace(run, "[^0-9]", "")).between(10, 15)
+    around = lambda i: F.lower(F.concat_ws(" ", F.when(i > 0, F.get(lines, i - 1)), F.get(lines, i), F.get(lines, i + 1)))
+    hit = lambda i: F.exists(F.regexp_extract_all(F.get(lines, i), F.lit(r"([0-9+() -]+)"), 1), digits) & F.exists(F.lit(HASTE), lambda t: F.contains(around(i), t))
+    return F.coalesce(F.when(F.rlike(c, F.lit(r"(?:[0-9][+() -]*+){10}")), F.exists(F.sequence(F.lit(0), F.size(lines) - 1), hit)), F.lit(False))
+
+
+def has_wallet(c: Column) -> Column:
+    """Whether a word of the text is a wallet address, as :func:`wallets` finds them."""
+    bare = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    maybe = F.rlike(c, F.lit(r"0[xX][0-9A-Fa-f]{40}|bc1[A-Za-z0-9]{23}|[13][A-Za-z0-9]{26}"))
+    return F.coalesce(F.when(maybe, F.exists(F.split(c, r"\s+"), lambda w: F.rlike(bare(w), F.lit(f"{ETH}|{BTC}")))), F.lit(False))
+
+
+def leads_to(c: Column, hosts: list[str], maybe: Column) -> Column:
+    """Whether a word's host is, or lies under, a listed host, as :func:`links_by_host` finds them; looked at where ``maybe``."""
+    host = lambda w: T.pivot_host(F.rtrim(w, F.lit(".,)]!?;")))
+    words = F.filter(F.split(c, r"\s+"), lambda w: F.contains(w, F.lit(".")) & F.exists(F.lit(hosts), lambda h: F.contains(w, h)))
+    return F.coalesce(F.when(maybe, F.exists(words, lambda w: F.exists(F.lit(hosts), lambda h: (host(w) == h) | F.endswith(host(w), F.concat(F.lit("."), h))))), F.lit(False))
+
+
 def links_by_host(df: DataFrame, key: str, hosts: dict[str, str], text: str = "body") -> DataFrame:
     """key, url, kind of words whose host is, or lies under, a listed host; joined on the host's suffixes."""
     words = df.select(key, F.explode(F.filter(F.split(F.col(text), r"\s+"), lambda w: F.contains(w, F.lit(".")))).alias("w")).select(key, F.rtrim("w", F.lit(".,)]!?;")).alias("url"))
@@ -181,10 +223,12 @@ def links_by_host(df: DataFrame, key: str, hosts: dict[str, str], text: str = "b
     return suffixes.join(F.broadcast(listed), "suffix").select(key, "url", "kind")
 
 
+ETH, BTC = r"^0[xX][0-9A-Fa-f]{40}$", r"^bc1[A-Za-z0-9]{23,59}$|^[13][A-Za-z0-9]{26,33}$"
+
+
 def wallets(df: DataFrame, key: str, text: str = "body") -> DataFrame:
     words = df.select(key, F.explode(F.split(F.col(text), r"\s+")).alias("w")).select(key, F.regexp_replace("w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("address"))
-    eth = F.rlike("address", F.lit(r"^0[xX][0-9A-Fa-f]{40}$"))
-    btc = F.rlike("address", F.lit(r"^bc1[A-Za-z0-9]{23,59}$|^[13][A-Za-z0-9]{26,33}$"))
+    eth, btc = F.rlike("address", F.lit(ETH)), F.rlike("address", F.lit(BTC))
     return words.withColumn("currency", F.when(eth, "ETH").when(btc, "BTC")).where("currency IS NOT NULL").select(key, "currency", "address")
 
 

@@ -91,17 +91,31 @@ def accounts(c: Column) -> Column:
 
 
 def account_changes(m: DataFrame) -> DataFrame:
-    """msg_id, new_accounts, removed_accounts, keyword, risk against the thread's earlier messages.
+    """msg_id, n_new, n_removed, keyword, risk against the thread's earlier messages."""
+    a = m.select("thread_id", "ts", "msg_id", accounts(F.col("body")).alias("now"), T.any_of(F.lower("body"), ACCOUNT_KEYWORDS).alias("keyword"))
+    return with_account_counts(a).select("msg_id", "n_new", "n_removed", "keyword", account_risk().alias("risk"))
+
+
+def with_account_counts(a: DataFrame) -> DataFrame:
+    """Adds n_new, n_past and n_removed for messages (thread_id, ts, msg_id, now): accounts not seen before in the thread,
+    seen before, and seen before but not now.
 
-    Accounts, not bodies, go through the window, so what a thread gathers is its few account numbers.
+    A message becomes a row for each of its accounts; an account's first row in the thread is marked, and running sums
+    of the marks count the past. So nothing is gathered, however long a thread is, and all is one shuffle by thread.
     """
-    a = m.select("thread_id", "ts", "msg_id", accounts(F.col("body")).alias("now"), T.any_of(F.lower("body"), ACCOUNT_KEYWORDS).alias("keyword"))
-    w = before(["thread_id"], ["ts", "msg_id"])
-    a = a.withColumn("past", F.array_distinct(F.flatten(F.collect_list("now").over(w))))
-    a = a.withColumn("new_accounts", F.array_sort(F.array_except("now", "past"))).withColumn("removed_accounts", F.array_sort(F.array_except("past", "now")))
-    fresh = F.size("new_accounts") > 0
-    risk = F.when((F.size("past") > 0) & fresh, 0.5).otherwise(0.0) + F.when(F.col("keyword"), 0.3).otherwise(0.0) + F.when((F.size("removed_accounts") > 0) & fresh, 0.2).otherwise(0.0)
-    return a.select("msg_id", "new_accounts", "removed_accounts", "keyword", F.least(F.lit(1.0), risk).alias("risk"))
+    rows = a.select("*", F.posexplode_outer("now").alias("__at", "__account"))
+    first = F.col("__account").isNotNull() & (F.row_number().over(Window.partitionBy("thread_id", "__account").orderBy("ts", "msg_id")) == 1)
+    rows = rows.withColumn("__first", first.cast("int"))
+    here = F.sum("__first").over(Window.partitionBy("thread_id", "ts", "msg_id"))
+    upto = F.sum("__first").over(Window.partitionBy("thread_id").orderBy("ts", "msg_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"n_new": here.cast("int"), "n_past": (upto - here).cast("int")}).where("coalesce(__at, 0) = 0")
+    return rows.withColumn("n_removed", F.col("n_past") - (F.coalesce(F.size("now"), F.lit(0)) - F.col("n_new"))).drop("__at", "__account", "__first")
+
+
+def account_risk() -> Column:
+    fresh = F.col("n_new") > 0
+    risk = F.when((F.col("n_past") > 0) & fresh, 0.5).otherwise(0.0) + F.when(F.col("keyword"), 0.3).otherwise(0.0) + F.when((F.col("n_removed") > 0) & fresh, 0.2).otherwise(0.0)
+    return F.least(F.lit(1.0), risk)
 
 
 def signature_tags(header: Column) -> dict[str, Column]:
@@ -122,9 +136,32 @@ def reply_spoof(m: DataFrame, contacts: DataFrame, with_nameless: bool = False)
     The distinct display names are matched, not the messages: names are few beside them. A name that holds
     another's whole is found by joining on its words, so names are not paired with all contacts.
     """
+    m = m.withColumn("__domain", T.address_domain(F.col("from_addr"))).withColumn("__name", folded_name(F.col("from_addr")))
+    hit = impersonators(m, contacts, with_nameless)
+    out = m.join(hit.withColumn("__hit", F.lit(True)), ["__name", "__domain"], "left")
+    mismatch, impersonation = reply_mismatch(F.col("reply_to"), F.col("__domain")), F.coalesce("__hit", F.lit(False))
+    return out.select("msg_id", mismatch.alias("mismatch"), impersonation.alias("impersonation"), spoof_risk(F.col("reply_to"), mismatch, impersonation).alias("risk"))
+
+
+def folded_name(address: Column) -> Column:
+    from .links import fold_homoglyphs
+
+    return F.trim(fold_homoglyphs(T.display_name(address)))
+
+
+def reply_mismatch(reply_to: Column, domain: Column) -> Column:
+    return F.coalesce(T.address_domain(reply_to) != domain, F.lit(False))
+
+
+def spoof_risk(reply_to: Column, mismatch: Column, impersonation: Column) -> Column:
+    free = T.address_domain(reply_to).isin(SPOOF_FREE_MAIL)
+    return F.least(F.lit(1.0), F.when(mismatch, F.when(free, 0.7).otherwise(0.5)).otherwise(0.0) + F.when(impersonation, 0.3).otherwise(0.0))
+
+
+def impersonators(m: DataFrame, contacts: DataFrame, with_nameless: bool = False) -> DataFrame:
+    """The distinct (__name, __domain) of ``m`` that go by the name of a contact at another domain."""
     from .links import fold_homoglyphs
 
-    m = m.withColumn("__domain", T.address_domain(F.col("from_addr"))).withColumn("__name", F.trim(fold_homoglyphs(T.display_name(F.col("from_addr")))))
     names = m.select("__name", "__domain").where("__name <> ''").distinct()
     known = contacts.select(F.trim(fold_homoglyphs(F.col("name"))).alias("k"), F.lower(F.trim("domain")).alias("kd"))
     nameless = known.where("coalesce(k, '') = ''").select("kd").distinct()
@@ -134,12 +171,7 @@ def reply_spoof(m: DataFrame, contacts: DataFrame, with_nameless: bool = False)
     hit = pairs.select("__name", "__domain").distinct()
     if with_nameless:
         hit = hit.union(names.join(nameless, F.col("kd") != F.col("__domain"), "left_semi").select("__name", "__domain")).distinct()
-    out = m.join(hit.withColumn("__hit", F.lit(True)), ["__name", "__domain"], "left")
-    rd = T.address_domain(F.col("reply_to"))
-    mismatch = F.coalesce(rd != F.col("__domain"), F.lit(False))
-    impersonation = F.coalesce("__hit", F.lit(False))
-    risk = F.when(mismatch, F.when(rd.isin(SPOOF_FREE_MAIL), 0.7).otherwise(0.5)).otherwise(0.0) + F.when(impersonation, 0.3).otherwise(0.0)
-    return out.select("msg_id", mismatch.alias("mismatch"), impersonation.alias("impersonation"), F.least(F.lit(1.0), risk).alias("risk"))
+    return hit
 
 
 def platform_familiarity(links: DataFrame) -> DataFrame:

@@ -50,11 +50,11 @@ def urls(df: DataFrame, key: str, text: str = "body") -> DataFrame:
 def with_proxy_score(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds score, the proxy-phishing score 0 to 100; the cleaned URL and its host are taken once a row."""
     df = df.withColumn("__low", F.lower(F.regexp_replace(url, r"\p{Cntrl}", "")))
-    df = df.withColumn("__host", F.regexp_extract("__low", r"^(?:https?://)*([^/?#]*)", 1))
-    return df.withColumn("score", _proxy_points(F.col("__low"), F.col("__host"))).drop("__low", "__host")
+    df = df.withColumn("__host", proxy_host(F.col("__low")))
+    return df.withColumn("score", proxy_points(F.col("__low"), F.col("__host"))).drop("__low", "__host")
 
 
-def _proxy_points(low: Column, host: Column) -> Column:
+def proxy_points(low: Column, host: Column) -> Column:
     legit = _any([T.host_is(host, d) for d in AUTH_DOMAINS])
     param = lambda p: F.rlike(low, F.lit(rf"[?&#]{p}="))
     points = (
@@ -68,6 +68,10 @@ def _proxy_points(low: Column, host: Column) -> Column:
     return F.least(F.lit(100), _total(points))
 
 
+def proxy_host(low: Column) -> Column:
+    return F.regexp_extract(low, r"^(?:https?://)*([^/?#]*)", 1)
+
+
 def proxy_verdict(score: Column) -> Column:
     return F.when(score >= 50, "dangerous").when(score >= 20, "caution").otherwise("safe")
 

@@ -189,27 +189,28 @@ def c14_phones(spark, sf_dir):
     return C.phones(d, "doc_id", "text").select("doc_id", "number")
 
 
-def _host_sql(hosts: dict[str, str]) -> str:
+def host_sql(hosts: dict[str, str]) -> str:
     rows = ", ".join(f"({O.q(h)}, {O.q(k)})" for h, k in hosts.items())
     return f"""WITH {O.M}, w AS (SELECT msg_id, rtrim(unnest(string_split_regex(body, '\\s+')), '.,)]!?;') AS url FROM m), h AS (SELECT msg_id, url, regexp_extract(url, '^(?:.*?://)?([^/?#:]*)', 1) AS host FROM w),
     t(d, kind) AS (VALUES {rows}) SELECT msg_id, url, kind FROM h, t WHERE host = d OR ends_with(host, '.' || d)"""
 
 
-@query(_host_sql(lx.MEETING_HOSTS))
+@query(host_sql(lx.MEETING_HOSTS))
 def c15_channel_links(spark, sf_dir):
     return C.links_by_host(messages(spark, sf_dir), "msg_id", lx.MEETING_HOSTS)
 
 
-@query(_host_sql(lx.DOCUMENT_HOSTS))
+@query(host_sql(lx.DOCUMENT_HOSTS))
 def c16_document_links(spark, sf_dir):
     return C.links_by_host(messages(spark, sf_dir), "msg_id", lx.DOCUMENT_HOSTS)
 
 
-@query(
-    f"""WITH {O.M}, w AS (SELECT msg_id, regexp_replace(regexp_replace(unnest(string_split_regex(body, '\\s+')), '^[^\\pL\\pN]+', ''), '[^\\pL\\pN]+$', '') AS address FROM m),
+WALLETS = f"""WITH {O.M}, w AS (SELECT msg_id, regexp_replace(regexp_replace(unnest(string_split_regex(body, '\\s+')), '^[^\\pL\\pN]+', ''), '[^\\pL\\pN]+$', '') AS address FROM m),
     c AS (SELECT msg_id, address, CASE WHEN regexp_matches(address, '^0[xX][0-9A-Fa-f]{{40}}$') THEN 'ETH' WHEN regexp_matches(address, '^bc1[A-Za-z0-9]{{23,59}}$|^[13][A-Za-z0-9]{{26,33}}$') THEN 'BTC' END AS currency FROM w)
     SELECT msg_id, currency, address FROM c WHERE currency IS NOT NULL"""
-)
+
+
+@query(WALLETS)
 def c17_wallets(spark, sf_dir):
     return C.wallets(messages(spark, sf_dir), "msg_id")
 

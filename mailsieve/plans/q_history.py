@@ -33,11 +33,12 @@ def g2_first_contacts(spark, sf_dir):
 _TOK = "list_filter(list_transform(regexp_extract_all({}, '[A-Za-z]+'), lambda w: lower(w)), lambda w: length(w) >= 2 AND NOT list_contains(" + O.array(H.STOP_WORDS) + ", w))"
 
 
-@query(
-    f"""WITH {O.M}, l AS (SELECT msg_id, subject, lag(subject) OVER w AS typical, row_number() OVER w - 1 AS n FROM m WINDOW w AS (PARTITION BY from_addr ORDER BY msg_id)), x AS (SELECT msg_id, t, count(*) AS x FROM (SELECT msg_id, unnest({_TOK.format('subject')}) AS t FROM l WHERE n >= 5) GROUP BY ALL),
+DRIFT = f"""WITH {O.M}, l AS (SELECT msg_id, subject, lag(subject) OVER w AS typical, row_number() OVER w - 1 AS n FROM m WINDOW w AS (PARTITION BY from_addr ORDER BY msg_id)), x AS (SELECT msg_id, t, count(*) AS x FROM (SELECT msg_id, unnest({_TOK.format('subject')}) AS t FROM l WHERE n >= 5) GROUP BY ALL),
     y AS (SELECT msg_id, t, count(*) AS y FROM (SELECT msg_id, unnest({_TOK.format('typical')}) AS t FROM l WHERE n >= 5) GROUP BY ALL), s AS (SELECT msg_id, sum(x * y) AS dot, sum(x * x) AS xx, sum(y * y) AS yy FROM x FULL JOIN y USING (msg_id, t) GROUP BY msg_id)
     SELECT msg_id, round(coalesce(dot, 0) / sqrt(CAST(xx AS DOUBLE) * yy), 6) AS similarity, coalesce(dot, 0) / sqrt(CAST(xx AS DOUBLE) * yy) < 0.15 AS drift FROM s WHERE xx > 0 AND yy > 0"""
-)
+
+
+@query(DRIFT)
 def g3_topic_drift(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -52,29 +53,35 @@ _LANG = "CASE WHEN length(regexp_replace(body, '[^A-Za-z]', '', 'g')) / length(b
 _W = lambda c: f"list_distinct(list_filter(string_split_regex(lower(regexp_replace({c}, '^\\s*([rR][eE])\\s*:\\s*', '')), '\\s+'), lambda w: strlen(w) > 1))"
 
 
-@query(
-    f"""WITH {D}, t AS (SELECT *, {_REPLY} AS parent, {_LANG} AS lang, starts_with(lower(subject), 're:') AS re FROM d), p AS (SELECT *, list(domain) OVER q AS ds, lag(lang) OVER r AS pl, lag(subject) OVER r AS ps FROM t
+def replies():
+    """Ids and parents of the message view, and its time as threads take it."""
+    k, name = F.col("msg_id") % 4, lambda c: c.cast("string")
+    parent = F.when(k == 1, F.concat(F.lit("m"), name(F.col("msg_id") - 1))).when(k > 1, F.concat(F.lit("unknown"), name(F.col("msg_id"))))
+    return {"ts": F.col("ts_s"), "message_id": F.concat(F.lit("m"), name(F.col("msg_id"))), "in_reply_to": parent}
+
+
+THREAD = f"""WITH {D}, t AS (SELECT *, {_REPLY} AS parent, {_LANG} AS lang, starts_with(lower(subject), 're:') AS re FROM d), p AS (SELECT *, list(domain) OVER q AS ds, lag(lang) OVER r AS pl, lag(subject) OVER r AS ps FROM t
       WINDOW q AS (PARTITION BY thread_id ORDER BY ts_s, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (PARTITION BY thread_id ORDER BY ts_s, msg_id)),
     f AS (SELECT msg_id, starts_with(coalesce(parent, ''), 'unknown') AS a, re AND parent IS NULL AS b, coalesce(len(ds) > 0 AND NOT list_contains(ds, domain), false) AS c, coalesce(pl <> lang AND lang <> 'other', false) AS l, (re OR parent IS NOT NULL) AND {O.any_of('lower(body)', H.THREAD_KEYWORDS)} AS h,
       re AND ps IS NOT NULL AND CASE WHEN len({_W('subject')}) + len({_W('ps')}) = 0 THEN 1.0 ELSE len(list_intersect({_W('subject')}, {_W('ps')})) / CAST(len(list_distinct(list_concat({_W('subject')}, {_W('ps')}))) AS DOUBLE) END < 0.3 AS s FROM p)
-    SELECT msg_id, round(least(1.0::DOUBLE, a::INT * 0.30::DOUBLE + b::INT * 0.25::DOUBLE + c::INT * 0.35::DOUBLE + l::INT * 0.20::DOUBLE + h::INT * 0.25::DOUBLE + s::INT * 0.15::DOUBLE), 6) AS hijack_score FROM f"""
-)
+    SELECT msg_id, a, b, c, l, h, s FROM f"""
+
+
+@query(f"SELECT msg_id, round(least(1.0::DOUBLE, a::INT * 0.30::DOUBLE + b::INT * 0.25::DOUBLE + c::INT * 0.35::DOUBLE + l::INT * 0.20::DOUBLE + h::INT * 0.25::DOUBLE + s::INT * 0.15::DOUBLE), 6) AS hijack_score FROM ({THREAD})")
 def g4_thread_hijack(spark, sf_dir):
-    k = F.col("msg_id") % 4
-    parent = F.when(k == 1, F.concat(F.lit("m"), (F.col("msg_id") - 1).cast("string"))).when(k > 1, F.concat(F.lit("unknown"), F.col("msg_id").cast("string")))
-    m = _with_domain(spark, sf_dir).withColumns({"ts": F.col("ts_s"), "message_id": F.concat(F.lit("m"), F.col("msg_id").cast("string")), "in_reply_to": parent})
-    return H.thread_hijack(m).select("msg_id", F.round("hijack_score", 6).alias("hijack_score"))
+    return H.thread_hijack(_with_domain(spark, sf_dir).withColumns(replies())).select("msg_id", F.round("hijack_score", 6).alias("hijack_score"))
 
 
-@query(
-    f"""WITH {O.M}, a AS (SELECT *, list_distinct(list_concat(list_filter(regexp_extract_all(body, '[0-9]+'), lambda r: length(r) BETWEEN 7 AND 8), list_transform(regexp_extract_all(' ' || body || ' ', '[^0-9]([0-9]{{4}}[- ][0-9]{{3}})[^0-9]', 1), lambda g: regexp_replace(g, '[^0-9]', '', 'g')))) AS now, {O.any_of('lower(body)', H.ACCOUNT_KEYWORDS)} AS keyword FROM m),
+ACCOUNT = f"""WITH {O.M}, a AS (SELECT *, list_distinct(list_concat(list_filter(regexp_extract_all(body, '[0-9]+'), lambda r: length(r) BETWEEN 7 AND 8), list_transform(regexp_extract_all(' ' || body || ' ', '[^0-9]([0-9]{{4}}[- ][0-9]{{3}})[^0-9]', 1), lambda g: regexp_replace(g, '[^0-9]', '', 'g')))) AS now, {O.any_of('lower(body)', H.ACCOUNT_KEYWORDS)} AS keyword FROM m),
     p AS (SELECT msg_id, now, keyword, coalesce(flatten(list(now) OVER (PARTITION BY thread_id ORDER BY ts_s, msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []) AS past FROM a),
     x AS (SELECT *, list_filter(now, lambda z: NOT list_contains(past, z)) AS fresh, list_filter(list_distinct(past), lambda z: NOT list_contains(now, z)) AS gone FROM p)
     SELECT msg_id, len(fresh) AS n_new, len(gone) AS n_removed, keyword, round(least(1.0::DOUBLE, (len(past) > 0 AND len(fresh) > 0)::INT * 0.5::DOUBLE + keyword::INT * 0.3::DOUBLE + (len(gone) > 0 AND len(fresh) > 0)::INT * 0.2::DOUBLE), 6) AS risk FROM x"""
-)
+
+
+@query(ACCOUNT)
 def g5_account_changes(spark, sf_dir):
     out = H.account_changes(messages(spark, sf_dir).withColumn("ts", F.col("ts_s")))
-    return out.select("msg_id", F.size("new_accounts").alias("n_new"), F.size("removed_accounts").alias("n_removed"), "keyword", F.round("risk", 6).alias("risk"))
+    return out.select("msg_id", "n_new", "n_removed", "keyword", F.round("risk", 6).alias("risk"))
 
 
 SIG = f"{O.M}, s AS (SELECT msg_id, ts_s, lower(trim(regexp_extract(dkim_header, '^(?:.*;)?\\s*d\\s*=([^;]*)', 1))) AS d, trim(regexp_extract(dkim_header, '^(?:.*;)?\\s*s\\s*=([^;]*)', 1)) AS s, substr(trim(regexp_extract(dkim_header, '^(?:.*;)?\\s*b\\s*=([^;]*)', 1)), 1, 32) AS b32, regexp_matches(dkim_header, ';\\s*l=') AS has_length FROM m)"
@@ -95,16 +102,17 @@ def g7_signature_replays(spark, sf_dir):
 
 
 CONTACTS = [("src1 desk", "company.example"), ("src2", "partner.example"), ("Anna", "other.example")]
-_NAMED = "split_part(from_addr, '@', 1) || CASE WHEN msg_id % 3 = 0 THEN ' desk' ELSE '' END || ' <' || from_addr || '>'"
+NAMED = "split_part(from_addr, '@', 1) || CASE WHEN msg_id % 3 = 0 THEN ' desk' ELSE '' END || ' <' || from_addr || '>'"
 
 
-@query(
-    f"""WITH {O.M}, k(name, kd) AS (VALUES {', '.join(f'({O.q(a.lower())}, {O.q(b)})' for a, b in CONTACTS)}), h AS (SELECT msg_id, lower(split_part(from_addr, '@', 1) || CASE WHEN msg_id % 3 = 0 THEN ' desk' ELSE '' END) AS n, split_part(from_addr, '@', 2) AS fd, split_part(reply_to, '@', 2) AS rd FROM m),
+SPOOF = f"""WITH {O.M}, k(name, kd) AS (VALUES {', '.join(f'({O.q(a.lower())}, {O.q(b)})' for a, b in CONTACTS)}), h AS (SELECT msg_id, lower(split_part(from_addr, '@', 1) || CASE WHEN msg_id % 3 = 0 THEN ' desk' ELSE '' END) AS n, split_part(from_addr, '@', 2) AS fd, split_part(reply_to, '@', 2) AS rd FROM m),
     f AS (SELECT msg_id, coalesce(rd <> fd, false) AS mismatch, rd, EXISTS (SELECT 1 FROM k WHERE (contains(n, name) OR contains(name, n)) AND kd <> fd AND len(list_intersect(string_split(n, ' '), string_split(name, ' '))) > 0) AS impersonation FROM h)
     SELECT msg_id, mismatch, impersonation, round(CASE WHEN mismatch THEN CASE WHEN rd = 'gmail.com' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END ELSE 0::DOUBLE END + impersonation::INT * 0.3::DOUBLE, 6) AS risk FROM f"""
-)
+
+
+@query(SPOOF)
 def g8_reply_spoof(spark, sf_dir):
-    m = messages(spark, sf_dir).selectExpr("msg_id", _NAMED + " AS from_addr", "reply_to")
+    m = messages(spark, sf_dir).selectExpr("msg_id", NAMED + " AS from_addr", "reply_to")
     out = H.reply_spoof(m, spark.createDataFrame(CONTACTS, "name string, domain string"))
     return out.withColumn("risk", F.round("risk", 6))
 
