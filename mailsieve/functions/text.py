@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from . import lexicons as lx
 
 
+#: What any folding below can change: soft hyphens, and all from Greek upwards but common punctuation.
+FOLDABLE = r"[\x{AD}\x{370}-\x{200F}\x{202A}-\x{10FFFF}]"
+SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _plain(c: Column) -> Column:
+    """Whether no folding can change a text: cheap tests that spare most texts the dear ones."""
+    return (F.octet_length(c) == F.char_length(c)) | ~F.rlike(c, F.lit(FOLDABLE))
+
+
 def _fold(c: Column, lookalikes: bool) -> Column:
     return F.translate(c, lx.FULL_WIDTH + (lx.LOOKALIKES_FROM if lookalikes else ""), lx.HALF_WIDTH + (lx.LOOKALIKES_TO if lookalikes else ""))
 
@@ -17,13 +27,13 @@ def _fold(c: Column, lookalikes: bool) -> Column:
 def normalise(c: Column, screener: bool = False) -> Column:
     """Format characters deleted, full width folded, lower case; the screener's form also folds look-alikes."""
     gone = F.regexp_replace(c, f"[{lx.ZERO_WIDTH}{lx.TAGS if screener else ''}]", "")
-    return F.lower(_fold(gone, screener))
+    return F.lower(F.when(_plain(c), c).otherwise(_fold(gone, screener)))
 
 
 def normalise_spaced(c: Column, screener: bool = False) -> Column:
     """The same with format characters as spaces, and white space collapsed."""
     spaced = _fold(F.regexp_replace(c, f"[{lx.ZERO_WIDTH}{lx.TAGS if screener else ''}]", " "), screener)
-    return F.lower(F.trim(F.regexp_replace(spaced, r"(?U)\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.when(_plain(c), c).otherwise(spaced), SPACES, " ")))
 
 
 def both_forms(c: Column, screener: bool = False) -> list[Column]:
@@ -50,7 +60,7 @@ def hits_of(forms: Column | list[Column], terms: list[str]) -> Column:
 
 
 def fold_digits(c: Column) -> Column:
-    return F.translate(c, "".join(chr(0xFF10 + d) for d in range(10)), "0123456789")
+    return F.when(F.rlike(c, F.lit(r"[\x{FF10}-\x{FF19}]")), F.translate(c, "".join(chr(0xFF10 + d) for d in range(10)), "0123456789")).otherwise(c)
 
 
 def url_host(c: Column) -> Column:

@@ -139,7 +139,7 @@ def content_flags(c: Column, forms: list[Column] | None = None) -> dict[str, Col
 
 def language(c: Column) -> Column:
     n = F.length(c)
-    kept = lambda cls: F.length(F.regexp_replace(c, f"[^{cls}]", "")) / n
+    kept = lambda cls: F.length(F.regexp_replace(c, f"[^{cls}]+", "")) / n  # noqa: E731  runs at a time
     return F.when(n == 0, "other").when(kept(r"\x{3041}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}") > 0.15, "japanese").when(kept("A-Za-z") > 0.40, "english").otherwise("other")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as lx
 from ..functions import text as T
 
+# Patterns of numbers and names.
 CARD = r"(4[0-9]{3}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|5[1-5][0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|35[0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|6(?:011|5[0-9]{2})[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|3[47][0-9]{2}[-\s]?[0-9]{6}[-\s]?[0-9]{5})"
 IBAN = r"(\b[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30}\b)"
 BIC = r"(\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b)"
@@ -20,16 +21,19 @@ CODENAME = r"(?i)(?:project|operation|プロジェクト)\s+[A-Z][A-Z0-9]{2,}"
 
 
 def _digits(c: Column) -> Column:
-    return F.regexp_replace(T.fold_digits(c), "[^0-9]", "")
+    return F.regexp_replace(T.fold_digits(c), "[^0-9]+", "")
 
 
 def _windows(digits: Column, width: int, test) -> Column:
-    """Whether any window of ``width`` digits passes; ``test`` gets a function from place (0-based) to digit."""
+    """Whether any window of ``width`` digits passes; ``test`` gets a function from place (0-based) to digit.
+
+    Digits are split once into an array, so a window costs the same wherever it lies.
+    """
     def within(d: Column) -> Column:
-        starts = F.when(F.length(d) >= width, F.sequence(F.lit(1), F.length(d) - width + 1)).otherwise(F.array().cast("array<int>"))
-        return F.exists(starts, lambda i: test(lambda k: F.substr(d, i + k, F.lit(1)).cast("int")))
+        return F.exists(F.sequence(F.lit(0), F.size(d) - width), lambda i: test(lambda k: F.get(d, i + k)))
 
-    return F.exists(F.array(digits), within)  # the array of one binds the digits, so they are taken once a row
+    numbers = F.when(F.length(digits) >= width, F.array(F.split(digits, "").cast("array<int>")))
+    return F.when(digits.isNotNull(), F.coalesce(F.exists(numbers, within), F.lit(False)))  # the array of one binds the digits
 
 
 def personal_number(c: Column) -> Column:
@@ -87,7 +91,8 @@ def ip_address(c: Column) -> Column:
 def confidential(c: Column) -> Column:
     low = F.lower(c)
     latin = [m for m in lx.CONFIDENTIAL if m.isascii()]
-    return T.any_of(low, lx.CONFIDENTIAL) | T.any_of(T.collapse_letters(low), latin)
+    closed = F.when(F.rlike(low, F.lit("(?:^|[^a-z])[a-z] [a-z](?:[^A-Za-z]|$)")), T.collapse_letters(low))  # few texts have letters spaced
+    return T.any_of(low, lx.CONFIDENTIAL) | F.coalesce(T.any_of(closed, latin), F.lit(False))
 
 
 def privilege(c: Column) -> Column:
@@ -114,21 +119,11 @@ RANK = {"allow": 0, "warn": 1, "block": 2}
 MAX_DEPTH = 64
 
 
-def compile_condition(tree: dict, depth: int = 0, text: Column | None = None) -> Column:
-    """A condition tree as one boolean Column over subject, body, from_addr, to_addrs, size_bytes, mimes.
+TEXT_KINDS = ("classifier", "regex", "keywords")
 
-    Nodes: {"and": [...]}, {"or": [...]}, {"not": node}, {"match": kind, ...}. Empty lists and trees deeper
-    than 64 are false. ``text`` replaces subject and body.
-    """
-    if depth > MAX_DEPTH:
-        return F.lit(False)
-    if "and" in tree:
-        return reduce(lambda a, b: a & b, [compile_condition(x, depth + 1, text) for x in tree["and"]]) if tree["and"] else F.lit(False)
-    if "or" in tree:
-        return reduce(lambda a, b: a | b, [compile_condition(x, depth + 1, text) for x in tree["or"]]) if tree["or"] else F.lit(False)
-    if "not" in tree:
-        return ~compile_condition(tree["not"], depth + 1, text)
-    kind, text = tree["match"], F.concat_ws("\n", F.col("subject"), F.col("body")) if text is None else text
+
+def _leaf(tree: dict, text: Column) -> Column:
+    kind = tree["match"]
     if kind == "classifier":
         return CLASSIFIERS[tree["name"]](text)
     if kind == "regex":
@@ -147,15 +142,51 @@ def compile_condition(tree: dict, depth: int = 0, text: Column | None = None) ->
     raise ValueError(f"unknown predicate {kind}")
 
 
+def compile_condition(tree: dict, depth: int = 0, text: Column | None = None, leaf=None) -> Column:
+    """A condition tree as one boolean Column over subject, body, from_addr, to_addrs, size_bytes, mimes.
+
+    Nodes: {"and": [...]}, {"or": [...]}, {"not": node}, {"match": kind, ...}. Empty lists and trees deeper
+    than 64 are false. ``text`` replaces subject and body; ``leaf`` gives the columns of predicates that are at hand.
+    """
+    if depth > MAX_DEPTH:
+        return F.lit(False)
+    inner = lambda x: compile_condition(x, depth + 1, text, leaf)
+    if "and" in tree:
+        return reduce(lambda a, b: a & b, map(inner, tree["and"])) if tree["and"] else F.lit(False)
+    if "or" in tree:
+        return reduce(lambda a, b: a | b, map(inner, tree["or"])) if tree["or"] else F.lit(False)
+    if "not" in tree:
+        return ~inner(tree["not"])
+    return leaf(tree) if leaf else _leaf(tree, F.concat_ws("\n", F.col("subject"), F.col("body")) if text is None else text)
+
+
+def _leaves(tree: dict) -> list[dict]:
+    if "match" in tree:
+        return [tree]
+    return [x for part in (tree.get("and") or tree.get("or") or ([tree["not"]] if "not" in tree else [])) for x in _leaves(part)]
+
+
 def evaluate_rules(rows: DataFrame, rules: list[dict], direction: str) -> DataFrame:
-    """Findings (key columns, rule_id, action, priority, rank), one row a rule that holds on the text or on its percent-decoded form."""
+    """Findings (key columns, rule_id, action, priority, rank), one row a rule that holds on the text or on its percent-decoded form.
+
+    Every distinct predicate is computed once a row over the text, and once more over its decoded form where that
+    differs; rules are then conditions over booleans.
+    """
     columns = rows.columns
-    rows = rows.withColumn("__raw", F.concat_ws("\n", F.col("subject"), F.col("body"))).withColumn("__dec", T.percent_decode(F.col("__raw")))
-    holds = lambda tree: compile_condition(tree, text=F.col("__raw")) | ((F.col("__dec") != F.col("__raw")) & compile_condition(tree, text=F.col("__dec")))
     live = sorted((r for r in rules if r.get("enabled", True) and r.get("direction", "both") in (direction, "both")), key=lambda r: (r["priority"], r["id"]))
+    trees = [json.loads(r["condition"]) if isinstance(r["condition"], str) else r["condition"] for r in live]
+    key = lambda leaf: json.dumps(leaf, sort_keys=True)
+    leaves = {key(x): x for tree in trees for x in _leaves(tree)}
+    rows = rows.withColumn("__raw", F.concat_ws("\n", F.col("subject"), F.col("body")))
+    rows = rows.withColumn("__dec", F.when(F.contains("__raw", F.lit("%")), T.percent_decode(F.col("__raw")))).withColumn("__dec", F.nullif("__dec", "__raw"))
+    raw = {k: (f"__p{i}", _leaf(x, F.col("__raw"))) for i, (k, x) in enumerate(leaves.items())}
+    decoded = {k: (f"__q{i}", F.when(F.col("__dec").isNotNull(), _leaf(x, F.col("__dec")))) for i, (k, x) in enumerate(leaves.items()) if x["match"] in TEXT_KINDS}
+    rows = rows.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in (raw | {f"q{k}": v for k, v in decoded.items()}).values()})
+    on_raw = lambda x: F.col(raw[key(x)][0])
+    on_decoded = lambda x: F.col((decoded if key(x) in decoded else raw)[key(x)][0])
+    holds = lambda tree: compile_condition(tree, leaf=on_raw) | (F.col("__dec").isNotNull() & compile_condition(tree, leaf=on_decoded))
     found = [
-        F.when(holds(json.loads(r["condition"]) if isinstance(r["condition"], str) else r["condition"]), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["action"]).alias("action"), F.lit(r["priority"]).alias("priority"), F.lit(RANK[r["action"]]).alias("rank")))
-        for r in live
+        F.when(holds(tree), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["action"]).alias("action"), F.lit(r["priority"]).alias("priority"), F.lit(RANK[r["action"]]).alias("rank"))) for r, tree in zip(live, trees, strict=True)
     ]
     return rows.select("*", F.explode(F.array_compact(F.array(*found))).alias("f")).select(*columns, "f.*")
 

@@ -157,12 +157,12 @@ BODY_TERMS = PHRASES + C.SCREENED + H.THREAD_KEYWORDS + H.ACCOUNT_KEYWORDS + RIS
 
 def _links(body: Column) -> Column:
     """The contributions of a body's risky links, up to the first dangerous one."""
-    words = F.filter(F.split(body, r"\s+"), lambda w: F.rlike(w, F.lit("^https?://")))
+    words = F.regexp_extract_all(body, F.lit(r"(?:^|\s)(https?://\S*)"), 1)
     low = F.transform(words, lambda w: F.lower(F.regexp_replace(F.rtrim(w, F.lit(".,)]!?;")), r"\p{Cntrl}", "")))
     points = F.transform(low, lambda u: L.proxy_points(u, L.proxy_host(u)))
-    upto = F.array_position(F.transform(points, lambda p: p >= 50), True).cast("int")
-    risky = F.filter(F.when(upto > 0, F.slice(points, F.lit(1), upto)).otherwise(points), lambda p: p >= 20)
-    return F.when(F.contains(body, F.lit("http")), F.transform(risky, lambda p: F.when(p >= 50, 0.70).otherwise(0.20)))
+    none = F.struct(F.lit(False).alias("done"), F.array().cast("array<double>").alias("risky"))
+    step = lambda a, p: F.when(a["done"] | (p < 20), a).otherwise(F.struct((p >= 50).alias("done"), F.concat(a["risky"], F.array(F.when(p >= 50, 0.70).otherwise(0.20))).alias("risky")))
+    return F.when(F.contains(body, F.lit("http")), F.aggregate(points, none, step, lambda a: a["risky"]))
 
 
 def message_facts(m: DataFrame, ours: str, contacts: list[str]) -> DataFrame:
