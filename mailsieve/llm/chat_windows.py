@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows.
 
-A conversation's turns, in order, are cut into windows of about ``budget`` tokens at turn boundaries, found
-by binary search in the prefix sums of turn tokens. Every window repeats the system turn (if the conversation
+A conversation's turns, in order, are cut into windows of ``budget`` tokens of a public vocabulary (a path parameter)
+at turn boundaries, found by binary search in the prefix sums of turn tokens. Every window repeats the system turn (if the conversation
 opens with one) and as many of the latest turns as fit the history limit; repeated turns are not trained on.
 A turn that alone exceeds the budget gets a window to itself and stays whole. Rows of a conversation are
 streamed in order with one window in memory, so a very long conversation needs no more memory than a short one.
@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,9 +40,15 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
-def tokens_of(text: str) -> int:
-    """A turn's token estimate: a token every four bytes, and four for its marks."""
-    return -(-len(text.encode()) // 4) + 4
+def turn_counter(raw: bytes, pattern: str):
+    """Counts the tokens of a turn as it is formatted, by a public byte-level vocabulary."""
+    from .token_hist import encoding
+
+    return lambda turn: len(encoding(raw, pattern).encode_ordinary(formatted_turn(*turn)))
+
+
+def formatted_turn(role: str, text: str) -> str:
+    return f"{OPEN}{ROLE}{escape(role)}{TEXT}{escape(text)}{CLOSE}"
 
 
 def window_of(repeated: list[tuple[str, str]], new: list[tuple[str, str]], learn: str) -> tuple[str, list[dict]]:
@@ -58,12 +66,14 @@ def window_of(repeated: list[tuple[str, str]], new: list[tuple[str, str]], learn
 class _Conversation:
     """Turns not yet written, and what later windows repeat."""
 
-    def __init__(self, conv_id, budget: int, history: int, learn: str):
-        self.id, self.budget, self.limit, self.learn = conv_id, budget, history, learn
+    def __init__(self, conv_id, budget: int, history: int, learn: str, count):
+        self.id, self.budget, self.limit, self.learn, self.count = conv_id, budget, history, learn, count
         self.system: list[tuple[str, str]] = []
         self.history: list[tuple[str, str]] = []
         self.waiting: list[tuple[str, str]] = []
+        self.sizes: list[int] = []
         self.sums = [0]
+        self.repeated_size = 0
         self.window = 0
         self.seen = 0
 
@@ -72,7 +82,8 @@ class _Conversation:
             self.system = [(role, text)]
         self.seen += 1
         self.waiting.append((role, text))
-        self.sums.append(self.sums[-1] + tokens_of(text))
+        self.sizes.append(self.count((role, text)))
+        self.sums.append(self.sums[-1] + self.sizes[-1])
         while self.sums[-1] > self.room():
             yield self.cut()
 
@@ -80,24 +91,23 @@ class _Conversation:
         return [] if self.window == 0 else self.system + self.history
 
     def room(self) -> int:
-        return max(1, self.budget - sum(tokens_of(t) for _, t in self.repeated()))
+        return max(1, self.budget - self.repeated_size)
 
     def cut(self) -> dict:
         n = max(1, bisect_right(self.sums, self.room()) - 1)
         repeated, new = self.repeated(), self.waiting[:n]
         text, spans = window_of(repeated, new, self.learn)
-        out = {"conv_id": self.id, "window": self.window, "n_repeated": len(repeated), "formatted": text, "loss_spans": spans, "n_tokens": sum(tokens_of(t) for _, t in repeated + new)}
+        out = {"conv_id": self.id, "window": self.window, "n_repeated": len(repeated), "formatted": text, "loss_spans": spans, "n_tokens": self.repeated_size + self.sums[n]}
         rest = self.history + (new[1:] if self.window == 0 and self.system else new)
         left, self.history = self.limit, []
         for turn in reversed(rest):
-            left -= tokens_of(turn[1])
+            left -= self.count(turn)
             if left < 0:
                 break
             self.history.insert(0, turn)
-        self.waiting = self.waiting[n:]
-        self.sums = [0]
-        for _, t in self.waiting:
-            self.sums.append(self.sums[-1] + tokens_of(t))
+        self.waiting, self.sizes = self.waiting[n:], self.sizes[n:]
+        self.sums = [0, *accumulate(self.sizes)]
+        self.repeated_size = sum(map(self.count, self.system + self.history))
         self.window += 1
         return out
 
@@ -106,33 +116,45 @@ class _Conversation:
             yield self.cut()
 
 
-def windows(turns: DataFrame, budget: int = 512, history: int = 96, learn: str = "assistant") -> DataFrame:
-    """conv_id, window, n_repeated, formatted, loss_spans, n_tokens; a conversation's windows stay together, in order."""
-    from .common import _arrow_schema
+def windows(turns: DataFrame, budget: int = 512, history: int = 96, learn: str = "assistant", vocabulary: str | None = None) -> DataFrame:
+    """conv_id, window, n_repeated, formatted, loss_spans, n_tokens of the turns (conv_id, turn, role, text)."""
+    import public_tokenizers
+
+    from .common import _arrow_schema, begin_task, end_task
+    from .token_hist import default_vocabulary
 
+    with open(vocabulary or default_vocabulary(), "rb") as f:
+        ranks, pattern = turns.sparkSession.sparkContext.broadcast(f.read()), public_tokenizers.PATTERN
+    owner = uuid.uuid4().hex
     schema = WINDOW_SCHEMA.format(id=dict(turns.dtypes)["conv_id"])
     arrow = _arrow_schema(turns.sparkSession, schema)
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, []
+        begin_task(owner)
+        now, out, count = None, [], turn_counter(ranks.value, pattern)
         for batch in batches:
             for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if now is None or now.id != conv_id:
                     out += now.end() if now else []
-                    now = _Conversation(conv_id, budget, history, learn)
+                    now = _Conversation(conv_id, budget, history, learn, count)
                 out += now.add(role, text)
             if out:
                 yield pa.RecordBatch.from_pylist(out, arrow)
                 out = []
         if now and (out := list(now.end())):
             yield pa.RecordBatch.from_pylist(out, arrow)
+        end_task()
 
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, schema)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse windows as :func:`windows` left them (together, in order) and digest what they hold, one row a conversation."""
+    """Parse windows and digest what they hold, one row a conversation.
+
+    A conversation's windows are brought together and put in order first, so the windows may have been saved, read and
+    dealt out anew in between.
+    """
     from .common import _arrow_schema
 
     schema = f"conv_id {dict(formatted.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
@@ -143,7 +165,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         done = lambda s: {"conv_id": s["id"], "n_turns": s["n"], "turns_sha256": s["turns"].hexdigest(), "loss_chars": s["chars"], "loss_sha256": s["loss"].hexdigest(), "formatted_chars": s["long"], "n_windows": s["windows"]}
         for batch in batches:
             for row in batch.to_pylist():
-                if now is None or row["window"] == 0:
+                if now is None or row["conv_id"] != now["id"]:
                     out += [done(now)] if now else []
                     now = {"id": row["conv_id"], "n": 0, "chars": 0, "long": 0, "windows": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256()}
                 text = row["formatted"]
@@ -163,4 +185,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if now:
             yield pa.RecordBatch.from_pylist([done(now)], arrow)
 
-    return formatted.mapInArrow(run, schema)
+    return formatted.select("conv_id", "window", "n_repeated", "formatted", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(run, schema)

@@ -74,23 +74,35 @@ class Index:
             self.ids.append(item_id)
             self.grams.append(grams)
             self.need.append(need)
-        entries.sort()
-        self.keys = np.array([h for h, _ in entries], np.uint64)
-        self.of = np.array([i for _, i in entries], np.int64)
-        #: Size partition of every item: the power of two at or below the shingles a document must have.
-        self.part = np.array([max(1, n).bit_length() for n in self.need], np.int64)
-        self.seen = np.zeros(FILTER, bool)
-        self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        #: Sketches by size partition: items that need 2^(p-1) to 2^p - 1 shingles of a document.
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        #: Which partitions have a hash in a slot, a bit for each; numbers above 63 share the last bit.
+        self.seen = np.zeros(FILTER, np.uint64)
+        for p in sorted({self._size(i) for _, i in entries}):
+            own = sorted(e for e in entries if self._size(e[1]) == p)
+            keys = np.array([h for h, _ in own], np.uint64)
+            self.parts[p] = keys, np.array([i for _, i in own], np.int64)
+            slots = np.unique((keys >> np.uint64(44)).astype(np.int64))
+            self.seen[slots] |= np.uint64(1 << min(p, 63))
+
+    def _size(self, item: int) -> int:
+        return max(1, self.need[item]).bit_length()
 
     def search(self, w: list[bytes]) -> Iterator[tuple[int, int, int]]:
         h = hashes(w, self.width)
-        some = h[self.seen[(h >> np.uint64(44)).astype(np.int64)]]
-        if not len(some):
+        fits = len(h).bit_length()  # items of larger partitions need more shingles than the document has
+        held = self.seen[(h >> np.uint64(44)).astype(np.int64)] & np.uint64((1 << min(fits + 1, 64)) - 1)
+        maybe = np.flatnonzero(held)
+        if not len(maybe):
             return
-        lo, hi = np.searchsorted(self.keys, some, "left"), np.searchsorted(self.keys, some, "right")
-        found = {int(i) for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True) for i in self.of[a:b]}
-        fits = len(h).bit_length()
-        for i in sorted(x for x in found if self.part[x] <= fits):
+        h_maybe, held, found = h[maybe], held[maybe], set()
+        for p, (keys, of) in self.parts.items():
+            if p > fits:
+                break
+            some = h_maybe[held & np.uint64(1 << min(p, 63)) != 0]
+            lo, hi = np.searchsorted(keys, some, "left"), np.searchsorted(keys, some, "right")
+            found.update(int(i) for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True) for i in of[a:b])
+        for i in sorted(found):
             own = np.fromiter(self.grams[i].values(), np.uint64, len(self.grams[i]))
             at = np.flatnonzero(np.isin(h, own)).tolist()
             shared = len({b" ".join(w[k : k + self.width]) for k in at} & self.grams[i].keys())

@@ -6,8 +6,9 @@ which a word has probability (c + 1) / (N_b + V_b + 1), unknown words sharing on
 probability is exactly the forward probability of its classes times the words' probabilities in their classes.
 
 Word counts cover all training documents. Workers hold the COMMON most frequent words; other words meet their
-counts in a shuffled join. Expected counts of every Baum-Welch step are summed over all training documents;
-for these sums alone, documents are cut into runs of SEGMENT tokens. Scores run over whole documents.
+counts in a shuffled join. Expected counts of every Baum-Welch step are summed over all training documents, each from
+its first token to its end; a step also gives the likelihood of the model it starts from, and training ends after
+``steps`` steps or when a step gains less than GAIN. Scores run over whole documents.
 
 Defined results: null texts are empty and score their end token; repeated rows score the same; without
 training rows all words are unknown; an empty table gives an empty result; other columns are not read.
@@ -18,17 +19,19 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, begin_task, cache, end_task, map_batches, most_frequent, saved, words
+from .common import _arrow_schema, cache, end_task, map_batches, most_frequent, saved, slices, small_batches, words
 
 TOP, BUCKETS, COMMON = 4096, 256, 262_144
-STATES, STEPS, SEGMENT = 4, 3, 512
+STATES, STEPS = 4, 3
+GAIN = 1e-4  # log10 likelihood a token
+SLICE_BYTES = 1_000_000  # of sequences, two bytes a token, laid out together
 END = b""  # no word is empty
 FLUSH = 400_000
 CLASSES = 1 + TOP + BUCKETS  # the end token is class 0
@@ -133,6 +136,7 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # classes x states
+    likelihoods: tuple[float, ...] = ()  # log10 a token, of every step's model before the step
 
 
 class _Laid:
@@ -160,8 +164,8 @@ def forward(m: Model, laid: _Laid, emit: np.ndarray) -> tuple[np.ndarray, np.nda
     return alpha, scale
 
 
-def expected(m: Model, seqs: list[np.ndarray], first: np.ndarray) -> np.ndarray:
-    """Expected starts, moves and emissions of the sequences, as one flat array; ``first``: begins a document."""
+def expected(m: Model, seqs: list[np.ndarray]) -> np.ndarray:
+    """Expected starts, moves and emissions of the sequences, their log10 likelihood and their tokens, as one flat array."""
     laid = _Laid(seqs)
     emit = m.emit.T.astype(np.float32)[:, laid.obs]
     alpha, scale = forward(m, laid, emit)
@@ -179,7 +183,7 @@ def expected(m: Model, seqs: list[np.ndarray], first: np.ndarray) -> np.ndarray:
     moves = m.move * (alpha_[:, prev] @ emit[:, begins:].T)
     gamma = alpha_ * back
     counts = np.stack([np.bincount(laid.obs, g, CLASSES) for g in gamma], axis=1)
-    return np.concatenate([gamma[:, :begins][:, first[laid.order]].sum(1), moves.ravel(), counts.ravel()])
+    return np.concatenate([gamma[:, :begins].sum(1), moves.ravel(), counts.ravel(), [np.log10(scale).sum(dtype=float), emit.shape[1]]])
 
 
 def _summed(parts: DataFrame, fan: int = 64) -> np.ndarray | None:
@@ -215,6 +219,7 @@ def train(encoded: DataFrame, lex: Lexicon, states: int = STATES, steps: int = S
     freq /= freq.sum()
     emit = freq[:, None] * np.exp(rng.normal(0, 0.7, (CLASSES, states)))
     m = Model(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(0))
+    small_batches(encoded.sparkSession)
     rows = encoded.where("train").select("seq")
     for _ in range(steps):
         shared = encoded.sparkSession.sparkContext.broadcast(m)
@@ -222,16 +227,10 @@ def train(encoded: DataFrame, lex: Lexicon, states: int = STATES, steps: int = S
         def step(batches, shared=shared):
             total = None
             for b in batches:
-                col = b.column(0).to_pylist()
-                for at in range(0, len(col), 1024):
-                    seqs, first = [], []
-                    for x in col[at : at + 1024]:
-                        s = np.frombuffer(x, np.uint16)
-                        for k in range(0, len(s), SEGMENT):
-                            seqs.append(s[k : k + SEGMENT])
-                            first.append(k == 0)
-                    got = expected(shared.value, seqs, np.array(first))
+                for part in slices(b, 2048, SLICE_BYTES):
+                    got = expected(shared.value, [np.frombuffer(x, np.uint16) for x in part.column(0).to_pylist()])
                     total = got if total is None else total + got
+            end_task()
             if total is not None:
                 yield pa.RecordBatch.from_pydict({"g": pa.array([total.tobytes()], pa.binary())})
 
@@ -239,8 +238,11 @@ def train(encoded: DataFrame, lex: Lexicon, states: int = STATES, steps: int = S
         shared.unpersist()
         if got is None:
             return m
-        start, move, emit = got[:states] + 0.1, got[states : states + states**2].reshape(states, states) + 0.1, got[states + states**2 :].reshape(CLASSES, states) + 0.5 * freq[:, None] * CLASSES / 16 + 1e-3
-        m = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        likelihoods = (*m.likelihoods, got[-2] / got[-1])
+        if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < GAIN:
+            return replace(m, likelihoods=likelihoods)
+        start, move, emit = got[:states] + 0.1, got[states : states + states**2].reshape(states, states) + 0.1, got[states + states**2 : -2].reshape(CLASSES, states) + 0.5 * freq[:, None] * CLASSES / 16 + 1e-3
+        m = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), likelihoods)
     return m
 
 
@@ -264,7 +266,7 @@ def score(docs: DataFrame, train_flag: Column, held_out: Column, text_col: str =
         out[laid.order] = sums
         return {"rid": rid, "path": out.tolist()}
 
-    paths = map_batches(encoded.select("rid", "seq"), run, "rid long, path double", at_most=1024)
+    paths = map_batches(encoded.select("rid", "seq"), run, "rid long, path double", most_bytes=SLICE_BYTES)
     out = encoded.select("rid", "doc_id", "held_out", "n_tokens", "known", "base", "inner").join(paths, "rid").join(rare, "rid", "left")
     lg, more = F.coalesce("lg", F.lit(0.0)), F.coalesce("more", F.lit(0))
     return out.select(

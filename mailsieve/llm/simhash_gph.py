@@ -6,7 +6,8 @@ threshold of its own (they sum to distance - parts + 1; -1 means the part is not
 programming on estimated candidate counts, and a fingerprint probes a part with every value within that
 part's threshold. Any pair within the distance agrees with some part's threshold, whatever the estimates
 were, so they steer cost and never results. Pairs are verified inside the join. Copies collapse to one
-fingerprint before it, so a large group of copies emits no pairs.
+fingerprint before it, and components need only some of a cluster's pairs, so a large group of copies or of near
+copies emits few.
 
 Defined results: null and empty texts have fingerprint zero; fewer words than the shingle width make one
 shingle; null ids are kept and take the smallest id of their component (null if it has none); repeated rows
@@ -44,7 +45,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])[: len(w) - width + 1].tolist()
         digests = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)])
-    octets = np.frombuffer(digests, np.uint8).reshape(-1, 8)[:, ::-1]  # digests are big-endian
+    return majority(np.frombuffer(digests, np.uint8).reshape(-1, 8)[:, ::-1])  # digests are big-endian
+
+
+def majority(octets: np.ndarray) -> int:
+    """Bits set in over half the 64-bit hashes, given as little-endian bytes; zero for none."""
     hist = np.bincount((octets + np.arange(8) * 256).ravel(), minlength=2048).reshape(8, 256)
     ones = (2 * (hist @ BYTE_BITS).ravel() > len(octets)).astype(np.uint8)
     return int(np.packbits(ones, bitorder="little").view(np.int64)[0])
@@ -104,31 +109,60 @@ def plan(sample: np.ndarray, n: int, distance: int) -> tuple[list[list[int]], li
     return min(choices, key=lambda c: c[:2])[2:]
 
 
-def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
-    """All pairs (a, b), a < b, of distinct fingerprints (column fp) at ``distance`` differing bits or fewer."""
-    n = distinct.count()
-    got = [r["fp"] for r in hash_sample(distinct, F.xxhash64("fp"), ESTIMATE_ROWS).collect()]
-    groups, thresholds = plan(np.array(got, np.int64), n, distance)
-    pairs = None
+def _within(distance: int):
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+
+
+def probe_tables(distinct: DataFrame, distance: int, keep: tuple[str, ...] = (), planned: tuple | None = None) -> tuple[DataFrame, DataFrame, tuple]:
+    """What every fingerprint probes (part, key, a) and where it is filed (part, key, b), with the columns in ``keep``;
+    and the plan, by which another call deals out the same buckets."""
+    if planned is None:
+        n = distinct.count()
+        got = [r["fp"] for r in hash_sample(distinct, F.xxhash64("fp"), ESTIMATE_ROWS).collect()]
+        planned = plan(np.array(got, np.int64), n, distance)
+    probes = index = None
     signed = lambda bits: int(np.array([sum(1 << b for b in bits)], np.uint64).view(np.int64)[0])
-    for part, (group, e) in enumerate(zip(groups, thresholds, strict=True)):
+    for part, (group, e) in enumerate(zip(*planned, strict=True)):
         if e < 0:
             continue
         value = F.col("fp").bitwiseAND(F.lit(signed(group)))
         ball = [signed(c) for k in range(e + 1) for c in combinations(group, k)]
-        index = distinct.select(F.lit(part).alias("part"), value.alias("key"), F.col("fp").alias("b"))
-        probes = distinct.select(F.lit(part).alias("part"), value.alias("own"), F.col("fp").alias("a"))
-        probes = probes.withColumn("flip", F.explode(F.lit(ball))).select("part", F.col("own").bitwiseXOR(F.col("flip")).alias("key"), "a")
-        pairs = (probes, index) if pairs is None else (pairs[0].union(probes), pairs[1].union(index))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return pairs[0].join(pairs[1], (pairs[0]["part"] == pairs[1]["part"]) & (pairs[0]["key"] == pairs[1]["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+        filed = distinct.select(F.lit(part).alias("part"), value.alias("key"), F.col("fp").alias("b"), *keep)
+        asked = distinct.select(F.lit(part).alias("part"), value.alias("own"), F.col("fp").alias("a"), *keep).withColumn("flip", F.explode(F.lit(ball)))
+        asked = asked.select("part", F.col("own").bitwiseXOR(F.col("flip")).alias("key"), "a", *keep)
+        probes, index = (asked, filed) if probes is None else (probes.union(asked), index.union(filed))
+    return probes, index, planned
+
+
+def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
+    """All pairs (a, b), a < b, of distinct fingerprints (column fp) at ``distance`` differing bits or fewer."""
+    probes, index, _ = probe_tables(distinct, distance)
+    return probes.join(index, ["part", "key"]).where((F.col("a") < F.col("b")) & _within(distance)).select("a", "b").distinct()
+
+
+def joining_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
+    """Enough of the pairs of :func:`links` to give the same components, also where a cluster of close fingerprints is large.
+
+    First every probe and every fingerprint of a bucket is compared with the bucket's least one only. Then, in buckets
+    that file several fingerprints, those are compared that the first links left in different components.
+    """
+    probes, index, planned = probe_tables(distinct, distance)
+    hubs = saved(index.groupBy("part", "key").agg(F.min("b").alias("b"), F.count("*").alias("many")))
+    members = probes.union(index.select("part", "key", F.col("b").alias("a")))
+    first = saved(members.join(hubs.drop("many"), ["part", "key"]).where((F.col("a") != F.col("b")) & _within(distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    of = components(first).withColumnRenamed("node", "fp")
+    named = saved(distinct.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    probes, index, _ = probe_tables(named, distance, ("root",), planned)
+    shared = hubs.where("many > 1").select("part", "key")
+    rest = probes.join(shared, ["part", "key"]).withColumnRenamed("root", "other").join(index, ["part", "key"]).where((F.col("root") != F.col("other")) & _within(distance))
+    return first.union(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fp, component_id, one row an input row; component_id is the smallest id reachable over links."""
     rows = saved(fingerprints(docs, text_col, id_col, width))
     distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    joined = components(links(distinct.select("fp"), distance))
+    joined = components(joining_links(distinct.select("fp"), distance))
     of = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = of.groupBy("root").agg(F.min("low").alias("component_id"))
     named = of.join(lowest, "root").select("fp", "component_id")
@@ -140,7 +174,7 @@ def hex16(fp: str):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, one row of each component: the smallest id (null last), then the smallest row hash."""
+    """The documents, one row of each component of close fingerprints: the smallest id (null last), then the smallest row hash."""
     own = keyed(docs)
     of = classes(own, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component")).distinct()
     return keep_first(own, own.select("__row", "doc_id").distinct().join(of, "__row"))
