@@ -184,10 +184,22 @@ def subject_bucket(subject: Column) -> Column:
     return F.when(n <= 10, "veryshort").when(n <= 30, "short").when(n <= 60, "medium").when(n <= 100, "long").otherwise("verylong")
 
 
+DAY = 86400
+
+
 def _sessions(df: DataFrame, key: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("ts_s", "msg_id")
-    gap = F.coalesce((F.col("ts_s") - F.lag("ts_s").over(w) > IDLE_SECONDS).cast("int"), F.lit(0))
-    return df.withColumn("__gap", gap).withColumn("session", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
+    """Adds session: a group's runs of messages without a gap of more than IDLE_SECONDS.
+
+    Gaps lie between days, so the first and last time of every day of a group decide: they are aggregated on the map
+    side and ordered, some hundred rows a year, and the sessions are joined back by group and day. A group that holds
+    most of all messages is thus never ordered in one task.
+    """
+    dealt = df.withColumn("__day", F.coalesce(F.floor(F.col("ts_s") / DAY), F.lit(-(1 << 40))))  # rows without a time stand first
+    days = dealt.groupBy(key, "__day").agg(F.min("ts_s").alias("lo"), F.max("ts_s").alias("hi"))
+    w = Window.partitionBy(key).orderBy("__day")
+    gap = F.coalesce((F.col("lo") - F.lag("hi").over(w) > IDLE_SECONDS).cast("int"), F.lit(0))
+    days = days.withColumn("__gap", gap).withColumn("session", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return dealt.join(days.select(key, "__day", "session"), [key, "__day"]).drop("__day")
 
 
 def campaigns(m: DataFrame) -> DataFrame:
@@ -199,8 +211,9 @@ def campaigns(m: DataFrame) -> DataFrame:
     """
     one = m.groupBy("msg_id").agg(F.min(F.struct("ts_s", "domain", "subject", "auth_fail")).alias("r")).select("msg_id", "r.*")
     failed = _sessions(one.where("auth_fail").withColumn("group_key", F.concat(F.lit("pattern:auth_fail:subject_"), subject_bucket(F.col("subject")))), "group_key")
-    failed = failed.withColumn("k", F.row_number().over(Window.partitionBy("group_key", "session").orderBy("ts_s", "msg_id")))
-    by_domain = one.where("NOT auth_fail").select("msg_id", "ts_s", "domain").union(failed.where("k <= 2").select("msg_id", "ts_s", "domain"))
+    # the first two of every session: Spark keeps two rows a group and map task before it shuffles
+    firsts = failed.withColumn("k", F.row_number().over(Window.partitionBy("group_key", "session").orderBy("ts_s", "msg_id"))).where("k <= 2")
+    by_domain = one.where("NOT coalesce(auth_fail, false)").select("msg_id", "ts_s", "domain").union(firsts.select("msg_id", "ts_s", "domain"))
     by_domain = _sessions(by_domain.withColumn("group_key", F.concat(F.lit("unknown:"), F.coalesce("domain", F.lit("")))), "group_key")
     groups = failed.select("group_key", "session", "ts_s").union(by_domain.select("group_key", "session", "ts_s")).groupBy("group_key", "session").agg(F.count("*").alias("n"), F.min("ts_s").alias("first_ts"), F.max("ts_s").alias("last_ts"))
     return groups.withColumn("threat_score", F.when(F.col("n") == 1, 0.3).otherwise(F.least(F.lit(1.0), 0.3 + 0.1 * F.col("n")))).withColumn("alertable", F.col("n") >= 3)
@@ -209,18 +222,20 @@ def campaigns(m: DataFrame) -> DataFrame:
 def style_profiles(samples: DataFrame) -> DataFrame:
     """Adds the sender's profile before each sample: n, running means, and the weight of the sample's hour.
 
-    An hour's weight is an ordered fold: a hit moves it to 1 by 1/(n+1), a miss towards 0 by a tenth of that.
+    An hour's weight is an ordered fold: sample i moves it to 1 by 1/(i+1) on a hit, and towards 0 by a tenth of that
+    on a miss. All misses together shrink a weight by D(n), the product of 1 - 0.1/(i+1); over D the fold changes at
+    hits alone, u' = a u + b, and a running sum of log a and one of b exp(-log a) solve it. So every row holds a few
+    numbers, whatever it has before it, and all windows lie in one shuffle by sender.
     """
-    w = before(["sender"], ["ts_s", "msg_id"])
+    w, own = before(["sender"], ["ts_s", "msg_id"]), before(["sender", "hour"], ["ts_s", "msg_id"])
     means = {f"avg_{c}": F.avg(c).over(w) for c in ("chars", "chars_per_sentence", "punctuation_density", "formality")}
-    out = samples.withColumns({"n": F.count("*").over(w), "__hours": F.collect_list("hour").over(w)} | means)
-    state = F.struct(F.lit(0.0).alias("p"), F.lit(0).alias("i"))
-
-    def step(a, h):
-        alpha = 1.0 / (a["i"] + 1)
-        return F.struct(F.when(h == F.col("hour"), a["p"] * (1 - alpha) + alpha).otherwise(a["p"] * (1 - alpha * 0.1)).alias("p"), (a["i"] + 1).alias("i"))
-
-    return out.withColumn("hour_weight", F.aggregate("__hours", state, step, lambda a: a["p"])).drop("__hours")
+    out = samples.withColumns({"n": F.count("*").over(w)} | means)
+    i = F.col("n")
+    out = out.withColumn("__shrink", F.log1p(-0.1 / (i + 1))).withColumn("__d", F.coalesce(F.sum("__shrink").over(w), F.lit(0.0)))
+    out = out.withColumns({"__a": F.when(i == 0, 0.0).otherwise(F.log(i / (i + 1)) - F.col("__shrink")), "__b": F.exp(-F.col("__d") - F.col("__shrink")) / (i + 1)})
+    out = out.withColumn("__upto", F.coalesce(F.sum("__a").over(own), F.lit(0.0)))
+    hits = F.sum(F.col("__b") * F.exp(-(F.col("__upto") + F.col("__a")))).over(own)
+    return out.withColumn("hour_weight", F.coalesce(F.exp(F.col("__upto") + F.col("__d")) * hits, F.lit(0.0))).drop("__shrink", "__d", "__a", "__b", "__upto")
 
 
 def style_warnings(profiled: DataFrame, financial: Column | None = None) -> DataFrame:
