@@ -236,7 +236,7 @@ def redact(c: Column) -> Column:
     """Card numbers, mail local parts, bearer tokens and phone numbers taken out, in this order."""
     c = F.translate(c, lx.FULL_WIDTH, lx.HALF_WIDTH)
     c = F.regexp_replace(c, r"(?:[ -]*[0-9]){16}|(?:[ -]*[0-9]){13,15}[ -]*", "[REDACTED-CC]")
-    c = F.regexp_replace(c, r"([A-Za-z0-9][A-Za-z0-9._-]{2})[A-Za-z0-9._-]+@", "$1***@")
+    c = F.regexp_replace(c, r"(?<![A-Za-z0-9._-])([._-]*+[A-Za-z0-9][A-Za-z0-9._-]{2})[A-Za-z0-9._-]++@", "$1***@")
     c = F.regexp_replace(c, r"Bearer \S*", "Bearer [REDACTED]")
     return F.regexp_replace(c, r"[0-9](?:[-() ]*[0-9]){9,10}[-() ]*+(?![0-9])", "[TEL-REDACTED]")
 

@@ -86,7 +86,3 @@ def validate(m: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     if "to_addrs" in m.columns:
         tests += [F.when(F.size("to_addrs") > 1000, "to_addrs: too many"), F.when(F.exists("to_addrs", lambda a: (F.length(a) > 320) | F.contains(a, F.lit("\x00"))), "to_addrs: invalid")]
     return m.withColumn("reject_reason", F.coalesce(*tests))
-
-
-def latest_order(keys: list[str], order: str):
-    return Window.partitionBy(*keys).orderBy(F.desc(order))

@@ -229,9 +229,22 @@ def c18_media_advisory(spark, sf_dir):
     return media_advisory(a, m).select("msg_id", "severity")
 
 
-@query()
+def _redacted(x: str) -> str:
+    x = f"translate({x}, {O.q(lx.FULL_WIDTH)}, {O.q(lx.HALF_WIDTH)})"
+    for pattern, put in (
+        ("(?:[ -]*[0-9]){16}|(?:[ -]*[0-9]){13,15}[ -]*", "[REDACTED-CC]"), ("([A-Za-z0-9][A-Za-z0-9._-]{2})[A-Za-z0-9._-]+@", "\\1***@"), ("Bearer \\S*", "Bearer [REDACTED]"),
+        ("[0-9](?:[-() ]*[0-9]){9,10}[-() ]*([^-() 0-9]|$)", "[TEL-REDACTED]\\1"),
+    ):
+        x = f"regexp_replace({x}, {O.q(pattern)}, {O.q(put)}, 'g')"
+    return x
+
+
+PRIVATE = "body || ' mail anna.b-lee@mail.example or .x_yz.w@m.example, call 090-1234-5678 (03) 1234-5678 now, Bearer abc.def'"
+
+
+@query(f"WITH {O.M} SELECT msg_id, {_redacted(PRIVATE)} AS redacted FROM m")
 def c19_redaction(spark, sf_dir):
-    return messages(spark, sf_dir).select("msg_id", C.redact(F.col("body")).alias("redacted"))
+    return messages(spark, sf_dir).select("msg_id", C.redact(F.expr(PRIVATE)).alias("redacted"))
 
 
 @query("SELECT doc_id, doc_id || 'aAA%0A%zz' AS decoded FROM documents")
@@ -271,7 +284,7 @@ def b12_letter_spacing(spark, sf_dir):
 
 
 @query(
-    f"""WITH s AS (SELECT doc_id, substr(text, 1, 320) AS summary, string_split_regex({O.norm('substr(text, 1, 320)', True)}, '\\s+') AS ws FROM documents)
+    f"""WITH s AS (SELECT doc_id, text AS summary, string_split_regex({O.norm('text', True)}, '\\s+') AS ws FROM documents)
     SELECT doc_id AS report_id, CASE WHEN doc_id % 7 = 0 THEN 'email_id_mismatch' WHEN doc_id % 5 = 0 THEN 'score'
       WHEN len(list_filter(ws, lambda w: contains(w, '@') AND contains(w, '.') AND regexp_matches(regexp_replace(regexp_replace(w, '^[^\\pL\\pN]+', ''), '[^\\pL\\pN]+$', ''), '^.+@[^@]*\\.[^@]*$'))) > 0 THEN 'audit' WHEN length(summary) > 280 THEN 'summary_length' END AS reason FROM s"""
 )
@@ -280,10 +293,10 @@ def c6_report_validation(spark, sf_dir):
 
     d, k = read(spark, sf_dir, "documents"), F.col("doc_id")
     name = k.cast("string")
-    reports = d.select(k.alias("report_id"), F.when(k % 7 == 0, "other").otherwise(name).alias("email_id"), F.when(k % 5 == 0, 2.0).otherwise(0.5).alias("score"), F.array(F.lit("note")).alias("topics"), F.substring("text", 1, 320).alias("summary"), name.alias("source_id"))
+    reports = d.select(k.alias("report_id"), F.when(k % 7 == 0, "other").otherwise(name).alias("email_id"), F.when(k % 5 == 0, 2.0).otherwise(0.5).alias("score"), F.array(F.lit("note")).alias("topics"), F.col("text").alias("summary"), name.alias("source_id"))
     return validate_reports(reports, d.select(name.alias("source_id"), name.alias("email_id"))).select("report_id", "reason")
 
 
-@query()
+@query(f"SELECT doc_id, {_redacted('text')} AS body FROM documents")
 def c20_sensitive_columns(spark, sf_dir):
     return C.redact_columns(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), F.col("n_chars").alias("token")))

@@ -75,19 +75,22 @@ def _rules_sql(direction: str) -> str:
     return f"{O.M}, t AS (SELECT msg_id, from_addr, subject || chr(10) || {x} AS body, {DIGITS.format('subject || ' + x)} AS ds FROM m), f AS ({' UNION ALL '.join(parts)})"
 
 
-def _findings(spark, sf_dir, direction):
+RULES = {d: _rules_sql(d) for d in ("outbound", "inbound")}
+
+
+def findings(spark, sf_dir, direction):
     m = _messages(spark, sf_dir).select("msg_id", "subject", "body", "from_addr", F.array("from_addr").alias("to_addrs"), F.octet_length(F.concat_ws("\n", "subject", "body")).alias("size_bytes"), F.array().cast("array<string>").alias("mimes"))
     return D.evaluate_rules(m, D.DEFAULT_RULES, direction).select("msg_id", "rule_id", "action", "priority", "rank")
 
 
 @query(f"WITH {_rules_sql('outbound')} SELECT rule_id, action, count(*) AS n FROM f GROUP BY ALL")
 def d10_d12_rule_findings(spark, sf_dir):
-    return _findings(spark, sf_dir, "outbound").groupBy("rule_id", "action").agg(F.count("*").alias("n"))
+    return findings(spark, sf_dir, "outbound").groupBy("rule_id", "action").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_rules_sql('outbound')} SELECT msg_id, max_by(action, rank) AS verdict, string_agg(rule_id, ',' ORDER BY priority, rule_id) AS rules FROM f GROUP BY msg_id")
 def d11_verdicts(spark, sf_dir):
-    return D.verdicts(_findings(spark, sf_dir, "outbound"), "msg_id").select("msg_id", "verdict", "rules")
+    return D.verdicts(findings(spark, sf_dir, "outbound"), "msg_id").select("msg_id", "verdict", "rules")
 
 
 @query(
@@ -130,13 +133,13 @@ def d15_misdirected(spark, sf_dir):
 
 @query(f"WITH {_MISDIRECTED}, {_rules_sql('outbound').removeprefix(O.M + ', ')}, v AS (SELECT msg_id, max_by(action, rank) AS verdict FROM f GROUP BY msg_id), b AS (SELECT msg_id, count(*) AS c FROM bad GROUP BY msg_id) SELECT msg_id, CASE WHEN c IS NOT NULL THEN 'block' ELSE verdict END AS verdict, coalesce(c, 0) AS n_recipients FROM v LEFT JOIN b USING (msg_id)")
 def d16_escalation(spark, sf_dir):
-    v = D.verdicts(_findings(spark, sf_dir, "outbound"), "msg_id").select("msg_id", "verdict")
+    v = D.verdicts(findings(spark, sf_dir, "outbound"), "msg_id").select("msg_id", "verdict")
     return D.escalate(v, _misdirected(spark, sf_dir))
 
 
 @query(f"WITH {_rules_sql('inbound')} SELECT msg_id, max_by(action, rank) AS verdict, min_by(rule_id, (-rank, priority, rule_id)) AS reported_rule FROM f GROUP BY msg_id")
 def d17_envelope_scan(spark, sf_dir):
-    return D.verdicts(_findings(spark, sf_dir, "inbound"), "msg_id").select("msg_id", "verdict", "reported_rule")
+    return D.verdicts(findings(spark, sf_dir, "inbound"), "msg_id").select("msg_id", "verdict", "reported_rule")
 
 
 @query("WITH d AS (SELECT DISTINCT split_part(url, '/', 3) AS h FROM pages UNION SELECT * FROM (VALUES ('microsoft.com'), ('rnicrosoft.com'), ('mcrosoft.com'), ('google.com'), ('gogle.com'))) SELECT a.h AS domain, b.h AS other, levenshtein(a.h, b.h) AS edits FROM d a, d b WHERE levenshtein(a.h, b.h) BETWEEN 1 AND 2")

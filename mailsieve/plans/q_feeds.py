@@ -18,14 +18,14 @@ STOP_WORDS = (
 NOW, DAYS = 1709000000, 50
 KEYWORDS = [("spoof", "the"), ("spoof", "erst"), ("trace", "onn"), ("trace", "an"), ("chain", "eux"), ("chain", "qué"), ("none", "zzzz")]
 TOPICS = [("spoof", True), ("trace", False), ("chain", True), ("none", False)]
-ITEMS = "i AS (SELECT source, substr(text, 1, 60) AS title, 'https://x.example/' || (doc_id // 2) AS url, 1704067200 + doc_id * 5400 AS published_s, substr(text, 61, 200) AS summary FROM documents)"
+ITEMS = "i AS (SELECT source, substr(text, 1, 60) AS title, 'https://x.example/' || (doc_id // 2) AS url, 1704067200 + doc_id * 5400 AS published_s, substr(text, 61) AS summary FROM documents)"
 RECENT = f"{ITEMS}, r AS (SELECT * FROM i WHERE published_s >= {NOW - DAYS * 86400} QUALIFY row_number() OVER (PARTITION BY url ORDER BY published_s DESC, source DESC, title DESC) = 1)"
 MATCH = f"{RECENT}, k(topic, kw) AS (VALUES {', '.join(f'({O.q(a)}, {O.q(b)})' for a, b in KEYWORDS)}), mt AS (SELECT DISTINCT url, topic FROM (SELECT *, lower(title || ' ' || summary) AS t FROM r), k WHERE CASE WHEN regexp_matches(kw, '^[a-z0-9]{{1,4}}$') THEN list_contains(regexp_extract_all(t, '[a-z0-9]+'), kw) ELSE contains(t, kw) END)"
 
 
 def _items(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    return d.select("source", F.substring("text", 1, 60).alias("title"), F.concat(F.lit("https://x.example/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("url"), (F.lit(1704067200) + F.col("doc_id") * 5400).alias("published_s"), F.substring("text", 61, 200).alias("summary"))
+    return d.select("source", F.substring("text", 1, 60).alias("title"), F.concat(F.lit("https://x.example/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("url"), (F.lit(1704067200) + F.col("doc_id") * 5400).alias("published_s"), F.expr("substr(text, 61)").alias("summary"))
 
 
 def _recent(spark, sf_dir):

@@ -186,7 +186,7 @@ _CHAIN = """e AS (SELECT event_id AS seq, event_type, CAST(user_id AS VARCHAR) A
     c AS (SELECT seq, account, event_type, CASE WHEN seq % 1000 = 77 THEN 'tampered' ELSE hash END AS hash, lag(hash) OVER (ORDER BY seq) AS prev_hash FROM h)"""
 
 
-@query("SELECT event_id AS seq FROM events WHERE event_id % 1000 = 77 UNION SELECT event_id FROM events WHERE event_id % 1000 = 78")
+@query(f"WITH {_CHAIN}, x AS (SELECT *, lag(hash) OVER (ORDER BY seq) AS stored, sha256(CAST(seq AS VARCHAR) || chr(0) || account || chr(0) || event_type) AS want FROM c) SELECT seq FROM x WHERE hash <> want OR (stored IS NOT NULL AND prev_hash IS DISTINCT FROM stored)")
 def g16_audit_chain(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("account"), "event_type")
     e = e.withColumn("good", H.chain_hash(["seq", "account", "event_type"]))
@@ -200,3 +200,12 @@ def b18_one_edit(spark, sf_dir):
     return _with_domain(spark, sf_dir).select("domain").distinct().select("domain", T.one_edit_apart(F.col("domain"), F.lit("google.com")).alias("one_edit"))
 
 
+
+
+_ANY_TOKEN = f"list_filter(list_transform(regexp_extract_all(text || ' 請求書を abc', '[A-Za-z]+|[\\x{{3000}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{20000}}-\\x{{2A6DF}}]'), lambda w: lower(w)), lambda w: strlen(w) >= 2 AND NOT list_contains({O.array(H.STOP_WORDS)}, w))"
+
+
+@query(f"SELECT doc_id, len({_ANY_TOKEN}) AS n, md5(array_to_string({_ANY_TOKEN}, ' ')) AS tokens FROM documents")
+def b13_tokens(spark, sf_dir):
+    t = H.tokens(F.concat("text", F.lit(" 請求書を abc")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("tokens"))

@@ -147,6 +147,6 @@ def b15_query_params(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.query_param(url, "a").alias("a"))
 
 
-@query("SELECT doc_id, lower(translate(substr(text, 1, 40) || ' раураl', 'аурl', 'ayp' || 'l')) AS folded FROM documents")
+@query(f"SELECT doc_id, md5(lower(translate(text || ' раураl', {O.q(lx.FULL_WIDTH[:-1] + L.FOLD_FROM)}, {O.q(lx.HALF_WIDTH[:-1] + L.FOLD_TO)}))) AS folded FROM documents")
 def b4_homoglyph_fold(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", L.fold_homoglyphs(F.concat(F.substring("text", 1, 40), F.lit(" раураl"))).alias("folded"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(L.fold_homoglyphs(F.concat("text", F.lit(" раураl")))).alias("folded"))

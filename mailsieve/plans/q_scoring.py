@@ -11,6 +11,7 @@ from ..operators import history as H
 from ..operators import scoring as S
 from . import oracle as O
 from .catalog import query
+from . import q_dlp as QD
 from . import q_history as QH
 from .q_content import WALLETS, host_sql
 from .q_history import SIG, _signed
@@ -125,6 +126,13 @@ def h9_ranked_signals(spark, sf_dir):
     return S.ranked_signals(assessed(spark, sf_dir)).select("msg_id", "code", "rank")
 
 
-@query(f"WITH {VERDICT} SELECT verdict, count(*) AS n, sum((spf = 'fail')::INT)::BIGINT AS n_spf_failed FROM v JOIN m USING (msg_id) GROUP BY verdict")
+_FOUND = f"SELECT DISTINCT msg_id FROM (WITH {QD.RULES['outbound']} SELECT msg_id FROM f)"
+_ALERTS = f"SELECT count(*) FROM (WITH {QH.CAMPAIGNS} SELECT group_key FROM g WHERE n >= 3)"
+
+
+@query(f"WITH {VERDICT} SELECT verdict, count(*) AS n, round(avg(score), 6) AS mean_score, sum((spf = 'fail')::INT)::BIGINT AS n_spf_failed, count(x.msg_id) AS n_sensitive, ({_ALERTS}) AS n_campaigns FROM v JOIN m USING (msg_id) LEFT JOIN ({_FOUND}) x ON x.msg_id = m.msg_id GROUP BY verdict")
 def i10_scan_summary(spark, sf_dir):
-    return assessed(spark, sf_dir).join(messages(spark, sf_dir).select("msg_id", "spf"), "msg_id").groupBy("verdict").agg(F.count("*").alias("n"), F.count_if(F.col("spf") == "fail").alias("n_spf_failed"))
+    sensitive = QD.findings(spark, sf_dir, "outbound").select("msg_id").distinct().withColumn("sensitive", F.lit(True))
+    rows = assessed(spark, sf_dir).join(messages(spark, sf_dir).select("msg_id", "spf"), "msg_id").join(sensitive, "msg_id", "left")
+    per = rows.groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("spf") == "fail").alias("n_spf_failed"), F.count("sensitive").alias("n_sensitive"))
+    return per.join(F.broadcast(QH.g11_alertable_groups(spark, sf_dir).agg(F.count("*").alias("n_campaigns"))))  # one row

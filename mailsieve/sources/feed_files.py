@@ -10,8 +10,8 @@ _RSS = "channel struct<item:array<struct<title:string,link:string,pubDate:string
 _ATOM = "entry array<struct<title:string,id:string,published:string,summary:string>>"
 _LIST = "array<struct<title:string,url:string,created_at:string>>"
 _REPOS = "items array<struct<full_name:string,name:string,html_url:string,pushed_at:string,description:string>>"
+_HITS = "hits array<struct<objectID:string,title:string,url:string,created_at:string>>"
 _DRAFTS = "objects array<struct<name:string,title:string,time:string,abstract:string>>"
-RFC_DATE = "EEE, d MMM yyyy HH:mm:ss Z"
 
 
 def _clean(c: Column) -> Column:
@@ -34,7 +34,7 @@ def _shape(raw: DataFrame, kind: str, items: Column, title, url, date, summary)
 
 
 def parse_feeds(raw: DataFrame, limit: int = 20) -> DataFrame:
-    """Items from (source, query, shape, payload); shape is atom, rss, list, repos or drafts.
+    """Items from (source, query, shape, payload); shape is atom, rss, list, repos, drafts or hits.
 
     Rows without title, address or readable date drop out, as do XML payloads with a document type or entity
     declaration. Each query keeps its ``limit`` newest items, ties by address.
@@ -47,6 +47,7 @@ def parse_feeds(raw: DataFrame, limit: int = 20) -> DataFrame:
         _shape(raw, "list", F.from_json("payload", _LIST), lambda i: i("title"), lambda i: i("url"), lambda i: _iso(i("created_at")), none),
         _shape(raw, "repos", F.from_json("payload", _REPOS)["items"], lambda i: F.coalesce(i("full_name"), i("name")), lambda i: i("html_url"), lambda i: _iso(i("pushed_at")), lambda i: i("description")),
         _shape(raw, "drafts", F.from_json("payload", _DRAFTS)["objects"], lambda i: F.coalesce(i("title"), i("name")), lambda i: F.concat(F.lit("https://datatracker.ietf.org/doc/"), i("name"), F.lit("/")), lambda i: _iso(i("time")), lambda i: i("abstract")),
+        _shape(raw, "hits", F.from_json("payload", _HITS)["hits"], lambda i: i("title"), lambda i: F.coalesce(F.nullif(i("url"), F.lit("")), F.concat(F.lit("https://news.ycombinator.com/item?id="), i("objectID"))), lambda i: _iso(i("created_at")), none),
     ]
     out = parts[0]
     for p in parts[1:]:

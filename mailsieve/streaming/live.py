@@ -5,27 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators import mailbox
-from ..operators.history import subject_bucket
-
-IDLE_MS = 30 * 86400 * 1000
+from ..operators.history import IDLE_SECONDS, subject_bucket
 
 
 def _fold(stream: DataFrame, keys: list[str], out: str, state: str, start: tuple, step: Callable[[tuple, dict, dict], tuple[tuple, dict | None]], order: list[str]) -> DataFrame:
     """Keyed fold in arrival order: rows of a micro-batch are sorted, then folded into the key's state one by one.
 
-    State that is idle for 30 days of event time runs out. ``step`` gets (state, key, row) and returns the new
-    state and an output row or None.
+    A row that comes in a later micro-batch than rows after it in time is folded where it arrives. State stays, as the
+    batch forms count all history. ``step`` gets (state, key, row) and returns the new state and an output row or None.
     """
 
     def run(key: tuple, batches: Iterable[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
         now = held.get if held.exists else start
         rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
         named, made = dict(zip(keys, key, strict=True)), []
@@ -34,10 +31,9 @@ def _fold(stream: DataFrame, keys: list[str], out: str, state: str, start: tuple
             if got is not None:
                 made.append(got)
         held.update(now)
-        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + IDLE_MS)
         yield pd.DataFrame(made, columns=[x.split()[0] for x in out.split(", ")])
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def dedupe(stream: DataFrame, key: str = "msg_id", delay: str = "30 days") -> DataFrame:
@@ -45,23 +41,48 @@ def dedupe(stream: DataFrame, key: str = "msg_id", delay: str = "30 days") -> Da
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def campaign_alerts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """msg_id, group_key, n, threat_score, newly_alertable of messages that fail authentication (ts, msg_id, subject, auth_fail)."""
-    rows = stream.withWatermark("ts", delay).where("auth_fail").withColumn("group_key", F.concat(F.lit("pattern:auth_fail:subject_"), subject_bucket(F.col("subject"))))
+def campaign_alerts(path: str) -> Callable[[DataFrame, int], DataFrame]:
+    """For ``foreachBatch``: alerts of a micro-batch (msg_id, ts, domain, subject, auth_fail), written to ``path``/alerts.
 
-    def step(state, key, row):
-        n, last = state
-        at = int(row["ts"].timestamp())
-        n = 1 if n and at - last > IDLE_MS // 1000 else n + 1
-        got = {"msg_id": row["msg_id"], "group_key": key["group_key"], "n": n, "threat_score": 0.3 if n == 1 else min(1.0, 0.3 + 0.1 * n), "newly_alertable": n == 3}
-        return (n, at), got
+    A group's count and last time are its state, kept as a table by hash bucket. A message that fails authentication
+    joins the group of its subject length, and its domain's group too while the first holds fewer than three; all
+    others join their domain's group. A group that is idle for 30 days begins anew. A repeated batch id writes the
+    same again. Returns the alerts: msg_id, group_key, n, threat_score, newly_alertable.
+    """
+    state = BucketedTable(f"{path}/groups", "group_key", "group_key string, n long, last long")
 
-    return _fold(rows, ["group_key"], "msg_id long, group_key string, n long, threat_score double, newly_alertable boolean", "n long, last long", (0, 0), step, ["ts", "msg_id"])
+    def counted(rows: DataFrame, now: DataFrame) -> DataFrame:
+        w = Window.partitionBy("group_key").orderBy("ts_s", "msg_id")
+        rows = rows.join(now, "group_key", "left")
+        gap = F.coalesce((F.col("ts_s") - F.coalesce(F.lag("ts_s").over(w), F.col("last")) > IDLE_SECONDS).cast("int"), F.lit(0))
+        rows = rows.withColumn("__gap", gap).withColumn("__session", F.sum("__gap").over(w))
+        held = F.when(F.col("__session") == 0, F.coalesce("n", F.lit(0))).otherwise(F.lit(0))
+        return rows.withColumn("n", held + F.row_number().over(Window.partitionBy("group_key", "__session").orderBy("ts_s", "msg_id"))).drop("__gap", "__session", "last")
+
+    def save(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        rows = batch.withColumn("ts_s", F.unix_timestamp("ts"))
+        own = rows.select("msg_id", "ts_s", "domain", F.coalesce("auth_fail", F.lit(False)).alias("auth_fail"), F.concat(F.lit("pattern:auth_fail:subject_"), subject_bucket(F.col("subject"))).alias("group_key"))
+        now = state.read(spark, batch_id)
+        failed = counted(own.where("auth_fail"), now)
+        named = F.concat(F.lit("unknown:"), F.coalesce("domain", F.lit(""))).alias("group_key")
+        by_domain = counted(own.where("NOT auth_fail").select("msg_id", "ts_s", named).union(failed.where("n <= 2").select("msg_id", "ts_s", named)), now)
+        every = failed.select("msg_id", "group_key", "ts_s", "n").union(by_domain.select("msg_id", "group_key", "ts_s", "n"))
+        score = F.when(F.col("n") == 1, 0.3).otherwise(F.least(F.lit(1.0), 0.3 + 0.1 * F.col("n")))
+        out = f"{path}/alerts/batch={batch_id:010d}"
+        every.select("msg_id", "group_key", "ts_s", "n", score.alias("threat_score"), (F.col("n") == 3).alias("newly_alertable")).write.mode("overwrite").parquet(out)
+        made = spark.read.parquet(out)
+        state.write(made.groupBy("group_key").agg(F.max_by("n", F.struct("ts_s", "msg_id")).alias("n"), F.max("ts_s").alias("last")), batch_id, lambda old, new: old.join(new, "group_key", "left_anti").unionByName(new))
+        return made.drop("ts_s")
+
+    return save
 
 
 def signature_replays(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """msg_id, seen: running count per (d, b32)."""
-    return _running_count(stream, ["d", "b32"], "seen", delay, 0)
+    """msg_id, seen: running count per (d, b32); a message without either counts once, outside any state."""
+    keyed = F.col("d").isNotNull() & F.col("b32").isNotNull()
+    alone = stream.where(~keyed).select("msg_id", F.lit(1).cast("long").alias("seen"))
+    return _running_count(stream.where(keyed), ["d", "b32"], "seen", delay, 0).union(alone)
 
 
 def platform_familiarity(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -96,34 +117,57 @@ def style_profiles(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return _fold(stream.withWatermark("ts", delay), ["sender"], out, "n long, means array<double>, hours array<double>", (0, [0.0] * len(STYLE), [0.0] * 24), step, ["ts", "msg_id"])
 
 
-def save_batches(path: str, version: str = "v") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: upsert a micro-batch into the table's next version. A repeated batch id writes the same
-    version again from the same predecessor, so a replay changes nothing."""
+class BucketedTable:
+    """A table by hash bucket of a key. A batch writes new versions of the buckets that it touches and then a manifest,
+    which says for every bucket which batch wrote it last; the manifest makes the batch count."""
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        now = f"{path}/batch={batch_id:010d}"
-        old = [r for r in _versions(batch, path) if r < batch_id]
-        if old:
-            current = spark.read.parquet(f"{path}/batch={max(old):010d}")
-        else:
-            current = batch.drop(version).limit(0)
-        mailbox.upsert(current, batch, version).write.mode("overwrite").parquet(now)
+    def __init__(self, path: str, key: str, schema: str | StructType, buckets: int = 64):
+        self.path, self.key, self.schema, self.buckets = path, key, schema, buckets
 
-    return save
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def places(self, spark: SparkSession, before: int | None = None) -> dict[int, int]:
+        """Bucket to batch, of the newest manifest (before a batch): ``buckets`` rows at most."""
+        try:
+            manifests = spark.read.schema("bucket int, place long, batch long").parquet(f"{self.path}/manifest")
+        except AnalysisException:  # nothing has been written
+            return {}
+        if before is not None:
+            manifests = manifests.where(F.col("batch") < before)
+        newest = manifests.agg(F.max("batch")).first()[0]
+        return {} if newest is None else {r["bucket"]: r["place"] for r in manifests.where(F.col("batch") == newest).collect()}
+
+    def _load(self, spark: SparkSession, places: dict[int, int]) -> DataFrame:
+        if not places:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(*(f"{self.path}/data/batch={b:010d}/bucket={k}" for k, b in sorted(places.items())))
+
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        return self._load(spark, self.places(spark, before))
+
+    def write(self, changes: DataFrame, batch_id: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        spark, places = changes.sparkSession, self.places(changes.sparkSession, batch_id)
+        touched = {r["b"] for r in changes.select(self.bucket().alias("b")).distinct().collect()}
+        old = self._load(spark, {k: b for k, b in places.items() if k in touched})
+        rows = merge(old, changes).withColumn("bucket", self.bucket())
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/batch={batch_id:010d}")
+        now = places | dict.fromkeys(touched, batch_id)
+        spark.createDataFrame(sorted(now.items()), "bucket int, place long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch_id}")
 
 
-def _versions(df: DataFrame, path: str) -> list[int]:
-    """Finished versions: folders of the table that hold a success mark, read through Spark's file system."""
-    jvm = df.sparkSession._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    return [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if s.getPath().getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+def save_batches(path: str, schema: str | StructType, version: str = "v", key: str = "id") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: upsert a micro-batch into the table; only the buckets of its keys are written anew. A
+    repeated batch id starts from the same predecessor and writes the same again, so a replay changes nothing.
+    ``schema`` is that of the table, without ``version``."""
+    table = BucketedTable(path, key, schema)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        table.write(batch, batch_id, lambda old, new: mailbox.upsert(old, new, version))
+
+    return save
 
 
-def latest(spark, path: str) -> DataFrame:
-    """The newest finished version of a table that :func:`save_batches` wrote."""
-    versions = _versions(spark.range(0), path)
-    return spark.read.parquet(f"{path}/batch={max(versions):010d}")
+def latest(spark: SparkSession, path: str, schema: str | StructType, key: str = "id") -> DataFrame:
+    """What a table that :func:`save_batches` wrote holds now."""
+    return BucketedTable(path, key, schema).read(spark)

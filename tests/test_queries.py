@@ -165,8 +165,13 @@ def test_feed_files(spark):
         ("atom", "q", "atom", "<feed><entry><title>V</title><id>https://f.example</id><published>2024-01-05T00:00:00Z</published><summary>s</summary></entry></feed>"),
         ("atom", "q", "atom", "<!DOCTYPE x><feed><entry><title>W</title><id>https://g.example</id><published>2024-01-05T00:00:00Z</published></entry></feed>"),
     ]
+    rows += [
+        ("hits", "q", "hits", '{"hits":[{"objectID":"456","title":"Mail story","url":null,"created_at":"2026-04-20T10:30:00Z"},{"objectID":"457","title":"Other","url":"https://h.example","created_at":"2026-04-21T10:30:00Z"},{"title":"None","created_at":"2026-04-21T10:30:00Z"}]}'),
+        ("drafts", "q", "drafts", '{"objects":[{"name":"draft-a","title":"A  draft","time":"2024-02-01T00:00:00Z","abstract":"x"},{"name":"draft-b","title":null,"time":"2024-02-02T00:00:00Z","abstract":null},{"name":"draft-c","title":"C","time":"soon"}]}'),
+    ]
     got = {(r.source, r.title, r.url) for r in feed_files.parse_feeds(spark.createDataFrame(rows, "source string, query string, shape string, payload string")).collect()}
-    assert got == {("list", "A b", "https://a.example"), ("repos", "x/y", "https://c.example"), ("rss", "T", "https://d.example"), ("atom", "V", "https://f.example")}
+    assert got == {("list", "A b", "https://a.example"), ("repos", "x/y", "https://c.example"), ("rss", "T", "https://d.example"), ("atom", "V", "https://f.example"),
+        ("hits", "Mail story", "https://news.ycombinator.com/item?id=456"), ("hits", "Other", "https://h.example"), ("drafts", "A draft", "https://datatracker.ietf.org/doc/draft-a/"), ("drafts", "draft-b", "https://datatracker.ietf.org/doc/draft-b/")}
 
 
 def test_edit_distance_quirk(spark):

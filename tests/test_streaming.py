@@ -51,12 +51,52 @@ def test_familiarity_equals_batch(spark, table, tmp_path):
     assert out == {r.msg_id: r.prior for r in H.platform_familiarity(named(df)).collect()}
 
 
-def test_campaign_alerts_equal_batch(spark, table, tmp_path):
+def test_replays_without_a_key_count_once(spark, table, tmp_path):
+    df, path = table
+    named = lambda d: d.withColumns({"d": F.when(F.col("k") > 0, F.col("k").cast("string")), "b32": F.when(F.col("msg_id") % 5 > 0, "b")})
+    out = {r.msg_id: r.seen for r in run(spark, tmp_path, live.signature_replays(named(source(spark, df, path)))).collect()}
+    assert out == {r.msg_id: r.seen for r in H.signature_replays(named(df)).collect()}
+
+
+def test_counts_outlast_idle_times(spark, tmp_path):
+    old = spark.createDataFrame([(1, "s", "p", "2024-01-01"), (2, "s", "p", "2024-01-02")], "msg_id long, sender string, platform string, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    late = spark.createDataFrame([(3, "s", "p", "2024-06-01"), (4, None, "p", "2024-06-02"), (5, None, "p", "2024-06-03")], "msg_id long, sender string, platform string, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    path = str(tmp_path / "in")
+    got = {}
+    for k, part in enumerate((old, late)):
+        part.coalesce(1).write.mode("append").parquet(path)
+        name = f"idle{k}{abs(hash(path))}"
+        live.platform_familiarity(spark.readStream.schema(old.schema).parquet(path)).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"cp{k}")).trigger(availableNow=True).start().awaitTermination()
+        got = {r.msg_id: r.prior for r in spark.table(name).collect()}
+    assert got == {r.msg_id: r.prior for r in H.platform_familiarity(old.union(late)).collect()} == {1: 0, 2: 1, 3: 2, 4: 0, 5: 1}
+
+
+def test_sender_counts_equal_batch(spark, table, tmp_path):
     df, path = table
-    out = run(spark, tmp_path, live.campaign_alerts(source(spark, df, path))).collect()
-    groups = H.campaigns(df.withColumns({"ts_s": F.unix_timestamp("ts"), "domain": F.lit("d.example")})).where("group_key LIKE 'pattern%'").collect()
-    assert {r.group_key: max(x.n for x in out if x.group_key == r.group_key) for r in groups} == {r.group_key: r.n for r in groups}
-    assert sum(r.newly_alertable for r in out) == sum(r.alertable for r in groups)
+    named = lambda d: d.withColumn("sender", F.col("k"))
+    q = live.sender_counts(named(source(spark, df, path))).writeStream.format("memory").outputMode("update").queryName("senders").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {}
+    for r in spark.table("senders").collect():
+        got[r.sender] = max(got.get(r.sender, 0), r.message_count)
+    assert got == {k: 20 for k in range(3)}
+
+
+def test_campaign_alerts_equal_batch(spark, table, tmp_path):
+    df, _ = table
+    df = df.withColumn("domain", F.concat(F.lit("d"), F.col("k").cast("string"), F.lit(".example")))
+    gap = df.where("msg_id % 7 = 0").withColumns({"msg_id": F.col("msg_id") + 100, "ts": F.col("ts") + F.expr("INTERVAL 45 DAYS")})
+    every = df.unionByName(gap)
+    save, at = live.campaign_alerts(str(tmp_path / "c")), [r[0] for r in every.select("ts").orderBy("ts").collect()]
+    cuts = [at[0], at[20], at[45], at[60], at[-1] + (at[-1] - at[0])]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        save(every.where((F.col("ts") >= a) & (F.col("ts") < b)), k)
+    save(every.where((F.col("ts") >= cuts[3]) & (F.col("ts") < cuts[4])), 3)  # the same batch again
+    out = spark.read.parquet(str(tmp_path / "c" / "alerts")).collect()
+    groups = H.campaigns(every.withColumn("ts_s", F.unix_timestamp("ts"))).collect()
+    assert {k: max(x.n for x in out if x.group_key == k) for k in {x.group_key for x in out}} == {k: max(g.n for g in groups if g.group_key == k) for k in {g.group_key for g in groups}}
+    assert sum(r.newly_alertable for r in out) == sum(r.alertable for r in groups) and any(r.group_key.startswith("unknown:") and r.newly_alertable for r in out)
+    assert len(out) == sum(g.n for g in groups)
 
 
 def test_style_profiles_equal_batch(spark, table, tmp_path):
@@ -73,11 +113,12 @@ def test_save_batches_replay(spark, tmp_path):
     schema = "id long, message_id string, subject string, is_deleted boolean, v int"
     first = spark.createDataFrame([(1, "a", "s1", False, 1), (2, None, "s2", False, 1)], schema)
     second = spark.createDataFrame([(1, None, "s1b", False, 2)], schema)
-    save = live.save_batches(str(tmp_path / "t"))
+    table = "id long, message_id string, subject string, is_deleted boolean"
+    save = live.save_batches(str(tmp_path / "t"), table)
     save(first, 0)
     save(second, 1)
     save(second, 1)  # the same batch again
-    got = {r.id: (r.message_id, r.subject) for r in live.latest(spark, str(tmp_path / "t")).collect()}
+    got = {r.id: (r.message_id, r.subject) for r in live.latest(spark, str(tmp_path / "t"), table).collect()}
     assert got == {1: ("a", "s1b"), 2: (None, "s2")}
-    gone = B.reconcile(live.latest(spark, str(tmp_path / "t")), spark.createDataFrame([(2,)], "id long"))
+    gone = B.reconcile(live.latest(spark, str(tmp_path / "t"), table), spark.createDataFrame([(2,)], "id long"))
     assert {r.id: r.is_deleted for r in gone.collect()} == {1: True, 2: False}
