@@ -241,7 +241,11 @@ def redact(c: Column) -> Column:
     return F.regexp_replace(c, r"[0-9](?:[-() ]*[0-9]){9,10}[-() ]*+(?![0-9])", "[TEL-REDACTED]")
 
 
-SENSITIVE_FIELDS = "email e_mail mail subject body content message password passwd secret token api_key bearer authorization auth phone address name full_name display_name credit_card card_number cvv my_number マイナンバー 個人番号".split()
+# Names of columns that hold personal data.
+SENSITIVE_FIELDS = [
+    "email", "e_mail", "mail", "subject", "body", "content", "message", "password", "passwd", "secret", "token", "api_key", "bearer", "authorization",
+    "auth", "phone", "address", "name", "full_name", "display_name", "credit_card", "card_number", "cvv", "my_number", "マイナンバー", "個人番号",
+]
 
 
 def redact_columns(df: DataFrame) -> DataFrame:

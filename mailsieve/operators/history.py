@@ -9,7 +9,10 @@ from ..functions import lexicons as lx
 from ..functions import text as T
 
 # --- Fixed values -----------------------------------------------------------------------------------------
-STOP_WORDS = "the a an is are was were be been and or of to in for on at by this that it its with from have has will please your our we you i".split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "and", "or", "of", "to", "in", "for", "on", "at", "by", "this", "that", "it", "its",
+    "with", "from", "have", "has", "will", "please", "your", "our", "we", "you", "i",
+]
 THREAD_KEYWORDS = [
     "wire transfer", "bank transfer", "urgent payment", "send money", "bitcoin", "cryptocurrency", "wallet address", "gift card", "invoice attached", "overdue payment", "immediate action",
     "至急", "緊急", "送金", "振込", "口座番号", "ビットコイン", "仮想通貨", "暗号資産", "プレゼントカード",

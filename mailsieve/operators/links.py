@@ -16,9 +16,15 @@ KIT_PATTERNS = ["tycoon", "2fa-relay", "mfa-bypass", "auth-relay", "token-relay"
 PROXY_PATHS = ["/relay", "/proxy", "/token-relay", "/auth-relay", "/mfa-relay", "/forward"]
 TOKEN_PARAMS = ["id_token", "access_token", "session_token", "auth_token"]
 OAUTH_PARAMS = ["code", "state", "nonce"]
-HOMOGLYPHS = "а е і о р с х у ѕ є ј г ο ρ ν ω α օ ո ơ ɡ".replace(" ", "")
-FOLD_FROM = "аеіорсхуѕєјгАЕОРСХУІВМНКТορνωαΟΑΒΕΗΚΜΝΡΤΧօոơɡ"
-FOLD_TO = "aeiopcxysejraeopcxyibmhktopvwaoabehkmnptxqoog"
+HOMOGLYPH_LETTERS = [
+    "а", "е", "і", "о", "р", "с", "х", "у", "ѕ", "є", "ј", "г", "ο", "ρ", "ν", "ω", "α", "օ", "ո", "ơ", "ɡ",
+]
+FOLDED_LETTERS = {
+    "а": "a", "е": "e", "і": "i", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "ѕ": "s", "є": "e", "ј": "j", "г": "r", "А": "a", "Е": "e",
+    "О": "o", "Р": "p", "С": "c", "Х": "x", "У": "y", "І": "i", "В": "b", "М": "m", "Н": "h", "К": "k", "Т": "t", "ο": "o", "ρ": "p", "ν": "v",
+    "ω": "w", "α": "a", "Ο": "o", "Α": "a", "Β": "b", "Ε": "e", "Η": "h", "Κ": "k", "Μ": "m", "Ν": "n", "Ρ": "p", "Τ": "t", "Χ": "x", "օ": "q",
+    "ո": "o", "ơ": "o", "ɡ": "g",
+}
 TRUSTED = ["amazon.com", "amazon.co.jp", "google.com", "microsoft.com", "apple.com", "github.com", "stripe.com", "anthropic.com"]
 FREE_TLDS = [".tk", ".ml", ".ga", ".cf", ".gq", ".click", ".download", ".loan"]
 CODE_SHORTENERS = ["bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff.ly", "rebrand.ly", "cutt.ly", "shorturl.at", "rb.gy", "s.id", "tiny.cc", "lnkd.in", "t.ly", "shrtco.de", "qrco.de", "qr.codes", "scanova.io", "qrfy.com", "flowcode.com"]
@@ -31,6 +37,8 @@ PLATFORMS = {
     "box.com": "Box", "boxcloud.com": "Box", "notion.so": "Notion", "notion.site": "Notion", "smartsheet.com": "Smartsheet",
 }
 # ----------------------------------------------------------------------------------------------------------
+HOMOGLYPHS = "".join(HOMOGLYPH_LETTERS)
+FOLD_FROM, FOLD_TO = "".join(FOLDED_LETTERS), "".join(FOLDED_LETTERS.values())
 
 
 def _any(cs: list[Column]) -> Column:

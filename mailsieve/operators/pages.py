@@ -19,15 +19,20 @@ RUN_LURES = [
     "address bar", "アドレスバー", "エクスプローラー", "ctrl+v", "ctrl + v", "press ctrl", "paste into", "paste it in", "paste the copied", "copy-paste", "貼り付け",
     "to verify", "verify yourself", "prove you are human", "fix this problem", "complete the verification",
 ]
-TRACKERS = (
-    "mailchimp.com list-manage.com salesforce.com pardot.com exacttarget.com sendgrid.net sendgrid.com mailgun.org mandrillapp.com klaviyo.com constantcontact.com campaignmonitor.com getresponse.com aweber.com "
-    "hubspot.com marketo.com eloqua.com google-analytics.com analytics.google.com doubleclick.net facebook.com fb.com linkedin.com twitter.com mailtrack.io streak.com yesware.com boomeranggmail.com mixmax.com "
-    "outreach.io salesloft.com groove.co cirrusinsight.com blastmail.jp cuenote.jp wowma.jp"
-).split()
+TRACKERS = [
+    "mailchimp.com", "list-manage.com", "salesforce.com", "pardot.com", "exacttarget.com", "sendgrid.net", "sendgrid.com", "mailgun.org",
+    "mandrillapp.com", "klaviyo.com", "constantcontact.com", "campaignmonitor.com", "getresponse.com", "aweber.com", "hubspot.com", "marketo.com",
+    "eloqua.com", "google-analytics.com", "analytics.google.com", "doubleclick.net", "facebook.com", "fb.com", "linkedin.com", "twitter.com",
+    "mailtrack.io", "streak.com", "yesware.com", "boomeranggmail.com", "mixmax.com", "outreach.io", "salesloft.com", "groove.co", "cirrusinsight.com",
+    "blastmail.jp", "cuenote.jp", "wowma.jp",
+]
 TRACKING_PATTERNS = ["/track/", "/pixel/", "/open/", "/click/", "/beacon/", "track=", "pixel=", "open=", "utm_", "trk=", "/t/", ".gif?", "tracking", "analytics"]
 SVG_HANDLERS = ["onload", "onerror", "onclick", "onmouseover", "onfocus", "onanimationstart", "onbegin", "onend", "onrepeat", "onactivate"]
 SVG_SCHEMES = ["javascript:", "vbscript:", "data:text/html"]
-HIDDEN = [f"{p}{m}" for p, v in (("display", "none"), ("visibility", "hidden"), ("opacity", "0"), ("font-size", "0")) for m in (f'="{v}"', f"='{v}'", f": {v}", f":{v}")]
+HIDDEN = [
+    "display=\"none\"", "display='none'", "display: none", "display:none", "visibility=\"hidden\"", "visibility='hidden'", "visibility: hidden",
+    "visibility:hidden", "opacity=\"0\"", "opacity='0'", "opacity: 0", "opacity:0", "font-size=\"0\"", "font-size='0'", "font-size: 0", "font-size:0",
+]
 # ----------------------------------------------------------------------------------------------------------
 
 
