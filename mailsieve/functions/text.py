@@ -149,6 +149,11 @@ def percent_decode(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("%")), bound(bound(_percent_once(c), _percent_once), _percent_once)).otherwise(c)
 
 
+def url_decoded(c: Column) -> Column:
+    """Percent escapes of a URL's part decoded as UTF-8; a plus sign and a stray % stay. Null where bytes are no UTF-8."""
+    return F.try_url_decode(F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def tag_payload(c: Column) -> Column:
     """ASCII hidden in Unicode tag characters; null if there is none."""
     tags = F.array_join(F.regexp_extract_all(c, F.lit(r"([\x{E0020}-\x{E007E}])"), 1), "")

@@ -223,6 +223,17 @@ def links_by_host(df: DataFrame, key: str, hosts: dict[str, str], text: str = "b
     return suffixes.join(F.broadcast(listed), "suffix").select(key, "url", "kind")
 
 
+def channel_links(df: DataFrame, key: str, text: str = "body") -> DataFrame:
+    """Off-channel links with what their addresses tell: tenant, workspace, meeting_id, has_password, is_bot, high_risk."""
+    u, kind = F.col("url"), F.col("kind")
+    found = lambda pattern, k: F.when((kind == k) & F.rlike(u, F.lit(pattern)), F.regexp_extract(u, pattern, 1))
+    return links_by_host(df, key, lx.MEETING_HOSTS, text).withColumns({
+        "tenant": found(r"teams\.microsoft\.com/l/meetup-join/.*?tenantId=([^&]*)", "teams"), "workspace": found(r"https://(.*?)\.slack\.com", "slack"),
+        "meeting_id": F.when(kind == "zoom", F.coalesce(found(r"/j/([0-9]*)", "zoom"), F.lit("unknown"))), "has_password": (kind == "zoom") & (F.contains(u, F.lit("pwd=")) | F.contains(u, F.lit("&p="))),
+        "is_bot": (kind == "telegram") & (F.contains(u, F.lit("_bot")) | F.contains(u, F.lit("bot?"))), "high_risk": kind.isin("whatsapp", "telegram", "signal"),
+    })
+
+
 ETH, BTC = r"^0[xX][0-9A-Fa-f]{40}$", r"^bc1[A-Za-z0-9]{23,59}$|^[13][A-Za-z0-9]{26,33}$"
 
 

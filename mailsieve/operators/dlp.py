@@ -119,7 +119,7 @@ RANK = {"allow": 0, "warn": 1, "block": 2}
 MAX_DEPTH = 64
 
 
-TEXT_KINDS = ("classifier", "regex", "keywords")
+TEXT_KINDS = ("classifier", "regex", "keywords", "patterns")
 
 
 def _leaf(tree: dict, text: Column) -> Column:
@@ -131,8 +131,12 @@ def _leaf(tree: dict, text: Column) -> Column:
     if kind == "keywords":
         words = list(dict.fromkeys(w.lower() for w in tree["words"][:500]))
         return T.count_of(F.lower(text), words) >= tree.get("min", 1)
+    if kind == "patterns":
+        return reduce(lambda a, b: a | b, [F.rlike(text, F.lit(p)) for p in tree["patterns"]]) if tree["patterns"] else F.lit(False)
+    if kind == "exact_data":
+        return F.col(f"matches_{tree['set']}")
     if kind == "sender":
-        return T.address_domain(F.col("from_addr")).isin(tree["domains"])
+        return F.lower("from_addr").isin([a.lower() for a in tree["addresses"]])
     if kind == "recipient_domain":
         return F.exists("to_addrs", lambda a: T.address_domain(a).isin(tree["domains"]))
     if kind == "size":
@@ -145,8 +149,10 @@ def _leaf(tree: dict, text: Column) -> Column:
 def compile_condition(tree: dict, depth: int = 0, text: Column | None = None, leaf=None) -> Column:
     """A condition tree as one boolean Column over subject, body, from_addr, to_addrs, size_bytes, mimes.
 
-    Nodes: {"and": [...]}, {"or": [...]}, {"not": node}, {"match": kind, ...}. Empty lists and trees deeper
-    than 64 are false. ``text`` replaces subject and body; ``leaf`` gives the columns of predicates that are at hand.
+    Nodes: {"and": [...]}, {"or": [...]}, {"not": node}, {"match": kind, ...}. Kinds: classifier (name), regex
+    (pattern), keywords (words, min), pattern_group (name), exact_data (set: rows have a boolean column matches_<set>,
+    as :func:`with_data_matches` adds), sender (addresses), recipient_domain (domains), size (at_least), mime (types).
+    Empty lists and trees deeper than 64 are false. ``text`` replaces subject and body; ``leaf`` gives the columns of predicates that are at hand.
     """
     if depth > MAX_DEPTH:
         return F.lit(False)
@@ -166,7 +172,24 @@ def _leaves(tree: dict) -> list[dict]:
     return [x for part in (tree.get("and") or tree.get("or") or ([tree["not"]] if "not" in tree else [])) for x in _leaves(part)]
 
 
-def evaluate_rules(rows: DataFrame, rules: list[dict], direction: str) -> DataFrame:
+def resolved(tree: dict, groups: dict[str, list[str]], columns: list[str]) -> dict:
+    """The tree with pattern groups put in by name; groups and data sets that are not known are false."""
+    if tree.get("match") == "pattern_group":
+        return {"match": "patterns", "patterns": groups.get(tree["name"], [])}
+    if tree.get("match") == "exact_data" and f"matches_{tree['set']}" not in columns:
+        return {"or": []}
+    if "match" in tree:
+        return tree
+    return {k: resolved(v, groups, columns) if k == "not" else [resolved(x, groups, columns) for x in v] for k, v in tree.items()}
+
+
+def with_data_matches(rows: DataFrame, tokens: DataFrame, set_: str, key: str, text: str, salt: str, min_matches: int = 1) -> DataFrame:
+    """Adds matches_<set>: whether a row's text holds enough of a registered data set."""
+    hit = data_matches(rows, tokens, key, text, salt, min_matches).select(key, F.lit(True).alias(f"matches_{set_}"))
+    return rows.join(hit, key, "left").withColumn(f"matches_{set_}", F.coalesce(f"matches_{set_}", F.lit(False)))
+
+
+def evaluate_rules(rows: DataFrame, rules: list[dict], direction: str, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """Findings (key columns, rule_id, action, priority, rank), one row a rule that holds on the text or on its percent-decoded form.
 
     Every distinct predicate is computed once a row over the text, and once more over its decoded form where that
@@ -174,7 +197,7 @@ def evaluate_rules(rows: DataFrame, rules: list[dict], direction: str) -> DataFr
     """
     columns = rows.columns
     live = sorted((r for r in rules if r.get("enabled", True) and r.get("direction", "both") in (direction, "both")), key=lambda r: (r["priority"], r["id"]))
-    trees = [json.loads(r["condition"]) if isinstance(r["condition"], str) else r["condition"] for r in live]
+    trees = [resolved(json.loads(r["condition"]) if isinstance(r["condition"], str) else r["condition"], groups or {}, columns) for r in live]
     key = lambda leaf: json.dumps(leaf, sort_keys=True)
     leaves = {key(x): x for tree in trees for x in _leaves(tree)}
     rows = rows.withColumn("__raw", F.concat_ws("\n", F.col("subject"), F.col("body")))

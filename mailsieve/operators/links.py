@@ -31,6 +31,7 @@ CODE_SHORTENERS = ["bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd",
 REWRITERS = ["safelinks.protection.outlook.com", "urldefense.com", "urldefense.proofpoint.com", "linkprotect.cudasvc.com", "secure-web.cisco.com", "clicktime.trendmicro.com", "protection.sophos.com", "websense.com", "wsed.org", "mimecastprotect.com", "avanan.net"]
 DIGIT_SWAPS = ["amaz0n", "amaz", "g00gle", "micr0soft", "paypa1", "0ffice"]
 LINK_SHORTENERS = ["bit.ly", "t.co", "tinyurl.com", "goo.gl", "ow.ly", "buff.ly", "dlvr.it", "ift.tt", "short.link", "rebrand.ly", "cutt.ly", "tiny.cc", "is.gd", "rb.gy", "clck.ru", "qr.ae", "po.st", "shorturl.at"]
+REDIRECT_KEYS = ["redirect", "url", "to", "dest", "link", "next", "continue", "r"]
 PLATFORMS = {
     "drive.google.com": "Google Drive", "docs.google.com": "Google Drive", "sheets.google.com": "Google Drive", "1drv.ms": "Microsoft OneDrive", "onedrive.live.com": "Microsoft OneDrive",
     "sharepoint.com": "Microsoft SharePoint", "docusign.net": "DocuSign", "docusign.com": "DocuSign", "adobesign.com": "Adobe Sign", "echosign.com": "Adobe Sign", "dropbox.com": "Dropbox", "db.tt": "Dropbox",
@@ -229,21 +230,49 @@ def shortened(url: Column) -> Column:
     return T.any_of(F.lower(url), [f"://{d}" for d in LINK_SHORTENERS])
 
 
+def actual_host(url: Column) -> Column:
+    """Lower-case host without user part and port."""
+    return F.lower(F.regexp_extract(F.regexp_replace(F.regexp_extract(url, r"^(?:https?://)*([^/?]*)", 1), "^.*@", ""), "^([^:]*)", 1))
+
+
 def platform(url: Column, host: Column | None = None) -> Column:
-    host = host if host is not None else F.lower(F.regexp_extract(F.regexp_replace(F.regexp_extract(url, r"^(?:https?://)*([^/?]*)", 1), "^.*@", ""), "^([^:]*)", 1))
+    host = host if host is not None else actual_host(url)
     return F.coalesce(*[F.when(T.host_is(host, d), F.lit(p)) for d, p in PLATFORMS.items()])
 
 
 def impersonated(url: Column, host: Column | None = None) -> Column:
-    host = host if host is not None else F.lower(F.regexp_extract(F.regexp_replace(F.regexp_extract(url, r"^(?:https?://)*([^/?]*)", 1), "^.*@", ""), "^([^:]*)", 1))
+    host = host if host is not None else actual_host(url)
     return F.coalesce(*[F.when(F.contains(host, F.lit(d)) & ~T.host_is(host, d), F.lit(p)) for d, p in PLATFORMS.items()])
 
 
-def link_risk(url: Column, familiar: Column) -> Column:
-    """safe, caution, warn, suspicious or block of a collaboration link; null for other links."""
-    real, fake = platform(url), impersonated(url)
-    login = T.any_of(F.lower(url), ["login", "signin", "auth"])
-    injected = T.any_of(T.both_forms(url, True), [p.lower() for p in lx.OVERRIDE_PHRASES]) | T.any_of(T.normalise(url, True), [t.lower() for t in lx.SPECIAL_TOKENS])
-    return (
-        F.when(F.length(url) > 8192, "suspicious").when(shortened(url), "warn").when(real.isNull() & fake.isNull(), None).when(injected, "block").when(real.isNull(), "suspicious").when(login, "warn").when(familiar, "safe").otherwise("caution")
+def redirect_host(url: Column) -> Column:
+    """Host of the first web address that a redirect parameter of the URL holds, percent escapes decoded."""
+    value = lambda p: T.url_decoded(F.regexp_extract(p, rf"^(?:{'|'.join(REDIRECT_KEYS)})=(.*)$", 1))
+    targets = F.filter(F.transform(F.split(F.regexp_extract(url, r"\?(.*)$", 1), "&"), value), lambda v: F.rlike(v, F.lit("^https?://")))
+    return F.when(F.contains(url, F.lit("?")), actual_host(F.get(targets, F.lit(0))))
+
+
+def with_link_risk(df: DataFrame, familiar: Column, blocked: list[str] | None = None, url: str = "url") -> DataFrame:
+    """Adds risk (safe, caution, warn, suspicious or block; null for other links) and reasons of a collaboration link.
+
+    ``blocked``: domains known as malicious, matched against the host and the host of a redirect parameter, with their
+    subdomains. ``familiar``: whether the sender often shares links of the platform.
+    """
+    u, listed = F.col(url), blocked or []
+    df = df.withColumns({"__host": actual_host(u), "__to": redirect_host(u) if listed else F.lit(None).cast("string")})
+    df = df.withColumn("__platform", F.coalesce(platform(u, F.col("__host")), impersonated(u, F.col("__host"))))
+    on_list = lambda h: F.coalesce(_any([T.host_is(h, d) for d in listed]), F.lit(False)) if listed else F.lit(False)
+    host_hit = on_list(F.col("__host"))
+    redirect_hit = ~host_hit & on_list(F.col("__to"))
+    imitates = _any([(F.col("__platform") == p) & F.contains(u, F.lit(d)) & ~T.host_is(F.col("__host"), d) for d, p in PLATFORMS.items()])
+    fake = ~host_hit & ~redirect_hit & F.coalesce(imitates, F.lit(False))
+    plain = ~host_hit & ~redirect_hit & ~fake
+    login = T.any_of(F.lower(u), ["login", "signin", "auth"])
+    injected = T.any_of(T.both_forms(u, True), [p.lower() for p in lx.OVERRIDE_PHRASES]) | T.any_of(T.normalise(u, True), [t.lower() for t in lx.SPECIAL_TOKENS])
+    long, short, other = F.octet_length(u) > 8192, shortened(u), F.col("__platform").isNull()
+    risk = (
+        F.when(long, "suspicious").when(short, "warn").when(other, None).when(host_hit | redirect_hit | injected, "block").when(fake, "suspicious").when(login, "warn").when(familiar, "safe").otherwise("caution")
     )
+    found = {"blocked_host": host_hit, "blocked_redirect": redirect_hit, "imitation": fake, "familiar": plain & familiar, "unfamiliar": plain & ~familiar, "login_words": login, "prompt_injection": injected}
+    reasons = F.when(long, F.array(F.lit("overlong"))).when(short, F.array(F.lit("shortener"))).when(~other, F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in found.items()])))
+    return df.withColumns({"risk": risk, "reasons": reasons}).drop("__host", "__to", "__platform")

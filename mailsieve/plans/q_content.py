@@ -195,9 +195,17 @@ def host_sql(hosts: dict[str, str]) -> str:
     t(d, kind) AS (VALUES {rows}) SELECT msg_id, url, kind FROM h, t WHERE host = d OR ends_with(host, '.' || d)"""
 
 
-@query(host_sql(lx.MEETING_HOSTS))
+CHANNELS = " || CASE msg_id % 4 WHEN 0 THEN ' https://teams.microsoft.com/l/meetup-join/19?x=1&tenantId=t-' || msg_id || '&y=2' WHEN 1 THEN ' https://acme.slack.com/join' WHEN 2 THEN ' https://t.me/pay_bot' ELSE ' https://zoom.us/my/room' END"
+
+
+@query(
+    f"""SELECT msg_id, url, kind, CASE WHEN kind = 'teams' AND contains(url, 'teams.microsoft.com/l/meetup-join/') AND contains(url, 'tenantId=') THEN regexp_extract(url, 'tenantId=([^&]*)', 1) END AS tenant, CASE WHEN kind = 'slack' AND regexp_matches(url, 'https://.*[.]slack[.]com') THEN regexp_extract(url, 'https://(.*?)[.]slack[.]com', 1) END AS workspace,
+    CASE WHEN kind = 'zoom' THEN CASE WHEN contains(url, '/j/') THEN regexp_extract(url, '/j/([0-9]*)', 1) ELSE 'unknown' END END AS meeting_id, kind = 'zoom' AND (contains(url, 'pwd=') OR contains(url, '&p=')) AS has_password, kind = 'telegram' AND (contains(url, '_bot') OR contains(url, 'bot?')) AS is_bot, kind IN ('whatsapp', 'telegram', 'signal') AS high_risk
+    FROM ({host_sql(lx.MEETING_HOSTS).replace('string_split_regex(body,', f'string_split_regex(body{CHANNELS},')})"""
+)
 def c15_channel_links(spark, sf_dir):
-    return C.links_by_host(messages(spark, sf_dir), "msg_id", lx.MEETING_HOSTS)
+    planted = messages(spark, sf_dir).withColumn("body", F.expr("body" + CHANNELS))
+    return C.channel_links(planted, "msg_id")
 
 
 @query(host_sql(lx.DOCUMENT_HOSTS))

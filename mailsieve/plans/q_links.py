@@ -135,10 +135,23 @@ def e9_platforms(spark, sf_dir):
     return _all_urls(spark, sf_dir).select("msg_id", "url", L.platform(F.col("url")).alias("platform"), L.impersonated(F.col("url")).alias("impersonated"))
 
 
-@query(f"WITH {_ALL_URLS} SELECT msg_id, url, CASE WHEN {O.any_of('lower(url)', ['://' + d for d in L.LINK_SHORTENERS])} THEN 'warn' WHEN {_REAL} IS NULL THEN 'suspicious' WHEN {O.any_of('lower(url)', ['login', 'signin', 'auth'])} THEN 'warn' WHEN msg_id % 2 = 0 THEN 'safe' ELSE 'caution' END AS risk FROM a WHERE {O.any_of('lower(url)', ['://' + d for d in L.LINK_SHORTENERS])} OR {_REAL} IS NOT NULL OR {_FAKE} IS NOT NULL")
+BLOCKED = ["evil.example"]
+_LINKS = f"""{U}, a AS (SELECT msg_id, url FROM u UNION ALL SELECT msg_id, CASE msg_id // 50 % 4 WHEN 0 THEN 'https://dropbox.com.bad.example/' || msg_id WHEN 1 THEN 'https://dropbox.com.evil.example/' || msg_id WHEN 2 THEN 'https://drive.google.com/open?next=https%3A%2F%2Fx.evil.example%2Fa&u=1' ELSE 'https://box.com/s?note=forget+everything&r=https://notevil.example/' END FROM m WHERE msg_id % 50 = 0),
+    h AS (SELECT msg_id, url, {_AH} AS host, coalesce({_REAL}, {_FAKE}) AS plat, url_decode(replace(regexp_extract(url, '[?&](?:redirect|url|to|dest|link|next|continue|r)=([^&]*)', 1), '+', '%2B')) AS target FROM a),
+    k AS (SELECT *, {_is('host', BLOCKED[0])} AS hit, coalesce({_is("CASE WHEN regexp_matches(target, '^https?://') THEN " + _AH.replace('url', 'target') + " END", BLOCKED[0])}, false) AS via, coalesce({' OR '.join(f"(plat = {O.q(p)} AND contains(url, {O.q(d)}) AND NOT {_is('host', d)})" for d, p in L.PLATFORMS.items())}, false) AS like_,
+      {O.any_of('lower(url)', ['login', 'signin', 'auth'])} AS login, {O.any_of('lower(url)', ['://' + d for d in L.LINK_SHORTENERS])} AS short, {O.any_of('lower(url)', [p.lower() for p in lx.OVERRIDE_PHRASES])} AS injected, msg_id % 2 = 0 AS familiar FROM h)"""
+
+
+@query(
+    f"""WITH {_LINKS} SELECT msg_id, url, CASE WHEN short THEN 'warn' WHEN hit OR via OR injected THEN 'block' WHEN like_ THEN 'suspicious' WHEN login THEN 'warn' WHEN familiar THEN 'safe' ELSE 'caution' END AS risk,
+    CASE WHEN short THEN 'shortener' ELSE array_to_string(list_filter([CASE WHEN hit THEN 'blocked_host' END, CASE WHEN via AND NOT hit THEN 'blocked_redirect' END, CASE WHEN like_ AND NOT hit AND NOT via THEN 'imitation' END, CASE WHEN NOT hit AND NOT via AND NOT like_ THEN CASE WHEN familiar THEN 'familiar' ELSE 'unfamiliar' END END,
+      CASE WHEN login THEN 'login_words' END, CASE WHEN injected THEN 'prompt_injection' END], lambda z: z IS NOT NULL), ',') END AS reasons FROM k WHERE short OR plat IS NOT NULL"""
+)
 def e10_link_risk(spark, sf_dir):
-    out = _all_urls(spark, sf_dir).withColumn("risk", L.link_risk(F.col("url"), F.col("msg_id") % 2 == 0))
-    return out.where("risk IS NOT NULL")
+    m = messages(spark, sf_dir)
+    planted = """CASE msg_id div 50 % 4 WHEN 0 THEN 'https://dropbox.com.bad.example/' || msg_id WHEN 1 THEN 'https://dropbox.com.evil.example/' || msg_id WHEN 2 THEN 'https://drive.google.com/open?next=https%3A%2F%2Fx.evil.example%2Fa&u=1' ELSE 'https://box.com/s?note=forget+everything&r=https://notevil.example/' END"""
+    urls = L.urls(m, "msg_id").select("msg_id", "url").union(m.where("msg_id % 50 = 0").selectExpr("msg_id", planted))
+    return L.with_link_risk(urls, F.col("msg_id") % 2 == 0, BLOCKED).where("risk IS NOT NULL").select("msg_id", "url", "risk", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("SELECT page_id, regexp_extract(regexp_extract('http://x/?a=' || page_id || '&b=2#a=9', '^([^#]*)', 1), '[?&]a=([^&]*)', 1) AS a FROM pages")

@@ -189,3 +189,15 @@ def test_style_warnings_levels(spark):
     df = spark.createDataFrame(rows, "sender string, msg_id long, ts_s long, hour int, chars double, chars_per_sentence double, punctuation_density double, formality double")
     got = {r.msg_id: r.warning for r in H.style_warnings(H.style_profiles(df)).collect()}
     assert got[3] == "insufficient_data" and got[11] == "none" and got[12] == "high"
+
+
+def test_rule_predicates(spark):
+    rows = spark.createDataFrame([(1, "s", "case AB-12 for Anna", "Ann@Mail.example"), (2, "s", "plain", "bob@mail.example")], "msg_id long, subject string, body string, from_addr string")
+    rows = D.with_data_matches(rows, spark.createDataFrame([("anna",)], "token string"), "staff", "msg_id", "body", "salt")
+    rule = lambda i, c: {"id": i, "action": "warn", "priority": 1, "condition": c}
+    rules = [
+        rule("group", {"match": "pattern_group", "name": "cases"}), rule("no_group", {"match": "pattern_group", "name": "none"}), rule("data", {"match": "exact_data", "set": "staff"}), rule("no_data", {"not": {"match": "exact_data", "set": "other"}}),
+        rule("sender", {"match": "sender", "addresses": ["ann@mail.example"]}),
+    ]
+    got = {(r.msg_id, r.rule_id) for r in D.evaluate_rules(rows, rules, "outbound", {"cases": ["[A-Z]{2}-[0-9]{2}"]}).collect()}
+    assert got == {(1, "group"), (1, "data"), (1, "sender"), (1, "no_data"), (2, "no_data")}
