@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,9 @@ def first_contacts(m: DataFrame, key: str, order: list[str], subject: str = "sub
     """The first message of every sender, and whether its subject is high risk."""
     first = m.groupBy(key).agg(F.min(F.struct(*order)).alias("f"))
     a, b = T.both_forms(F.col(subject))
-    rows = m.join(first.select(key, *(F.col(f"f.{o}").alias(o) for o in order)), [key, *order]).withColumns({"__s1": a, "__s2": b})
+    first = first.select(F.col(key).alias("__k"), *(F.col(f"f.{o}").alias(f"__{o}") for o in order))
+    same = reduce(lambda x, y: x & y, [m[c].eqNullSafe(first[n]) for c, n in ((key, "__k"), *((o, f"__{o}") for o in order))])  # null is a sender too
+    rows = m.join(first, same).drop("__k", *(f"__{o}" for o in order)).withColumns({"__s1": a, "__s2": b})
     return rows.withColumn("high_risk", T.any_of([F.col("__s1"), F.col("__s2")], lx.HIGH_RISK_SUBJECTS)).drop("__s1", "__s2")
 
 

@@ -201,3 +201,22 @@ def test_rule_predicates(spark):
     ]
     got = {(r.msg_id, r.rule_id) for r in D.evaluate_rules(rows, rules, "outbound", {"cases": ["[A-Z]{2}-[0-9]{2}"]}).collect()}
     assert got == {(1, "group"), (1, "data"), (1, "sender"), (1, "no_data"), (2, "no_data")}
+
+
+def test_first_contact_of_no_sender(spark):
+    rows = spark.createDataFrame([(1, None, 5, "invoice"), (2, None, 4, "hi"), (3, "a", 9, "hi"), (4, "a", 9, "bitcoin")], "msg_id long, sender string, ts long, subject string")
+    assert {(r.msg_id, r.high_risk) for r in H.first_contacts(rows, "sender", ["ts", "msg_id"]).collect()} == {(2, False), (3, False)}
+
+
+def test_one_hot_group(spark):
+    """One sender, thread, group and signature holds all of 100,000 rows."""
+    m = spark.range(100_000).select(F.col("id").alias("msg_id"), (F.col("id") * 30).alias("ts_s"), (F.col("id") * 30).alias("ts"), F.lit("d.example").alias("domain"), F.lit("a subject").alias("subject"), F.lit(True).alias("auth_fail"), F.lit("a@d.example").alias("sender"), F.lit(1).alias("thread_id"), F.concat(F.lit("account "), (1_000_000 + F.col("id") % 5000).cast("string")).alias("body"), (F.col("id") % 24).cast("int").alias("hour"), *(F.lit(1.0).alias(c) for c in ("chars", "chars_per_sentence", "punctuation_density", "formality")))
+    groups = {r.group_key: r.n for r in H.campaigns(m).collect()}
+    assert groups == {"pattern:auth_fail:subject_veryshort": 100_000, "unknown:d.example": 2}
+    last = H.style_profiles(m).where("msg_id = 99999").first()
+    p = 0.0
+    for i in range(99_999):
+        p = p * (1 - 1 / (i + 1)) + 1 / (i + 1) if i % 24 == 99_999 % 24 else p * (1 - 0.1 / (i + 1))
+    assert last.n == 99_999 and abs(last.hour_weight - p) < 1e-9
+    last = H.account_changes(m).where("msg_id = 99999").first()
+    assert (last.n_new, last.n_removed) == (0, 4999)
