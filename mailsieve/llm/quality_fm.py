@@ -99,14 +99,15 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     model = Model(0.0, np.zeros(SIZE, np.float32), rng.normal(0, 0.02, (SIZE, RANK)).astype(np.float32))
     sample = bounded_labels(labels, label_col, max_rows, seed)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), *(F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(meta_cols)))
-    rows = given.join(F.broadcast(sample), "doc_id").select("t", "label", *(f"m{i}" for i in range(len(meta_cols))))
+    rows = given.join(F.broadcast(sample), "doc_id").select("doc_id", "t", "label", *(f"m{i}" for i in range(len(meta_cols))))
 
-    def featurise(t, label, *meta):
+    def featurise(doc_id, t, label, *meta):
         got = [vector(x, m) for x, m in zip(t, zip(*meta, strict=True) if meta else [()] * len(t), strict=True)]
-        return {"label": label, "idx": [i.tobytes() for i, _ in got], "val": [v.tobytes() for _, v in got]}
+        return {"doc_id": doc_id, "label": label, "idx": [i.tobytes() for i, _ in got], "val": [v.tobytes() for _, v in got]}
 
-    # a shuffle of the few labelled rows, so that the scan before it keeps all its tasks
-    feats = saved(map_batches(rows, featurise, "label int, idx binary, val binary").repartition(8))
+    # one row an id, so that repeated rows do not add to the sample; a shuffle of the few labelled rows, before which the scan keeps all its tasks
+    made = map_batches(rows, featurise, f"doc_id {dict(rows.dtypes)['doc_id']}, label int, idx binary, val binary")
+    feats = saved(made.groupBy("doc_id").agg(F.min(F.struct("label", "idx", "val")).alias("r")).select("r.*").coalesce(8))
     n_of = {r["label"]: r["n"] for r in feats.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n_of) < 2:
         model.bias, model.factors = 0.0 if not n_of else (4.0 if 1 in n_of else -4.0), np.zeros_like(model.factors)

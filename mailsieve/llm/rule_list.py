@@ -155,6 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
     """Rules from at most ``max_rows`` labelled rows; only their rates reach the driver."""
     sample = bounded_labels(labels, label_col, max_rows, seed)
     stats = statistics(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label"), keep=("label",))
+    measured = [x.split()[0] for x in STATS.split(", ")]
+    stats = stats.groupBy("doc_id").agg(F.min(F.struct("label", *measured)).alias("r")).select("doc_id", "r.*")  # one row an id, however often it repeats
     got = stats.select("label", (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(3)) == 0).alias("prune"), *(F.expr(e).cast("double").alias(k) for k, e in RATES.items())).toPandas()
     if not len(got) or got["label"].nunique() < 2:
         return []

@@ -57,6 +57,17 @@ def histogram(lengths_: DataFrame) -> DataFrame:
     return lengths_.groupBy("length").agg(F.count("*").alias("n_docs"))
 
 
+def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
+    """context_limit, docs_cut, truncated_tokens, total_tokens for any limits: what :func:`suffix_sums` gives at the next
+    length that occurs, as no document ends between the two. Without documents there are no rows."""
+    asked = sorted({int(n) for n in limits})
+    longer = lambda n: F.min(F.when(F.col("context_limit") > n, F.struct("context_limit", "docs_at_least", "tokens_at_least")))
+    one = sums.agg(F.max("total_tokens").alias("total"), F.array(*(F.struct(F.lit(n).cast("long").alias("limit"), longer(n).alias("x")) for n in asked)).alias("found")).where("total IS NOT NULL")
+    cut, left = F.coalesce("f.x.docs_at_least", F.lit(0)), F.coalesce("f.x.tokens_at_least", F.lit(0))
+    found = one.select("total", F.explode("found").alias("f"))
+    return found.select(F.col("f.limit").alias("context_limit"), cut.cast("long").alias("docs_cut"), (F.col("total") - left + F.col("f.limit") * cut).cast("long").alias("truncated_tokens"), F.col("total").alias("total_tokens"))
+
+
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """Per length: docs and tokens at or above it, totals, the total truncated at it, and the quantiles it spans."""
     h = saved(hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block")))

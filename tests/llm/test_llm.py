@@ -87,6 +87,19 @@ def test_sharding_equals_lpt_and_keeps_groups(docs):
     assert max(loads) <= max(sizes[0], sum(sizes) / 4 * 4 / 3 + sizes[-1])
 
 
+def test_sharding_in_many_bins(spark, monkeypatch):
+    """Groups dealt into bins of 50: loads differ by less than two of the largest groups a bin places."""
+    monkeypatch.setattr(sharding, "BIN_GROUPS", 50)
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, prose(rng, rng.randint(1, 400))) for i in range(1200)] + [(5000 + i, "copy " * 2000) for i in range(40)], "doc_id long, text string")
+    got = sharding.assign(df, 4).collect()
+    loads = [sum(r.size for r in got if r.shard == s) for s in range(4)]
+    assert len(got) == 1240 and len({r.shard for r in got if r.doc_id >= 5000}) == 1
+    copies = 40 * (len("copy " * 2000) + 1)
+    rest = [x for x in sorted(loads)[:-1]] if max(loads) == copies else sorted(loads)
+    assert max(rest) - min(rest) < 0.03 * sum(loads) / 4 + 2 * max(r.size for r in got if r.doc_id < 5000)
+
+
 def test_sharding_empty(empty):
     assert sharding.assign(empty).count() == 0
 
@@ -371,6 +384,10 @@ def test_token_histogram(docs, empty):
         n = r.context_limit
         assert (r.n_docs, r.docs_at_least, r.tokens_at_least, r.total_tokens) == (lengths.count(n), sum(x >= n for x in lengths), sum(x for x in lengths if x >= n), sum(lengths))
         assert (r.truncated_tokens, r.docs_cut) == (sum(min(x, n) for x in lengths), sum(x > n for x in lengths))
+    sums = token_hist.suffix_sums(token_hist.histogram(token_hist.lengths(docs)))
+    for r in token_hist.at_limits(sums, [0, 1, 7, 50, 51, 10**6]).collect():
+        n = r.context_limit
+        assert (r.docs_cut, r.truncated_tokens) == (sum(x > n for x in lengths), sum(min(x, n) for x in lengths))
     assert token_hist.suffix_sums(token_hist.histogram(token_hist.lengths(empty))).count() == 0
 
 
