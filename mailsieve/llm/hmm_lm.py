@@ -256,7 +256,9 @@ def score(docs: DataFrame, train_flag: Column, held_out: Column, text_col: str =
     rare = encoded.select("rid", F.explode("rare").alias("w")).select("rid", "w.token", "w.n").join(counts.select("token", "c"), "token", "left")
     rare = rare.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("lg"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"))
 
-    def run(rid, seq):
+    kept = ("rid", "doc_id", "held_out", "n_tokens", "known", "base", "inner")
+
+    def run(seq, *rest):
         seqs = [np.frombuffer(s, np.uint16) for s in seq]
         laid = _Laid(seqs)
         _, scale = forward(model.value, laid, model.value.emit.T[:, laid.obs])
@@ -264,10 +266,11 @@ def score(docs: DataFrame, train_flag: Column, held_out: Column, text_col: str =
         sums = np.bincount(local, np.log10(scale))
         out = np.empty(len(seqs))
         out[laid.order] = sums
-        return {"rid": rid, "path": out.tolist()}
+        return dict(zip(kept, rest, strict=True)) | {"path": out.tolist()}
 
-    paths = map_batches(encoded.select("rid", "seq"), run, "rid long, path double", most_bytes=SLICE_BYTES)
-    out = encoded.select("rid", "doc_id", "held_out", "n_tokens", "known", "base", "inner").join(paths, "rid").join(rare, "rid", "left")
+    kinds = dict(encoded.dtypes)
+    paths = map_batches(encoded.select("seq", *kept), run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", path double", most_bytes=SLICE_BYTES)
+    out = paths.join(rare, "rid", "left")
     lg, more = F.coalesce("lg", F.lit(0.0)), F.coalesce("more", F.lit(0))
     return out.select(
         "doc_id",
