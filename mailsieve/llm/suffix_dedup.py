@@ -309,6 +309,15 @@ def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     return docs.withColumns({"__did": F.coalesce(F.expr(f"try_cast(`{id_col}` AS BIGINT)"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.col(text_col))})
 
 
+def _repeated(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The rows whose context (ha, hi) occurs more than once by its count n in ``kinds``. Contexts with more than 1/1024
+    of all rows are thus at most 1,024: their rows stay where they are, and only all others are shuffled to their counts."""
+    least = max(1, (kinds.agg(F.sum("n")).first()[0] or 0) // 1024)
+    hot = F.broadcast(kinds.where(F.col("n") > least).select("ha", "hi"))
+    cold = kinds.where((F.col("n") > 1) & (F.col("n") <= least)).select("ha", "hi")
+    return rows.join(hot, ["ha", "hi"], "left_semi").unionAll(rows.join(hot, ["ha", "hi"], "left_anti").join(cold, ["ha", "hi"], "left_semi"))
+
+
 def spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", split: int = SPLIT) -> DataFrame:
     """__did, __th and __spans, an array of repeated byte ranges (a, b), for documents that have any."""
     given = keyed(docs, text_col, id_col).select(F.col("__did").alias("did"), F.col("__th").alias("th"), F.col(text_col).alias("t"))
@@ -318,7 +327,7 @@ def spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", split
     rows = saved(found.join(saved(twice.select("ha", (F.col("x") != F.col("y")).alias("mixed"))), "ha"))
     mixed = rows.where("mixed").groupBy("ha", "hi").agg(F.count("*").alias("n"))
     kinds = saved(mixed)
-    full = rows.where("not mixed").select("did", "th", "s1", "s2").unionAll(rows.where("mixed").join(kinds.where("n > 1").select("ha", "hi"), ["ha", "hi"], "left_semi").select("did", "th", "s1", "s2"))
+    full = rows.where("not mixed").select("did", "th", "s1", "s2").unionAll(_repeated(rows.where("mixed"), kinds).select("did", "th", "s1", "s2"))
     buckets = saved(kinds.groupBy("ha").agg(F.count("*").alias("k")))
     known = kinds.join(buckets, "ha").select("ha", "hi", "k", (F.col("n") == 1).alias("alone"))
     bodies = scan_bytes(given, _filter_of(buckets)).groupBy("ha", "hi").agg(F.min(F.struct("did", "th", "s1", "d", "body")).alias("r"))
