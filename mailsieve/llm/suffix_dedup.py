@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, cache, map_batches, reserve, saved, slices
@@ -309,22 +309,42 @@ def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     return docs.withColumns({"__did": F.coalesce(F.expr(f"try_cast(`{id_col}` AS BIGINT)"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.col(text_col))})
 
 
+HOT = 1024
+
+
+def _hot(counts: DataFrame, n: str, key: Column, flag: Column) -> tuple[int, dict]:
+    """Keys with more than 1/HOT of all rows, HOT of them at most, with a flag; and that number of rows."""
+    least = max(1, (counts.agg(F.sum(n)).first()[0] or 0) // HOT)
+    return least, {r["k"]: r["f"] for r in counts.where(F.col(n) > least).select(key.alias("k"), flag.alias("f")).collect()}
+
+
+def _among(key: Column, values) -> Column:
+    return key.isin(list(values)) if values else F.lit(False)
+
+
+def _anchored(found: DataFrame) -> DataFrame:
+    """The contexts whose anchor occurs more than once, with mixed: whether its contexts differ. Rows of the hottest
+    anchors stay where they are; all others are shuffled to their anchor's counts."""
+    anchors = saved(found.groupBy("ha").agg(F.count("*").alias("m"), (F.min("hi") != F.max("hi")).alias("mixed")))
+    least, hot = _hot(anchors, "m", F.col("ha"), F.col("mixed"))
+    cold = saved(anchors.where((F.col("m") > 1) & (F.col("m") <= least)).select("ha", "mixed"))
+    here = _among(F.col("ha"), hot)
+    return found.where(here).withColumn("mixed", _among(F.col("ha"), [k for k, mixed in hot.items() if mixed])).unionByName(found.where(~here).join(cold, "ha"))
+
+
 def _repeated(rows: DataFrame, kinds: DataFrame) -> DataFrame:
-    """The rows whose context (ha, hi) occurs more than once by its count n in ``kinds``. Contexts with more than 1/1024
-    of all rows are thus at most 1,024: their rows stay where they are, and only all others are shuffled to their counts."""
-    least = max(1, (kinds.agg(F.sum("n")).first()[0] or 0) // 1024)
-    hot = F.broadcast(kinds.where(F.col("n") > least).select("ha", "hi"))
-    cold = kinds.where((F.col("n") > 1) & (F.col("n") <= least)).select("ha", "hi")
-    return rows.join(hot, ["ha", "hi"], "left_semi").unionAll(rows.join(hot, ["ha", "hi"], "left_anti").join(cold, ["ha", "hi"], "left_semi"))
+    """The rows whose context (ha, hi) occurs more than once by its count n in ``kinds``, the hottest again in place."""
+    name = F.concat_ws(":", "ha", "hi")
+    least, hot = _hot(kinds, "n", name, F.lit(True))
+    cold, here = kinds.where((F.col("n") > 1) & (F.col("n") <= least)).select("ha", "hi"), _among(name, hot)
+    return rows.where(here).unionAll(rows.where(~here).join(cold, ["ha", "hi"], "left_semi"))
 
 
 def spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", split: int = SPLIT) -> DataFrame:
     """__did, __th and __spans, an array of repeated byte ranges (a, b), for documents that have any."""
     given = keyed(docs, text_col, id_col).select(F.col("__did").alias("did"), F.col("__th").alias("th"), F.col(text_col).alias("t"))
     found = saved(scan(given))
-    twice = found.groupBy("ha").agg(F.count("*").alias("m"), F.min("hi").alias("x"), F.max("hi").alias("y")).where("m > 1")
-    # written first, so that both sides of the join are plain shuffles, which Spark splits where an anchor is hot
-    rows = saved(found.join(saved(twice.select("ha", (F.col("x") != F.col("y")).alias("mixed"))), "ha"))
+    rows = saved(_anchored(found))
     mixed = rows.where("mixed").groupBy("ha", "hi").agg(F.count("*").alias("n"))
     kinds = saved(mixed)
     full = rows.where("not mixed").select("did", "th", "s1", "s2").unionAll(_repeated(rows.where("mixed"), kinds).select("did", "th", "s1", "s2"))
