@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as T
+
 
 def term_hits(forms: list[Column], terms: list[str]) -> Column:
     """For every form of a text, the numbers of the ``terms`` that occur in it, ascending; null for a null form."""
@@ -49,7 +51,7 @@ class Hits:
         self.found = parts[0] if len(parts) == 1 else F.array_union(*parts) if len(parts) == 2 else F.array_distinct(F.flatten(F.array(*parts)))
 
     def _numbers(self, terms: list[str]) -> Column:
-        return F.lit(sorted({self.number[t] for t in terms})).cast("array<int>")
+        return T.array_of(sorted({self.number[t] for t in terms}))
 
     def any_of(self, terms: list[str]) -> Column:
         return F.arrays_overlap(self.found, self._numbers(terms))
@@ -60,4 +62,5 @@ class Hits:
     def all_of(self, terms: list[str]) -> Column:
         """The terms that occur, in list order."""
         own = sorted(dict.fromkeys(terms), key=self.number.get)
-        return F.transform(F.sort_array(F.array_intersect(self.found, self._numbers(own))), lambda k: F.get(F.lit(list(self.number)), k))
+        named = [self.number[t] for t in own]
+        return F.transform(F.sort_array(F.array_intersect(self.found, self._numbers(own))), lambda k: F.get(T.array_of(own), F.array_position(T.array_of(named), k).cast("int") - 1))

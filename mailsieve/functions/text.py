@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,23 +38,39 @@ def both_forms(c: Column, screener: bool = False) -> list[Column]:
     return [normalise(c, screener), normalise_spaced(c, screener)]
 
 
+def array_of(values: list) -> Column:
+    """A literal array of texts or whole numbers, parsed at once: a call for every element takes longer than many queries."""
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(int(v))
+    return F.expr(f"array({', '.join(map(quoted, values))})")
+
+
+def _forms(forms: Column | list[Column]) -> Column:
+    return F.array(*forms) if isinstance(forms, list) else F.array(forms)
+
+
 def has(forms: Column | list[Column], term: str) -> Column:
-    forms = forms if isinstance(forms, list) else [forms]
-    return reduce(lambda a, b: a | b, [F.contains(f, F.lit(term)) for f in forms])
+    return F.exists(_forms(forms), lambda f: F.contains(f, F.lit(term)))
 
 
 def any_of(forms: Column | list[Column], terms: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [has(forms, t) for t in terms])
+    """Whether a term occurs in a form. Terms are one literal array, and every form stands in the expression once:
+    an OR over all of them would repeat the forms for every term, and outgrow the JVM's limit of generated code."""
+    return F.exists(_forms(forms), lambda f: F.exists(array_of(terms), lambda t: F.contains(f, t)))
+
+
+def _found(forms: Column | list[Column], terms: list[str], result) -> Column:
+    hit = lambda fs: F.filter(array_of(list(dict.fromkeys(terms))), lambda t: F.exists(fs, lambda f: F.contains(f, t)))
+    return F.get(F.transform(F.array(_forms(forms)), lambda fs: result(fs, hit(fs))), F.lit(0))  # the outer array binds the forms
 
 
 def count_of(forms: Column | list[Column], terms: list[str]) -> Column:
-    """Number of distinct terms that occur."""
-    return reduce(lambda a, b: a + b, [has(forms, t).cast("int") for t in terms])
+    """Number of distinct terms that occur; null for a null text."""
+    return _found(forms, terms, lambda fs, found: F.when(F.get(fs, F.lit(0)).isNotNull(), F.size(found)))
 
 
 def hits_of(forms: Column | list[Column], terms: list[str]) -> Column:
     """Terms that occur, as an array in list order."""
-    return F.array_compact(F.array(*[F.when(has(forms, t), F.lit(t)) for t in terms]))
+    return _found(forms, terms, lambda fs, found: found)
 
 
 def fold_digits(c: Column) -> Column:

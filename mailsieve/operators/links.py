@@ -235,14 +235,22 @@ def actual_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.regexp_replace(F.regexp_extract(url, r"^(?:https?://)*([^/?]*)", 1), "^.*@", ""), "^([^:]*)", 1))
 
 
+def _first_platform(host: Column, test) -> Column:
+    """The platform of the first listed domain that ``test`` (host, domain) holds for; the host is taken once a row."""
+    at = lambda h: F.array_position(F.transform(T.array_of(list(PLATFORMS)), lambda d: test(h, d)), True).cast("int")
+    return F.get(F.transform(F.array(host), lambda h: F.get(T.array_of(list(PLATFORMS.values())), at(h) - 1)), F.lit(0))
+
+
+def _lies_under(host: Column, domain: Column) -> Column:
+    return F.coalesce((host == domain) | F.endswith(host, F.concat(F.lit("."), domain)), F.lit(False))
+
+
 def platform(url: Column, host: Column | None = None) -> Column:
-    host = host if host is not None else actual_host(url)
-    return F.coalesce(*[F.when(T.host_is(host, d), F.lit(p)) for d, p in PLATFORMS.items()])
+    return _first_platform(host if host is not None else actual_host(url), _lies_under)
 
 
 def impersonated(url: Column, host: Column | None = None) -> Column:
-    host = host if host is not None else actual_host(url)
-    return F.coalesce(*[F.when(F.contains(host, F.lit(d)) & ~T.host_is(host, d), F.lit(p)) for d, p in PLATFORMS.items()])
+    return _first_platform(host if host is not None else actual_host(url), lambda h, d: F.coalesce(F.contains(h, d), F.lit(False)) & ~_lies_under(h, d))
 
 
 def redirect_host(url: Column) -> Column:
@@ -264,7 +272,8 @@ def with_link_risk(df: DataFrame, familiar: Column, blocked: list[str] | None =
     on_list = lambda h: F.coalesce(_any([T.host_is(h, d) for d in listed]), F.lit(False)) if listed else F.lit(False)
     host_hit = on_list(F.col("__host"))
     redirect_hit = ~host_hit & on_list(F.col("__to"))
-    imitates = _any([(F.col("__platform") == p) & F.contains(u, F.lit(d)) & ~T.host_is(F.col("__host"), d) for d, p in PLATFORMS.items()])
+    name, domain = (lambda i, v=v: F.get(T.array_of(list(v)), i) for v in (PLATFORMS.values(), PLATFORMS))
+    imitates = F.exists(F.sequence(F.lit(0), F.lit(len(PLATFORMS) - 1)), lambda i: (F.col("__platform") == name(i)) & F.contains(u, domain(i)) & ~_lies_under(F.col("__host"), domain(i)))
     fake = ~host_hit & ~redirect_hit & F.coalesce(imitates, F.lit(False))
     plain = ~host_hit & ~redirect_hit & ~fake
     login = T.any_of(F.lower(u), ["login", "signin", "auth"])
