@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontaminate, hmm_lm, piece_lattice, quality_fm, rule_list, sharding, simhash_gph, suffix_dedup, token_hist
+from . import chat_windows, cross_polytope, decontaminate, hmm_lm, norm_buckets, piece_lattice, prefix_trie, quality_fm, rule_list, sharding, simhash_gph, suffix_dedup, token_hist
 from .common import crc_mod, fold_flag, table
 
 
@@ -58,7 +58,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.suffix_sums(token_hist.histogram(token_hist.lengths(table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_quality_rules, op4_hmm_language_model, op5_decontamination, op6_sentencepiece, op7_chat_formatting, op8_suffix_dedup, op9_simhash_dedup, op10_token_counts)}
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.positions(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(own), own.select("conv_id")).drop("path")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_quality_classifier, op2_sharding, op3_quality_rules, op4_hmm_language_model, op5_decontamination, op6_sentencepiece, op7_chat_formatting,
+    op8_suffix_dedup, op9_simhash_dedup, op10_token_counts, op11_nearest_neighbours, op12_prefix_trie, op13_lexical_search,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 _TOKENS = "list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', ' ', 'g'), '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '')"
 
 
@@ -67,8 +84,31 @@ def _shingles(table_: str, key: str) -> str:
     return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM (SELECT {key}, {_TOKENS} AS w FROM {table_})"
 
 
+#: One byte more of a CRC-32, as text: eight shifts of the register r with the byte b.
+_CRC_BYTE = "list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
     "op5_decontamination": f"""WITH d AS ({_shingles('documents', 'doc_id')}), b AS ({_shingles('benchmark', 'item_id')}), q AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
       c AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY doc_id, item_id)
       SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment FROM c JOIN q USING (item_id) WHERE shared >= 0.8 * item_shingles""",
+    "op12_prefix_trie": f"""WITH ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+  h AS (SELECT conv_id, base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda r, b: {_CRC_BYTE}), 4294967295) % 4 AS h FROM ids),
+  o AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  c AS (SELECT h.conv_id, list_concat(coalesce(list_slice(b.turns, 1, h), []), list_slice(o.turns, h + 1, len(o.turns))) AS turns FROM h JOIN o USING (conv_id) LEFT JOIN o b ON b.conv_id = h.base),
+  p AS (SELECT conv_id, len(turns) AS whole, unnest(range(0, len(turns) + 1)) AS depth, turns FROM c),
+  n AS (SELECT list_slice(turns, 1, depth) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(whole) AS longest, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (whole = depth) AS ends FROM p GROUP BY ALL),
+  s AS (SELECT list_slice(path, 1, up) AS path, sum((longest = depth)::INT) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS up, CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[-1].t, '[^\\x20\\x09-\\x0D]+')) END AS w FROM n) GROUP BY 1),
+  k AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1)
+  SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+  FROM n JOIN s USING (path) LEFT JOIN k USING (path) LEFT JOIN n u ON n.depth > 0 AND u.path = list_slice(n.path, 1, n.depth - 1)""",
+    "op13_lexical_search": rf"""WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+  s AS (SELECT doc_id, len(terms) AS n, terms FROM d WHERE len(terms) > 0),
+  t AS (SELECT count(*) AS docs, CAST(sum(n) AS HUGEINT) AS total FROM s),
+  q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+  f AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM s) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+  w AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM t) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f GROUP BY term),
+  i AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * CAST(10 + (90 * CAST(n AS HUGEINT) * docs) // total AS BIGINT))) AS impact FROM f JOIN w USING (term), t),
+  r AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY item_id, doc_id)
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
 }
