@@ -3,7 +3,8 @@
 A conversation's turns, in order, are cut into windows of ``budget`` tokens of a public vocabulary (a path parameter)
 at turn boundaries, found by binary search in the prefix sums of turn tokens. Every window repeats the system turn (if the conversation
 opens with one) and as many of the latest turns as fit the history limit; repeated turns are not trained on.
-A turn that alone exceeds the budget gets a window to itself and stays whole. Rows of a conversation are
+History gives way to a turn that would not fit otherwise, oldest first, so a window exceeds the budget only where the
+system turn and one turn together do; that turn stays whole, with no history beside it. Rows of a conversation are
 streamed in order with one window in memory, so a very long conversation needs no more memory than a short one.
 
 Control strings inside texts and roles are escaped: each backslash is doubled, then a backslash is put after
@@ -68,47 +69,56 @@ class _Conversation:
 
     def __init__(self, conv_id, budget: int, history: int, learn: str, count):
         self.id, self.budget, self.limit, self.learn, self.count = conv_id, budget, history, learn, count
-        self.system: list[tuple[str, str]] = []
-        self.history: list[tuple[str, str]] = []
-        self.waiting: list[tuple[str, str]] = []
-        self.sizes: list[int] = []
+        self.system: list[tuple[tuple[str, str], int]] = []
+        self.history: list[tuple[tuple[str, str], int]] = []
+        self.waiting: list[tuple[tuple[str, str], int]] = []
         self.sums = [0]
         self.repeated_size = 0
         self.window = 0
         self.seen = 0
 
     def add(self, role: str, text: str) -> Iterator[dict]:
+        turn = (role, text), self.count((role, text))
         if self.seen == 0 and role == "system":
-            self.system = [(role, text)]
+            self.system = [turn]
         self.seen += 1
-        self.waiting.append((role, text))
-        self.sizes.append(self.count((role, text)))
-        self.sums.append(self.sums[-1] + self.sizes[-1])
+        self.waiting.append(turn)
+        self.sums.append(self.sums[-1] + turn[1])
+        if len(self.waiting) == 1:
+            self.make_room()
         while self.sums[-1] > self.room():
             yield self.cut()
 
-    def repeated(self) -> list[tuple[str, str]]:
-        return [] if self.window == 0 else self.system + self.history
+    def make_room(self) -> None:
+        """Drops history that the first waiting turn would not fit beside; what is repeated is settled then."""
+        while self.window and self.history and self._size(self.system + self.history) + self.waiting[0][1] > self.budget:
+            del self.history[0]
+        self.repeated_size = self._size(self.system + self.history) if self.window else 0
+
+    @staticmethod
+    def _size(turns: list[tuple[tuple[str, str], int]]) -> int:
+        return sum(n for _, n in turns)
 
     def room(self) -> int:
         return max(1, self.budget - self.repeated_size)
 
     def cut(self) -> dict:
         n = max(1, bisect_right(self.sums, self.room()) - 1)
-        repeated, new = self.repeated(), self.waiting[:n]
-        text, spans = window_of(repeated, new, self.learn)
+        repeated, new = self.system + self.history if self.window else [], self.waiting[:n]
+        text, spans = window_of([t for t, _ in repeated], [t for t, _ in new], self.learn)
         out = {"conv_id": self.id, "window": self.window, "n_repeated": len(repeated), "formatted": text, "loss_spans": spans, "n_tokens": self.repeated_size + self.sums[n]}
         rest = self.history + (new[1:] if self.window == 0 and self.system else new)
         left, self.history = self.limit, []
         for turn in reversed(rest):
-            left -= self.count(turn)
+            left -= turn[1]
             if left < 0:
                 break
             self.history.insert(0, turn)
-        self.waiting, self.sizes = self.waiting[n:], self.sizes[n:]
-        self.sums = [0, *accumulate(self.sizes)]
-        self.repeated_size = sum(map(self.count, self.system + self.history))
+        self.waiting = self.waiting[n:]
+        self.sums = [0, *accumulate(n for _, n in self.waiting)]
         self.window += 1
+        if self.waiting:
+            self.make_room()
         return out
 
     def end(self) -> Iterator[dict]:

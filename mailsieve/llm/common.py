@@ -49,9 +49,11 @@ def reserve(df: DataFrame, *names: str) -> None:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """Adds __row, a 64-bit hash of all columns: rows are told apart where ids are null or repeat."""
+    """Adds __row, a 128-bit hash of all columns: rows are told apart where ids are null or repeat."""
     reserve(df, "__row", "__n")
-    return df.withColumn("__row", F.xxhash64(*(x for c in df.columns for x in (F.col(c).isNull(), F.col(c)))))
+    parts = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
+    half = lambda salt: F.lpad(F.hex(F.xxhash64(F.lit(salt), *parts)), 16, "0")
+    return df.withColumn("__row", F.unhex(F.concat(half(1), half(2))))
 
 
 def keep_first(own: DataFrame, of: DataFrame) -> DataFrame:

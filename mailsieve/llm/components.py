@@ -30,3 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
         before = after
+
+
+def rerooted(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) anew after edges (a, b) between roots."""
+    top = components(edges).select(F.col("node").alias("__was"), F.col("root").alias("__now"))
+    return named.join(top, F.col("root") == F.col("__was"), "left").select("node", F.coalesce("__now", "root").alias("root"))

@@ -7,7 +7,8 @@ of its shingles, so it must hold one of the k: no contained item is missed, howe
 Documents probe only the partitions whose items they are large enough to contain, and candidates are
 verified by exact containment of the shingle strings.
 
-Items are read in blocks of bounded size; each block is one narrow pass over all documents.
+Items are read in blocks of bounded size; each block is one narrow pass over all documents, whose hits are written
+and whose index is released before the next block is read.
 
 Words are lower-cased and ASCII punctuation counts as space. Defined results: null and empty texts match
 nothing; an item shorter than five words is one shingle of its own length; repeated items and documents
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cache, keyed, map_batches
+from .common import cache, keyed, map_batches, saved
 
 WIDTH = 5
 CONTAINED = 0.8
@@ -140,7 +141,8 @@ def contained(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col:
                 rows += [(doc_id, *hit) for index in shared.value for hit in index.search(w)]
             return dict(zip(("doc_id", "item_id", "shared", "item_shingles"), zip(*rows, strict=True) if rows else ([],) * 4, strict=True))
 
-        part = map_batches(given, run, schema)
+        part = saved(map_batches(given, run, schema))
+        shared.destroy()
         out = part if out is None else out.union(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)

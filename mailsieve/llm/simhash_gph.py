@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_sample, keep_first, keyed, map_batches, saved, words
-from .components import components
+from .components import components, rerooted
 
 SEED = 42
 #: Fingerprints from which costs are estimated, at most.
@@ -140,30 +140,41 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return probes.join(index, ["part", "key"]).where((F.col("a") < F.col("b")) & _within(distance)).select("a", "b").distinct()
 
 
-def joining_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
-    """Enough of the pairs of :func:`links` to give the same components, also where a cluster of close fingerprints is large.
-
-    First every probe and every fingerprint of a bucket is compared with the bucket's least one only. Then, in buckets
-    that file several fingerprints, those are compared that the first links left in different components.
-    """
+def hub_links(distinct: DataFrame, distance: int = 3) -> tuple[DataFrame, DataFrame, tuple]:
+    """Links (a, b) of every bucket's least fingerprint; the buckets (part, key) that file several; and the plan."""
     probes, index, planned = probe_tables(distinct, distance)
     hubs = saved(index.groupBy("part", "key").agg(F.min("b").alias("b"), F.count("*").alias("many")))
     members = probes.union(index.select("part", "key", F.col("b").alias("a")))
-    first = saved(members.join(hubs.drop("many"), ["part", "key"]).where((F.col("a") != F.col("b")) & _within(distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    near = members.join(hubs.drop("many"), ["part", "key"]).where((F.col("a") != F.col("b")) & _within(distance))
+    return saved(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), hubs.where("many > 1").select("part", "key"), planned
+
+
+def other_links(named: DataFrame, shared: DataFrame, planned: tuple, distance: int = 3) -> DataFrame:
+    """Links (a, b, root, other) within the ``shared`` buckets between fingerprints (fp, root) of different roots."""
+    probes, index, _ = probe_tables(named, distance, ("root",), planned)
+    met = probes.join(shared, ["part", "key"]).withColumnRenamed("root", "other").join(index, ["part", "key"])
+    return met.where((F.col("root") != F.col("other")) & _within(distance)).select("a", "b", "root", "other")
+
+
+def roots(distinct: DataFrame, distance: int = 3) -> DataFrame:
+    """(node, root) of every distinct fingerprint (column fp), by links at ``distance`` differing bits or fewer.
+
+    First every probe and every fingerprint of a bucket is compared with the bucket's least one only. Then, in buckets
+    that file several fingerprints, those are compared that the first links left in different components; what they link are
+    roots, mostly few. So a large cluster of close fingerprints emits few pairs.
+    """
+    first, shared, planned = hub_links(distinct, distance)
     of = components(first).withColumnRenamed("node", "fp")
     named = saved(distinct.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
-    probes, index, _ = probe_tables(named, distance, ("root",), planned)
-    shared = hubs.where("many > 1").select("part", "key")
-    rest = probes.join(shared, ["part", "key"]).withColumnRenamed("root", "other").join(index, ["part", "key"]).where((F.col("root") != F.col("other")) & _within(distance))
-    return first.union(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return rerooted(named.withColumnRenamed("fp", "node"), other_links(named, shared, planned, distance).select(F.col("root").alias("a"), F.col("other").alias("b")))
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fp, component_id, one row an input row; component_id is the smallest id reachable over links."""
     rows = saved(fingerprints(docs, text_col, id_col, width))
     distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    joined = components(joining_links(distinct.select("fp"), distance))
-    of = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    joined = roots(distinct.select("fp"), distance)
+    of = distinct.join(joined, distinct["fp"] == joined["node"]).select("fp", "low", "root")
     lowest = of.groupBy("root").agg(F.min("low").alias("component_id"))
     named = of.join(lowest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -70,6 +70,45 @@ def test_near_dedup_equals_brute_force(spark, rows):
     assert sorted(r.doc_id for r in got) == sorted(min(g) for g in groups.values())
 
 
+@pytest.mark.parametrize("half", [4, near_copies.HALF])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, half):
+    """Texts that share most of their words, most pairs of them alike below 0.8; cells of all sizes give the same."""
+    monkeypatch.setattr(near_copies, "HALF", half)
+    rng, texts = random.Random(1), []
+    base = [f"w{rng.randrange(4000)}" for _ in range(60)]
+    for k in range(60):
+        w = edited(rng, base, 5)
+        texts += [(3 * k + e, " ".join(edited(rng, w, e and 1))) for e in range(3)]
+    sets, root = [brute_set(t) for _, t in texts], list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if similar(sets[a], sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+    assert 40 < len(set(root)) < 80
+    got = near_copies.keep_one(frame(spark, texts)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(root))
+
+
+def test_links_of_a_cell_equal_brute_force():
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.choice(60, rng.integers(1, 40), replace=False)) for _ in range(120)] + [np.arange(50)] * 2
+    roots = [bytes([k % 97]) for k in range(len(sets))]
+    for side in ([-1] * len(sets), [k % 2 for k in range(len(sets))]):
+        top = {r: r for r in roots}
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            n = len(np.intersect1d(sets[a], sets[b]))
+            if (side[a] < 0 or side[a] != side[b]) and 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+                old, new = top[roots[b]], top[roots[a]]
+                top = {r: new if t == old else t for r, t in top.items()}
+        got = {r: r for r in roots}
+        for a, b in near_copies.local_links(sets, roots, side):
+            assert got[a] != got[b]
+            old, new = got[b], got[a]
+            got = {r: new if t == old else t for r, t in got.items()}
+        parts = lambda of: sorted(sorted(r for r in of if of[r] == t) for t in set(of.values()))
+        assert parts(got) == parts(top)
+
+
 def test_recall_of_bands_at_the_threshold():
     rng, near, found = np.random.default_rng(3), 0, 0
     for _ in range(400):
