@@ -152,9 +152,9 @@ def decode_entities(c: Column) -> Column:
 def _percent_once(c: Column) -> Column:
     good = lambda p: F.rlike(p, F.lit("^[2-9A-Fa-f][0-9A-Fa-f]"))  # noqa: E731  bytes under 0x20 stay encoded
     byte = lambda p: F.decode(F.unhex(F.substring(p, 1, 2)), "ISO-8859-1")
-    step = lambda a, p: F.concat(a, F.when(good(p), F.concat(byte(p), F.substr(p, F.lit(3)))).otherwise(F.concat(F.lit("%"), p)))
     parts = F.split(c, "%")
-    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), F.get(parts, F.lit(0)), step)
+    rest = F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1))
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(rest, lambda p: F.when(good(p), F.concat(byte(p), F.substr(p, F.lit(3)))).otherwise(F.concat(F.lit("%"), p))), ""))
 
 
 def percent_decode(c: Column) -> Column:

@@ -148,7 +148,7 @@ def reputation(url: Column, malicious: list[str] | None = None, host: Column | N
     return out.otherwise("neutral")
 
 
-def _decoded(value: Column) -> Column:
+def decoded(value: Column) -> Column:
     """URL-decoded with stray percent signs kept, and the short HTML unescape."""
     tidy = F.regexp_replace(value, r"%(?![0-9A-Fa-f]{2})", "%25")
     out = F.try_url_decode(tidy)
@@ -167,11 +167,11 @@ def unwrap_once(url: Column) -> Column:
 
 
 def _unwrapped(url: Column, host: Column) -> Column:
-    p = lambda name: _web(_decoded(T.query_param(url, name)))
+    p = lambda name: _web(decoded(T.query_param(url, name)))
     under = lambda d: T.host_is(host, d)
     google = (host == "google.com") | host.endswith(".google.com") | host.startswith("google.") | F.contains(host, F.lit(".google."))
-    dashes = _web(_decoded(F.translate(T.query_param(url, "u"), "-_", "%/")))
-    target = _decoded(T.query_param(url, "domain"))
+    dashes = _web(decoded(F.translate(T.query_param(url, "u"), "-_", "%/")))
+    target = decoded(T.query_param(url, "domain"))
     site = F.when(F.rlike(target, F.lit(r"^[^/?&#@ ]*\.[^/?&#@ ]*$")), F.concat(F.lit("https://"), target))
     bing = T.query_param(url, "u")
     b64 = F.translate(F.substring(bing, 3, 100000), "-_", "+/")
@@ -200,7 +200,7 @@ def v3(url: Column) -> Column:
     slash = F.regexp_replace(parts, r"^([A-Za-z0-9+.-]+):/(?=[^/])", "$1://")
     b64 = F.translate(F.regexp_extract(url, r"__;([^!]*)", 1), "-_", "+/")
     tail = F.coalesce(F.decode(F.try_to_binary(F.rpad(b64, (F.ceil(F.length(b64) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64")), "UTF-8"), F.lit(""))
-    tokens = F.regexp_extract_all(_decoded(slash), F.lit(r"(\*\*[A-Za-z0-9_-]|\*|[^*]+)"), 1)
+    tokens = F.regexp_extract_all(decoded(slash), F.lit(r"(\*\*[A-Za-z0-9_-]|\*|[^*]+)"), 1)
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(a, t):

@@ -79,7 +79,7 @@ _TOKENS = [t.lower() for t in lx.SPECIAL_TOKENS]
 
 
 @query(
-    f"""WITH {O.M}, n AS (SELECT msg_id, body, {O.norm('body', True)} AS b1, {O.spaced('body', True)} AS b2 FROM (SELECT msg_id, substr(body, 1, 65536) AS body FROM m)),
+    f"""WITH {O.M}, n AS (SELECT msg_id, body, {O.norm('body', True)} AS b1, {O.spaced('body', True)} AS b2 FROM m),
     f AS (SELECT msg_id, {O.count_of(B, _PHRASES)} AS p, {O.count_of('b1', _TOKENS)} AS t, list_aggregate(string_split(body, ''), 'entropy') AS e, strlen(body) AS k FROM n)
     SELECT msg_id, p + t AS n_risks, CASE WHEN p + t > 0 THEN 'blocked' WHEN e > 4.5 AND k > 40 THEN 'suspicious' ELSE 'clean' END AS verdict FROM f"""
 )
@@ -105,7 +105,7 @@ def c4_output_audit(spark, sf_dir):
 
 
 @query(
-    f"""WITH {O.M}, n AS (SELECT msg_id, body, {O.norm('body', True)} AS b1, {O.spaced('body', True)} AS b2 FROM (SELECT msg_id, substr(body, 1, 65536) || CASE WHEN msg_id % 40 = 3 THEN chr(8203) ELSE '' END AS body FROM m)),
+    f"""WITH {O.M}, n AS (SELECT msg_id, body, {O.norm('body', True)} AS b1, {O.spaced('body', True)} AS b2 FROM (SELECT msg_id, body || CASE WHEN msg_id % 40 = 3 THEN chr(8203) ELSE '' END AS body FROM m)),
     f AS (SELECT msg_id, {O.any_of(B, _PHRASES)} OR {O.any_of('b1', _TOKENS)} AS hit, list_aggregate(string_split(body, ''), 'entropy') > 4.5 AND strlen(body) > 40 AS high, msg_id % 40 = 3 AS z FROM n)
     SELECT CASE WHEN hit OR z THEN 'block' WHEN high THEN 'advisory' ELSE 'clean' END AS gate, count(*) AS n FROM f GROUP BY 1"""
 )
@@ -120,7 +120,7 @@ def _hits(form: str, p: str) -> str:
 
 
 @query(
-    f"""WITH {O.M}, s AS (SELECT msg_id, CASE msg_id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'system' ELSE 'mail' END AS source, substr(body, 1, 8192) AS body FROM m),
+    f"""WITH {O.M}, s AS (SELECT msg_id, CASE msg_id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'system' ELSE 'mail' END AS source, body FROM m),
     n AS (SELECT *, {O.norm('body')} AS b1, {O.spaced('body')} AS b2 FROM s),
     h AS (SELECT msg_id, source, body, {' + '.join(f'greatest({_hits("b1", p)}, {_hits("b2", p)})' for p in lx.MEMORY_PATTERNS)} AS hits FROM n),
     v AS (SELECT msg_id, CASE WHEN source = 'mail' AND hits > 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE source WHEN 'user' THEN 0.9::DOUBLE WHEN 'system' THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END - 0.2::DOUBLE * hits - CASE WHEN strlen(body) > 500 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)) END AS score FROM h)
@@ -255,14 +255,27 @@ def c19_redaction(spark, sf_dir):
     return messages(spark, sf_dir).select("msg_id", C.redact(F.expr(PRIVATE)).alias("redacted"))
 
 
-@query("SELECT doc_id, doc_id || 'aAA%0A%zz' AS decoded FROM documents")
+_ESCAPED = "text || ' a%2541%41%0A%zz%E9%' || doc_id"
+
+
+def _percent_once(x: str) -> str:
+    part = "CASE WHEN regexp_matches(p, '^[2-9A-Fa-f][0-9A-Fa-f]') THEN chr(('0x' || p[1:2])::INT) || p[3:] ELSE '%' || p END"
+    return f"string_split({x}, '%')[1] || array_to_string(list_transform(string_split({x}, '%')[2:], lambda p: {part}), '')"
+
+
+@query(f"WITH a AS (SELECT doc_id, {_ESCAPED} AS x FROM documents), b AS (SELECT doc_id, {_percent_once('x')} AS x FROM a), c AS (SELECT doc_id, {_percent_once('x')} AS x FROM b) SELECT doc_id, md5({_percent_once('x')}) AS decoded FROM c")
 def b6_percent_decode(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.percent_decode(F.concat(F.col("doc_id").cast("string"), F.lit("a%2541%41%0A%zz"))).alias("decoded"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.percent_decode(F.expr(_ESCAPED))).alias("decoded"))
 
 
-@query("SELECT page_id, url_decode(url_encode(url || ' +%')) AS decoded FROM pages")
+_LINK = "url || '&q=a+b%20c%C3%A9%zz&amp;z=1'"
+
+
+@query(f"SELECT page_id, url_decode({_LINK}) AS kept_plus, replace(url_decode(replace({_LINK}, '+', ' ')), '&amp;', '&') AS unwrapped FROM pages")
 def b7_url_decode(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.try_url_decode(F.url_encode(F.concat("url", F.lit(" +%")))).alias("decoded"))
+    from ..operators.links import decoded
+
+    return read(spark, sf_dir, "pages").select("page_id", T.url_decoded(F.expr(_LINK)).alias("kept_plus"), decoded(F.expr(_LINK)).alias("unwrapped"))
 
 
 @query("SELECT doc_id, md5(text || 'i<A&lt;') AS decoded FROM documents")
@@ -270,10 +283,19 @@ def b8_entities(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.decode_entities(F.concat("text", F.lit("&#105;&lt;&#x41;&amp;lt;")))).alias("decoded"))
 
 
-@query("SELECT doc_id, 'number ' || doc_id || ' padding text' AS decoded FROM documents")
+#: A run of base64 letters without its padding, and as much of it as can be decoded.
+_BARE = "rtrim(t, '=')"
+_WHOLE = f"CASE WHEN length({_BARE}) % 4 = 1 THEN left({_BARE}, length({_BARE}) - 1) ELSE {_BARE} END"
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, regexp_extract_all(text || ' see ' || to_base64(encode(text)) || ' end', '[A-Za-z0-9+/=]{{20,}}') AS ts FROM documents),
+    d AS (SELECT doc_id, list_transform(ts, lambda t: try(decode(from_base64(rpad({_WHOLE}, CAST(ceil(length({_WHOLE}) / 4) * 4 AS INT), '='))))) AS ds FROM x)
+    SELECT doc_id, md5(array_to_string(list_filter(ds, lambda z: z IS NOT NULL), chr(10))) AS decoded FROM d"""
+)
 def b9_base64_tokens(spark, sf_dir):
-    planted = F.concat(F.lit("see "), F.base64(F.concat(F.lit("number "), F.col("doc_id").cast("string"), F.lit(" padding text")).cast("binary")), F.lit(" end"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.get(T.decode_base64_tokens(planted), F.lit(0)).alias("decoded"))
+    planted = F.concat("text", F.lit(" see "), F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit("")), F.lit(" end"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(T.decode_base64_tokens(planted), "\n")).alias("decoded"))
 
 
 @query("SELECT doc_id, 'ok' AS payload FROM documents")
@@ -286,9 +308,15 @@ def b11_emoji(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_emoji(F.concat("text", F.lit("🎉⭐")))).alias("stripped"))
 
 
-@query("SELECT doc_id, 'see confidential ' || doc_id AS closed FROM documents")
+_LETTERED = "text || ' see c o n f i d e n t i a l ' || doc_id"
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, string_split({_LETTERED}, '') AS cs FROM documents), i AS (SELECT doc_id, cs, list_filter(range(1, len(cs) + 1), lambda i: NOT (cs[i] = ' ' AND i > 1 AND regexp_matches(coalesce(cs[i - 1], ''), '[a-z]') AND NOT (i > 2 AND regexp_matches(cs[i - 2], '[a-z]')) AND regexp_matches(coalesce(cs[i + 1], ''), '[a-z]') AND NOT regexp_matches(coalesce(cs[i + 2], ''), '[A-Za-z]'))) AS kept FROM x)
+    SELECT doc_id, md5(array_to_string(list_transform(kept, lambda i: cs[i]), '')) AS closed FROM i"""
+)
 def b12_letter_spacing(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.collapse_letters(F.concat(F.lit("see c o n f i d e n t i a l "), F.col("doc_id").cast("string"))).alias("closed"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.collapse_letters(F.expr(_LETTERED))).alias("closed"))
 
 
 @query(

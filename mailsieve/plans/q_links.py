@@ -154,10 +154,14 @@ def e10_link_risk(spark, sf_dir):
     return L.with_link_risk(urls, F.col("msg_id") % 2 == 0, BLOCKED).where("risk IS NOT NULL").select("msg_id", "url", "risk", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("SELECT page_id, regexp_extract(regexp_extract('http://x/?a=' || page_id || '&b=2#a=9', '^([^#]*)', 1), '[?&]a=([^&]*)', 1) AS a FROM pages")
+_ASKED = "url || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '&ref=z' WHEN 2 THEN '&ref=' || page_id || '&ref=y#ref=q' ELSE '&Ref=1&xref=2&ref=&page=' || page_id END"
+_PARAM = lambda name: f"nullif(substr(list_filter(string_split_regex(regexp_replace(split_part({_ASKED}, '#', 1), '^[^?&]*[?&]?', ''), '&'), lambda p: starts_with(p, '{name}='))[1], {len(name) + 2}), '')"
+
+
+@query(f"SELECT page_id, {_PARAM('ref')} AS ref, {_PARAM('page')} AS page FROM pages")
 def b15_query_params(spark, sf_dir):
-    url = F.concat(F.lit("http://x/?a="), F.col("page_id").cast("string"), F.lit("&b=2#a=9"))
-    return read(spark, sf_dir, "pages").select("page_id", T.query_param(url, "a").alias("a"))
+    asked = F.expr(_ASKED)
+    return read(spark, sf_dir, "pages").select("page_id", T.query_param(asked, "ref").alias("ref"), T.query_param(asked, "page").alias("page"))
 
 
 @query(f"SELECT doc_id, md5(lower(translate(text || ' раураl', {O.q(lx.FULL_WIDTH[:-1] + L.FOLD_FROM)}, {O.q(lx.HALF_WIDTH[:-1] + L.FOLD_TO)}))) AS folded FROM documents")

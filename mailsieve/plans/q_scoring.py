@@ -13,6 +13,7 @@ from . import oracle as O
 from .catalog import query
 from . import q_dlp as QD
 from . import q_history as QH
+from . import q_pages as QP
 from .q_content import WALLETS, host_sql
 from .q_history import SIG, _signed
 from .q_links import CONTACTS, U, _score
@@ -39,19 +40,25 @@ PRESSED = f"""WITH {O.M}, l AS (SELECT msg_id, ls, unnest(generate_series(1, len
 PIVOT = f"""SELECT DISTINCT msg_id, 'content' AS family, 'high_risk_pivot' AS code, 0.35::DOUBLE AS contribution FROM (SELECT msg_id FROM ({host_sql({h: 'risky' for h in S.RISKY_HOSTS})}) UNION ALL SELECT msg_id FROM ({WALLETS}) UNION ALL SELECT msg_id FROM ({PRESSED}))"""
 ACCOUNT = f"SELECT msg_id, 'content' AS family, 'account_change' AS code, least(0.6::DOUBLE, 0.6::DOUBLE * risk) AS contribution FROM ({QH.ACCOUNT}) WHERE risk > 0"
 SPOOF = _rows(f"({QH.SPOOF})", [("domain", "reply_to", "mismatch", "least(0.6::DOUBLE, risk)"), ("domain", "impersonation", "impersonation", "0.30")])
+PROFILE = _rows("(SELECT * FROM m WHERE msg_id NOT IN (SELECT msg_id FROM fc))", [("history", "verified", "from_addr LIKE '%@company.example'", "-0.20"), ("history", "reported", "from_addr LIKE '%@g00gle.com'", "0.60")])
+CRYPTO = _rows("m", [("auth", "crypto_failed", "msg_id % 7 = 1", "0.45"), ("auth", "crypto_passed", "msg_id % 7 = 2", "-0.10")])
 THREAD = _rows(f"({QH.THREAD})", [("history", k, c, f"{w}") for (k, w), c in zip(S.THREAD_WEIGHTS.items(), "abclhs", strict=True)])
 DRIFT = _rows(f"({QH.DRIFT})", [("history", "topic_drift", "drift", "0.15")])
 _PH = [p.lower() for p in lx.OVERRIDE_PHRASES]
-BLOCKED = f"""WITH {O.M}, n AS (SELECT msg_id, {O.norm('body', True)} AS b1, {O.spaced('body', True)} AS b2 FROM (SELECT msg_id, substr(body, 1, 65536) AS body FROM m)) SELECT msg_id, {O.any_of(B, _PH)} OR {O.any_of('b1', [t.lower() for t in lx.SPECIAL_TOKENS])} AS blocked FROM n"""
+BLOCKED = f"""WITH {O.M}, n AS (SELECT msg_id, {O.norm('body', True)} AS b1, {O.spaced('body', True)} AS b2 FROM m) SELECT msg_id, {O.any_of(B, _PH)} OR {O.any_of('b1', [t.lower() for t in lx.SPECIAL_TOKENS])} AS blocked FROM n"""
 INJECTION = f"SELECT msg_id, 'content' AS family, 'prompt_injection' AS code, 0.45::DOUBLE AS contribution FROM ({BLOCKED}) WHERE blocked"
 SIGNATURE = f"""SELECT * FROM (WITH {SIG}, r AS (SELECT s.*, m.dkim, split_part(from_addr, '@', 2) AS fd, count(*) OVER (PARTITION BY d, b32 ORDER BY s.ts_s, s.msg_id) AS seen FROM s JOIN m USING (msg_id))
     {_rows('r', [('auth', 'length_tag', 'has_length', '0.35'), ('auth', 'misaligned', "d <> fd AND NOT ends_with(fd, '.' || d) AND NOT ends_with(d, '.' || fd)", "CASE WHEN dkim = 'pass' THEN 0.40 ELSE 0.20 END"), ('auth', 'replay', 'seen >= 2', '0.30')])})"""
-ALL = f"""{O.normed()}, {U.removeprefix(O.M + ', ')}, fc AS (SELECT * FROM n WHERE msg_id IN (SELECT min(msg_id) FROM m GROUP BY from_addr)),
-    base AS ({' UNION ALL '.join([AUTH, DOMAIN, CONTENT, LINK, FIRST, PIVOT, ACCOUNT, SPOOF, THREAD, DRIFT, INJECTION, SIGNATURE])})"""
+MODEL = f"SELECT msg_id, 'model' AS family, 'model' AS code, 0.45::DOUBLE * (msg_id % 10) / 10 AS contribution FROM ({BLOCKED}) WHERE NOT blocked"
+BASE = [AUTH, DOMAIN, CONTENT, LINK, FIRST, PIVOT, ACCOUNT, SPOOF, THREAD, DRIFT, INJECTION, SIGNATURE]
+ALL = lambda base: f"""{O.normed()}, {U.removeprefix(O.M + ', ')}, fc AS (SELECT * FROM n WHERE msg_id IN (SELECT min(msg_id) FROM m GROUP BY from_addr)),
+    base AS ({' UNION ALL '.join(base)})"""
 _ANY = lambda codes: "code IN (" + ", ".join(map(O.q, codes)) + ")"
-ESC = f"""{ALL}, fl AS (SELECT msg_id, bool_or(family = 'auth' AND contribution > 0) AS a, bool_or(family = 'domain') AS d, bool_or(family = 'content') AS c, bool_or({_ANY(['first_contact', 'first_contact_high_risk'])}) AS f, bool_or({_ANY(S.HIGH_RISK_CODES)}) AS h, bool_or({_ANY(S.THREAD_CODES)}) AS t FROM base GROUP BY msg_id),
-    esc AS ({_rows('fl', [('auth', 'auth_domain_content', 'a AND d AND c', '0.20'), ('history', 'first_auth_high_risk', 'f AND a AND h', '0.15'), ('domain', 'domain_thread', 'd AND t', '0.15')])}), every AS (SELECT * FROM base UNION ALL SELECT * FROM esc)"""
-VERDICT = f"{ESC}, sc AS (SELECT m.msg_id, 1 / (1 + exp(-5 * (coalesce(sum(contribution), 0) - 0.7::DOUBLE))) AS score FROM m LEFT JOIN every e ON e.msg_id = m.msg_id GROUP BY m.msg_id), v AS (SELECT msg_id, score, CASE WHEN score >= 0.85 THEN 'dangerous' WHEN score >= 0.60 THEN 'suspicious' WHEN score >= 0.30 THEN 'advisory' ELSE 'safe' END AS verdict FROM sc)"
+_escalated = lambda base: f"""{ALL(base)}, fl AS (SELECT msg_id, bool_or(family = 'auth' AND contribution > 0) AS a, bool_or(family = 'domain') AS d, bool_or(family = 'content') AS c, bool_or({_ANY(['first_contact', 'first_contact_high_risk'])}) AS f, bool_or({_ANY(S.HIGH_RISK_CODES)}) AS h, bool_or({_ANY(S.THREAD_CODES)}) AS t FROM base GROUP BY msg_id),
+    esc AS ({_rows('fl', [('auth', 'auth_domain_content', 'a AND d AND c', '0.20'), ('history', 'first_auth_high_risk', 'f AND a AND h', '0.15'), ('domain', 'domain_thread', 'd AND t', '0.15')])}), every AS (SELECT * FROM base UNION ALL SELECT * FROM esc)"""
+ESC = _escalated(BASE)
+_judged = lambda esc: f"{esc}, sc AS (SELECT m.msg_id, 1 / (1 + exp(-5 * (coalesce(sum(contribution), 0) - 0.7::DOUBLE))) AS score FROM m LEFT JOIN every e ON e.msg_id = m.msg_id GROUP BY m.msg_id), v AS (SELECT msg_id, score, CASE WHEN score >= 0.85 THEN 'dangerous' WHEN score >= 0.60 THEN 'suspicious' WHEN score >= 0.30 THEN 'advisory' ELSE 'safe' END AS verdict FROM sc)"
+VERDICT = _judged(ESC)
 
 
 def mail(spark, sf_dir):
@@ -59,10 +66,23 @@ def mail(spark, sf_dir):
     return messages(spark, sf_dir).withColumns({"sender": F.col("from_addr"), "from_addr": F.expr(QH.NAMED)} | QH.replies())
 
 
-def assessed(spark, sf_dir):
+def _profiles(spark, sf_dir):
+    """What users have said of senders: verified and reported ones."""
+    sender = F.col("from_addr")
+    return messages(spark, sf_dir).select(sender.alias("sender")).distinct().select("sender", F.endswith("sender", F.lit("@company.example")).alias("verified"), F.endswith("sender", F.lit("@g00gle.com")).alias("reported"))
+
+
+def _crypto():
+    return F.when(F.col("msg_id") % 7 == 1, "fail").when(F.col("msg_id") % 7 == 2, "pass")
+
+
+def assessed(spark, sf_dir, supplied=False):
+    """All messages, with their signals; ``supplied``: also what others supply, namely profiles, signature checks and a model."""
     m = mail(spark, sf_dir)
+    if supplied:
+        m = m.withColumns({"dkim_crypto": _crypto(), "model_probability": F.col("msg_id") % 10 / 10})
     known = spark.createDataFrame(QH.CONTACTS, "name string, domain string")
-    return S.assessed(S.with_context(S.message_facts(m, "company.example", CONTACTS), m, known))
+    return S.assessed(S.with_context(S.message_facts(m, "company.example", CONTACTS), m, known, _profiles(spark, sf_dir) if supplied else None))
 
 
 @query(f"WITH {O.M} {AUTH}")
@@ -77,12 +97,14 @@ def h2_domain_signals(spark, sf_dir):
     return S.domain_signals(m, "company.example", CONTACTS).unionByName(S.link_signals(m)).unionByName(S.spoof_signals(spoof))
 
 
-@query(f"WITH {O.normed()}, fc AS (SELECT * FROM n WHERE msg_id IN (SELECT min(msg_id) FROM m GROUP BY from_addr)) {FIRST} UNION ALL {THREAD} UNION ALL {DRIFT}")
+@query(f"WITH {O.normed()}, fc AS (SELECT * FROM n WHERE msg_id IN (SELECT min(msg_id) FROM m GROUP BY from_addr)) {FIRST} UNION ALL {THREAD} UNION ALL {DRIFT} UNION ALL {PROFILE}")
 def h3_history_signals(spark, sf_dir):
     m = mail(spark, sf_dir)
     first = H.first_contacts(m, "sender", ["ts_s", "msg_id"]).select("msg_id", F.lit(True).alias("is_first"), F.col("high_risk").alias("subject_high_risk"), F.lit(False).alias("drift"))
     drift = QH.g3_topic_drift(spark, sf_dir).where("drift").select("msg_id", F.lit(False).alias("is_first"), F.lit(False).alias("subject_high_risk"), "drift")
     flags = first.unionByName(drift).withColumns({"verified": F.lit(False), "reported": F.lit(False)})
+    known = m.join(first.select("msg_id"), "msg_id", "left_anti").join(_profiles(spark, sf_dir), "sender")
+    flags = flags.unionByName(known.select("msg_id", *(F.lit(False).alias(c) for c in ("is_first", "subject_high_risk", "drift")), "verified", "reported"))
     return S.history_signals(flags).unionByName(S.thread_signals(H.thread_hijack(m.withColumn("domain", T.address_domain(F.col("from_addr"))))))
 
 
@@ -97,9 +119,9 @@ def h4_pivot_and_account_signals(spark, sf_dir):
     return S.pivot_signals(m).unionByName(S.account_signals(H.account_changes(m.withColumn("ts", F.col("ts_s")))))
 
 
-@query(SIGNATURE)
+@query(f"{SIGNATURE} UNION ALL SELECT * FROM (WITH {O.M} {CRYPTO})")
 def h5_signature_signals(spark, sf_dir):
-    m = H.signature_replays(_signed(spark, sf_dir).withColumn("ts", F.col("ts_s"))).withColumn("dkim_crypto", F.lit(None).cast("string"))
+    m = H.signature_replays(_signed(spark, sf_dir).withColumn("ts", F.col("ts_s"))).withColumn("dkim_crypto", _crypto())
     return S.signature_signals(m)
 
 
@@ -121,6 +143,11 @@ def h8_verdicts(spark, sf_dir):
     return assessed(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+@query(f"WITH {_judged(_escalated([*BASE, PROFILE, CRYPTO, MODEL]))} SELECT msg_id, round(score, 6) AS score, verdict FROM v")
+def h8_verdicts_with_supplied_facts(spark, sf_dir):
+    return assessed(spark, sf_dir, supplied=True).select("msg_id", F.round("score", 6).alias("score"), "verdict")
+
+
 @query(f"WITH {ESC} SELECT msg_id, code, CAST(row_number() OVER (PARTITION BY msg_id ORDER BY contribution DESC, family, code) AS INT) AS rank FROM every")
 def h9_ranked_signals(spark, sf_dir):
     return S.ranked_signals(assessed(spark, sf_dir)).select("msg_id", "code", "rank")
@@ -130,9 +157,9 @@ _FOUND = f"SELECT DISTINCT msg_id FROM (WITH {QD.RULES['outbound']} SELECT msg_i
 _ALERTS = f"SELECT count(*) FROM (WITH {QH.CAMPAIGNS} SELECT group_key FROM g WHERE n >= 3)"
 
 
-@query(f"WITH {VERDICT} SELECT verdict, count(*) AS n, round(avg(score), 6) AS mean_score, sum((spf = 'fail')::INT)::BIGINT AS n_spf_failed, count(x.msg_id) AS n_sensitive, ({_ALERTS}) AS n_campaigns FROM v JOIN m USING (msg_id) LEFT JOIN ({_FOUND}) x ON x.msg_id = m.msg_id GROUP BY verdict")
+@query(f"WITH {VERDICT} SELECT verdict, count(*) AS n, round(avg(score), 6) AS mean_score, sum((spf = 'fail')::INT)::BIGINT AS n_spf_failed, count(x.msg_id) AS n_sensitive, coalesce(sum(n_risks), 0)::BIGINT AS n_attachment_risks, ({_ALERTS}) AS n_campaigns FROM v JOIN m USING (msg_id) LEFT JOIN ({_FOUND}) x ON x.msg_id = m.msg_id LEFT JOIN ({QP.SCANNED}) r ON r.msg_id = m.msg_id GROUP BY verdict")
 def i10_scan_summary(spark, sf_dir):
     sensitive = QD.findings(spark, sf_dir, "outbound").select("msg_id").distinct().withColumn("sensitive", F.lit(True))
-    rows = assessed(spark, sf_dir).join(messages(spark, sf_dir).select("msg_id", "spf"), "msg_id").join(sensitive, "msg_id", "left")
-    per = rows.groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("spf") == "fail").alias("n_spf_failed"), F.count("sensitive").alias("n_sensitive"))
+    rows = assessed(spark, sf_dir).join(messages(spark, sf_dir).select("msg_id", "spf"), "msg_id").join(sensitive, "msg_id", "left").join(QP.f9_f15_attachment_scan(spark, sf_dir), "msg_id", "left")
+    per = rows.groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("spf") == "fail").alias("n_spf_failed"), F.count("sensitive").alias("n_sensitive"), F.coalesce(F.sum("n_risks"), F.lit(0)).alias("n_attachment_risks"))
     return per.join(F.broadcast(QH.g11_alertable_groups(spark, sf_dir).agg(F.count("*").alias("n_campaigns"))))  # one row

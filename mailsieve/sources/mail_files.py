@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,30 @@ SCHEMA = (
 
 
 def _verdict(results: str, name: str) -> str:
-    """One method's result in the authentication header; none if it is not named."""
+    """One method's result in the authentication header; none if it is not named, or has none."""
     low = results.lower()
     at = low.find(f"{name}=")
-    return "none" if at < 0 else low[at + len(name) + 1 :].split(";")[0].split()[0].strip() or "none"
+    words = low[at + len(name) + 1 :].split(";")[0].split() if at >= 0 else []
+    return words[0] if words else "none"
+
+
+def _addresses(fields: list) -> list[str]:
+    """Addresses of the recipient fields, with names where they have one; a comma inside quotes parts nothing."""
+    from email.utils import getaddresses
+
+    pairs = [(name.strip(), address.strip()) for name, address in getaddresses([str(f) for f in fields], strict=False)]
+    quoted = lambda n: '"' + n.replace("\\", "\\\\").replace('"', '\\"') + '"' if any(c in n for c in ',;:<>@"()[]\\') else n
+    return [f"{quoted(name)} <{address}>" if name else address for name, address in pairs if address]
+
+
+def _text(part) -> str | None:
+    """A text part, decoded; an unknown or wrong charset is read as UTF-8 with replacements."""
+    if part is None:
+        return None
+    try:
+        return part.get_content()
+    except (LookupError, UnicodeError, ValueError):
+        return (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
 
 
 def _parse(path: str, raw: bytes) -> dict:
@@ -35,7 +56,7 @@ def _parse(path: str, raw: bytes) -> dict:
     one = lambda k: None if m[k] is None else str(m[k])
     return {
         "path": path, "error": None, "message_id": one("Message-ID"), "in_reply_to": one("In-Reply-To"), "from_addr": one("From"), "reply_to": one("Reply-To"), "return_path": one("Return-Path"),
-        "to_addrs": [a.strip() for a in (one("To") or "").split(",") if a.strip()], "subject": one("Subject"), "body": text.get_content() if text else None, "html": html.get_content() if html else None,
+        "to_addrs": _addresses(m.get_all("To", [])), "subject": one("Subject"), "body": _text(text), "html": _text(html),
         "spf": _verdict(results, "spf"), "dkim": _verdict(results, "dkim"), "dmarc": _verdict(results, "dmarc"), "arc": _verdict(results, "arc"), "dkim_header": one("DKIM-Signature"), "attachments": files,
     }
 
@@ -58,9 +79,12 @@ def parse_mail(files: DataFrame) -> DataFrame:
 
 
 def read_mail(spark: SparkSession, folder: str, pattern: str = "*.eml") -> tuple[DataFrame, DataFrame]:
-    """Messages, and failures as (path, error). Files of no length are left out by the file source itself."""
+    """Messages, and failures as (path, error). Files of no length are left out by the file source itself.
+
+    Parsed rows are kept on the executors' disks, so that both outputs share one parse; what is lost is parsed again.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    rows = parse_mail(files)
+    rows = parse_mail(files).persist(StorageLevel.DISK_ONLY)
     return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").select("path", "error")
 
 

@@ -157,6 +157,21 @@ def test_mail_files(spark, tmp_path):
     assert mail_files.attachments(mail).first().filename == "r.pdf" and failed.count() == 1
 
 
+def test_mail_files_addresses_results_and_charsets(spark, tmp_path):
+    head = b'From: a@x.example\r\nTo: "Doe, Jane" <j@x.com>, k@y.com\r\nTo: Team <t@z.com>\r\nAuthentication-Results: mx; spf=\r\n'
+    (tmp_path / "a.eml").write_bytes(head + b"Content-Type: text/plain; charset=no-such-set\r\nContent-Transfer-Encoding: 8bit\r\n\r\ncaf\xc3\xa9")
+    (tmp_path / "b.eml").write_bytes(b"From: a@x.example\r\nAuthentication-Results: mx; spf=;dkim=pass\r\n\r\nx")
+    mail, failed = mail_files.read_mail(spark, str(tmp_path))
+    a, b = mail.orderBy("path").collect()
+    assert failed.count() == 0 and a.to_addrs == ['"Doe, Jane" <j@x.com>', "k@y.com", "Team <t@z.com>"]
+    assert a.body.strip() == "café" and (a.spf, b.spf, b.dkim, b.to_addrs) == ("none", "none", "pass", [])
+
+
+def test_percent_decode_takes_long_texts(spark):
+    text = "%41%2542 " * 40_000
+    assert one(spark, text, T.percent_decode(F.col("t")).alias("x")).x == "AB " * 40_000
+
+
 def test_feed_files(spark):
     rows = [
         ("list", "q", "list", '[{"title":" A  b ","url":"https://a.example","created_at":"2024-01-02T03:04:05Z"},{"title":"","url":"https://b.example","created_at":"2024-01-02T03:04:05Z"}]'),
