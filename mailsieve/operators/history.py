@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as T
+from .running import Scan, with_running
 
 # --- Fixed values -----------------------------------------------------------------------------------------
 STOP_WORDS = [
@@ -28,16 +30,16 @@ IDLE_SECONDS = 30 * 86400
 # ----------------------------------------------------------------------------------------------------------
 
 
+def _one() -> Column:
+    return F.lit(1).cast("long")
+
+
 def tokens(c: Column) -> Column:
     """ASCII words of two letters or more, without stop words, and every CJK character."""
     words = F.transform(F.regexp_extract_all(c, F.lit(r"([A-Za-z]+|[\x{3000}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}])"), 1), lambda w: F.lower(w))
     return F.filter(words, lambda w: ~w.isin(STOP_WORDS) & (F.octet_length(w) >= 2))
 
 
-def before(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-
-
 def sender_profiles(m: DataFrame, keys: list[str], ts: str, topic: str, name: str, tie: str) -> DataFrame:
     """Per sender: count, first and last seen, newest topic and display name that are not null. Aggregates on the map side."""
     at = F.struct(ts, tie)
@@ -57,6 +59,15 @@ def first_contacts(m: DataFrame, key: str, order: list[str], subject: str = "sub
     return rows.withColumn("high_risk", T.any_of([F.col("__s1"), F.col("__s2")], lx.HIGH_RISK_SUBJECTS)).drop("__s1", "__s2")
 
 
+def typical_topics(m: DataFrame, key: str, ts: str, id_: str, topic: str = "subject") -> DataFrame:
+    """Adds n, the earlier messages of the key, and typical, the topic of the one just before."""
+    return with_running(m, ts, id_, topic_scan(key, topic))
+
+
+def topic_scan(key: str, topic: str, source: DataFrame | None = None) -> Scan:
+    return Scan([key], {"n": _one()}, {"typical": F.col(topic)}, source=source)
+
+
 def topic_drift(m: DataFrame, id_: str, text: str, typical: str, least: float = 0.15) -> DataFrame:
     """id, similarity, drift: cosine of term frequencies; no drift where either text has no token."""
     tf = lambda c, name: m.select(id_, F.explode(tokens(F.col(c))).alias("t")).groupBy(id_, "t").agg(F.count("*").alias(name))
@@ -70,23 +81,35 @@ def thread_hijack(m: DataFrame) -> DataFrame:
     """Adds the thread signals of messages (thread_id, ts, msg_id, in_reply_to, subject, body, domain) and their score."""
     from .content import language
 
-    prior = before(["thread_id"], ["ts", "msg_id"])
     reply = F.rlike(F.lower("subject"), F.lit("^re[:：]"))
     known = m.select(F.lower("message_id").alias("__known")).where("__known IS NOT NULL").distinct()
-    out = m.join(known, F.lower(F.trim("in_reply_to")) == F.col("__known"), "left")
-    out = out.withColumns({"__domains": F.collect_set("domain").over(prior), "__lang": language(F.col("body"))}).withColumns({"__prior_lang": F.lag("__lang").over(Window.partitionBy("thread_id").orderBy("ts", "msg_id")), "__prior_subject": F.lag("subject").over(Window.partitionBy("thread_id").orderBy("ts", "msg_id"))})
+    out = with_thread_context(m.withColumn("__lang", language(F.col("body"))), "__lang")
+    out = out.join(known, F.lower(F.trim("in_reply_to")) == F.col("__known"), "left")
     has_parent = F.trim(F.coalesce("in_reply_to", F.lit(""))) != ""
     signals = {
         "unknown_parent": (has_parent & F.col("__known").isNull(), 0.30),
         "reply_without_parent": (reply & F.col("in_reply_to").isNull(), 0.25),
-        "domain_changed": ((F.size("__domains") > 0) & ~F.array_contains("__domains", F.col("domain")), 0.35),
+        "domain_changed": (F.col("domain").isNotNull() & (F.col("__with_domain") > 0) & (F.col("__of_domain") == 0), 0.35),
         "language_shift": ((F.col("__prior_lang") != F.col("__lang")) & (F.col("__lang") != "other"), 0.20),
         "high_risk_topic": ((reply | F.col("in_reply_to").isNotNull()) & T.any_of(F.lower("body"), THREAD_KEYWORDS), 0.25),
         "subject_changed": (reply & F.col("__prior_subject").isNotNull() & (T.word_similarity(T.strip_reply(F.col("subject")), T.strip_reply(F.col("__prior_subject"))) < 0.30), 0.15),
     }
     out = out.withColumns({k: F.coalesce(c, F.lit(False)) for k, (c, _) in signals.items()})
     score = sum((F.when(F.col(k), w).otherwise(0.0) for k, (_, w) in signals.items()), F.lit(0.0))
-    return out.withColumn("hijack_score", F.least(F.lit(1.0), score)).drop("__known", "__domains", "__lang", "__prior_lang", "__prior_subject")
+    return out.withColumn("hijack_score", F.least(F.lit(1.0), score)).drop("__known", "__lang", "__with_domain", "__of_domain", "__prior_lang", "__prior_subject")
+
+
+def with_thread_context(m: DataFrame, language: str) -> DataFrame:
+    """Adds, of the thread's earlier messages: __prior_lang and __prior_subject (of the one just before), __with_domain (how
+    many have a sender domain) and __of_domain (how many have this message's)."""
+    return with_running(m, "ts", "msg_id", *thread_scans(language))
+
+
+def thread_scans(language: str, source: DataFrame | None = None, sums: dict[str, Column] | None = None) -> list[Scan]:
+    """The scans of :func:`with_thread_context`, with further ``sums`` over the thread."""
+    has = F.col("domain").isNotNull().cast("long")
+    thread = Scan(["thread_id"], {"__with_domain": has} | (sums or {}), {"__prior_lang": F.col(language), "__prior_subject": F.col("subject")}, source=source)
+    return [thread, Scan(["thread_id", "domain"], {"__of_domain": _one()}, source=source)]
 
 
 def accounts(c: Column) -> Column:
@@ -105,18 +128,32 @@ def account_changes(m: DataFrame) -> DataFrame:
 
 def with_account_counts(a: DataFrame) -> DataFrame:
     """Adds n_new, n_past and n_removed for messages (thread_id, ts, msg_id, now): accounts not seen before in the thread,
-    seen before, and seen before but not now.
+    seen before, and seen before but not now."""
+    rows = with_new_accounts(a, a)
+    return account_counts(with_running(rows, "ts", "msg_id", Scan(["thread_id"], {PAST[0]: F.col(PAST[1])})))
+
+
+#: What a scan of the thread sums up for :func:`account_counts`.
+PAST = "__past", "__new"
 
-    A message becomes a row for each of its accounts; an account's first row in the thread is marked, and running sums
-    of the marks count the past. So nothing is gathered, however long a thread is, and all is one shuffle by thread.
+
+def with_new_accounts(rows: DataFrame, a: DataFrame) -> DataFrame:
+    """Adds __new, the number of a message's accounts that no earlier message of its thread has; ``a`` has (thread_id, ts,
+    msg_id, now) of the same messages.
+
+    An account's first message in the thread is a minimum, taken on the map side; a message is new by as many accounts as it
+    is the first of, and running sums of their number count the past. So nothing is gathered, however long a thread is.
     """
-    rows = a.select("*", F.posexplode_outer("now").alias("__at", "__account"))
-    first = F.col("__account").isNotNull() & (F.row_number().over(Window.partitionBy("thread_id", "__account").orderBy("ts", "msg_id")) == 1)
-    rows = rows.withColumn("__first", first.cast("int"))
-    here = F.sum("__first").over(Window.partitionBy("thread_id", "ts", "msg_id"))
-    upto = F.sum("__first").over(Window.partitionBy("thread_id").orderBy("ts", "msg_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumns({"n_new": here.cast("int"), "n_past": (upto - here).cast("int")}).where("coalesce(__at, 0) = 0")
-    return rows.withColumn("n_removed", F.col("n_past") - (F.coalesce(F.size("now"), F.lit(0)) - F.col("n_new"))).drop("__at", "__account", "__first")
+    named = a.select("thread_id", "ts", "msg_id", F.explode("now").alias("__account"))
+    first = named.groupBy("thread_id", "__account").agg(F.min(F.struct("ts", "msg_id")).alias("__f"))
+    fresh = first.groupBy(F.struct("thread_id", "__f.ts", "__f.msg_id").alias("__of")).agg(F.count("*").alias("__new"))
+    out = rows.withColumn("__of", F.struct("thread_id", "ts", "msg_id")).join(fresh, "__of", "left")
+    return out.withColumn("__new", F.coalesce("__new", F.lit(0))).drop("__of")
+
+
+def account_counts(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumns({"n_new": F.col("__new").cast("int"), "n_past": F.col("__past").cast("int")})
+    return rows.withColumn("n_removed", F.col("n_past") - (F.coalesce(F.size("now"), F.lit(0)) - F.col("n_new"))).drop("__new", "__past")
 
 
 def account_risk() -> Column:
@@ -133,8 +170,15 @@ def signature_tags(header: Column) -> dict[str, Column]:
 
 def signature_replays(m: DataFrame) -> DataFrame:
     """Adds seen: how often this (d, b) came up to and with this row; a missing key counts once."""
-    w = Window.partitionBy("d", "b32").orderBy("ts", "msg_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return m.withColumn("seen", F.when(F.col("d").isNull() | F.col("b32").isNull(), F.lit(1).cast("long")).otherwise(F.count("*").over(w)))
+    return counted_replays(with_running(m, "ts", "msg_id", replay_scan()))
+
+
+def replay_scan(source: DataFrame | None = None) -> Scan:
+    return Scan(["d", "b32"], {"seen": _one()}, source=source)
+
+
+def counted_replays(out: DataFrame) -> DataFrame:
+    return out.withColumn("seen", F.when(F.col("d").isNull() | F.col("b32").isNull(), F.lit(1).cast("long")).otherwise(F.col("seen") + 1))
 
 
 def reply_spoof(m: DataFrame, contacts: DataFrame, with_nameless: bool = False) -> DataFrame:
@@ -183,7 +227,7 @@ def impersonators(m: DataFrame, contacts: DataFrame, with_nameless: bool = False
 
 def platform_familiarity(links: DataFrame) -> DataFrame:
     """Adds prior (earlier links of this sender to this platform) and familiar (five or more)."""
-    return links.withColumn("prior", F.count("*").over(before(["sender", "platform"], ["ts", "msg_id"]))).withColumn("familiar", F.col("prior") >= 5)
+    return with_running(links, "ts", "msg_id", Scan(["sender", "platform"], {"prior": _one()})).withColumn("familiar", F.col("prior") >= 5)
 
 
 def subject_bucket(subject: Column) -> Column:
@@ -231,18 +275,28 @@ def style_profiles(samples: DataFrame) -> DataFrame:
 
     An hour's weight is an ordered fold: sample i moves it to 1 by 1/(i+1) on a hit, and towards 0 by a tenth of that
     on a miss. All misses together shrink a weight by D(n), the product of 1 - 0.1/(i+1); over D the fold changes at
-    hits alone, u' = a u + b, and a running sum of log a and one of b exp(-log a) solve it. So every row holds a few
-    numbers, whatever it has before it, and all windows lie in one shuffle by sender.
+    hits alone, u' = a u + b, which is a linear recurrence over the sender's samples of that hour. So every row holds a few
+    numbers, whatever it has before it, and two running scans give them.
     """
-    w, own = before(["sender"], ["ts_s", "msg_id"]), before(["sender", "hour"], ["ts_s", "msg_id"])
-    means = {f"avg_{c}": F.avg(c).over(w) for c in ("chars", "chars_per_sentence", "punctuation_density", "formality")}
-    out = samples.withColumns({"n": F.count("*").over(w)} | means)
+    kinds = ("chars", "chars_per_sentence", "punctuation_density", "formality")
+    sums = {"n": _one()} | {f"__sum_{c}": F.col(c).cast("double") for c in kinds} | {f"__n_{c}": F.col(c).isNotNull().cast("long") for c in kinds}
+    out = with_running(samples, "ts_s", "msg_id", Scan(["sender"], sums))
+    out = out.withColumns({f"avg_{c}": F.when(F.col(f"__n_{c}") > 0, F.col(f"__sum_{c}") / F.col(f"__n_{c}")) for c in kinds}).drop(*(f"__{k}_{c}" for k in ("sum", "n") for c in kinds))
     i = F.col("n")
-    out = out.withColumn("__shrink", F.log1p(-0.1 / (i + 1))).withColumn("__d", F.coalesce(F.sum("__shrink").over(w), F.lit(0.0)))
-    out = out.withColumns({"__a": F.when(i == 0, 0.0).otherwise(F.log(i / (i + 1)) - F.col("__shrink")), "__b": F.exp(-F.col("__d") - F.col("__shrink")) / (i + 1)})
-    out = out.withColumn("__upto", F.coalesce(F.sum("__a").over(own), F.lit(0.0)))
-    hits = F.sum(F.col("__b") * F.exp(-(F.col("__upto") + F.col("__a")))).over(own)
-    return out.withColumn("hour_weight", F.coalesce(F.exp(F.col("__upto") + F.col("__d")) * hits, F.lit(0.0))).drop("__shrink", "__d", "__a", "__b", "__upto")
+    a = F.when(i == 0, 0.0).otherwise(F.log(i / (i + 1)) - F.log1p(-0.1 / (i + 1)))
+    hits = Scan(["sender", "hour"], folds={"__u": (a, F.exp(-_log_shrunk(i + 1)) / (i + 1))})
+    return with_running(out, "ts_s", "msg_id", hits).withColumn("hour_weight", F.exp(_log_shrunk(i)) * F.col("__u")).drop("__u")
+
+
+def _log_shrunk(n: Column) -> Column:
+    """The logarithm of the product of 1 - 0.1/(i+1) over i < n, that is of gamma(n + 0.9) / (gamma(0.9) n!): summed up to
+    n = 32, and by Stirling's series beyond, good to 14 digits there."""
+    small = [0.0]
+    for i in range(32):
+        small.append(small[-1] + math.log1p(-0.1 / (i + 1)))
+    series = lambda z: (z - 0.5) * F.log(z) - z + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    x = n.cast("double")
+    return F.when(n <= 32, F.get(F.array(*[F.lit(v) for v in small]), n.cast("int"))).otherwise(series(x + 0.9) - series(x + 1.0) - math.lgamma(0.9))
 
 
 def style_warnings(profiled: DataFrame, financial: Column | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.matching import Hits, term_hits
 from . import content as C
 from . import history as H
 from . import links as L
+from .running import with_running
 
 #: Codes whose labels count as high risk, and as thread signals, when signals escalate.
 HIGH_RISK_CODES = ["first_contact_high_risk", "high_risk_pivot", "high_risk_topic"]
@@ -199,18 +200,20 @@ def _pairs(a: Column, b: Column) -> Column:
 
 
 def with_context(facts: DataFrame, m: DataFrame, known: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """Adds what other messages say of one: three shuffles of narrow rows, by sender, by thread and by signature.
+    """Adds what other messages say of one: running scans of narrow rows, by sender, by thread and by signature.
 
     ``m`` gives all message ids and sender names (two columns of it are read), ``known`` the contacts (name, domain) and
     ``profiles`` what is set by hand (sender, verified, reported).
     """
-    by_sender, by_thread = Window.partitionBy("sender").orderBy("ts", "msg_id"), Window.partitionBy("thread_id").orderBy("ts", "msg_id")
-    x = facts.withColumns({"__nth": F.row_number().over(by_sender), "__typical": F.lag("subject").over(by_sender)})
-    a, b = H.tokens(F.col("subject")), H.tokens(F.col("__typical"))
-    x = x.withColumns({"__a": F.when(F.col("__nth") > 5, a), "__b": F.when(F.col("__nth") > 5, b)})
+    # totals need few facts: they are taken anew, and the plan of all facts stands once in that of the whole
+    few = m.select("msg_id", "thread_id", "sender", "ts", "subject", T.address_domain(F.col("from_addr")).alias("domain"), C.language(F.col("body")).alias("language"), H.accounts(F.col("body")).alias("now"), *(c.alias(k) for k, c in H.signature_tags(F.col("dkim_header")).items()))
+    threads = H.thread_scans("language", H.with_new_accounts(few, few), {H.PAST[0]: F.col(H.PAST[1])})
+    x = with_running(H.with_new_accounts(facts, few), "ts", "msg_id", H.topic_scan("sender", "subject", few), *threads, H.replay_scan(few))
+    a, b = H.tokens(F.col("subject")), H.tokens(F.col("typical"))
+    x = x.withColumns({"__a": F.when(F.col("n") >= 5, a), "__b": F.when(F.col("n") >= 5, b)})
     similar = _pairs(F.col("__a"), F.col("__b")) / F.sqrt((_pairs(F.col("__a"), F.col("__a")) * _pairs(F.col("__b"), F.col("__b"))).cast("double"))
     drift = F.when((F.size("__a") > 0) & (F.size("__b") > 0), similar < 0.15)
-    x = x.withColumns({"is_first": F.col("__nth") == 1, "drift": F.coalesce(drift, F.lit(False))}).drop("__a", "__b", "__nth", "__typical")
+    x = x.withColumns({"is_first": F.col("n") == 0, "drift": F.coalesce(drift, F.lit(False))}).drop("__a", "__b", "n", "typical")
     ids = m.select(F.lower("message_id").alias("__known")).where("__known IS NOT NULL").distinct()
     x = x.join(ids, F.lower(F.trim("in_reply_to")) == F.col("__known"), "left")
     names = m.select(H.folded_name(F.col("from_addr")).alias("__name"), T.address_domain(F.col("from_addr")).alias("__domain"))
@@ -220,16 +223,15 @@ def with_context(facts: DataFrame, m: DataFrame, known: DataFrame, profiles: Dat
         x = x.withColumns({"verified": F.lit(False), "reported": F.lit(False)})
     else:
         x = x.join(profiles.groupBy("sender").agg(F.bool_or("verified").alias("verified"), F.bool_or("reported").alias("reported")), "sender", "left")
-    x = H.signature_replays(x)
-    x = x.withColumns({"__prior_language": F.lag("language").over(by_thread), "__prior_subject": F.lag("subject").over(by_thread), "__with_domain": F.count("domain").over(by_thread.rowsBetween(Window.unboundedPreceding, -1)), "__of_domain": F.row_number().over(Window.partitionBy("thread_id", "domain").orderBy("ts", "msg_id"))})
+    x = H.counted_replays(x)
     parent = F.trim(F.coalesce("in_reply_to", F.lit(""))) != ""
     unlike = T.word_similarity(T.strip_reply(F.col("subject")), T.strip_reply(F.col("__prior_subject"))) < 0.30
     thread = {
-        "unknown_parent": parent & F.col("__known").isNull(), "reply_without_parent": F.col("is_reply") & F.col("in_reply_to").isNull(), "domain_changed": F.col("domain").isNotNull() & (F.col("__with_domain") > 0) & (F.col("__of_domain") == 1),
-        "language_shift": (F.col("__prior_language") != F.col("language")) & (F.col("language") != "other"), "high_risk_topic": (F.col("is_reply") | F.col("in_reply_to").isNotNull()) & F.col("topic_words"),
+        "unknown_parent": parent & F.col("__known").isNull(), "reply_without_parent": F.col("is_reply") & F.col("in_reply_to").isNull(), "domain_changed": F.col("domain").isNotNull() & (F.col("__with_domain") > 0) & (F.col("__of_domain") == 0),
+        "language_shift": (F.col("__prior_lang") != F.col("language")) & (F.col("language") != "other"), "high_risk_topic": (F.col("is_reply") | F.col("in_reply_to").isNotNull()) & F.col("topic_words"),
         "subject_changed": F.col("is_reply") & F.col("__prior_subject").isNotNull() & unlike,
     }
-    return H.with_account_counts(x.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in thread.items()}))
+    return H.account_counts(x.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in thread.items()}))
 
 
 def assessed(x: DataFrame) -> DataFrame:

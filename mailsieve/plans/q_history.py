@@ -40,10 +40,7 @@ DRIFT = f"""WITH {O.M}, l AS (SELECT msg_id, subject, lag(subject) OVER w AS typ
 
 @query(DRIFT)
 def g3_topic_drift(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("from_addr").orderBy("msg_id")
-    m = messages(spark, sf_dir).select("msg_id", "subject", F.lag("subject").over(w).alias("typical"), (F.row_number().over(w) - 1).alias("n")).where("n >= 5")
+    m = H.typical_topics(messages(spark, sf_dir).select("msg_id", "ts_s", "from_addr", "subject"), "from_addr", "ts_s", "msg_id").where("n >= 5")
     out = H.topic_drift(m, "msg_id", "subject", "typical")
     return out.select("msg_id", F.round("similarity", 6).alias("similarity"), "drift")
 
