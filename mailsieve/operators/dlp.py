@@ -268,14 +268,43 @@ def escalate(verdicts_: DataFrame, suspicious: DataFrame, key: str = "msg_id") -
     return out.withColumn("verdict", F.when((F.col("n_recipients") > 0) & F.col("verdict").isin("warn", "block"), "block").otherwise(F.col("verdict")))
 
 
+#: Bits of the filter of registered tokens: 2 MB, whatever is registered.
+FILTER_BITS = 1 << 24
+
+
+def _slots(token: Column, salt: str) -> list[Column]:
+    """Two places of a token in the filter."""
+    return [F.pmod(F.xxhash64(F.lit(salt), F.lit(k), token), F.lit(FILTER_BITS)) for k in (1, 2)]
+
+
+def token_filter(tokens: DataFrame, salt: str) -> Column:
+    """The filter of the tokens (column t) as an array of longs: one scalar of fixed size. Words of no token are there too."""
+    words = tokens.select(F.explode(F.array(*_slots(F.col("t"), salt))).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 AS INT))").alias("bits"))
+    every = tokens.sparkSession.range(FILTER_BITS // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    one = words.union(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return one.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words")).scalar()
+
+
+def maybe_in(words: Column, token: Column, salt: str) -> Column:
+    """Whether the filter may hold a token; it never says no of one that it holds."""
+    a, b = (F.getbit(F.get(words, F.shiftright(s, 6).cast("int")), (s % 64).cast("int")) == 1 for s in _slots(token, salt))
+    return a & b
+
+
 def data_matches(rows: DataFrame, tokens: DataFrame, key: str, text: str, salt: str, min_matches: int = 1) -> DataFrame:
     """Exact data match: distinct registered tokens in a text, by salted SHA-256; texts under the minimum drop out.
 
-    ``tokens`` has a column token. Both sides are hashed, pre-aggregated and joined by hash, never broadcast blindly.
+    ``tokens`` has a column token. A filter of fixed size over the registered tokens sorts out all but candidates where the
+    text is read; only these are hashed, shuffled and joined by hash.
     """
-    sealed = lambda c: F.sha2(F.concat(F.lit(salt).cast("binary"), F.lit(b"\x00"), F.lower(F.trim(c)).cast("binary")), 256)
-    known = tokens.where(F.trim("token") != "").select(sealed(F.col("token")).alias("h")).distinct()
-    parts = rows.select(key, F.explode(F.array_distinct(F.filter(F.split(F.col(text), r"[\s,;]+"), lambda t: F.octet_length(t) >= 3))).alias("t")).select(key, sealed(F.col("t")).alias("h")).distinct()
+    plain = lambda c: F.lower(F.trim(c))
+    sealed = lambda c: F.sha2(F.concat(F.lit(salt).cast("binary"), F.lit(b"\x00"), c.cast("binary")), 256)
+    registered = tokens.where(F.trim("token") != "").select(plain(F.col("token")).alias("t")).distinct()
+    words = token_filter(registered, salt)
+    known = registered.select(sealed(F.col("t")).alias("h"))
+    found = F.transform(F.filter(F.split(F.col(text), r"[\s,;]+"), lambda t: F.octet_length(t) >= 3), plain)
+    parts = rows.select(key, F.explode(F.array_distinct(found)).alias("t")).where(maybe_in(words, F.col("t"), salt))
+    parts = parts.select(key, sealed(F.col("t")).alias("h")).distinct()
     return parts.join(known, "h").groupBy(key).agg(F.count("*").alias("matches")).where(F.col("matches") >= min_matches)
 
 
@@ -302,7 +331,7 @@ def misdirected(recipients: DataFrame, known: DataFrame, ours: str) -> DataFrame
 def similar_domains(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """Pairs (domain, other) 1..k edits apart, blocked by k+1 chunks: one chunk survives k edits, shifted at most k."""
 
-    def chunks(c: Column, shifts: range) -> Column:
+    def chunks(c: Column) -> Column:
         n = F.length(c)
         parts = []
         for i in range(k + 1):
@@ -310,7 +339,7 @@ def similar_domains(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
             parts.append(F.struct(F.lit(i).alias("i"), n.alias("n"), F.substr(c, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("g")))
         return F.array(*parts)
 
-    right = b.select(F.col("domain").alias("other")).withColumn("x", F.explode(chunks(F.col("other"), range(1)))).select("other", "x.*")
+    right = b.select(F.col("domain").alias("other")).withColumn("x", F.explode(chunks(F.col("other")))).select("other", "x.*")
     probes = []
     c = F.col("domain")
     for dn in range(-k, k + 1):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as T
+from .containing import containment
 from .running import Scan, with_running
 
 # --- Fixed values -----------------------------------------------------------------------------------------
@@ -184,8 +185,8 @@ def counted_replays(out: DataFrame) -> DataFrame:
 def reply_spoof(m: DataFrame, contacts: DataFrame, with_nameless: bool = False) -> DataFrame:
     """msg_id, mismatch, impersonation, risk: Reply-To at another domain, and a known contact's name at another domain.
 
-    The distinct display names are matched, not the messages: names are few beside them. A name that holds
-    another's whole is found by joining on its words, so names are not paired with all contacts.
+    The distinct display names are matched, not the messages: names are few beside them. A name that holds another's
+    whole is found by joining on the rarest part of the shorter one, so names are not paired with all contacts.
     """
     m = m.withColumn("__domain", T.address_domain(F.col("from_addr"))).withColumn("__name", folded_name(F.col("from_addr")))
     hit = impersonators(m, contacts, with_nameless)
@@ -217,11 +218,15 @@ def impersonators(m: DataFrame, contacts: DataFrame, with_nameless: bool = False
     known = contacts.select(F.trim(fold_homoglyphs(F.col("name"))).alias("k"), F.lower(F.trim("domain")).alias("kd"))
     nameless = known.where("coalesce(k, '') = ''").select("kd").distinct()
     known = known.where("k <> ''").distinct()
-    word = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), 1)))
-    pairs = names.withColumn("w", word(F.col("__name"))).join(known.withColumn("w", word(F.col("k"))), "w").where((F.col("kd") != F.col("__domain")) & (F.contains("__name", F.col("k")) | F.contains("k", F.col("__name"))))
-    hit = pairs.select("__name", "__domain").distinct()
+    ours, theirs = names.select(F.col("__name").alias("x")), known.select(F.col("k").alias("x"))
+    within = containment(theirs, ours).select(F.col("long").alias("__name"), F.col("short").alias("k")).union(containment(ours, theirs).select(F.col("short").alias("__name"), F.col("long").alias("k"))).distinct()
+    # of a contact's name, two domains are enough to tell whether one of them is another than the sender's
+    ends = known.groupBy("k").agg(F.min("kd").alias("lo"), F.max("kd").alias("hi"))
+    hit = names.join(within.join(ends, "k"), "__name").where((F.col("lo") != F.col("__domain")) | (F.col("hi") != F.col("__domain"))).select("__name", "__domain").distinct()
     if with_nameless:
-        hit = hit.union(names.join(nameless, F.col("kd") != F.col("__domain"), "left_semi").select("__name", "__domain")).distinct()
+        ends = nameless.agg(F.min("kd").alias("lo"), F.max("kd").alias("hi"))  # one row
+        other = names.join(F.broadcast(ends)).where((F.col("lo") != F.col("__domain")) | (F.col("hi") != F.col("__domain")))
+        hit = hit.union(other.select("__name", "__domain")).distinct()
     return hit
 
 

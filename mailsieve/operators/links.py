@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as T
+from .containing import hosts_under, one_edit
 
 # --- Fixed values -----------------------------------------------------------------------------------------
 AUTH_DOMAINS = ["microsoft.com", "microsoftonline.com", "live.com", "outlook.com", "office.com", "google.com", "accounts.google.com", "github.com", "apple.com"]
@@ -100,14 +101,21 @@ def idn_risk(domain: Column, name: bool = False) -> Column:
     return F.least(F.lit(1.0), labels + glyphs + F.when(_scripts(domain) >= 2, 0.4).otherwise(0.0))
 
 
-def lookalike(domain: Column, ours: str, contacts: list[str]) -> Column:
-    """The domain it resembles: ours at one edit, then a watched brand within two, then a contact's at one."""
+def lookalike(domain: Column, ours: str) -> Column:
+    """What it resembles of our own domain, at one edit, and then of the watched brands, within two."""
     tests = [F.when(T.one_edit_apart(domain, F.lit(ours)), F.lit(ours))]
     tests += [F.when((domain != w) & T.within_edits(domain, F.lit(w), 2), F.lit(w)) for w in lx.WATCHED_DOMAINS]
-    tests += [F.when((domain != c) & T.one_edit_apart(domain, F.lit(c)), F.lit(c)) for c in contacts]
     return F.coalesce(*tests)
 
 
+def lookalikes(domains: DataFrame, ours: str, contacts: DataFrame) -> DataFrame:
+    """The distinct domains (column domain) with resembles: ours, then a watched brand, then the least contact domain at one
+    edit; null if there is none. ``contacts`` (domain) is a table of any size."""
+    domains = domains.select("domain").where("domain IS NOT NULL").distinct()
+    near = one_edit(domains.select(F.col("domain").alias("x")), contacts.select(F.lower("domain").alias("x"))).groupBy("a").agg(F.min("b").alias("__contact"))
+    return domains.join(near, F.col("domain") == F.col("a"), "left").select("domain", F.coalesce(lookalike(F.col("domain"), ours), "__contact").alias("resembles"))
+
+
 def _trusted(host: Column) -> Column:
     return _any([T.host_is(host, t) for t in TRUSTED])
 
@@ -116,23 +124,26 @@ def _brand_inside(host: Column) -> Column:
     return _any([host.startswith(f"{t}.") | F.contains(host, F.lit(f".{t}.")) for t in TRUSTED])
 
 
-def with_reputation(df: DataFrame, url: str = "url", malicious: list[str] | None = None) -> DataFrame:
-    """Adds reputation; the host is taken once a row."""
-    return df.withColumn("__host", T.url_host(F.col(url))).withColumn("reputation", reputation(F.col(url), malicious, F.col("__host"))).drop("__host")
+def with_reputation(df: DataFrame, url: str = "url", malicious: DataFrame | None = None) -> DataFrame:
+    """Adds reputation; the host is taken once a row. ``malicious`` (domain) lists hosts and is a table of any size."""
+    df, bad = df.withColumn("__host", T.url_host(F.col(url))), F.lit(False)
+    if malicious is not None:
+        listed = malicious.select(F.lower("domain").alias("__bad")).where("__bad <> ''").distinct()
+        df, bad = df.join(listed, F.col("__host") == F.col("__bad"), "left"), F.col("__bad").isNotNull()
+    return df.withColumn("reputation", reputation(F.col(url), bad, F.col("__host"))).drop("__host", "__bad")
 
 
-def reputation(url: Column, malicious: list[str] | None = None, host: Column | None = None) -> Column:
-    """trusted, neutral, suspicious or malicious, of an unwrapped URL; rules in order."""
+def reputation(url: Column, bad: Column | None = None, host: Column | None = None) -> Column:
+    """trusted, neutral, suspicious or malicious, of an unwrapped URL; rules in order. ``bad``: whether a block list has the host."""
     host = T.url_host(url) if host is None else host
     folded = F.replace(host, F.lit("-"), F.lit("."))
     number = F.rlike(host, F.lit(r"^(?:[0-9]+|0[xX][0-9A-Fa-f]+)(?:\.(?:[0-9]+|0[xX][0-9A-Fa-f]+))*$"))
     swap = _any([F.contains(host, F.lit(b)) & ~F.contains(host, F.lit(b.replace("0", "o").replace("1", "l"))) for b in DIGIT_SWAPS])
-    bad = host.isin(malicious) if malicious else F.lit(False)
     rules = [
         (_any([T.host_is(host, r) for r in REWRITERS]) | (host.startswith("protect-") & host.endswith(".mimecast.com")), "suspicious"),
         (F.contains(url, F.lit("@")) | F.rlike(host, F.lit(r"(?:^|\.)-|-(?:\.|$)")), "suspicious"),
         ((folded != host) & (_trusted(folded) | _brand_inside(folded)), "suspicious"),
-        (bad, "malicious"),
+        (F.lit(False) if bad is None else bad, "malicious"),
         (_trusted(host), "trusted"),
         (number, "suspicious"),
         (F.rlike(host, F.lit(r"(?:^|\.)xn--|[^\x00-\x7F]")), "suspicious"),
@@ -260,18 +271,22 @@ def redirect_host(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("?")), actual_host(F.get(targets, F.lit(0))))
 
 
-def with_link_risk(df: DataFrame, familiar: Column, blocked: list[str] | None = None, url: str = "url") -> DataFrame:
+def with_link_risk(df: DataFrame, familiar: Column, blocked: DataFrame | None = None, url: str = "url") -> DataFrame:
     """Adds risk (safe, caution, warn, suspicious or block; null for other links) and reasons of a collaboration link.
 
-    ``blocked``: domains known as malicious, matched against the host and the host of a redirect parameter, with their
-    subdomains. ``familiar``: whether the sender often shares links of the platform.
+    ``blocked`` (domain): a table of domains known as malicious, matched against the host and the host of a redirect
+    parameter, with their subdomains. ``familiar``: whether the sender often shares links of the platform.
     """
-    u, listed = F.col(url), blocked or []
-    df = df.withColumns({"__host": actual_host(u), "__to": redirect_host(u) if listed else F.lit(None).cast("string")})
-    df = df.withColumn("__platform", F.coalesce(platform(u, F.col("__host")), impersonated(u, F.col("__host"))))
-    on_list = lambda h: F.coalesce(_any([T.host_is(h, d) for d in listed]), F.lit(False)) if listed else F.lit(False)
-    host_hit = on_list(F.col("__host"))
-    redirect_hit = ~host_hit & on_list(F.col("__to"))
+    u = F.col(url)
+    df = df.withColumns({"__host": actual_host(u), "__to": redirect_host(u) if blocked is not None else F.lit(None).cast("string"), "__familiar": familiar})
+    df, familiar = df.withColumn("__platform", F.coalesce(platform(u, F.col("__host")), impersonated(u, F.col("__host")))), F.col("__familiar")
+    host_hit = redirect_hit = F.lit(False)
+    if blocked is not None:
+        listed = hosts_under(df.select(F.explode(F.array("__host", "__to")).alias("host")), blocked)
+        for c, n in (("__host", "__bad"), ("__to", "__bad_to")):
+            df = df.join(listed.select(F.col("host").alias(n)), F.col(c) == F.col(n), "left")
+        host_hit = F.col("__bad").isNotNull()
+        redirect_hit = ~host_hit & F.col("__bad_to").isNotNull()
     name, domain = (lambda i, v=v: F.get(T.array_of(list(v)), i) for v in (PLATFORMS.values(), PLATFORMS))
     imitates = F.exists(F.sequence(F.lit(0), F.lit(len(PLATFORMS) - 1)), lambda i: (F.col("__platform") == name(i)) & F.contains(u, domain(i)) & ~_lies_under(F.col("__host"), domain(i)))
     fake = ~host_hit & ~redirect_hit & F.coalesce(imitates, F.lit(False))
@@ -284,4 +299,4 @@ def with_link_risk(df: DataFrame, familiar: Column, blocked: list[str] | None =
     )
     found = {"blocked_host": host_hit, "blocked_redirect": redirect_hit, "imitation": fake, "familiar": plain & familiar, "unfamiliar": plain & ~familiar, "login_words": login, "prompt_injection": injected}
     reasons = F.when(long, F.array(F.lit("overlong"))).when(short, F.array(F.lit("shortener"))).when(~other, F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in found.items()])))
-    return df.withColumns({"risk": risk, "reasons": reasons}).drop("__host", "__to", "__platform")
+    return df.withColumns({"risk": risk, "reasons": reasons}).drop("__host", "__to", "__platform", "__familiar", "__bad", "__bad_to")

@@ -52,10 +52,11 @@ def auth_signals(m: DataFrame) -> DataFrame:
     return _explode(m.withColumns({"__f": f, "__n": n}), _auth(F.col("__f"), F.col("__n")))
 
 
-def domain_signals(m: DataFrame, ours: str, contacts: list[str]) -> DataFrame:
-    """Look-alike, IDN and return-path signals. Domains are few: each distinct one is judged once and joined back."""
+def domain_signals(m: DataFrame, ours: str, contacts: DataFrame) -> DataFrame:
+    """Look-alike, IDN and return-path signals. Domains are few: each distinct one is judged once and joined back.
+    ``contacts`` (domain): the domains of contacts."""
     m = m.withColumn("domain", T.address_domain(F.col("from_addr")))
-    judged = m.select("domain").where("domain IS NOT NULL").distinct().select("domain", L.lookalike(F.col("domain"), ours, contacts).alias("__like"), L.idn_risk(F.col("domain")).alias("__idn"))
+    judged = L.lookalikes(m, ours, contacts).select("domain", F.col("resembles").alias("__like"), L.idn_risk(F.col("domain")).alias("__idn"))
     m = m.join(judged, "domain")
     rp = T.address_domain(F.col("return_path"))
     return _explode(m, [
@@ -166,7 +167,7 @@ def _links(body: Column) -> Column:
     return F.when(F.contains(body, F.lit("http")), F.aggregate(points, none, step, lambda a: a["risky"]))
 
 
-def message_facts(m: DataFrame, ours: str, contacts: list[str]) -> DataFrame:
+def message_facts(m: DataFrame, ours: str) -> DataFrame:
     """What one message says by itself, a narrow row a message: its text is read here, once, and goes no further.
 
     ``m``: msg_id, thread_id, sender, ts, from_addr, reply_to, return_path, subject, body, message_id, in_reply_to, spf, dkim,
@@ -184,7 +185,7 @@ def message_facts(m: DataFrame, ours: str, contacts: list[str]) -> DataFrame:
     persuasion = F.greatest(*(reduce(lambda a, b: a + b, [hits[f].any_of(terms).cast("int") for terms in lx.PERSUASION.values()]) for f in ("b1", "b2")))
     facts = {
         "domain": domain, "name": H.folded_name(F.col("from_addr")), "language": C.language(body), "is_reply": F.rlike(F.lower(subject), F.lit("^re[:：]")), "fails": f_n[0], "nones": f_n[1],
-        "lookalike": L.lookalike(domain, ours, contacts).isNotNull(), "idn": L.idn_risk(domain), "return_mismatch": F.coalesce(T.address_domain(F.col("return_path")) != domain, F.lit(False)), "mismatch": H.reply_mismatch(F.col("reply_to"), domain),
+        "lookalike": L.lookalike(domain, ours).isNotNull(), "idn": L.idn_risk(domain), "return_mismatch": F.coalesce(T.address_domain(F.col("return_path")) != domain, F.lit(False)), "mismatch": H.reply_mismatch(F.col("reply_to"), domain),
         "money_urgency": plain.any_of(lx.URGENCY) & plain.any_of(lx.MONEY), "route_change": plain.any_of(lx.ROUTE_CHANGE), "channel_move": plain.any_of(lx.CHANNEL_MIGRATION), "persuasion": persuasion,
         "blocked": F.size(C.screen_risks(body, hits)) > 0, "pivot": C.leads_to(body, RISKY_HOSTS, hits["raw"].any_of(RISKY_HOSTS)) | C.has_wallet(body) | C.pressed_phone(body),
         "topic_words": hits["low"].any_of(H.THREAD_KEYWORDS), "keyword": hits["low"].any_of(H.ACCOUNT_KEYWORDS), "now": H.accounts(body), "links": _links(body), "subject_risk": Hits("__topics", lx.HIGH_RISK_SUBJECTS, [0, 1]).any_of(lx.HIGH_RISK_SUBJECTS),
@@ -199,11 +200,11 @@ def _pairs(a: Column, b: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda n, x: n + F.size(F.filter(b, lambda y: y == x)))
 
 
-def with_context(facts: DataFrame, m: DataFrame, known: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+def with_context(facts: DataFrame, m: DataFrame, known: DataFrame, contacts: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """Adds what other messages say of one: running scans of narrow rows, by sender, by thread and by signature.
 
-    ``m`` gives all message ids and sender names (two columns of it are read), ``known`` the contacts (name, domain) and
-    ``profiles`` what is set by hand (sender, verified, reported).
+    ``m`` gives all message ids and sender names, ``known`` the contacts by name (name, domain), ``contacts`` the domains of
+    contacts (domain) and ``profiles`` what is set by hand (sender, verified, reported).
     """
     # totals need few facts: they are taken anew, and the plan of all facts stands once in that of the whole
     few = m.select("msg_id", "thread_id", "sender", "ts", "subject", T.address_domain(F.col("from_addr")).alias("domain"), C.language(F.col("body")).alias("language"), H.accounts(F.col("body")).alias("now"), *(c.alias(k) for k, c in H.signature_tags(F.col("dkim_header")).items()))
@@ -219,6 +220,9 @@ def with_context(facts: DataFrame, m: DataFrame, known: DataFrame, profiles: Dat
     names = m.select(H.folded_name(F.col("from_addr")).alias("__name"), T.address_domain(F.col("from_addr")).alias("__domain"))
     hit = H.impersonators(names, known).withColumn("impersonation", F.lit(True))
     x = x.join(hit, (F.col("name") == F.col("__name")) & (F.col("domain") == F.col("__domain")), "left").drop("__name", "__domain").withColumn("impersonation", F.coalesce("impersonation", F.lit(False)))
+    if contacts is not None:
+        near = L.one_edit(names.select(F.col("__domain").alias("x")), contacts.select(F.lower("domain").alias("x"))).select(F.col("a").alias("__near")).distinct()
+        x = x.join(near, F.col("domain") == F.col("__near"), "left").withColumn("lookalike", F.coalesce("lookalike", F.lit(False)) | F.col("__near").isNotNull()).drop("__near")
     if profiles is None:
         x = x.withColumns({"verified": F.lit(False), "reported": F.lit(False)})
     else:

@@ -103,7 +103,7 @@ NAMED = "split_part(from_addr, '@', 1) || CASE WHEN msg_id % 3 = 0 THEN ' desk'
 
 
 SPOOF = f"""WITH {O.M}, k(name, kd) AS (VALUES {', '.join(f'({O.q(a.lower())}, {O.q(b)})' for a, b in CONTACTS)}), h AS (SELECT msg_id, lower(split_part(from_addr, '@', 1) || CASE WHEN msg_id % 3 = 0 THEN ' desk' ELSE '' END) AS n, split_part(from_addr, '@', 2) AS fd, split_part(reply_to, '@', 2) AS rd FROM m),
-    f AS (SELECT msg_id, coalesce(rd <> fd, false) AS mismatch, rd, EXISTS (SELECT 1 FROM k WHERE (contains(n, name) OR contains(name, n)) AND kd <> fd AND len(list_intersect(string_split(n, ' '), string_split(name, ' '))) > 0) AS impersonation FROM h)
+    f AS (SELECT msg_id, coalesce(rd <> fd, false) AS mismatch, rd, EXISTS (SELECT 1 FROM k WHERE (contains(n, name) OR contains(name, n)) AND kd <> fd) AS impersonation FROM h)
     SELECT msg_id, mismatch, impersonation, round(CASE WHEN mismatch THEN CASE WHEN rd = 'gmail.com' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END ELSE 0::DOUBLE END + impersonation::INT * 0.3::DOUBLE, 6) AS risk FROM f"""
 
 

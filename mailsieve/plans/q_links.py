@@ -53,7 +53,11 @@ _NEAR = "coalesce(" + ", ".join([f"CASE WHEN levenshtein(domain, 'companyy.examp
 @query(f"WITH {O.M}, d AS (SELECT {O.domain('from_addr')} AS domain, count(*) AS n FROM m GROUP BY 1) SELECT domain, n, {_NEAR} AS resembles FROM d")
 def e3_lookalike_domains(spark, sf_dir):
     d = messages(spark, sf_dir).select(T.address_domain(F.col("from_addr")).alias("domain")).groupBy("domain").agg(F.count("*").alias("n"))
-    return d.withColumn("resembles", L.lookalike(F.col("domain"), "companyy.example", CONTACTS))
+    return d.join(L.lookalikes(d, "companyy.example", contacts(spark)), "domain", "left")
+
+
+def contacts(spark):
+    return spark.createDataFrame([(c,) for c in CONTACTS], "domain string")
 
 
 PLANTED = [
@@ -151,7 +155,7 @@ def e10_link_risk(spark, sf_dir):
     m = messages(spark, sf_dir)
     planted = """CASE msg_id div 50 % 4 WHEN 0 THEN 'https://dropbox.com.bad.example/' || msg_id WHEN 1 THEN 'https://dropbox.com.evil.example/' || msg_id WHEN 2 THEN 'https://drive.google.com/open?next=https%3A%2F%2Fx.evil.example%2Fa&u=1' ELSE 'https://box.com/s?note=forget+everything&r=https://notevil.example/' END"""
     urls = L.urls(m, "msg_id").select("msg_id", "url").union(m.where("msg_id % 50 = 0").selectExpr("msg_id", planted))
-    return L.with_link_risk(urls, F.col("msg_id") % 2 == 0, BLOCKED).where("risk IS NOT NULL").select("msg_id", "url", "risk", F.array_join("reasons", ",").alias("reasons"))
+    return L.with_link_risk(urls, F.col("msg_id") % 2 == 0, spark.createDataFrame([(d,) for d in BLOCKED], "domain string")).where("risk IS NOT NULL").select("msg_id", "url", "risk", F.array_join("reasons", ",").alias("reasons"))
 
 
 _ASKED = "url || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '&ref=z' WHEN 2 THEN '&ref=' || page_id || '&ref=y#ref=q' ELSE '&Ref=1&xref=2&ref=&page=' || page_id END"

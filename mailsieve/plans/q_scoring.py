@@ -16,7 +16,7 @@ from . import q_history as QH
 from . import q_pages as QP
 from .q_content import WALLETS, host_sql
 from .q_history import SIG, _signed
-from .q_links import CONTACTS, U, _score
+from .q_links import CONTACTS, U, _score, contacts
 from .views import messages
 
 _F = "(spf IN ('fail', 'reject'))::INT + (dkim IN ('fail', 'reject'))::INT + (dmarc IN ('fail', 'reject'))::INT"
@@ -82,7 +82,7 @@ def assessed(spark, sf_dir, supplied=False):
     if supplied:
         m = m.withColumns({"dkim_crypto": _crypto(), "model_probability": F.col("msg_id") % 10 / 10})
     known = spark.createDataFrame(QH.CONTACTS, "name string, domain string")
-    return S.assessed(S.with_context(S.message_facts(m, "company.example", CONTACTS), m, known, _profiles(spark, sf_dir) if supplied else None))
+    return S.assessed(S.with_context(S.message_facts(m, "company.example"), m, known, contacts(spark), _profiles(spark, sf_dir) if supplied else None))
 
 
 @query(f"WITH {O.M} {AUTH}")
@@ -94,7 +94,7 @@ def h1_auth_signals(spark, sf_dir):
 def h2_domain_signals(spark, sf_dir):
     m = mail(spark, sf_dir)
     spoof = H.reply_spoof(m, spark.createDataFrame(QH.CONTACTS, "name string, domain string"))
-    return S.domain_signals(m, "company.example", CONTACTS).unionByName(S.link_signals(m)).unionByName(S.spoof_signals(spoof))
+    return S.domain_signals(m, "company.example", contacts(spark)).unionByName(S.link_signals(m)).unionByName(S.spoof_signals(spoof))
 
 
 @query(f"WITH {O.normed()}, fc AS (SELECT * FROM n WHERE msg_id IN (SELECT min(msg_id) FROM m GROUP BY from_addr)) {FIRST} UNION ALL {THREAD} UNION ALL {DRIFT} UNION ALL {PROFILE}")

@@ -1,39 +1,96 @@
-"""Streaming forms of the operators across messages; each gives what its batch form gives over the same rows."""
+"""Streaming forms of the operators across messages; each gives what its batch form gives over the same rows.
+
+Replays, familiarity and style fold a key's rows in order of event time, in whatever micro-batch they come: a row is given
+out when the watermark has passed it, rows later than that are dropped, and a key that is idle for EXPIRY_DAYS is forgotten.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..operators import mailbox
 from ..operators.history import IDLE_SECONDS, subject_bucket
 
 
-def _fold(stream: DataFrame, keys: list[str], out: str, state: str, start: tuple, step: Callable[[tuple, dict, dict], tuple[tuple, dict | None]], order: list[str]) -> DataFrame:
-    """Keyed fold in arrival order: rows of a micro-batch are sorted, then folded into the key's state one by one.
+#: A key that has had no row for so long, in event time, begins anew.
+EXPIRY_DAYS = 400
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    A row that comes in a later micro-batch than rows after it in time is folded where it arrives. State stays, as the
-    batch forms count all history. ``step`` gets (state, key, row) and returns the new state and an output row or None.
-    """
 
-    def run(key: tuple, batches: Iterable[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = held.get if held.exists else start
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-        named, made = dict(zip(keys, key, strict=True)), []
-        for row in rows.to_dict("records"):
-            now, got = step(now, named, row)
-            if got is not None:
-                made.append(got)
-        held.update(now)
-        yield pd.DataFrame(made, columns=[x.split()[0] for x in out.split(", ")])
+class _Ordered(StatefulProcessor):
+    """Holds a key's rows back until the watermark has passed them, then folds them in order of time.
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+    Rows wait in a map by millisecond, and every millisecond has a timer; so what micro-batch a row comes in makes no
+    difference. A key's state is dropped ``expiry_ms`` after its last row. State and rows are kept as JSON texts.
+    """
+
+    def __init__(self, keys: list[str], columns: list[str], out: list[str], start, step, order: list[str], expiry_ms: int):
+        self.keys, self.columns, self.out, self.start, self.step, self.order, self.expiry_ms = keys, columns, out, start, step, order, expiry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "rows string")
+        self.held = handle.getValueState("held", "state string, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        fresh: dict[int, list] = {}
+        for pdf in rows:
+            at = (pdf["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
+            for t, row in zip(at, pdf[self.columns].assign(ts=pdf["ts"].astype("datetime64[us]").astype("int64")).to_dict("records"), strict=True):
+                if t > passed:  # later ones are late, and Spark drops those itself as a rule
+                    fresh.setdefault(t, []).append({k: v.item() if hasattr(v, "item") else v for k, v in row.items()})
+        for t, more in fresh.items():
+            if self.waiting.containsKey((t,)):
+                more = json.loads(self.waiting.getValue((t,))[0]) + more
+            else:
+                self.handle.registerTimer(t)
+            self.waiting.updateValue((t,), (json.dumps(more),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        state, last = self.start, None
+        if self.held.exists():
+            text, last = self.held.get()
+            state = json.loads(text)
+        if not self.waiting.containsKey((at,)):
+            if last is not None and last + self.expiry_ms <= at:
+                self.held.clear()
+            return
+        if last is not None:
+            self.handle.deleteTimer(last + self.expiry_ms)
+            if at - last > self.expiry_ms:
+                state = self.start
+        named, made = dict(zip(self.keys, key, strict=True)), []
+        for row in sorted(json.loads(self.waiting.getValue((at,))[0]), key=lambda r: [r[c] for c in self.order]):
+            state, got = self.step(state, named, row)
+            made.append(got)
+        self.waiting.removeKey((at,))
+        self.held.update((json.dumps(state), at))
+        self.handle.registerTimer(at + self.expiry_ms)
+        yield pd.DataFrame(made, columns=self.out)
+
+    def close(self) -> None:
+        pass
+
+
+def _fold(stream: DataFrame, keys: list[str], columns: list[str], out: str, start, step: Callable[[list, dict, dict], tuple[list, dict]], expiry_days: int) -> DataFrame:
+    """Keyed fold in order of (ts, msg_id): rows come out when the watermark has passed them. ``step`` gets (state, key, row)
+    and returns the new state and an output row."""
+    spark = stream.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)  # keyed state with timers needs it
+    names = [x.split()[0] for x in out.split(", ")]
+    processor = _Ordered(keys, columns, names, start, step, ["ts", "msg_id"], expiry_days * 86_400_000)
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, out, "append", "EventTime")
 
 
 def dedupe(stream: DataFrame, key: str = "msg_id", delay: str = "30 days") -> DataFrame:
@@ -78,20 +135,23 @@ def campaign_alerts(path: str) -> Callable[[DataFrame, int], DataFrame]:
     return save
 
 
-def signature_replays(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """msg_id, seen: running count per (d, b32); a message without either counts once, outside any state."""
+def signature_replays(stream: DataFrame, delay: str = "1 hour", expiry_days: int = EXPIRY_DAYS) -> DataFrame:
+    """msg_id, seen: running count per (d, b32) in order of event time, once the watermark has passed a message; a message
+    without either counts once, outside any state."""
     keyed = F.col("d").isNotNull() & F.col("b32").isNotNull()
-    alone = stream.where(~keyed).select("msg_id", F.lit(1).cast("long").alias("seen"))
-    return _running_count(stream.where(keyed), ["d", "b32"], "seen", delay, 0).union(alone)
+    timed = stream.withWatermark("ts", delay)
+    alone = timed.where(~keyed).select("msg_id", F.lit(1).cast("long").alias("seen"))
+    return _running_count(timed.where(keyed), ["d", "b32"], "seen", 0, expiry_days).union(alone)
 
 
-def platform_familiarity(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """msg_id, prior: earlier links of the sender to the platform; five or more are familiar."""
-    return _running_count(stream, ["sender", "platform"], "prior", delay, -1)
+def platform_familiarity(stream: DataFrame, delay: str = "1 hour", expiry_days: int = EXPIRY_DAYS) -> DataFrame:
+    """msg_id, prior: earlier links of the sender to the platform, once the watermark has passed a link; five or more are familiar."""
+    return _running_count(stream.withWatermark("ts", delay), ["sender", "platform"], "prior", -1, expiry_days)
 
 
-def _running_count(stream: DataFrame, keys: list[str], name: str, delay: str, shift: int) -> DataFrame:
-    return _fold(stream.withWatermark("ts", delay), keys, f"msg_id long, {name} long", "n long", (0,), lambda s, k, r: ((s[0] + 1,), {"msg_id": r["msg_id"], name: s[0] + 1 + shift}), ["ts", "msg_id"])
+def _running_count(timed: DataFrame, keys: list[str], name: str, shift: int, expiry_days: int) -> DataFrame:
+    step = lambda s, k, r: ([s[0] + 1], {"msg_id": r["msg_id"], name: s[0] + 1 + shift})
+    return _fold(timed, keys, ["msg_id"], f"msg_id long, {name} long", [0], step, expiry_days)
 
 
 def sender_counts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -102,24 +162,31 @@ def sender_counts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 STYLE = ["chars", "chars_per_sentence", "punctuation_density", "formality"]
 
 
-def style_profiles(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """msg_id, n, running means before the sample, and the weight of its hour, per sender."""
+def style_profiles(stream: DataFrame, delay: str = "1 hour", expiry_days: int = EXPIRY_DAYS) -> DataFrame:
+    """msg_id, n, running means before the sample, and the weight of its hour, per sender, once the watermark has passed it."""
 
     def step(state, key, row):
-        n, means, hours = state[0], list(state[1]), list(state[2])
-        got = {"msg_id": row["msg_id"], "n": n} | {f"avg_{c}": (means[i] if n else None) for i, c in enumerate(STYLE)} | {"hour_weight": hours[int(row["hour"])]}
+        (n, means, hours), hour = state, int(row["hour"])
+        got = {"msg_id": row["msg_id"], "n": n} | {f"avg_{c}": (means[i] if n else None) for i, c in enumerate(STYLE)} | {"hour_weight": hours[hour]}
         alpha = 1.0 / (n + 1)
         means = [m + (float(row[c]) - m) * alpha for m, c in zip(means, STYLE, strict=True)]
-        hours = [h * (1 - alpha) + alpha if k == int(row["hour"]) else h * (1 - alpha * 0.1) for k, h in enumerate(hours)]
-        return (n + 1, means, hours), got
+        hours = [h * (1 - alpha) + alpha if k == hour else h * (1 - alpha * 0.1) for k, h in enumerate(hours)]
+        return [n + 1, means, hours], got
 
     out = "msg_id long, n long, " + ", ".join(f"avg_{c} double" for c in STYLE) + ", hour_weight double"
-    return _fold(stream.withWatermark("ts", delay), ["sender"], out, "n long, means array<double>, hours array<double>", (0, [0.0] * len(STYLE), [0.0] * 24), step, ["ts", "msg_id"])
+    return _fold(stream.withWatermark("ts", delay), ["sender"], ["msg_id", "hour", *STYLE], out, [0, [0.0] * len(STYLE), [0.0] * 24], step, expiry_days)
 
 
 class BucketedTable:
     """A table by hash bucket of a key. A batch writes new versions of the buckets that it touches and then a manifest,
-    which says for every bucket which batch wrote it last; the manifest makes the batch count."""
+    which says for every bucket which batch wrote it last; the manifest, once complete, makes the batch count.
+
+    The KEEP newest manifests stay, with every version of a bucket that one of them names; a batch deletes what it leaves
+    behind. So a batch lists and reads as much however many came before it. A batch can be repeated, and a reader can go
+    on with a version, for KEEP batches.
+    """
+
+    KEEP = 8
 
     def __init__(self, path: str, key: str, schema: str | StructType, buckets: int = 64):
         self.path, self.key, self.schema, self.buckets = path, key, schema, buckets
@@ -127,16 +194,37 @@ class BucketedTable:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
+    def _files(self, spark: SparkSession):
+        """The table's file system, and a maker of its paths."""
+        make = spark._jvm.org.apache.hadoop.fs.Path
+        return make(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), make
+
+    def batches(self, spark: SparkSession) -> list[int]:
+        """Batches whose manifest is complete, oldest first."""
+        files, make = self._files(spark)
+        top = make(f"{self.path}/manifest")
+        if not files.exists(top):
+            return []
+        named = [x.getPath() for x in files.listStatus(top) if x.getPath().getName().startswith("batch=")]
+        return sorted(int(p.getName().removeprefix("batch=")) for p in named if files.exists(make(p, "_SUCCESS")))
+
+    def _manifest(self, spark: SparkSession, batch: int) -> dict[int, int]:
+        return {r["bucket"]: r["place"] for r in spark.read.schema("bucket int, place long").parquet(f"{self.path}/manifest/batch={batch}").collect()}
+
     def places(self, spark: SparkSession, before: int | None = None) -> dict[int, int]:
         """Bucket to batch, of the newest manifest (before a batch): ``buckets`` rows at most."""
-        try:
-            manifests = spark.read.schema("bucket int, place long, batch long").parquet(f"{self.path}/manifest")
-        except AnalysisException:  # nothing has been written
-            return {}
-        if before is not None:
-            manifests = manifests.where(F.col("batch") < before)
-        newest = manifests.agg(F.max("batch")).first()[0]
-        return {} if newest is None else {r["bucket"]: r["place"] for r in manifests.where(F.col("batch") == newest).collect()}
+        known = [b for b in self.batches(spark) if before is None or b < before]
+        return self._manifest(spark, known[-1]) if known else {}
+
+    def _expire(self, spark: SparkSession) -> None:
+        known = self.batches(spark)
+        files, make = self._files(spark)
+        for old, following in zip(known[: -self.KEEP], known[1:], strict=False):
+            held = self._manifest(spark, following)
+            for bucket, place in self._manifest(spark, old).items():
+                if held.get(bucket) != place:  # versions only move on, so no later manifest names it either
+                    files.delete(make(f"{self.path}/data/batch={place:010d}/bucket={bucket}"), True)
+            files.delete(make(f"{self.path}/manifest/batch={old}"), True)
 
     def _load(self, spark: SparkSession, places: dict[int, int]) -> DataFrame:
         if not places:
@@ -154,6 +242,7 @@ class BucketedTable:
         rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/batch={batch_id:010d}")
         now = places | dict.fromkeys(touched, batch_id)
         spark.createDataFrame(sorted(now.items()), "bucket int, place long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch_id}")
+        self._expire(spark)
 
 
 def save_batches(path: str, schema: str | StructType, version: str = "v", key: str = "id") -> Callable[[DataFrame, int], None]:
