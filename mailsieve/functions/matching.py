@@ -7,27 +7,90 @@ code stays small, where a chain of ``contains`` outgrows its limit of 64 KB and
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 
+#: Terms of a block, each of which is one pass over the texts of :func:`terms_in`.
+BLOCK_TERMS = 50_000
+#: Automata that a worker keeps between tasks, newest last.
+_kept: dict[str, object] = {}
+
+
+def _kept_machine(name: str, make):
+    """A worker builds or loads an automaton once, not for every task; it keeps the two that it used last."""
+    machine = _kept.pop(name, None) or make()
+    _kept[name] = machine
+    while len(_kept) > 2:
+        del _kept[next(iter(_kept))]
+    return machine
+
+
+def machine_of(terms: list[str]):
+    """An automaton that gives the numbers of the terms."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for k, t in enumerate(terms):
+        machine.add_word(t, k)
+    machine.make_automaton()
+    return machine
+
+
+def _blocks(terms: DataFrame) -> Iterator[list[str]]:
+    block: list[str] = []
+    for r in terms.where("term <> ''").select("term").distinct().toLocalIterator():
+        block.append(r["term"])
+        if len(block) == BLOCK_TERMS:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def terms_in(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """key, term: the terms (a table with a column term) that stand anywhere in a text, once each.
+
+    The automaton of a block of terms is built and serialised once, broadcast and kept by the workers; nothing is shuffled.
+    """
+    spark = df.sparkSession
+    schema = f"`{key}` {dict(df.dtypes)[key]}, term string"
+    out = spark.createDataFrame([], schema)
+    for block in _blocks(terms):
+        out = out.union(_pass(df.select(key, F.col(text).alias("__text")), schema, spark.sparkContext.broadcast(pickle.dumps((machine_of(block), block)))))
+    return out
+
+
+def _pass(rows: DataFrame, schema: str, sent) -> DataFrame:
+    name = uuid.uuid4().hex
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, terms = _kept_machine(name, lambda: pickle.loads(sent.value))
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text is not None:
+                    hits = sorted({k for _, k in machine.iter(text)})
+                    at += [i] * len(hits)
+                    found += [terms[k] for k in hits]
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(found, pa.string())], names=[batch.schema.names[0], "term"])
+
+    return rows.mapInArrow(find, schema)
+
 
 def term_hits(forms: list[Column], terms: list[str]) -> Column:
     """For every form of a text, the numbers of the ``terms`` that occur in it, ascending; null for a null form."""
-    distinct = list(dict.fromkeys(terms))
-    number = {t: k for k, t in enumerate(distinct)}
+    distinct, name = list(dict.fromkeys(terms)), uuid.uuid4().hex
 
     def find(given: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for t, k in number.items():
-            machine.add_word(t, k)
-        machine.make_automaton()
+        machine = _kept_machine(name, lambda: machine_of(distinct))
         for batch in given:
             columns = [batch] if isinstance(batch, pa.Array) else batch
             rows = []

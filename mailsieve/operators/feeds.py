@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.matching import Hits, term_hits
+from ..functions.matching import terms_in
+from .containing import containment
 
-#: Rows of a keyword catalog, at most.
-MOST_KEYWORDS = 10_000
 #: Pattern of a term.
 TERM = r"([a-z][a-z0-9-]{3,}|[ァ-ヶー]{3,})"
 
@@ -22,30 +19,19 @@ def recent(items: DataFrame, now_s: int, days: int) -> DataFrame:
     return newest.select("r.*", "url").select(*items.columns)
 
 
-def catalog(keywords: DataFrame, *columns: str, most: int = MOST_KEYWORDS) -> list[tuple]:
-    """The distinct rows of a keyword catalog, lower-cased; a catalog of more than ``most`` rows is refused."""
-    rows = keywords.select(*(F.lower(c) if c == "keyword" else F.col(c) for c in columns)).where("keyword <> ''").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the keyword catalog has more than {most} rows")
-    return sorted(tuple(r) for r in rows)
-
-
 def topic_matches(items: DataFrame, keywords: DataFrame) -> DataFrame:
-    """item key and topic, once each. ``keywords`` (topic, keyword) is a catalog of bounded size.
+    """url and topic, once each. ``keywords`` (topic, keyword) is a table of any size.
 
-    Short ASCII keywords must stand as whole words, all others may stand anywhere. All keywords are sought in one
-    pass over each text; an empty keyword matches nothing.
+    Short ASCII keywords must stand as whole words and are joined on the words of their length; all others may stand anywhere
+    and are sought by automata, a block of them in one pass over the texts. An empty keyword matches nothing.
     """
-    k = catalog(keywords, "topic", "keyword")
-    short = [w for w in dict.fromkeys(w for _, w in k) if re.fullmatch("[a-z0-9]{1,4}", w)]
-    long = [w for w in dict.fromkeys(w for _, w in k) if w not in short]
+    k = keywords.select("topic", F.lower("keyword").alias("term")).where("term <> ''").distinct()
+    short = F.rlike("term", F.lit("^[a-z0-9]{1,4}$"))
     rows = items.select("url", F.lower(F.concat_ws(" ", "title", "summary")).alias("text"))
-    none = F.array().cast("array<string>")
-    by_word = F.array_intersect(F.regexp_extract_all("text", F.lit("([a-z0-9]+)"), 1), F.lit(short)) if short else none
-    rows = rows.withColumn("__hits", term_hits([F.col("text")], long)) if long else rows
-    by_text = Hits("__hits", long, [0]).all_of(long) if long else none
-    topics = items.sparkSession.createDataFrame(k, "topic string, kw string") if k else items.sparkSession.createDataFrame([], "topic string, kw string")
-    return rows.select("url", F.explode(F.concat(by_word, by_text)).alias("kw")).join(F.broadcast(topics), "kw").select("url", "topic").distinct()
+    words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit("([a-z0-9]+)"), 1), lambda w: F.length(w) <= 4))
+    by_word = rows.select("url", F.explode(words).alias("term")).join(k.where(short), "term")
+    by_text = terms_in(rows, "url", "text", k.where(~short)).join(k.where(~short), "term")
+    return by_word.select("url", "topic").union(by_text.select("url", "topic")).distinct()
 
 
 def topic_ranking(topics: DataFrame, matches: DataFrame) -> DataFrame:
@@ -56,11 +42,12 @@ def topic_ranking(topics: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def emerging_terms(items: DataFrame, known: DataFrame, stop_words: list[str], least: int = 3, limit: int = 15) -> DataFrame:
-    """term, df: terms in ``least`` items or more that no known keyword holds. Known texts are a bounded catalog."""
+    """term, df: terms in ``least`` items or more that no known keyword (a table of any size) holds."""
     text = F.lower(F.concat_ws(" ", "title", "summary"))
     df = items.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), 1))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    held = [w for (w,) in catalog(known, "keyword")]
-    fresh = df.where(~F.col("term").isin(stop_words) & ~F.exists(F.lit(held), lambda w: F.contains(w, F.col("term"))) if held else ~F.col("term").isin(stop_words))
+    df = df.where(~F.col("term").isin(stop_words))
+    held = containment(df.select(F.col("term").alias("x")), known.select(F.lower("keyword").alias("x"))).select(F.col("short").alias("term")).distinct()
+    fresh = df.join(held, "term", "left_anti")
     return fresh.orderBy(F.desc("df"), "term").limit(limit)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.operators import containing as N
 from mailsieve.operators import dlp as D
+from mailsieve.operators import feeds as J
 from mailsieve.operators import history as H
 from mailsieve.operators import links as L
 
@@ -122,3 +123,20 @@ def test_only_candidates_of_a_data_match_are_shuffled(spark):
     passed = seen.where(D.maybe_in(words, F.col("t"), "salt"))
     assert registered.where(~D.maybe_in(words, F.col("t"), "salt")).count() == 0
     assert passed.count() <= 150 + 0.01 * seen.count()
+
+
+def test_a_keyword_table_of_200_000_terms(spark, monkeypatch):
+    monkeypatch.setattr("mailsieve.functions.matching.BLOCK_TERMS", 70_000)  # three blocks
+    keywords = spark.range(200_000).select(F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("topic"), F.concat(F.lit("Term-"), F.col("id").cast("string"), F.lit(";")).alias("keyword"))
+    keywords = keywords.union(spark.createDataFrame([("s", "ab1"), ("s", ""), ("s", None), ("u", "日本")], "topic string, keyword string"))
+    items = [("a", "x term-7; y", "term-199999;"), ("b", "ab1-c", None), ("c", "xab1", "xterm-8;"), ("d", "今日本", "TERM-14;"), ("e", None, None), ("f", "term-200000;", "")]
+    df = spark.createDataFrame(items, "url string, title string, summary string")
+    got = {(r.url, r.topic) for r in J.topic_matches(df, keywords).collect()}
+    assert got == {("a", "t0"), ("a", f"t{199_999 % 7}"), ("b", "s"), ("c", "t1"), ("d", "u"), ("d", "t0")}
+    assert J.topic_matches(df, keywords.limit(0)).count() == 0
+
+
+def test_emerging_terms_known_by_a_large_table(spark):
+    items = spark.createDataFrame([(f"u{i}", "alphaword betaword gammaword", "x") for i in range(3)], "url string, title string, summary string")
+    known = spark.range(50_000).select(F.concat(F.lit("k"), F.col("id").cast("string"), F.lit(" ALPHAWORDS")).alias("keyword"))
+    assert {r.term for r in J.emerging_terms(items, known, ["betaword"]).collect()} == {"gammaword"}
