@@ -23,7 +23,7 @@ BLOCK_TERMS = 50_000
 _kept: dict[str, object] = {}
 
 
-def _kept_machine(name: str, make):
+def kept_machine(name: str, make):
     """A worker builds or loads an automaton once, not for every task; it keeps the two that it used last."""
     machine = _kept.pop(name, None) or make()
     _kept[name] = machine
@@ -71,7 +71,7 @@ def _pass(rows: DataFrame, schema: str, sent) -> DataFrame:
     name = uuid.uuid4().hex
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, terms = _kept_machine(name, lambda: pickle.loads(sent.value))
+        machine, terms = kept_machine(name, lambda: pickle.loads(sent.value))
         for batch in batches:
             at, found = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -90,7 +90,7 @@ def term_hits(forms: list[Column], terms: list[str]) -> Column:
     distinct, name = list(dict.fromkeys(terms)), uuid.uuid4().hex
 
     def find(given: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        machine = _kept_machine(name, lambda: machine_of(distinct))
+        machine = kept_machine(name, lambda: machine_of(distinct))
         for batch in given:
             columns = [batch] if isinstance(batch, pa.Array) else batch
             rows = []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
 from ..functions import text as T
+from .rule_table import FALSE, RuleTable, rules_that_hold
 
 # Patterns of numbers and names.
 CARD = r"(4[0-9]{3}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|5[1-5][0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|35[0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|6(?:011|5[0-9]{2})[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|3[47][0-9]{2}[-\s]?[0-9]{6}[-\s]?[0-9]{5})"
@@ -119,9 +120,6 @@ RANK = {"allow": 0, "warn": 1, "block": 2}
 MAX_DEPTH = 64
 
 
-TEXT_KINDS = ("classifier", "regex", "keywords", "patterns")
-
-
 def _leaf(tree: dict, text: Column) -> Column:
     kind = tree["match"]
     if kind == "classifier":
@@ -146,30 +144,24 @@ def _leaf(tree: dict, text: Column) -> Column:
     raise ValueError(f"unknown predicate {kind}")
 
 
-def compile_condition(tree: dict, depth: int = 0, text: Column | None = None, leaf=None) -> Column:
+def compile_condition(tree: dict, depth: int = 0, text: Column | None = None) -> Column:
     """A condition tree as one boolean Column over subject, body, from_addr, to_addrs, size_bytes, mimes.
 
     Nodes: {"and": [...]}, {"or": [...]}, {"not": node}, {"match": kind, ...}. Kinds: classifier (name), regex
     (pattern), keywords (words, min), pattern_group (name), exact_data (set: rows have a boolean column matches_<set>,
     as :func:`with_data_matches` adds), sender (addresses), recipient_domain (domains), size (at_least), mime (types).
-    Empty lists and trees deeper than 64 are false. ``text`` replaces subject and body; ``leaf`` gives the columns of predicates that are at hand.
+    Empty lists and trees deeper than 64 are false. ``text`` replaces subject and body.
     """
     if depth > MAX_DEPTH:
         return F.lit(False)
-    inner = lambda x: compile_condition(x, depth + 1, text, leaf)
+    inner = lambda x: compile_condition(x, depth + 1, text)
     if "and" in tree:
         return reduce(lambda a, b: a & b, map(inner, tree["and"])) if tree["and"] else F.lit(False)
     if "or" in tree:
         return reduce(lambda a, b: a | b, map(inner, tree["or"])) if tree["or"] else F.lit(False)
     if "not" in tree:
         return ~inner(tree["not"])
-    return leaf(tree) if leaf else _leaf(tree, F.concat_ws("\n", F.col("subject"), F.col("body")) if text is None else text)
-
-
-def _leaves(tree: dict) -> list[dict]:
-    if "match" in tree:
-        return [tree]
-    return [x for part in (tree.get("and") or tree.get("or") or ([tree["not"]] if "not" in tree else [])) for x in _leaves(part)]
+    return _leaf(tree, F.concat_ws("\n", F.col("subject"), F.col("body")) if text is None else text)
 
 
 def resolved(tree: dict, groups: dict[str, list[str]], columns: list[str]) -> dict:
@@ -189,29 +181,75 @@ def with_data_matches(rows: DataFrame, tokens: DataFrame, set_: str, key: str, t
     return rows.join(hit, key, "left").withColumn(f"matches_{set_}", F.coalesce(f"matches_{set_}", F.lit(False)))
 
 
-def evaluate_rules(rows: DataFrame, rules: list[dict], direction: str, groups: dict[str, list[str]] | None = None) -> DataFrame:
-    """Findings (key columns, rule_id, action, priority, rank), one row a rule that holds on the text or on its percent-decoded form.
+def _predicate(leaf: dict) -> dict:
+    """A leaf in the form that a rule table keeps."""
+    kind = leaf["match"]
+    if kind == "keywords":
+        return {"match": kind, "words": [w for w in dict.fromkeys(w.lower() for w in leaf["words"][:500]) if w], "min": leaf.get("min", 1)}
+    if kind in ("regex", "patterns"):
+        return {"match": "patterns", "patterns": [leaf["pattern"]] if kind == "regex" else leaf["patterns"]}
+    if kind == "sender":
+        return {"match": kind, "values": [a.lower() for a in leaf["addresses"]]}
+    if kind in ("recipient_domain", "mime"):
+        return {"match": kind, "values": leaf["domains" if kind == "recipient_domain" else "types"]}
+    if kind not in ("classifier", "exact_data", "size"):
+        raise ValueError(f"unknown predicate {kind}")
+    return leaf
 
-    Every distinct predicate is computed once a row over the text, and once more over its decoded form where that
-    differs; rules are then conditions over booleans.
+
+def _condition(tree: dict, number, depth: int = 0) -> tuple:
+    """A tree as a rule table keeps it; ``number`` gives a leaf's number."""
+    if depth > MAX_DEPTH:
+        return FALSE
+    for kind in ("and", "or"):
+        if kind in tree:
+            return (kind, [_condition(x, number, depth + 1) for x in tree[kind]]) if tree[kind] else FALSE
+    return ("not", _condition(tree["not"], number, depth + 1)) if "not" in tree else ("leaf", number(tree))
+
+
+def evaluate_rules(rows: DataFrame, rules: list[dict] | DataFrame, direction: str, groups: dict[str, list[str]] | None = None) -> DataFrame:
+    """Findings (the columns of ``rows``, rule_id, action, priority, rank), one row a rule that holds on the text or on its
+    percent-decoded form.
+
+    ``rules``: dictionaries, or a table (id, direction, enabled, priority, action, condition as JSON) of thousands; nulls of
+    enabled and direction stand for true and both. Words that are empty match nothing.
     """
-    columns = rows.columns
-    live = sorted((r for r in rules if r.get("enabled", True) and r.get("direction", "both") in (direction, "both")), key=lambda r: (r["priority"], r["id"]))
+    spark, columns = rows.sparkSession, rows.columns
+    given = [{k: v for k, v in r.asDict().items() if v is not None} for r in rules.collect()] if isinstance(rules, DataFrame) else rules
+    live = sorted((r for r in given if r.get("enabled", True) and r.get("direction", "both") in (direction, "both")), key=lambda r: (r["priority"], r["id"]))
     trees = [resolved(json.loads(r["condition"]) if isinstance(r["condition"], str) else r["condition"], groups or {}, columns) for r in live]
-    key = lambda leaf: json.dumps(leaf, sort_keys=True)
-    leaves = {key(x): x for tree in trees for x in _leaves(tree)}
+    leaves: list[dict] = []
+    numbers: dict[str, int] = {}
+
+    def number(leaf: dict) -> int:
+        made = _predicate(leaf)
+        key = json.dumps(made, sort_keys=True)
+        if key not in numbers:
+            numbers[key] = len(leaves)
+            leaves.append(made)
+        return numbers[key]
+
+    conditions = [_condition(t, number) for t in trees]
+    kinds = {x["match"] for x in leaves}
+    table = RuleTable(leaves, conditions, [i for i, x in enumerate(leaves) if x["match"] in ("classifier", "exact_data")])
     rows = rows.withColumn("__raw", F.concat_ws("\n", F.col("subject"), F.col("body")))
     rows = rows.withColumn("__dec", F.when(F.contains("__raw", F.lit("%")), T.percent_decode(F.col("__raw")))).withColumn("__dec", F.nullif("__dec", "__raw"))
-    raw = {k: (f"__p{i}", _leaf(x, F.col("__raw"))) for i, (k, x) in enumerate(leaves.items())}
-    decoded = {k: (f"__q{i}", F.when(F.col("__dec").isNotNull(), _leaf(x, F.col("__dec")))) for i, (k, x) in enumerate(leaves.items()) if x["match"] in TEXT_KINDS}
-    rows = rows.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in (raw | {f"q{k}": v for k, v in decoded.items()}).values()})
-    on_raw = lambda x: F.col(raw[key(x)][0])
-    on_decoded = lambda x: F.col((decoded if key(x) in decoded else raw)[key(x)][0])
-    holds = lambda tree: compile_condition(tree, leaf=on_raw) | (F.col("__dec").isNotNull() & compile_condition(tree, leaf=on_decoded))
-    found = [
-        F.when(holds(tree), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["action"]).alias("action"), F.lit(r["priority"]).alias("priority"), F.lit(RANK[r["action"]]).alias("rank"))) for r, tree in zip(live, trees, strict=True)
-    ]
-    return rows.select("*", F.explode(F.array_compact(F.array(*found))).alias("f")).select(*columns, "f.*")
+
+    def flags(text: str) -> Column:
+        made = [F.coalesce(_leaf(leaves[i], F.col(text)), F.lit(False)) for i in table.flags]
+        return F.array(*made) if made else F.array().cast("array<boolean>")
+
+    nothing = F.lit(None).cast("string")
+    read = kinds & {"keywords", "patterns"}  # else no text goes to the workers
+    plain = {"sender": F.lower("from_addr")} if "sender" in kinds else {}
+    plain |= {"recipient_domain": F.transform("to_addrs", T.address_domain)} if "recipient_domain" in kinds else {}
+    plain |= {"size": F.col("size_bytes").cast("long")} if "size" in kinds else {}
+    plain |= {"mime": F.col("mimes")} if "mime" in kinds else {}
+    both = F.struct(flags("__raw").alias("raw"), F.when(F.col("__dec").isNotNull(), flags("__dec")).alias("dec"))
+    rows = rows.select("*", F.explode(F.array(both)).alias("__flags"))  # one row each: a generator keeps flags apart from what follows
+    held = rules_that_hold(spark, table, F.col("__raw") if read else nothing, F.col("__dec") if read else nothing, F.col("__flags.raw"), F.col("__flags.dec"), plain)
+    named = spark.createDataFrame([(k, r["id"], r["action"], r["priority"], RANK[r["action"]]) for k, r in enumerate(live)], "__rule int, rule_id string, action string, priority int, rank int")
+    return rows.withColumn("__held", held).select(*columns, F.explode("__held").alias("__rule")).join(named, "__rule").select(*columns, "rule_id", "action", "priority", "rank")
 
 
 def verdicts(findings: DataFrame, key: str) -> DataFrame:

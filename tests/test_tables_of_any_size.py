@@ -1,10 +1,12 @@
 """Contacts, block lists and registered tokens as tables: joins against brute force, and how many rows they make."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from mailsieve.functions import text as T
 from mailsieve.operators import containing as N
 from mailsieve.operators import dlp as D
 from mailsieve.operators import feeds as J
@@ -140,3 +142,41 @@ def test_emerging_terms_known_by_a_large_table(spark):
     items = spark.createDataFrame([(f"u{i}", "alphaword betaword gammaword", "x") for i in range(3)], "url string, title string, summary string")
     known = spark.range(50_000).select(F.concat(F.lit("k"), F.col("id").cast("string"), F.lit(" ALPHAWORDS")).alias("keyword"))
     assert {r.term for r in J.emerging_terms(items, known, ["betaword"]).collect()} == {"gammaword"}
+
+
+def test_five_thousand_stored_rules(spark):
+    """Against the same conditions compiled to expressions, a few at a time."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+
+    def leaf():
+        return rng.choice([
+            {"match": "keywords", "words": [word().upper(), word(), "plain"], "min": rng.randint(1, 2)}, {"match": "regex", "pattern": rf"\b{word()}\b"}, {"match": "size", "at_least": rng.randrange(100)},
+            {"match": "sender", "addresses": [f"U{rng.randrange(30)}@x.example"]}, {"match": "recipient_domain", "domains": [f"d{rng.randrange(20)}.example"]}, {"match": "mime", "types": [rng.choice(["text/plain", "image/png"])]}, {"match": "classifier", "name": "us_ssn"},
+        ])
+
+    def tree(depth=0):
+        kind = rng.random()
+        if depth == 3 or kind < 0.4:
+            return leaf()
+        return {"not": tree(depth + 1)} if kind < 0.5 else {rng.choice(["and", "or"]): [tree(depth + 1) for _ in range(rng.randint(0, 3))]}
+
+    made = [(f"r{i}", rng.choice(["outbound", "inbound", "both", None]), rng.choice([True, None, False]), rng.randrange(50), rng.choice(["warn", "block"]), tree()) for i in range(5000)]
+    rows = [(i, "s", " ".join(["plain%20text" if i % 5 == 0 else "plain"] + [word() for _ in range(40)] + (["123-45-6789"] if i % 3 == 0 else [])), f"u{i % 30}@X.example", [f"a@d{i % 20}.example"] if i % 4 else [], i, ["text/plain"] if i % 2 else []) for i in range(60)]
+    df = spark.createDataFrame(rows, "msg_id long, subject string, body string, from_addr string, to_addrs array<string>, size_bytes long, mimes array<string>")
+    stored = spark.createDataFrame([(*r[:5], json.dumps(r[5])) for r in made], "id string, direction string, enabled boolean, priority int, action string, condition string")
+    found = D.evaluate_rules(df, stored, "outbound")
+    got = {(r.msg_id, r.rule_id) for r in found.collect()}
+    assert {(r.action, r["rank"]) for r in found.select("action", "rank").distinct().collect()} == {("warn", 1), ("block", 2)}
+    live = {r[0]: r[5] for r in made if r[1] != "inbound" and r[2] is not False}
+    assert {i for _, i in got} <= live.keys()
+    some = rng.sample(sorted(live), 60)
+    raw = F.concat_ws("\n", "subject", "body")
+    both = df.withColumns({"a": raw, "b": T.percent_decode(raw)})
+    true = lambda i: F.coalesce(D.compile_condition(live[i], text=F.col("a")), F.lit(False)) | F.coalesce(D.compile_condition(live[i], text=F.col("b")), F.lit(False))
+    want = set()
+    for k in range(0, 60, 15):
+        for r in both.select("msg_id", *(true(i).alias(i) for i in some[k : k + 15])).collect():
+            want |= {(r.msg_id, i) for i in some[k : k + 15] if r[i]}
+    assert len(want) > 100
+    assert {x for x in got if x[1] in some} == want
