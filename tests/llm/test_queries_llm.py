@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -47,6 +48,16 @@ def test_contract(spark, name):
         assert sum(r.predicted == label[r.doc_id] for r in held) >= 0.9 * len(held)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    out, want = queries.QUERIES[name](spark, DIR), con.execute(queries.ORACLES[name])
+    assert out.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_pipeline_run_keeps_odd_rows_and_columns(spark, tmp_path):
     words = [f"w{i}" for i in range(400)]
     text = lambda a, n=60: " ".join(words[(a * 37 + 7 * i * i) % 400] for i in range(n))
