@@ -1,4 +1,5 @@
-"""Buckets of many texts that are alike but not alike enough are split, and pairs that are alike enough stay linked."""
+"""Buckets of many texts that are alike but not alike enough are cut into cells, and pairs that are alike enough stay
+linked."""
 
 import random
 
@@ -10,8 +11,8 @@ def shingle_set(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def test_pairs_survive_the_splitting(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "LARGE", 6)
+def test_pairs_survive_the_cutting(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "HALF", 6)
     rng = random.Random(8)
     base = [f"b{i}" for i in range(300)]
     texts = []
