@@ -10,6 +10,9 @@ from ..functions import text as T
 
 # --- Fixed values -----------------------------------------------------------------------------------------
 CAPTCHA = ["verify you are human", "i am not a robot", "click the box", "captcha", "ロボットではありません", "人間であることを確認"]
+MADE_LINK = ['createelement("a")', "createelement('a')", "createelement(`a`)"]
+BLOB_URIS = ["url.createobjecturl", "blob:"]
+DECODERS = ["atob(", "frombase64", "textdecoder", "uint8array.from"]
 SHELLS = ["mshta", "powershell", "cmd.exe", "wscript", "cscript"]
 OBFUSCATION = ["unescape(", "decodeuricomponent(", "string.fromcharcode(", "charcodeat(", r"\x", r"\u00"]
 EXECUTABLES = ["data:application/x-msdownload", "data:application/octet-stream", "data:application/x-executable", "data:application/bat"]
@@ -28,6 +31,8 @@ TRACKERS = [
 ]
 TRACKING_PATTERNS = ["/track/", "/pixel/", "/open/", "/click/", "/beacon/", "track=", "pixel=", "open=", "utm_", "trk=", "/t/", ".gif?", "tracking", "analytics"]
 SVG_HANDLERS = ["onload", "onerror", "onclick", "onmouseover", "onfocus", "onanimationstart", "onbegin", "onend", "onrepeat", "onactivate"]
+SVG_ENCODED = ["base64,", "atob(", "fromcharcode"]
+SVG_ENTITIES = ["<!doctype", "<!entity"]
 SVG_SCHEMES = ["javascript:", "vbscript:", "data:text/html"]
 HIDDEN = [
     "display=\"none\"", "display='none'", "display: none", "display:none", "visibility=\"hidden\"", "visibility='hidden'", "visibility: hidden",
@@ -40,12 +45,12 @@ def smuggling(df: DataFrame, html: str = "html") -> DataFrame:
     """Adds one flag a signal, n_signals and risk: clean, caution, high or critical."""
     df = df.withColumn("__low", F.lower(F.col(html)))
     low = F.col("__low")
-    made_link = T.any_of(low, ['createelement("a")', "createelement('a')", "createelement(`a`)"])
+    made_link = T.any_of(low, MADE_LINK)
     comments = F.regexp_extract_all(html, F.lit(r"(?s)(<!--.*?(?:-->|$))"), 1)
     size = F.octet_length(html)
     flags = {
-        "blob_uri": T.any_of(low, ["url.createobjecturl", "blob:"]),
-        "base64_eval": T.any_of(low, ["atob(", "frombase64", "textdecoder", "uint8array.from"]),
+        "blob_uri": T.any_of(low, BLOB_URIS),
+        "base64_eval": T.any_of(low, DECODERS),
         "auto_download": made_link & F.contains(F.regexp_replace(low, r"\s", ""), F.lit(".click()")),
         "fake_captcha": T.any_of(low, CAPTCHA),
         "shell": T.any_of(low, SHELLS),
@@ -99,8 +104,8 @@ def svg(df: DataFrame, content: str = "content") -> DataFrame:
             "scheme": T.any_of(low, SVG_SCHEMES),
             "foreign_object": F.contains(low, F.lit("<foreignobject")),
             "external": F.rlike(low, F.lit(r"""href=["']http""")),
-            "encoded": T.any_of(low, ["base64,", "atob(", "fromcharcode"]),
-            "entity": T.any_of(low, ["<!doctype", "<!entity"]),
+            "encoded": T.any_of(low, SVG_ENCODED),
+            "entity": T.any_of(low, SVG_ENTITIES),
             "hidden": T.any_of(low, HIDDEN),
             "injection": T.any_of([F.col("__n"), F.col("__s")], [p.lower() for p in lx.OVERRIDE_PHRASES]) | T.any_of(F.col("__n"), [t.lower() for t in lx.SPECIAL_TOKENS]),
         }

@@ -103,8 +103,8 @@ def campaign_alerts(path: str) -> Callable[[DataFrame, int], DataFrame]:
 
     A group's count and last time are its state, kept as a table by hash bucket. A message that fails authentication
     joins the group of its subject length, and its domain's group too while the first holds fewer than three; all
-    others join their domain's group. A group that is idle for 30 days begins anew. A repeated batch id writes the
-    same again. Returns the alerts: msg_id, group_key, n, threat_score, newly_alertable.
+    others join their domain's group. A group that is idle for 30 days begins anew, and leaves the table after 60 when its bucket is
+    next written. A repeated batch id writes the same again. Returns the alerts: msg_id, group_key, n, threat_score, newly_alertable.
     """
     state = BucketedTable(f"{path}/groups", "group_key", "group_key string, n long, last long")
 
@@ -129,7 +129,10 @@ def campaign_alerts(path: str) -> Callable[[DataFrame, int], DataFrame]:
         out = f"{path}/alerts/batch={batch_id:010d}"
         every.select("msg_id", "group_key", "ts_s", "n", score.alias("threat_score"), (F.col("n") == 3).alias("newly_alertable")).write.mode("overwrite").parquet(out)
         made = spark.read.parquet(out)
-        state.write(made.groupBy("group_key").agg(F.max_by("n", F.struct("ts_s", "msg_id")).alias("n"), F.max("ts_s").alias("last")), batch_id, lambda old, new: old.join(new, "group_key", "left_anti").unionByName(new))
+        newest = made.agg(F.max("ts_s")).first()[0]
+        kept = F.lit(True) if newest is None else F.col("last") >= newest - 2 * IDLE_SECONDS  # a group idle for longer begins anew anyway
+        groups = made.groupBy("group_key").agg(F.max_by("n", F.struct("ts_s", "msg_id")).alias("n"), F.max("ts_s").alias("last"))
+        state.write(groups, batch_id, lambda old, new: old.where(kept).join(new, "group_key", "left_anti").unionByName(new))
         return made.drop("ts_s")
 
     return save
