@@ -245,8 +245,9 @@ def evaluate_rules(rows: DataFrame, rules: list[dict] | DataFrame, direction: st
     plain |= {"recipient_domain": F.transform("to_addrs", T.address_domain)} if "recipient_domain" in kinds else {}
     plain |= {"size": F.col("size_bytes").cast("long")} if "size" in kinds else {}
     plain |= {"mime": F.col("mimes")} if "mime" in kinds else {}
-    both = F.struct(flags("__raw").alias("raw"), F.when(F.col("__dec").isNotNull(), flags("__dec")).alias("dec"))
-    rows = rows.select("*", F.explode(F.array(both)).alias("__flags"))  # one row each: a generator keeps flags apart from what follows
+    rows = rows.withColumns({"__raw_flags": flags("__raw"), "__dec_flags": F.when(F.col("__dec").isNotNull(), flags("__dec"))})
+    # one row each: a generator keeps the flags, which a projection has made, apart from what follows
+    rows = rows.select("*", F.explode(F.array(F.struct(F.col("__raw_flags").alias("raw"), F.col("__dec_flags").alias("dec")))).alias("__flags"))
     held = rules_that_hold(spark, table, F.col("__raw") if read else nothing, F.col("__dec") if read else nothing, F.col("__flags.raw"), F.col("__flags.dec"), plain)
     named = spark.createDataFrame([(k, r["id"], r["action"], r["priority"], RANK[r["action"]]) for k, r in enumerate(live)], "__rule int, rule_id string, action string, priority int, rank int")
     return rows.withColumn("__held", held).select(*columns, F.explode("__held").alias("__rule")).join(named, "__rule").select(*columns, "rule_id", "action", "priority", "rank")
