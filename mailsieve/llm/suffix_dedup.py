@@ -337,7 +337,8 @@ def _repeated(rows: DataFrame, kinds: DataFrame) -> DataFrame:
     name = F.concat_ws(":", "ha", "hi")
     least, hot = _hot(kinds, "n", name, F.lit(True))
     cold, here = kinds.where((F.col("n") > 1) & (F.col("n") <= least)).select("ha", "hi"), _among(name, hot)
-    return rows.where(here).unionAll(rows.where(~here).join(cold, ["ha", "hi"], "left_semi"))
+    # the join puts its keys first
+    return rows.where(here).unionByName(rows.where(~here).join(cold, ["ha", "hi"], "left_semi"))
 
 
 def spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", split: int = SPLIT) -> DataFrame:

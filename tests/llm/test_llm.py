@@ -326,6 +326,21 @@ def test_suffix_dedup_equals_brute_force(spark, split):
     assert [got[i] for i in range(len(texts))] == brute_spans(texts)
 
 
+@pytest.mark.parametrize("hot", [1, 40, suffix_dedup.HOT])
+def test_suffix_dedup_repeats_that_are_not_hot(spark, monkeypatch, hot):
+    """Repeated contexts beside unlike ones of their anchor are found whether their rows stay in place or are joined."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randint(300, 900))) for _ in range(60)]
+    texts = []
+    for _ in range(400):
+        cuts = [(b, rng.randint(0, len(b) // 2), rng.randint(len(b) // 2, len(b))) for b in rng.sample(base, 3)]
+        texts.append("".join(b[x:y] for b, x, y in cuts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_spans(texts)
+
+
 def test_suffix_sort_orders_by_bytes():
     rng = np.random.default_rng(0)
     raw = rng.integers(97, 99, 3000).astype(np.uint8)
