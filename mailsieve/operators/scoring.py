@@ -171,7 +171,7 @@ def message_facts(m: DataFrame, ours: str) -> DataFrame:
     """What one message says by itself, a narrow row a message: its text is read here, once, and goes no further.
 
     ``m``: msg_id, thread_id, sender, ts, from_addr, reply_to, return_path, subject, body, message_id, in_reply_to, spf, dkim,
-    dmarc, arc, dkim_header and, if there are any, dkim_crypto and model_probability.
+    dmarc, arc, dkim_header and, if there are any, language, dkim_crypto and model_probability.
     """
     for c, kind in (("dkim_crypto", "string"), ("model_probability", "double")):
         m = m if c in m.columns else m.withColumn(c, F.lit(None).cast(kind))
@@ -184,7 +184,7 @@ def message_facts(m: DataFrame, ours: str) -> DataFrame:
     domain = T.address_domain(F.col("from_addr"))
     persuasion = F.greatest(*(reduce(lambda a, b: a + b, [hits[f].any_of(terms).cast("int") for terms in lx.PERSUASION.values()]) for f in ("b1", "b2")))
     facts = {
-        "domain": domain, "name": H.folded_name(F.col("from_addr")), "language": C.language(body), "is_reply": F.rlike(F.lower(subject), F.lit("^re[:：]")), "fails": f_n[0], "nones": f_n[1],
+        "domain": domain, "name": H.folded_name(F.col("from_addr")), "language": H.language_of(m), "is_reply": F.rlike(F.lower(subject), F.lit("^re[:：]")), "fails": f_n[0], "nones": f_n[1],
         "lookalike": L.lookalike(domain, ours).isNotNull(), "idn": L.idn_risk(domain), "return_mismatch": F.coalesce(T.address_domain(F.col("return_path")) != domain, F.lit(False)), "mismatch": H.reply_mismatch(F.col("reply_to"), domain),
         "money_urgency": plain.any_of(lx.URGENCY) & plain.any_of(lx.MONEY), "route_change": plain.any_of(lx.ROUTE_CHANGE), "channel_move": plain.any_of(lx.CHANNEL_MIGRATION), "persuasion": persuasion,
         "blocked": F.size(C.screen_risks(body, hits)) > 0, "pivot": C.leads_to(body, RISKY_HOSTS, hits["raw"].any_of(RISKY_HOSTS)) | C.has_wallet(body) | C.pressed_phone(body),
@@ -200,14 +200,15 @@ def _pairs(a: Column, b: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda n, x: n + F.size(F.filter(b, lambda y: y == x)))
 
 
-def with_context(facts: DataFrame, m: DataFrame, known: DataFrame, contacts: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
+def with_context(facts: DataFrame, m: DataFrame, known: DataFrame, contacts: DataFrame | None = None, profiles: DataFrame | None = None, archive: DataFrame | None = None) -> DataFrame:
     """Adds what other messages say of one: running scans of narrow rows, by sender, by thread and by signature.
 
     ``m`` gives all message ids and sender names, ``known`` the contacts by name (name, domain), ``contacts`` the domains of
-    contacts (domain) and ``profiles`` what is set by hand (sender, verified, reported).
+    contacts (domain), ``profiles`` what is set by hand (sender, verified, reported) and ``archive`` the ids (message_id) that the
+    mailbox holds beside ``m``.
     """
     # totals need few facts: they are taken anew, and the plan of all facts stands once in that of the whole
-    few = m.select("msg_id", "thread_id", "sender", "ts", "subject", T.address_domain(F.col("from_addr")).alias("domain"), C.language(F.col("body")).alias("language"), H.accounts(F.col("body")).alias("now"), *(c.alias(k) for k, c in H.signature_tags(F.col("dkim_header")).items()))
+    few = m.select("msg_id", "thread_id", "sender", "ts", "subject", T.address_domain(F.col("from_addr")).alias("domain"), H.language_of(m).alias("language"), H.accounts(F.col("body")).alias("now"), *(c.alias(k) for k, c in H.signature_tags(F.col("dkim_header")).items()))
     threads = H.thread_scans("language", H.with_new_accounts(few, few), {H.PAST[0]: F.col(H.PAST[1])})
     x = with_running(H.with_new_accounts(facts, few), "ts", "msg_id", H.topic_scan("sender", "subject", few), *threads, H.replay_scan(few))
     a, b = H.tokens(F.col("subject")), H.tokens(F.col("typical"))
@@ -215,8 +216,7 @@ def with_context(facts: DataFrame, m: DataFrame, known: DataFrame, contacts: Dat
     similar = _pairs(F.col("__a"), F.col("__b")) / F.sqrt((_pairs(F.col("__a"), F.col("__a")) * _pairs(F.col("__b"), F.col("__b"))).cast("double"))
     drift = F.when((F.size("__a") > 0) & (F.size("__b") > 0), similar < 0.15)
     x = x.withColumns({"is_first": F.col("n") == 0, "drift": F.coalesce(drift, F.lit(False))}).drop("__a", "__b", "n", "typical")
-    ids = m.select(F.lower("message_id").alias("__known")).where("__known IS NOT NULL").distinct()
-    x = x.join(ids, F.lower(F.trim("in_reply_to")) == F.col("__known"), "left")
+    x = x.join(H.known_ids(m, archive), F.lower(F.trim("in_reply_to")) == F.col("__known"), "left")
     names = m.select(H.folded_name(F.col("from_addr")).alias("__name"), T.address_domain(F.col("from_addr")).alias("__domain"))
     hit = H.impersonators(names, known).withColumn("impersonation", F.lit(True))
     x = x.join(hit, (F.col("name") == F.col("__name")) & (F.col("domain") == F.col("__domain")), "left").drop("__name", "__domain").withColumn("impersonation", F.coalesce("impersonation", F.lit(False)))

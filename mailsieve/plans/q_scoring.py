@@ -82,7 +82,7 @@ def assessed(spark, sf_dir, supplied=False):
     if supplied:
         m = m.withColumns({"dkim_crypto": _crypto(), "model_probability": F.col("msg_id") % 10 / 10})
     known = spark.createDataFrame(QH.CONTACTS, "name string, domain string")
-    return S.assessed(S.with_context(S.message_facts(m, "company.example"), m, known, contacts(spark), _profiles(spark, sf_dir) if supplied else None))
+    return S.assessed(S.with_context(S.message_facts(m, "company.example"), m, known, contacts(spark), _profiles(spark, sf_dir) if supplied else None, QH.archive(m)))
 
 
 @query(f"WITH {O.M} {AUTH}")
@@ -105,7 +105,7 @@ def h3_history_signals(spark, sf_dir):
     flags = first.unionByName(drift).withColumns({"verified": F.lit(False), "reported": F.lit(False)})
     known = m.join(first.select("msg_id"), "msg_id", "left_anti").join(_profiles(spark, sf_dir), "sender")
     flags = flags.unionByName(known.select("msg_id", *(F.lit(False).alias(c) for c in ("is_first", "subject_high_risk", "drift")), "verified", "reported"))
-    return S.history_signals(flags).unionByName(S.thread_signals(H.thread_hijack(m.withColumn("domain", T.address_domain(F.col("from_addr"))))))
+    return S.history_signals(flags).unionByName(S.thread_signals(H.thread_hijack(m.withColumn("domain", T.address_domain(F.col("from_addr"))), QH.archive(m))))
 
 
 @query(f"WITH {O.normed()} {CONTENT}")

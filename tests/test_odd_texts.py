@@ -67,3 +67,8 @@ def test_parents_of_the_archive_are_known(spark):
     m = spark.createDataFrame([(1, 1, 1, "m1", None, "s", "b", "d"), (1, 2, 2, "m2", "m0", "s", "b", "d")], "thread_id int, ts int, msg_id int, message_id string, in_reply_to string, subject string, body string, domain string")
     unknown = lambda *a: [r.unknown_parent for r in thread_hijack(m, *a).orderBy("msg_id").collect()]
     assert unknown() == [False, True] and unknown(spark.createDataFrame([("M0",)], "message_id string")) == [False, False]
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_history_signals(spark, tmp_path, case):
+    assert different(spark, tmp_path, CASES[case], "h3_history_signals") == []
