@@ -106,11 +106,13 @@ def term_hits(forms: list[Column], terms: list[str]) -> Column:
 
 
 class Hits:
-    """Questions about the result of :func:`term_hits` in column ``name``; ``forms`` are the places of the forms asked."""
+    """Questions about the result of :func:`term_hits` in column ``name``; ``forms`` are the places of the forms asked, or pairs
+    of places: where the first form is null, the second stands for it."""
 
-    def __init__(self, name: str, terms: list[str], forms: list[int]):
+    def __init__(self, name: str, terms: list[str], forms: list[int | tuple[int, int]]):
         self.number = {t: k for k, t in enumerate(dict.fromkeys(terms))}
-        parts = [F.coalesce(F.get(F.col(name), F.lit(f)), F.array().cast("array<int>")) for f in forms]
+        places = [f if isinstance(f, tuple) else (f,) for f in forms]
+        parts = [F.coalesce(*(F.get(F.col(name), F.lit(f)) for f in p), F.array().cast("array<int>")) for p in places]
         self.found = parts[0] if len(parts) == 1 else F.array_union(*parts) if len(parts) == 2 else F.array_distinct(F.flatten(F.array(*parts)))
 
     def _numbers(self, terms: list[str]) -> Column:

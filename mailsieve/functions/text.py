@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from . import lexicons as lx
 
 #: What any folding below can change: soft hyphens, and all from Greek upwards but common punctuation.
 FOLDABLE = r"[\x{AD}\x{370}-\x{200F}\x{202A}-\x{10FFFF}]"
-SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: White space beside the blank: of ASCII, and wider.
+BLANKS = "\t\n\x0b\f\r", "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def _plain(c: Column) -> Column:
+def plain(c: Column) -> Column:
     """Whether no folding can change a text: cheap tests that spare most texts the dear ones."""
     return (F.octet_length(c) == F.char_length(c)) | ~F.rlike(c, F.lit(FOLDABLE))
 
@@ -25,13 +28,22 @@ def _fold(c: Column, lookalikes: bool) -> Column:
 def normalise(c: Column, screener: bool = False) -> Column:
     """Format characters deleted, full width folded, lower case; the screener's form also folds look-alikes."""
     gone = F.regexp_replace(c, f"[{lx.ZERO_WIDTH}{lx.TAGS if screener else ''}]", "")
-    return F.lower(F.when(_plain(c), c).otherwise(_fold(gone, screener)))
+    return F.lower(F.when(plain(c), c).otherwise(_fold(gone, screener)))
 
 
 def normalise_spaced(c: Column, screener: bool = False) -> Column:
     """The same with format characters as spaces, and white space collapsed."""
     spaced = _fold(F.regexp_replace(c, f"[{lx.ZERO_WIDTH}{lx.TAGS if screener else ''}]", " "), screener)
-    return F.lower(F.trim(F.regexp_replace(F.when(_plain(c), c).otherwise(spaced), SPACES, " ")))
+    return F.lower(F.trim(collapsed(F.when(plain(c), c).otherwise(spaced))))
+
+
+def collapsed(c: Column) -> Column:
+    """Runs of white space as one blank each. Plain replacements: a pattern that tests every character takes many times as long."""
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    blank = lambda x, chars: reduce(lambda a, w: F.replace(a, F.lit(w), F.lit(" ")), chars, x)
+    wide = lambda x: F.when(F.octet_length(x) > F.char_length(x), blank(x, BLANKS[1])).otherwise(x)
+    closed = lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x)
+    return bound(bound(c, lambda x: blank(wide(x), BLANKS[0])), closed)
 
 
 def both_forms(c: Column, screener: bool = False) -> list[Column]:
@@ -74,7 +86,7 @@ def hits_of(forms: Column | list[Column], terms: list[str]) -> Column:
 
 
 def fold_digits(c: Column) -> Column:
-    return F.when(F.rlike(c, F.lit(r"[\x{FF10}-\x{FF19}]")), F.translate(c, "".join(chr(0xFF10 + d) for d in range(10)), "0123456789")).otherwise(c)
+    return F.when((F.octet_length(c) > F.char_length(c)) & F.rlike(c, F.lit(r"[\x{FF10}-\x{FF19}]")), F.translate(c, "".join(chr(0xFF10 + d) for d in range(10)), "0123456789")).otherwise(c)
 
 
 def url_host(c: Column) -> Column:
@@ -130,7 +142,7 @@ def within_edits(a: Column, b: Column, k: int) -> Column:
 
 def decode_base64_tokens(c: Column) -> Column:
     """UTF-8 texts of the base64 tokens of 20 characters or more."""
-    tokens = F.filter(F.split(c, r"[^A-Za-z0-9+/=]+"), lambda t: F.length(t) >= 20)
+    tokens = F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9+/=]{20,}+)"), 1)
     bare = F.transform(tokens, lambda t: F.rtrim(t, F.lit("=")))
     whole = F.transform(bare, lambda t: F.try_to_binary(F.rpad(F.when(F.length(t) % 4 == 1, F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t), F.when(F.length(t) % 4 == 1, F.length(t) - 1).otherwise((F.ceil(F.length(t) / 4) * 4).cast("int")), F.lit("=")), F.lit("base64")))
     return F.transform(F.filter(whole, lambda b: b.isNotNull() & F.is_valid_utf8(F.decode(b, "ISO-8859-1").cast("string")) & F.is_valid_utf8(b.cast("string"))), lambda b: F.decode(b, "UTF-8"))

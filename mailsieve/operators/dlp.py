@@ -58,7 +58,7 @@ def corporate_number(c: Column) -> Column:
 
 
 def payment_card(c: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(T.fold_digits(c), F.lit(CARD), 1), lambda m: F.regexp_replace(m, "[^0-9]", ""))
+    found = F.transform(F.regexp_extract_all(T.fold_digits(c), F.lit("(?=[3-6][0-9])" + CARD), 1), lambda m: F.regexp_replace(m, "[^0-9]", ""))
     return F.exists(found, lambda m: F.length(m).between(15, 16) & F.call_function("luhn_check", m))
 
 
@@ -92,7 +92,7 @@ def ip_address(c: Column) -> Column:
 def confidential(c: Column) -> Column:
     low = F.lower(c)
     latin = [m for m in lx.CONFIDENTIAL if m.isascii()]
-    closed = F.when(F.rlike(low, F.lit("(?:^|[^a-z])[a-z] [a-z](?:[^A-Za-z]|$)")), T.collapse_letters(low))  # few texts have letters spaced
+    closed = F.when(F.rlike(low, F.lit(" (?<=(?<![a-z])[a-z] )[a-z](?![A-Za-z])")), T.collapse_letters(low))  # few texts have letters spaced
     return T.any_of(low, lx.CONFIDENTIAL) | F.coalesce(T.any_of(closed, latin), F.lit(False))
 
 

@@ -176,8 +176,11 @@ def message_facts(m: DataFrame, ours: str) -> DataFrame:
     for c, kind in (("dkim_crypto", "string"), ("model_probability", "double")):
         m = m if c in m.columns else m.withColumn(c, F.lit(None).cast(kind))
     body, subject = F.col("body"), F.col("subject")
-    forms = C.screened_forms(body) | dict(zip(("b1", "b2"), T.both_forms(body), strict=True)) | {"low": F.lower(body), "raw": body}
+    # of a plain text, which no folding can change, the screener's forms stand for the others
+    folded = {k: F.when(~T.plain(body), c) for k, c in {**dict(zip(("b1", "b2"), T.both_forms(body), strict=True)), "low": F.lower(body)}.items()}
+    forms = C.screened_forms(body) | folded | {"raw": body}
     at = {k: i for i, k in enumerate(forms)}
+    at |= {k: (at[k], at[same]) for k, same in (("b1", "n"), ("b2", "s"), ("low", "n"))}
     m = m.withColumns({"__hits": term_hits(list(forms.values()), BODY_TERMS), "__topics": term_hits(T.both_forms(subject), lx.HIGH_RISK_SUBJECTS)})
     hits = {k: Hits("__hits", BODY_TERMS, [at[x] for x in k.split("+")]) for k in ("n", "n+s", "bn+bs", "b64", "ent", "eb64", "b1", "b2", "b1+b2", "low", "raw")}
     plain, f_n = hits["b1+b2"], _auth_counts()
